@@ -115,9 +115,9 @@ class TextBatch:
         return self.data[self.start[row] : self.end[row]].tobytes()
 
 
-def pieces(batch: pa.RecordBatch, most_bytes: int = 4 << 20, column: str = "text"):
+def pieces(batch: pa.RecordBatch, most_bytes: int = 4 << 20, *columns: str):
     """The batch in slices of at most ``most_bytes`` of text (one row at least), which bounds memory."""
-    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    sizes = sum(pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns or ("text",))
     begin, total = 0, 0
     for i, n in enumerate(sizes):
         if i > begin and total + n > most_bytes:
