@@ -215,5 +215,5 @@ def find(docs: DataFrame) -> DataFrame:
 def digest(found: DataFrame) -> DataFrame:
     """The columns of the personal data query: counts and digest of the plain spans, and all spans."""
     join = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
-    counts = [F.size(F.filter("pii_base", lambda s, k=k: s.kind == k)).cast("long").alias(f"n_{k}") for k in KINDS]
-    return found.select("doc_id", *counts, F.sha2(join("pii_base"), 256).alias("base_sha256"), join("pii_spans").alias("spans"))
+    count = lambda kind: F.size(F.filter("pii_base", lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *(count(k) for k in KINDS), F.sha2(join("pii_base"), 256).alias("base_sha256"), join("pii_spans").alias("spans"))
