@@ -1,0 +1 @@
+"""Evidence retrieval over paginated documents, on Spark DataFrames."""

@@ -1,15 +1,407 @@
-"""The registered queries of the retrieval engine and their SQL."""
+"""The registered queries of the retrieval engine, over the tables of TESTDATA.md.
+
+Roles: a page is a row of documents, its document the source, its page number the place by doc_id;
+questions are the rows of benchmark; vectors are embeddings, with the label as their filter; turns of
+conversations stand for pages where something is carried forward. The word lists are LATIN.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..config import LATIN, AnswerConfig, ChunkConfig
+from ..functions import text as X
+from ..operators import answer, chunking, evaluate, fusion, ingest, lexical, pages, vectors
+from . import sql
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def page_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("document_id"), "text", "lang")
+    return pages.numbered(docs, "document_id", "doc_id")
+
+
+def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.parse(page_rows(spark, sf_dir))
+
+
+def chunk_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text", "lang", "source")
+
+
+def question_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lang = F.element_at(F.array(*map(F.lit, ("en", "de", "fr", "es"))), (F.col("item_id") % 4 + 1).cast("int"))
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), lang.alias("lang"))
+
+
+def six(column: str | Column, name: str) -> Column:
+    return lexical.rounded(F.col(column) if isinstance(column, str) else column, 6).alias(name)
+
+
+def csv(column: str | Column) -> Column:
+    return F.array_join((F.col(column) if isinstance(column, str) else column).cast("array<string>"), ",")
+
+
+def md5(column: str) -> Column:
+    return F.md5(F.col(column).cast("binary"))
+
+
+# pages
+
+
+def compact_chars(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", X.compact_count(F.col("text")).alias("compact_chars"))
+
+
+def normalized_text(spark, sf_dir):
+    text = X.join_lines(X.lines_of(F.col("text")))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(X.lines_of(F.col("text"))).alias("n_lines"), F.md5(text.cast("binary")).alias("text_md5"))
+
+
+def margin_lines(spark, sf_dir):
+    return pages.margin_lines(page_rows(spark, sf_dir), 0.02).select("document_id", "line", "pages", "threshold")
+
+
+def margin_removed_pages(spark, sf_dir):
+    rows = page_rows(spark, sf_dir)
+    out = pages.without_margins(rows, pages.margin_lines(rows, 0.02))
+    return out.select("doc_id", F.size("lines").alias("n_lines"), F.md5(F.array_join("lines", "\n").cast("binary")).alias("lines_md5"))
+
+
+def printed_page(spark, sf_dir):
+    number = pages.printed_page(X.lines_of(F.regexp_replace("text", "[a-zA-Z.,]+", "")))
+    return table(spark, sf_dir, "documents").select("doc_id", number.alias("printed_page"))
+
+
+def chapter_fill(spark, sf_dir):
+    rows = page_rows(spark, sf_dir).withColumn("lines", X.lines_of(F.col("text")))
+    return pages.chapters(rows)
+
+
+def unit_context_fill(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("document_id"), F.col("turn").alias("pdf_page"), "text")
+    import dataclasses
+
+    return pages.unit_context(turns, dataclasses.replace(LATIN, unit_pattern="the ([a-z]+)"))
+
+
+def page_quality_flags(spark, sf_dir):
+    return parsed(spark, sf_dir).select("doc_id", "char_count", csv("quality_flags").alias("flags"))
+
+
+def flag_histogram(spark, sf_dir):
+    return pages.flag_histogram(parsed(spark, sf_dir))
+
+
+def parse_quality(spark, sf_dir):
+    return pages.parse_report(parsed(spark, sf_dir))
+
+
+def audit_samples(spark, sf_dir):
+    return pages.audit_samples(parsed(spark, sf_dir))
+
+
+def page_contiguity(spark, sf_dir):
+    return pages.contiguity(page_rows(spark, sf_dir))
+
+
+def turn_contiguity(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("document_id"), (F.col("turn") + 1).alias("pdf_page"))
+    return pages.contiguity(turns)
+
+
+# ingest
+
+
+def duplicate_ids(spark, sf_dir):
+    return ingest.repeated_ids(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("key")), "key")
+
+
+def fingerprint(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.length(F.col("html").cast("binary")).alias("length"), F.sha2(F.col("html").cast("binary"), 256).alias("file_hash"))
+
+
+def registration_check(spark, sf_dir):
+    rows = page_rows(spark, sf_dir)
+    keywords = rows.select("document_id").distinct().withColumn("keywords", F.array(F.lit("the"), F.lit("der"), F.lit("License")))
+    return ingest.inspect(rows, keywords)
+
+
+def registered_manifest(spark, sf_dir):
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("document_id"), F.lit("").alias("page_count"), F.lit("parsed").alias("parse_status"))
+    new = table(spark, sf_dir, "documents").filter("n_chars > 2000").select(F.col("doc_id").cast("string").alias("document_id"), F.col("n_chars").alias("page_count"))
+    return ingest.registered(labels, new)
+
+
+def lifecycle_gate(spark, sf_dir):
+    states = F.array(*map(F.lit, ("pending", "parsed", "audited", "baseline_chunked", "structured_chunked")))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.element_at(states, (F.col("doc_id") % 5 + 1).cast("int")).alias("status"))
+    gates = [ingest.admitted(F.col("status"), s).alias(s) for s in ("parse", "audit", "fixed_chunks", "structured_chunks")]
+    return rows.select("doc_id", "status", *gates, ingest.advanced(F.col("status")).alias("next_status"))
+
+
+# chunks
+
+
+def _chaptered(spark, sf_dir):
+    rows = page_rows(spark, sf_dir).withColumn("lines", X.lines_of(F.col("text")))
+    return rows.drop("lines").join(pages.chapters(rows), ["document_id", "pdf_page"])
+
+
+def fixed_chunks(spark, sf_dir):
+    out = chunking.fixed_chunks(_chaptered(spark, sf_dir))
+    return out.select("chunk_id", "char_count", md5("text").alias("text_md5"), csv("pdf_pages").alias("pages"), "chapter", F.size("chapters").alias("n_chapters"))
+
+
+def fixed_chunk_quality(spark, sf_dir):
+    return chunking.fixed_quality(chunking.fixed_chunks(_chaptered(spark, sf_dir)))
+
+
+def structured_chunks(spark, sf_dir):
+    out = chunking.structured_chunks(_chaptered(spark, sf_dir))
+    return out.select("chunk_id", "char_count", md5("text").alias("text_md5"), csv("pdf_pages").alias("pages"), "chapter")
+
+
+def structured_quality(spark, sf_dir):
+    return chunking.structured_quality(chunking.structured_chunks(_chaptered(spark, sf_dir)))
+
+
+def strategy_delta(spark, sf_dir):
+    rows = _chaptered(spark, sf_dir)
+    return chunking.strategy_delta(chunking.fixed_quality(chunking.fixed_chunks(rows)), chunking.structured_quality(chunking.structured_chunks(rows)))
+
+
+# retrieval
+
+
+def token_stats(spark, sf_dir):
+    out = lexical.token_stats(chunk_rows(spark, sf_dir), ["lang"])
+    return out.select("lang", "n_docs", "total_tokens", six("avgdl", "avgdl"))
+
+
+def _hits(hits: DataFrame) -> DataFrame:
+    return hits.select("query_id", "rank", "chunk_id", six("score", "score"))
+
+
+def bm25_top5(spark, sf_dir):
+    return _hits(lexical.bm25(chunk_rows(spark, sf_dir), question_rows(spark, sf_dir)))
+
+
+def bm25_top5_filtered(spark, sf_dir):
+    return _hits(lexical.bm25(chunk_rows(spark, sf_dir), question_rows(spark, sf_dir), by=["lang"]))
+
+
+def token_cosine_top5(spark, sf_dir):
+    return _hits(vectors.token_cosine(chunk_rows(spark, sf_dir), question_rows(spark, sf_dir)))
+
+
+def _vectors(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding", "label")
+    return rows, rows.filter("chunk_id % 20 = 0").withColumnRenamed("chunk_id", "query_id")
+
+
+def vector_top5(spark, sf_dir):
+    return _hits(vectors.cosine_search(*_vectors(spark, sf_dir)))
+
+
+def vector_top5_filtered(spark, sf_dir):
+    return _hits(vectors.cosine_search(*_vectors(spark, sf_dir), by=["label"]))
+
+
+def hashed_embedding(spark, sf_dir):
+    out = vectors.hashed_embedding(table(spark, sf_dir, "benchmark"), 768)
+    return out.select("item_id", F.size("embedding").alias("dimensions"), six(vectors.norm(F.col("embedding")), "norm"), md5_of("embedding"))
+
+
+def md5_of(column: str) -> Column:
+    return F.md5(F.array_join(F.transform(column, lambda v: F.round(v, 9).cast("string")), ",").cast("binary")).alias("digest")
+
+
+def index_upsert(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select(F.col("label").cast("string").alias("document_id"), "vec_id", "embedding")
+    new = rows.filter("document_id < '3'")
+    return vectors.index_report(vectors.upsert(rows, new))
+
+
+def _pool(spark, sf_dir, k=120):
+    chunks, questions = chunk_rows(spark, sf_dir), question_rows(spark, sf_dir)
+    asked = questions.withColumn("query", fusion.expand(F.col("query")))
+    return chunks, questions, fusion.rrf(vectors.token_cosine(chunks, questions, k), lexical.bm25(chunks, asked, k))
+
+
+def rrf(spark, sf_dir):
+    _, _, fused = _pool(spark, sf_dir)
+    return fused.select("query_id", "rank", "chunk_id", "vector_rank", "bm25_rank", six("rrf_score", "rrf_score"))
+
+
+def expand_query(spark, sf_dir):
+    out = fusion.features(question_rows(spark, sf_dir))
+    return out.select("query_id", "expanded", F.size("terms").alias("n_terms"))
+
+
+def rerank_features(spark, sf_dir):
+    chunks, questions, fused = _pool(spark, sf_dir)
+    out = fusion.rerank(fused, questions, chunks)
+    names = ("term_coverage", "phrase_score", "numeric_score", "multi_metric_score", "intent_alignment_score")
+    return out.select("query_id", "chunk_id", "pre_rerank_rank", *(six(n, n) for n in names))
+
+
+def _hybrid(spark, sf_dir):
+    chunks, questions = chunk_rows(spark, sf_dir), question_rows(spark, sf_dir)
+    return chunks, questions, fusion.hybrid(chunks, questions, lambda q, k: vectors.token_cosine(chunks, q, k))
+
+
+def hybrid_top5(spark, sf_dir):
+    _, _, hits = _hybrid(spark, sf_dir)
+    return hits.select("query_id", "rank", "chunk_id", "pre_rerank_rank", six("rerank_score", "rerank_score"))
+
+
+# answers
+
+
+def scope_gate(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", answer.asks_advice(F.col("text")).alias("refused"))
+
+
+def evidence_gate(spark, sf_dir):
+    _, questions, hits = _hybrid(spark, sf_dir)
+    return answer.evidence_gate(questions, hits, 0.5).select("query_id", six("max_coverage", "max_coverage"), "refusal_reason")
+
+
+def _cited(spark, sf_dir):
+    _, questions, hits = _hybrid(spark, sf_dir)
+    return questions, answer.citations(hits, questions, AnswerConfig(max_citations=3, max_quote_chars=200, relative_score=0.9))
+
+
+def citations(spark, sf_dir):
+    _, cited = _cited(spark, sf_dir)
+    return cited.select("query_id", "citation_id", "chunk_id", "quote", six("retrieval_score", "retrieval_score"))
+
+
+def quote_window(spark, sf_dir):
+    terms = X.salient(F.substring("text", 1, 60), LATIN.ignored)
+    return table(spark, sf_dir, "documents").select("doc_id", X.quote(F.col("text"), terms, 120).alias("quote"))
+
+
+def evidence_answer(spark, sf_dir):
+    _, cited = _cited(spark, sf_dir)
+    return answer.evidence_answers(cited)
+
+
+def prompt(spark, sf_dir):
+    questions, cited = _cited(spark, sf_dir)
+    return answer.prompts(cited, questions).select("query_id", md5("prompt").alias("prompt_md5"), F.length("prompt").alias("length"))
+
+
+def citation_validate(spark, sf_dir):
+    _, cited = _cited(spark, sf_dir)
+    valid = cited.groupBy("query_id").agg(F.collect_set("citation_id").alias("valid_ids"))
+    made = F.element_at(F.array(F.lit("yes [E1]"), F.lit("both [E1] and [E9]"), F.lit("none at all"), F.lit(f"{LATIN.insufficient.split('|')[0]}")), (F.col("query_id") % 4 + 1).cast("int"))
+    return answer.checked(valid.withColumn("answer", made))
+
+
+def answers(spark, sf_dir):
+    """The whole pipeline, with evidence-only answers."""
+    chunks, questions = chunk_rows(spark, sf_dir), question_rows(spark, sf_dir)
+    search = lambda q: fusion.hybrid(chunks, q, lambda asked, k: vectors.token_cosine(chunks, asked, k))
+    out = answer.answer(questions, search, chunks, AnswerConfig(max_citations=3, max_quote_chars=200, relative_score=0.9, least_coverage=0.5))
+    return out.select("query_id", "status", "refusal_reason", md5("answer").alias("answer_md5"))
+
+
+# evaluation
+
+
+def evidence_pages(spark, sf_dir):
+    id_ = F.col("doc_id").cast("string")
+    value = F.element_at(
+        F.array(id_, F.concat(id_, F.lit("-"), (F.col("doc_id") + 2).cast("string")), F.concat(F.lit("7|"), id_, F.lit(" | 7")), F.concat((F.col("doc_id") + 3).cast("string"), F.lit("-"), id_)),
+        (F.col("doc_id") % 4 + 1).cast("int"),
+    )
+    return table(spark, sf_dir, "documents").select("doc_id", csv(X.evidence_pages(value)).alias("pages"))
+
+
+def _gold(spark, sf_dir):
+    """Gold evidence: the documents that hold a question's text. A question's longest inner word picks the candidates."""
+    chunks, questions = chunk_rows(spark, sf_dir), question_rows(spark, sf_dir)
+    inner = X.let(X.tokens(F.col("query")), lambda t: F.slice(t, 2, F.greatest(F.size(t) - 2, F.lit(0))))  # whole words of any text that holds the question
+    longest = F.get(F.array_sort(F.transform(inner, lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t")))), F.lit(0)).t
+    first = questions.select("query_id", "query", longest.alias("token"))
+    tokens = chunks.select("chunk_id", F.explode(F.array_distinct(X.tokens(F.col("text")))).alias("token"))
+    maybe = tokens.join(first, "token").join(chunks.select("chunk_id", "text"), "chunk_id").filter(F.col("text").contains(F.col("query")))
+    return maybe.groupBy("query_id").agg(F.collect_set("chunk_id").alias("gold_pages"))
+
+
+def _methods(spark, sf_dir):
+    chunks, questions, fused = _pool(spark, sf_dir)
+    branch = lambda hits, name: hits.select("query_id", F.lit(name).alias("method"), "rank", F.array("chunk_id").alias("pdf_pages"))
+    vector = fused.filter("vector_rank is not null").select("query_id", F.col("vector_rank").alias("rank"), "chunk_id")
+    bm = fused.filter("bm25_rank is not null").select("query_id", F.col("bm25_rank").alias("rank"), "chunk_id")
+    hits = branch(vector, "vector").union(branch(bm, "bm25")).union(branch(fused, "hybrid_rrf")).union(branch(fusion.rerank(fused, questions, chunks), "hybrid_rerank"))
+    return evaluate.first_ranks(hits, _gold(spark, sf_dir))
+
+
+def first_rank(spark, sf_dir):
+    return _methods(spark, sf_dir)
+
+
+def method_compare(spark, sf_dir):
+    out = evaluate.lift(evaluate.metrics(_methods(spark, sf_dir)), "vector")
+    return out.select("method", "questions", *(six(c, c) for c in ("recall_at_3", "recall_at_5", "mrr", "lift")))
+
+
+def acceptance(spark, sf_dir):
+    return evaluate.accepted(evaluate.metrics(_methods(spark, sf_dir))).select("accepted", six("best_recall", "best_recall"))
+
+
+def number_norm(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(X.numbers(F.col("text")), "|").alias("numbers"))
+
+
+def _cases(spark, sf_dir):
+    docs, turn = table(spark, sf_dir, "documents"), F.col("doc_id")
+    rows = docs.select(
+        turn.alias("query_id"), F.element_at(F.array(*map(F.lit, ("answered", "refused", "error", "evidence_only"))), (turn % 4 + 1).cast("int")).alias("status"),
+        F.substring("text", 1, 80).alias("reference_answer"), F.substring("text", 1, 400).alias("answer"),
+        F.array(turn % 7).alias("gold_pages"), F.array(turn % 5, turn % 3).alias("cited_pages"), ((turn % 13) / 4.0).alias("seconds"),
+    )
+    return evaluate.answer_cases(rows)
+
+
+def answer_case(spark, sf_dir):
+    return _cases(spark, sf_dir).select("query_id", "status", "page_hit", six("number_recall", "number_recall"), "proxy")
+
+
+def answer_summary(spark, sf_dir):
+    out = evaluate.answer_summary(_cases(spark, sf_dir))
+    return out.select("cases", "answered", "refused", "errors", *(six(c, c) for c in ("page_hit_rate", "mean_number_recall", "proxy_rate", "mean_seconds", "median_seconds", "max_seconds")))
+
+
+def resume_pending(spark, sf_dir):
+    questions = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"))
+    done = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("query_id"), F.when(F.col("quality") == 0, F.lit("timeout")).alias("error"))
+    return evaluate.pending(questions, done)
+
+
+NAMES = (
+    "compact_chars normalized_text margin_lines margin_removed_pages printed_page chapter_fill unit_context_fill page_quality_flags flag_histogram parse_quality "
+    "audit_samples page_contiguity turn_contiguity duplicate_ids fingerprint registration_check registered_manifest lifecycle_gate fixed_chunks fixed_chunk_quality "
+    "structured_chunks structured_quality strategy_delta token_stats bm25_top5 bm25_top5_filtered token_cosine_top5 vector_top5 vector_top5_filtered hashed_embedding "
+    "index_upsert rrf expand_query rerank_features hybrid_top5 scope_gate evidence_gate citations quote_window evidence_answer prompt citation_validate answers "
+    "evidence_pages first_rank method_compare acceptance number_norm answer_case answer_summary resume_pending"
+).split()
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return {name: globals()[name] for name in NAMES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return sql.oracle_sql()
