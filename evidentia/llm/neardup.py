@@ -11,9 +11,17 @@ empty bin borrows from the first filled bin of a permutation of its own (optimal
    as many as there are members. Pairs whose sizes rule the threshold out are left out.
 3. Edges are confirmed on the full sets of both texts, and joined to components.
 4. Buckets whose members are still of two or more components go on without the hubs that all others
-   have been compared with, and with four times as many hubs a round, until none is left. So every
-   pair of a bucket is compared unless it is connected already: no link is lost and nothing is capped,
-   and a group of copies costs about one comparison for each member.
+   have been compared with, and with sixteen times as many hubs a round, until none is left. So every
+   pair of a bucket is compared unless it is connected already or can't be similar: no link is lost
+   and nothing is capped, and a group of copies costs about one comparison for each member.
+5. What can't be similar is bounded by counting. A pair at the threshold shares at least
+   a = percent * (n + m) / (100 + percent) shingles. Of the documents in buckets that are large after
+   the first round, shingles that just one of them has are counted, u for each; one with
+   n - u < a shares too few with any partner of the sizes in its bucket, and leaves it. And each is
+   compared once with its bucket's reference R (the root of its most common component): a bit for each
+   shingle of R that it has, and the number b of its shingles outside R. Two documents share at most
+   popcount(bits & bits') + min(b - u, b' - u'), which the join tests before a pair is made. So copies
+   with edits of their own aren't compared with all of a large group.
 
 Shuffles: bucket keys once, the texts of bucket members once, then only pairs. Keys are spread over
 bands, and joins read written tables, so that Spark can split a hot key (sort-merge skew join).
@@ -37,6 +45,10 @@ from .components import components
 
 BANDS, ROWS = 40, 5
 BINS = BANDS * ROWS
+#: Members from which a bucket counts as large: own shingles are counted then, which changes no result.
+LARGE = 32
+#: Of a bucket's member: document, set size, own shingles, component, marks against the reference, shingles outside it.
+LIVE = ("key", "x", "n", "u", "c", "bits", "b")
 U = np.uint64
 
 
@@ -127,6 +139,86 @@ def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
     return both.select("u", "v", "text_u", "text_v").mapInArrow(run, "u long, v long")
 
 
+def _own_shingles(texts: DataFrame, k: int) -> DataFrame:
+    """(x, u): how many of its shingles each of these documents shares with no other of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch):
+                sets = shingle_sets(TextBatch(part.column("text"), lower=True), k)
+                ids = np.repeat(part.column("doc_id").to_numpy(zero_copy_only=False), [len(s) for s in sets])
+                yield pa.record_batch([pa.array(ids), pa.array(np.concatenate(sets).astype(np.int64))], ["x", "h"])
+
+    each = texts.select("doc_id", "text").mapInArrow(run, "x long, h long")
+    single = each.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("x").alias("x")).filter("c = 1")
+    return single.groupBy("x").agg(F.count(F.lit(1)).alias("u"))
+
+
+def _marks(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """(x, r, bits, b): for each pair of x and its reference r, which of r's shingles x has, and how many others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch, 4 << 20, "text_x", "text_r"):
+                own = shingle_sets(TextBatch(part.column("text_x"), lower=True), k)
+                reference = shingle_sets(TextBatch(part.column("text_r"), lower=True), k)
+                bits, outside = [], []
+                for x, r in zip(own, reference, strict=True):
+                    has = np.isin(r, x, assume_unique=True)
+                    flags = np.packbits(np.append(has, np.zeros(-len(has) % 64, dtype=bool)), bitorder="little")
+                    bits.append(flags.view(np.int64))
+                    outside.append(len(x) - int(has.sum()))
+                yield pa.record_batch([part.column("x"), part.column("r"), pa.array(bits, pa.list_(pa.int64())), pa.array(outside, pa.int64())], ["x", "r", "bits", "b"])
+
+    both = pairs.join(texts.select(F.col("doc_id").alias("x"), F.col("text").alias("text_x")), "x")
+    both = both.join(texts.select(F.col("doc_id").alias("r"), F.col("text").alias("text_r")), "r")
+    return both.select("x", "r", "text_x", "text_r").mapInArrow(run, "x long, r long, bits array<long>, b long")
+
+
+def _counted(rest: DataFrame, texts: DataFrame, work: Workspace, k: int, percent: int) -> DataFrame:
+    """Fills in u, bits and b for the members of large buckets, and leaves out those that can't match."""
+    sizes = rest.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.sum("m").alias("size"), F.max_by("c", F.struct("m", "c")).alias("r"))
+    reference = work.save(sizes.filter(F.col("size") > LARGE).select("key", "r"), "reference")
+    if reference.isEmpty():
+        return rest
+    pairs = work.save(rest.join(reference, "key").select("x", "r").distinct(), "marked")
+    large = work.save(pairs.select(F.col("x").alias("doc_id")).union(pairs.select("r")).distinct(), "large")
+    texts = work.save(texts.join(large, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "large-texts")
+    own = work.save(_own_shingles(texts, k), "own")
+    marks = work.save(_marks(pairs, texts, k), "marks")
+    whole = rest.drop("u", "bits", "b").join(reference, "key", "left").join(own, "x", "left").join(marks, ["x", "r"], "left")
+    u = F.when(F.col("r").isNotNull(), F.coalesce("u", F.lit(0).cast("long"))).otherwise(F.lit(0).cast("long"))
+    whole = whole.select("key", "x", "n", u.alias("u"), "c", "bits", F.coalesce("b", F.lit(0).cast("long")).alias("b"))
+    return _mixed(work.save(whole, "counted"), work, "mixed-counted", percent)
+
+
+def _mixed(rest: DataFrame, work: Workspace, name: str, percent: int) -> DataFrame:
+    """What is left of buckets of two or more components, without members that no partner there can match."""
+    least = rest.groupBy("key").agg(F.min("n").alias("least"))
+    smallest = F.greatest(F.col("least"), percent * F.col("n") / 100)
+    able = rest.join(work.save(least, f"{name}-least"), "key")
+    able = able.filter((100 + percent) * (F.col("n") - F.col("u")) >= percent * (F.col("n") + smallest))
+    able = work.save(able.select(*LIVE), f"{name}-able")
+    keys = able.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("key")
+    return able.join(work.save(keys, name), "key").select(*LIVE)
+
+
+def _merge(groups: DataFrame | None, links: DataFrame, work: Workspace, step: int) -> DataFrame | None:
+    """(x, c): the component so far of every document that has a link."""
+    if links.isEmpty():
+        return groups
+    if groups is None:
+        return work.save(components(links, work, f"cc{step}").select(F.col("node").alias("x"), F.col("root").alias("c")), f"groups{step}")
+    of = lambda end: groups.select(F.col("x").alias(end), F.col("c").alias(f"c{end}"))
+    between = links.join(of("u"), "u", "left").join(of("v"), "v", "left")
+    between = work.save(between.select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v")), f"between{step}")
+    roots = components(between, work, f"cc{step}")
+    seen = links.select(F.col("u").alias("x")).union(links.select("v")).distinct()
+    fresh = seen.join(groups, "x", "left_anti").select("x", F.col("x").alias("c"))
+    moved = groups.select("x", "c").union(fresh).join(roots.withColumnRenamed("node", "c"), "c", "left")
+    return work.save(moved.select("x", F.coalesce("root", "c").alias("c")), f"groups{step}")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of docs."""
     spark = docs.sparkSession
@@ -139,40 +231,35 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     members = joined.select("doc_id", "n", "rep")
     buckets = joined.filter("bands is not null").select(F.col("rep").alias("x"), "n", F.explode("bands").alias("key"))
     shared = work.save(buckets.groupBy("key").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).filter("lo < hi").select("key"), "shared")
-    live = work.save(buckets.join(shared, "key").select("key", "x", "n", F.col("x").alias("c")), "live0")
+    zero, none = F.lit(0).cast("long"), F.lit(None).cast("array<bigint>")
+    live = work.save(buckets.join(shared, "key").select("key", "x", "n", zero.alias("u"), F.col("x").alias("c"), none.alias("bits"), zero.alias("b")), "live0")
     within = work.save(live.select(F.col("x").alias("doc_id")).distinct(), "within")
     texts = work.save(docs.join(within, "doc_id", "left_semi"), "texts")
 
     groups, step, hubs_each = None, 0, 1
     while not live.isEmpty():
         slot = F.pmod(F.xxhash64("x", "key", F.lit(step)), F.lit(hubs_each))
-        order = F.xxhash64("x", "key")
-        hubs = live.groupBy("key", slot.alias("slot")).agg(*(F.min_by(a, order).alias(b) for a, b in (("x", "hub"), ("n", "hub_n"), ("c", "hub_c"))))
-        hubs = work.save(hubs.drop("slot"), f"hubs{step}")
+        order = F.struct(F.col("u") / F.col("n"), F.xxhash64("x", "key"))  # those with least of their own first
+        hubs = live.groupBy("key", slot.alias("slot")).agg(F.min(F.struct(order.alias("o"), *LIVE[1:])).alias("h"))
+        hubs = work.save(hubs.select("key", *(F.col(f"h.{a}").alias(f"hub_{a}") for a in LIVE[1:])), f"hubs{step}")
+        at_least = percent * (F.col("n") + F.col("hub_n"))
         fits = (100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")) & (F.col("c") != F.col("hub_c"))
+        fits &= (100 + percent) * F.least(F.col("n") - F.col("u"), F.col("hub_n") - F.col("hub_u")) >= at_least
+        both = F.aggregate(F.zip_with("bits", "hub_bits", lambda a, b: F.bit_count(a.bitwiseAND(b))), F.lit(0), lambda s, v: s + v)
+        shared_at_most = both + F.least(F.col("b") - F.col("u"), F.col("hub_b") - F.col("hub_u"))
+        fits &= F.coalesce((100 + percent) * shared_at_most >= at_least, F.lit(True))
         star = live.join(hubs, "key").filter(fits)
-        pairs = work.save(star.select(F.least("x", "hub").alias("u"), F.greatest("x", "hub").alias("v")).distinct(), f"pairs{step}")
+        pairs = work.save(star.select(F.least("x", "hub_x").alias("u"), F.greatest("x", "hub_x").alias("v")).distinct(), f"pairs{step}")
         links = work.save(confirm(pairs, texts, k, percent), f"links{step}")
-        if not links.isEmpty():
-            if groups is None:
-                groups = components(links, work, f"cc{step}").select(F.col("node").alias("x"), F.col("root").alias("c"))
-            else:
-                of = lambda end: groups.select(F.col("x").alias(end), F.col("c").alias(f"c{end}"))  # noqa: E731, B023
-                between = links.join(of("u"), "u", "left").join(of("v"), "v", "left")
-                between = between.select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v"))
-                seen = work.save(links.select(F.col("u").alias("x")).union(links.select("v")).distinct(), f"seen{step}")
-                roots = components(work.save(between.filter("u <> v"), f"between{step}"), work, f"cc{step}")
-                fresh = seen.join(groups, "x", "left_anti").select("x", F.col("x").alias("c"))
-                moved = groups.select("x", "c").union(fresh).join(roots.withColumnRenamed("node", "c"), "c", "left")
-                groups = moved.select("x", F.coalesce("root", "c").alias("c"))
-            groups = work.save(groups, f"groups{step}")
-        rest = live.join(hubs.select("key", F.col("hub").alias("x")), ["key", "x"], "left_anti").select("key", "x", "n", "c")
+        groups = _merge(groups, links, work, step)
+        rest = live.join(hubs.select("key", F.col("hub_x").alias("x")), ["key", "x"], "left_anti")
         if groups is not None:
-            rest = rest.join(groups.select("x", F.col("c").alias("g")), "x", "left").select("key", "x", "n", F.coalesce("g", "c").alias("c"))
-        rest = work.save(rest, f"rest{step}")
-        mixed = work.save(rest.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("key"), f"mixed{step}")
-        live = work.save(rest.join(mixed, "key").select("key", "x", "n", "c"), f"live{step + 1}")
-        step, hubs_each = step + 1, hubs_each * 4
+            rest = rest.join(groups.select("x", F.col("c").alias("g")), "x", "left").withColumn("c", F.coalesce("g", "c")).drop("g")
+        rest = _mixed(work.save(rest.select(*LIVE), f"rest{step}"), work, f"mixed{step}", percent)
+        if step == 0:
+            rest = _counted(work.save(rest, "first"), texts, work, k, percent)
+        live = work.save(rest, f"live{step + 1}")
+        step, hubs_each = step + 1, hubs_each * 16
 
     if groups is None:
         found = members.select("doc_id", "n", F.col("rep").alias("component_id"))
