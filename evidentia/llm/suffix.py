@@ -14,7 +14,10 @@ are sorted where it can matter:
    decides. Neighbours with a common extension of ``size`` bytes are repeats; their bytes are then
    compared, and a class with a hash collision is sorted anew by its bytes.
 4. A bucket of more than ``MOST`` distinct segments (a passage in very many different surroundings)
-   isn't gathered in one task: its windows are counted by a 128-bit hash in a partial aggregate.
+   isn't gathered in one task. Its segments are cut to blocks of ``BLOCK`` windows, whose new anchor is
+   all that the block's windows have in common; equal blocks are counted, and the rest sorted by their
+   new buckets. In buckets that are still too large (the passage's edges), windows are counted by a
+   128-bit hash in a partial aggregate.
 
 Then each document's repeated windows are joined to spans. The corpus is shuffled once by its anchors
 (8 bytes for about every 50), the texts of documents with repeated anchors twice.
@@ -35,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .common import BASE, MIX_A, MIX_B, TextBatch, Workspace, mix64, pieces, powers, prefix_hash
 
-K, MOST = 100, 256
+K, MOST, BLOCK = 100, 256, 16
 U = np.uint64
 PLACE = U((1 << 30) - 1)
 _INVERSE = pow(BASE, -1, 1 << 64)
@@ -181,7 +184,7 @@ def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
 def _anchor_lists(docs: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch):
+            for part in pieces(batch, 2 << 20):
                 texts = TextBatch(part.column("text"))
                 anchor, row, _, _, _ = segments(texts, size)
                 offsets = np.searchsorted(row, np.arange(len(texts) + 1)).astype(np.int32)
@@ -197,7 +200,7 @@ def _segment_rows(texts: DataFrame, size: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch):
+            for part in pieces(batch, 2 << 20):
                 texts = TextBatch(part.column("text"))
                 anchor, row, at, n, prefix = segments(texts, size)
                 wanted = part.column("anchors")
@@ -291,8 +294,56 @@ def _sorted_buckets(cuts: DataFrame, size: int) -> DataFrame:
     return cuts.select("a", "seg", "once", "bytes").repartition("a").sortWithinPartitions("a").mapInArrow(run, "a long, seg long, lo int, hi int")
 
 
+def _blocks(cuts: DataFrame, size: int) -> DataFrame:
+    """(a, seg, once, off, n, a2, c2, bytes): the blocks of segments, with their new anchor and the hash of their bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch, 1 << 20, "bytes"):
+                raw = part.column("bytes").to_pylist()
+                data = np.frombuffer(b"".join(raw), dtype=np.uint8)
+                length = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))
+                n = length - size + 1
+                owner = np.repeat(np.arange(len(raw)), n)
+                index = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+                start = (np.cumsum(length) - length)[owner] + index
+                _, place, prefix = anchor_places(data, size)
+                number = (place[start] - start) // BLOCK
+                head = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (number[1:] != number[:-1]))))
+                count = np.diff(np.append(head, len(owner)))
+                core = place[start[head]] - number[head] * BLOCK
+                take = lambda name: part.column(name).to_numpy(zero_copy_only=False)[owner[head]]  # noqa: E731, B023
+                a = take("a").astype(np.int64)
+                a2 = mix64(window_hash(prefix, core, size - BLOCK + 1) + a.view(U) * U(MIX_A) + number[head].astype(U))
+                end = start[head] + count - 1 + size
+                c2 = mix64((prefix[end] - prefix[start[head]]) * powers(len(prefix), _INVERSE)[start[head]] + count.astype(U) * U(MIX_B))
+                cut = [data[x:y].tobytes() for x, y in zip(start[head].tolist(), end.tolist(), strict=True)]
+                cols = [a, take("seg"), take("once"), index[head].astype(np.int32), count.astype(np.int32), a2.astype(np.int64), c2.astype(np.int64)]
+                yield pa.record_batch([*map(pa.array, cols), pa.array(cut, pa.binary())], ["a", "seg", "once", "off", "n", "a2", "c2", "bytes"])
+
+    return cuts.select("a", "seg", "once", "bytes").mapInArrow(run, "a long, seg long, once boolean, off int, n int, a2 long, c2 long, bytes binary")
+
+
+def _large_buckets(cuts: DataFrame, work: Workspace, size: int) -> DataFrame:
+    """(a, seg, lo, hi) as from _sorted_buckets, of the segments of large buckets, by blocks."""
+    blocks = work.save(_blocks(cuts, size), "blocks")
+    one = blocks.groupBy("a2", "c2").agg(F.count(F.lit(1)).alias("c"), F.first("bytes").alias("bytes"), F.first("n").alias("n"))
+    one = work.save(one, "distinct-blocks")
+    mixed = work.save(one.groupBy("a2").agg(F.count(F.lit(1)).alias("n_segs")).filter("n_segs > 1"), "mixed-blocks")
+    rest = one.join(mixed, "a2").select(F.col("a2").alias("a"), F.col("c2").alias("seg"), (F.col("c") == 1).alias("once"), "n_segs", "bytes")
+    rest = work.save(rest, "rest-blocks")
+    windows = work.save(_windows(rest.filter(F.col("n_segs") > MOST), size), "windows")
+    again = work.save(windows.groupBy("h1", "h2").count().filter("count > 1").select("h1", "h2"), "again")
+    edges = windows.join(again, ["h1", "h2"]).filter("once").select("a", "seg", F.col("i").alias("lo"), (F.col("i") + 1).alias("hi"))
+    found = _sorted_buckets(rest.filter(F.col("n_segs") <= MOST), size).union(edges)
+    found = found.union(one.filter("c > 1").select("a2", "c2", F.lit(0), "n"))
+    found = work.save(found.select(F.col("a").alias("a2"), F.col("seg").alias("c2"), "lo", "hi"), "found-blocks")
+    back = blocks.filter("once").join(found, ["a2", "c2"])
+    return back.select("a", "seg", (F.col("off") + F.col("lo")).alias("lo"), (F.col("off") + F.col("hi")).alias("hi"))
+
+
 def _windows(cuts: DataFrame, size: int) -> DataFrame:
-    """(a, seg, once, i, h1, h2): every window of the segments of large buckets, by its 128-bit hash."""
+    """(a, seg, once, i, h1, h2): every window of the segments of buckets that stay large, by its 128-bit hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -335,10 +386,9 @@ def repeated_spans(docs: DataFrame, size: int = 200) -> tuple[DataFrame, DataFra
     one_text = texts.dropDuplicates(["key"])
     cuts = work.save(_cut(one_text, wanted, size), "cuts")
     small = _sorted_buckets(cuts.filter(F.col("n_segs") <= MOST), size)
-    windows = work.save(_windows(cuts.filter(F.col("n_segs") > MOST), size), "windows")
-    again = work.save(windows.groupBy("h1", "h2").count().filter("count > 1").select("h1", "h2"), "again")
-    large = windows.join(again, ["h1", "h2"]).filter("once").select("a", "seg", F.col("i").alias("lo"), (F.col("i") + 1).alias("hi"))
-    parts = small.union(large).groupBy("a", "seg").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
+    many = cuts.filter(F.col("n_segs") > MOST)
+    parts = small if many.isEmpty() else small.union(_large_buckets(many, work, size))
+    parts = parts.groupBy("a", "seg").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
     whole = distinct.filter("c > 1").select("a", "seg", F.array(F.struct(F.lit(0).alias("lo"), F.col("n").alias("hi"))).alias("runs"))
     repeats = work.save(parts.union(whole), "repeats")
     spans = segs.join(repeats, ["a", "seg"]).select("key", F.explode(F.transform("runs", lambda r: F.struct((F.col("at") + r.lo).alias("start"), (F.col("at") + r.hi - 1 + size).alias("end")))).alias("span"))
