@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,8 +21,6 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def nfkc():
     """An Arrow UDF for Unicode compatibility composition, which Spark has no function for."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def normalize(text: pd.Series) -> pd.Series:
         return text.str.normalize("NFKC")
