@@ -68,3 +68,8 @@ def pending(questions: DataFrame, done: DataFrame, retry: list[str] | None = Non
     if retry:
         finished = finished.filter(~F.col("query_id").isin(*retry))
     return questions.join(finished.select("query_id"), "query_id", "left_anti")
+
+
+def document_label(questions: DataFrame) -> DataFrame:
+    """One row: the questions' document, or ``multi_document`` if there are several."""
+    return questions.agg(F.when(F.countDistinct("document_id") == 1, F.min("document_id")).otherwise(F.lit("multi_document")).alias("document_id"))

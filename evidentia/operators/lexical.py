@@ -27,6 +27,19 @@ def ranked(scored: DataFrame, key: str, k: int, item: str = "chunk_id") -> DataF
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def matching(chunks: DataFrame, company: str | None = None, stock_code: str | None = None, report_year: int | None = None, blank_is_none: bool = False) -> DataFrame:
+    """Chunks of a company, code and year, as far as they are given; pushed down to the scan.
+
+    With blank_is_none an empty code doesn't filter, which is how the vector branch reads it.
+    """
+    if blank_is_none and not stock_code:
+        stock_code = None
+    for column, value in (("company", company), ("stock_code", stock_code), ("report_year", report_year)):
+        if value is not None:
+            chunks = chunks.filter(F.col(column) == value)
+    return chunks
+
+
 def lengths(chunks: DataFrame, by: list[str]) -> DataFrame:
     return chunks.select(*by, "chunk_id", X.tokens(F.col("text")).alias("tokens")).withColumn("length", F.size("tokens"))
 

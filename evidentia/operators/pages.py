@@ -142,3 +142,21 @@ def unit_context(pages: DataFrame, lexicon: Lexicon = LATIN) -> DataFrame:
     unit = F.regexp_extract("text", lexicon.unit_pattern, 1)
     own = pages.select("document_id", "pdf_page", F.when(unit != "", F.concat(F.lit(lexicon.unit_prefix), unit)).alias("_own"))
     return own.select("document_id", "pdf_page", carried("_own", "document_id", "pdf_page", F.lit(None).cast("string")).alias("unit_context"))
+
+
+#: What a document's audit pack can't do without.
+AUDITED = ("cover", "table_of_contents", "financial_table", "body_text")
+
+
+def audit_gaps(samples: DataFrame) -> DataFrame:
+    """(document_id, missing): documents whose samples lack a base category."""
+    found = samples.groupBy("document_id").agg(F.collect_set("category").alias("c"))
+    return found.withColumn("missing", F.array_except(F.array(*map(F.lit, AUDITED)), "c")).filter(F.size("missing") > 0).select("document_id", "missing")
+
+
+def audit_pack(samples: DataFrame, parsed: DataFrame) -> DataFrame:
+    """(document_id, markdown): the sampled pages of each document with their text, for a person to check."""
+    rows = samples.join(parsed.select("document_id", "pdf_page", "chapter", "text"), ["document_id", "pdf_page"])
+    part = F.concat(F.lit("## Page "), F.col("pdf_page").cast("string"), F.lit(" ("), "category", F.lit(")\n\nChapter: "), "chapter", F.lit("\n\n"), "text", F.lit("\n"))
+    parts = rows.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("pdf_page", part.alias("part")))).alias("p"))
+    return parts.select("document_id", F.concat(F.lit("# "), "document_id", F.lit("\n\n"), F.array_join(F.transform("p", lambda x: x.part), "\n")).alias("markdown"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -91,3 +92,24 @@ def write_index(index: DataFrame, path: str) -> None:
 
 def read_report(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("multiLine", True).json(path)
+
+
+def write_manifest(manifest: DataFrame, path: str) -> None:
+    """Replaces a manifest folder as a whole: written beside it, then swapped in by renaming."""
+    spark, staging = manifest.sparkSession, f"{path}.{uuid.uuid4().hex[:8]}"
+    manifest.write.option("header", True).option("emptyValue", "").csv(staging)
+    jvm = spark.sparkContext._jvm
+    old, new = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(staging)
+    fs = new.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    aside = jvm.org.apache.hadoop.fs.Path(f"{staging}.old")
+    if fs.exists(old):
+        fs.rename(old, aside)
+    if not fs.rename(new, old):
+        fs.rename(aside, old)
+        raise OSError(f"{path} could not be replaced")
+    fs.delete(aside, True)
+
+
+def append_results(rows: DataFrame, path: str) -> None:
+    """Finished questions, added to the results so far; ``evaluate.pending`` reads them to resume."""
+    rows.write.mode("append").parquet(path)

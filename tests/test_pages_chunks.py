@@ -51,6 +51,9 @@ def test_audit_samples(spark):
     frame = spark.createDataFrame(rows, "document_id string, pdf_page int, text string, char_count int, chapter string, quality_flags array<string>")
     got = {r.pdf_page: r.category for r in pages.audit_samples(frame, CHINESE).collect()}
     assert got == {1: "cover", 2: "table_of_contents", 3: "body_text", 4: "financial_table", 5: "flagged_page"}
+    assert pages.audit_gaps(pages.audit_samples(frame, CHINESE)).count() == 0
+    assert pages.audit_gaps(pages.audit_samples(frame.filter("pdf_page <> 3"), CHINESE)).first().missing == ["body_text"]
+    assert "## Page 4 (financial_table)" in pages.audit_pack(pages.audit_samples(frame, CHINESE), frame).first().markdown
 
 
 def test_contiguity_and_ids(spark):

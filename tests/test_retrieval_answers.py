@@ -150,6 +150,24 @@ def test_pending(spark):
     assert evaluate.pending(questions, done, ["a"]).count() == 3
 
 
+def test_metadata_filters(spark):
+    rows = spark.createDataFrame([("a", "000001", 2024), ("b", "000002", 2023)], "company string, stock_code string, report_year int")
+    assert lexical.matching(rows, stock_code="000001", report_year=2024).count() == 1 and lexical.matching(rows, company="a", report_year=2023).count() == 0
+    assert lexical.matching(rows, stock_code="").count() == 0 and lexical.matching(rows, stock_code="", blank_is_none=True).count() == 2
+    label = lambda *ids: evaluate.document_label(spark.createDataFrame([(i,) for i in ids], "document_id string")).first()[0]
+    assert label("d", "d") == "d" and label("d", "e") == "multi_document"
+
+
+def test_manifest_and_results_are_rewritten(spark, tmp_path):
+    path = str(tmp_path / "manifest")
+    for status in ("pending", "parsed"):
+        tables.write_manifest(spark.createDataFrame([("000333", status)], "document_id string, parse_status string"), path)
+    assert tables.read_csv(spark, path, ("document_id",)).collect()[0].parse_status == "parsed" and len(list(tmp_path.iterdir())) == 1
+    for i in ("a", "b"):
+        tables.append_results(spark.createDataFrame([(i,)], "query_id string"), str(tmp_path / "results"))
+    assert spark.read.parquet(str(tmp_path / "results")).count() == 2
+
+
 def test_hybrid(spark, chunks):
     questions = ask(spark, "营业收入是多少？")
     got = fusion.hybrid(chunks, questions, lambda q, k: vectors.token_cosine(chunks, q, k), RetrievalConfig(top_k=1), CHINESE).collect()
