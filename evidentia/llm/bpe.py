@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .common import pieces
-from .packing import _byte_of
+from .packing import _byte_of, library
 
 END = "</w>"
 WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
@@ -224,14 +224,14 @@ class Encoder:
     """Encodes texts; keeps the ids of the words that it has met, up to a bound."""
 
     def __init__(self, path: str, lexicon: bytes):
-        from tokenizers import Tokenizer
-
-        self.model, self.lexicon = merges(path), Lexicon(lexicon)
-        self.exact = Tokenizer.from_file(path)
-        self.exact.no_truncation()
-        self.exact.no_padding()
+        self.path, self.model, self.lexicon = path, merges(path), Lexicon(lexicon)
         self.clear()
 
+    @functools.cached_property
+    def exact(self):
+        """The file's own library; loaded by the first text that needs it."""
+        return library(self.path)
+
     def clear(self) -> None:
         self.index: dict[str, int] = {}
         self.decoded: list[str] = []
@@ -307,7 +307,7 @@ def encode(docs: DataFrame, tokenizer: str | None = None, words: Iterable[str] =
         key = (path, hash(lexicon))
         enc = _encoders.get(key) or _encoders.setdefault(key, Encoder(path, lexicon))
         for batch in batches:
-            for part in pieces(batch, 8 << 20):
+            for part in pieces(batch, 4 << 20):
                 rows = []
                 for ids, text in enc.encode([t or "" for t in part.column("text").to_pylist()]):
                     row = (len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())

@@ -7,7 +7,10 @@ instead of once per row.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -16,6 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 U64 = np.uint64
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 #: Odd multiplier of the byte polynomial and the mixing constants of the 64-bit finaliser.
 BASE = 0x9E3779B97F4A7C15 | 1
 MIX_A, MIX_B = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
@@ -115,7 +119,14 @@ class TextBatch:
         return self.data[self.start[row] : self.end[row]].tobytes()
 
 
-def pieces(batch: pa.RecordBatch, most_bytes: int = 4 << 20, *columns: str):
+def tidy() -> None:
+    """Gives free memory back to the system: Python workers are reused, and what they keep adds up beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+def pieces(batch: pa.RecordBatch, most_bytes: int = 1 << 20, *columns: str):
     """The batch in slices of at most ``most_bytes`` of text (one row at least), which bounds memory."""
     sizes = sum(pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns or ("text",))
     begin, total = 0, 0
@@ -126,6 +137,7 @@ def pieces(batch: pa.RecordBatch, most_bytes: int = 4 << 20, *columns: str):
         total += int(n)
     if begin < len(sizes):
         yield batch.slice(begin)
+    tidy()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -156,6 +168,16 @@ class Workspace:
         self._held.append(out)
         return out
 
+    def release(self) -> None:
+        """Lets Spark's cleaner remove the shuffle files of plans that nothing refers to any more.
+
+        The first round drops Python's references to the plans, the second one what those held.
+        """
+        for _ in range(2):
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
+            time.sleep(0.3)
+
     def drop(self, *frames: DataFrame) -> None:
         jvm = self.spark.sparkContext._jvm
         for frame in frames:

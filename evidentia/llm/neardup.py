@@ -124,7 +124,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, 4 << 20, "text_u", "text_v"):
+            for part in pieces(batch, 1 << 20, "text_u", "text_v"):
                 left = shingle_sets(TextBatch(part.column("text_u"), lower=True), k)
                 right = shingle_sets(TextBatch(part.column("text_v"), lower=True), k)
                 keep = []
@@ -159,7 +159,7 @@ def _marks(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, 4 << 20, "text_x", "text_r"):
+            for part in pieces(batch, 1 << 20, "text_x", "text_r"):
                 own = shingle_sets(TextBatch(part.column("text_x"), lower=True), k)
                 reference = shingle_sets(TextBatch(part.column("text_r"), lower=True), k)
                 bits, outside = [], []

@@ -15,6 +15,7 @@ sequence ids of their own. A null doc_id stays null. Other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 from collections.abc import Iterator
@@ -39,16 +40,22 @@ def _byte_of() -> dict[str, int]:
     return {chr(b): b for b in kept} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def library(path: str):
+    from tokenizers import Tokenizer
+
+    out = Tokenizer.from_file(path)
+    out.no_truncation()
+    out.no_padding()
+    return out
+
+
 class ByteEncoder:
     """Encodes as tokenizers does with the file, without special tokens added."""
 
     def __init__(self, path: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.exact = Tokenizer.from_file(path)
-        self.exact.no_truncation()
-        self.exact.no_padding()
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         byte = _byte_of()
@@ -58,6 +65,11 @@ class ByteEncoder:
             ranks.pop(token.encode(), None)
         self.fast = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
+    @functools.cached_property
+    def exact(self):
+        """The file's own library; loaded by the first text that needs it."""
+        return library(self.path)
+
     def encode(self, text: str) -> np.ndarray:
         if USUAL.fullmatch(text) and not any(s in text for s in self.special):
             return self.fast.encode_to_numpy(text, disallowed_special=()).astype(np.uint32, copy=False)
