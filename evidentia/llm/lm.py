@@ -19,11 +19,12 @@ its share of (context, word) hashes, and texts come to the shards as packed toke
    unseen ones are sent on by word.
 2. Words: the same for single words, with exact 64-bit hashes and counts, which gives the base score,
    c(v), and P1 of the unseen pairs' words.
-3. Sums by document.
+3. A shard answers with one row for each slice of documents, its sums packed; these are added up by
+   slice and taken apart by document.
 
-A shard covers about ``SHARD`` characters, so its memory is bounded at any size, and what is sent is
-in proportion to the text. Word identity is a 64-bit hash, in the pair level its leading 48 (context)
-and 40 (word, within the context) bits.
+A shard covers about ``SHARD`` characters and is worked on in parts of ``PART``, so memory is bounded at
+any size, and what is sent is in proportion to the text. Word identity is a 64-bit hash; pairs, and
+the unseen pairs' words, have its leading 40 bits.
 
 Training documents are those whose crc32(doc_id as text) mod 5 isn't 1; null ids train. Null text counts
 as empty: one token, the end. Rows that share a doc_id are averaged and each get the mean, which for
@@ -41,13 +42,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MIX_A, MIX_B, TextBatch, Workspace, mix64, pieces, shuffle_partitions
+from .common import MIX_A, MIX_B, TextBatch, Workspace, mix64, pieces, powers, tidy
 
 U = np.uint64
 START, END = U(0x5354415254000001), U(0x454E440000000001)
 STRENGTH = 4.0
-SHARD = 24_000_000
-WORD_BITS = U(40)
+SHARD, PART = 40_000_000, 5_000_000
+WORD_BITS, SHORT = U(40), U(24)
 
 
 def pack_bits(values: np.ndarray, width: int) -> np.ndarray:
@@ -108,8 +109,8 @@ class EliasFano:
     def bucket(self, top: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Range of the elements whose high part is ``top``."""
         last = len(self.high) * 64 - self.n - 1
-        inside = top <= last
-        t = np.where(inside, top, last)
+        inside = top <= U(last)
+        t = np.where(inside, top, U(last)).astype(np.int64)
         flipped = ~self.high
         end = self._select(flipped, self.zeros, t) - t
         begin = np.where(t > 0, self._select(flipped, self.zeros, np.maximum(t - 1, 0)) - (t - 1), 0)
@@ -117,7 +118,9 @@ class EliasFano:
 
     def find(self, x: np.ndarray, lo: np.ndarray | None = None, hi: np.ndarray | None = None) -> np.ndarray:
         """Index of each x, or -1: successor search in its high part's bucket, within [lo, hi)."""
-        begin, end = self.bucket((x >> U(self.width)).astype(np.int64))
+        if not self.n:
+            return np.full(len(x), -1, dtype=np.int64)
+        begin, end = self.bucket(x >> U(self.width))
         if lo is not None:
             begin, end = np.maximum(begin, lo), np.minimum(end, hi)
         want = x & U((1 << self.width) - 1)
@@ -143,7 +146,7 @@ class Trie:
     """Contexts, pointers, successors and codes in one mapped scratch file."""
 
     def __init__(self, context: np.ndarray, word: np.ndarray, count: np.ndarray):
-        """Distinct pairs by context and word; context of 48 bits, word of 40."""
+        """Distinct pairs by context and word, of 40 bits each."""
         head = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1]))) if len(context) else np.zeros(0, np.int64)
         place = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(context))))
         middle = (CODED[1:] + CODED[:-1]) / 2
@@ -198,14 +201,14 @@ def shard_of(hashes: np.ndarray, shards: int) -> np.ndarray:
     return ((hashes >> U(32)) * U(shards) >> U(32)).astype(np.int64)
 
 
-def six(values: np.ndarray) -> bytes:
-    """The leading 48 bits of each hash."""
-    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes()
+def five(values: np.ndarray) -> bytes:
+    """40-bit values in five bytes each."""
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
 
 
-def from_six(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 6, 8), dtype=np.uint8)
-    out[:, :6] = np.frombuffer(data, dtype=np.uint8).reshape(-1, 6)
+def from_five(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 5, 8), dtype=np.uint8)
+    out[:, :5] = np.frombuffer(data, dtype=np.uint8).reshape(-1, 5)
     return out.view("<u8").ravel().astype(U)
 
 
@@ -218,175 +221,252 @@ def _heads(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-PAIR_ROWS = "shard int, keys array<long>, train binary, contexts binary, successors binary, words binary, uses binary, docs binary"
-WORD_ROWS = "shard int, keys array<long>, train binary, words binary, uses binary, docs binary, weights binary, unseen boolean"
-
-
-def _docs(row: np.ndarray, keys: np.ndarray, train: np.ndarray) -> tuple[list[int], bytes, bytes]:
-    """Keys and training flags of the rows that occur, and each occurrence's index among them."""
-    own, index = np.unique(row, return_inverse=True)
-    return keys[own].tolist(), train[own].astype(np.uint8).tobytes(), index.astype("<u4" if len(own) > 65_535 else "<u2").tobytes()
+_BLOBS = lambda *names: ", ".join(f"{n} array<binary>" for n in names)
+PAIR_ROWS = "shard int, piece long, keys array<long>, places binary, train binary, " + _BLOBS("contexts", "successors", "words", "uses", "docs")
+WORD_ROWS = "shard int, piece long, keys array<long>, places binary, train binary, unseen boolean, " + _BLOBS("words", "uses", "docs", "weights")
 
 
 def _index(data: bytes, n_docs: int) -> np.ndarray:
     return np.frombuffer(data, dtype="<u4" if n_docs > 65_535 else "<u2").astype(np.int64)
 
 
-def _pair_rows(docs: DataFrame, shards: int) -> DataFrame:
+def _piece(keys: np.ndarray) -> int:
+    """A name for a slice of documents, the same whenever the slice is read again."""
+    return int(mix64(np.array([mix64(keys.view(U) + powers(len(keys))).sum(dtype=U)], dtype=U)).view(np.int64)[0])
+
+
+def _sent(fine: np.ndarray, row: np.ndarray, piece: int, keys: np.ndarray, train: np.ndarray, shards: int, parts: int, cut) -> list[tuple]:
+    """One row for each shard that occurs: the places of its documents in the slice, and cut(range, their
+    indexes) for each of its parts. One of the rows names the documents' keys."""
+    edge = np.searchsorted(fine, np.arange(shards * parts + 1))
+    out = []
+    for s in range(shards):
+        lo, hi = edge[s * parts], edge[(s + 1) * parts]
+        if lo == hi:
+            continue
+        own, index = np.unique(row[lo:hi], return_inverse=True)
+        index = index.astype("<u4" if len(own) > 65_535 else "<u2")
+        blobs = [cut(slice(edge[f], edge[f + 1]), index[edge[f] - lo : edge[f + 1] - lo].tobytes()) for f in range(s * parts, (s + 1) * parts)]
+        named = None if out else keys.tolist()
+        out.append((s, piece, named, own.astype("<u4").tobytes(), train[own].astype(np.uint8).tobytes(), *map(list, zip(*blobs, strict=True))))
+    return out
+
+
+def _record(rows: list[tuple], types: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) or [[]] * len(names)
+    return pa.record_batch([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
+
+
+_HEAD = [pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
+_NAMES = ["shard", "piece", "keys", "places", "train"]
+
+
+def _pair_rows(docs: DataFrame, shards: int, parts: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, 8 << 20):
+            for part in pieces(batch, 2 << 20):
                 word, row, context = tokens(TextBatch(part.column("text"), lower=True))
-                keys, train = part.column("key").to_numpy(zero_copy_only=False), part.column("train").to_numpy(zero_copy_only=False)
-                shard = shard_of(mix64(context + (word & U(15)) * U(MIX_B)), shards)
-                order = np.argsort(shard.astype(U) << U(44) | (context >> U(42)) << U(22) | word >> U(42))
-                word, row, context, shard = word[order], row[order], context[order], shard[order]
-                edge = np.searchsorted(shard, np.arange(shards + 1))
-                out = []
-                for s in np.flatnonzero(np.diff(edge)).tolist():
-                    own = slice(edge[s], edge[s + 1])
-                    w, c, r = word[own] >> U(16), context[own] >> U(16), row[own]
+                fine = shard_of(mix64(context + (word & U(15)) * U(MIX_B)), shards * parts)
+                order = np.argsort(fine.astype(U) << U(44) | (context >> U(42)) << U(22) | word >> U(42))
+                word, row, context, fine = word[order], row[order], context[order], fine[order]
+
+                def cut(own: slice, index: bytes) -> tuple[bytes, ...]:
+                    w, c = word[own] >> SHORT, context[own] >> SHORT  # noqa: B023
                     pair = _heads(c, w)
                     first = _heads(c[pair])
                     uses, successors = np.diff(np.append(pair, len(w))), np.diff(np.append(first, len(pair)))
-                    named = _docs(r, keys, train)
-                    out.append((s, named[0], named[1], six(c[pair][first] << U(16)), successors.astype("<u4").tobytes(), six(w[pair] << U(16)), uses.astype("<u4").tobytes(), named[2]))
-                yield _record(out, [pa.int32(), pa.list_(pa.int64()), *[pa.binary()] * 6], ["shard", "keys", "train", "contexts", "successors", "words", "uses", "docs"])
-
-    return docs.mapInArrow(run, PAIR_ROWS)
+                    return five(c[pair][first]), successors.astype("<u4").tobytes(), five(w[pair]), uses.astype("<u4").tobytes(), index
 
+                keys, train = (part.column(c).to_numpy(zero_copy_only=False) for c in ("key", "train"))
+                rows = _sent(fine, row, _piece(keys), keys, train, shards, parts, cut)
+                yield _record(rows, [*_HEAD, *[pa.list_(pa.binary())] * 5], [*_NAMES, "contexts", "successors", "words", "uses", "docs"])
 
-def _record(rows: list[tuple], types: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
-    cols = list(zip(*rows, strict=True)) or [[]] * len(names)
-    return pa.record_batch([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
+    return docs.mapInArrow(run, PAIR_ROWS)
 
 
 def _by_shard(rows: DataFrame, shards: int, solve, schema: str) -> DataFrame:
-    """solve(list of the shard's rows as dicts) -> record batches, once for each shard, as the partition streams by."""
+    """solve(list of the shard's rows as dicts) -> record batches, once for each shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[dict]] = {}
-        for batch in batches:
-            for r in batch.to_pylist():
-                held.setdefault(r["shard"], []).append(r)
-        for s in sorted(held):
-            yield from solve(held.pop(s))
+        tidy()
+        held = [r for batch in batches for r in batch.to_pylist()]
+        if held:
+            yield from solve(held)
+        del held
+        tidy()
 
     return rows.repartitionById(shards, F.col("shard")).mapInArrow(run, schema)
 
 
-def _score_pairs(rows: list[dict]) -> Iterator[pa.RecordBatch]:
-    """(key, seen, unseen): a document's sum over seen pairs; and, in other rows, the words of its unseen pairs."""
-    contexts, words, uses, docs, keys, train, shift = [], [], [], [], [], [], 0
+def _gathered(rows: list[dict]) -> tuple[np.ndarray, list[int]]:
+    """Training flags of all rows' documents, and where each row's begin."""
+    train = [np.frombuffer(r.pop("train"), dtype=np.uint8) for r in rows]
+    return np.concatenate(train), np.cumsum([0, *map(len, train)]).tolist()
+
+
+def _part(rows: list[dict], begin: list[int], i: int, name: str) -> np.ndarray:
+    """Part i of a column of all rows, decoded; it isn't kept."""
+    raw = [r[name][i] for r in rows]
     for r in rows:
-        n_successors = np.frombuffer(r.pop("successors"), dtype="<u4")
-        contexts.append(np.repeat(from_six(r.pop("contexts")), n_successors))
-        words.append(from_six(r.pop("words")))
-        uses.append(np.frombuffer(r.pop("uses"), dtype="<u4").astype(np.int64))
-        docs.append(_index(r.pop("docs"), len(r["keys"])) + shift)
-        keys.append(np.array(r.pop("keys"), dtype=np.int64))
-        train.append(np.frombuffer(r.pop("train"), dtype=np.uint8))
-        shift += len(keys[-1])
-    context, word, use, doc, key, trains = (np.concatenate(x) for x in (contexts, words, uses, docs, keys, train))
-    del contexts, words, uses, docs, keys, train
-    short = word >> U(8)  # 40 bits
-    code = mix64(context * U(MIX_A) + short)
-    _, first, group = np.unique(code, return_index=True, return_inverse=True)
-    trained = np.add.reduceat(trains[doc].astype(np.int64), np.cumsum(use) - use)
-    count = np.bincount(group, weights=trained, minlength=len(first)).astype(np.int64)
-    c, w = context[first], short[first]
-    own = np.flatnonzero(count > 0)
-    own = own[np.lexsort((w[own], c[own]))]
-    log_count = Trie(c[own], w[own], count[own]).log_counts(c, w)
-    each = np.repeat(log_count[group], use)
-    seen = np.isfinite(each)
-    sums = np.bincount(doc[seen], weights=each[seen], minlength=len(key))
-    yield pa.record_batch([pa.array(key), pa.array(sums), pa.array([None] * len(key), pa.binary())], ["key", "seen", "unseen"])
-    missing = np.flatnonzero(~seen)
-    if len(missing):
-        of, w48 = doc[missing], np.repeat(word, use)[missing] << U(16)
-        order = np.argsort(of, kind="stable")
-        of, w48 = of[order], w48[order]
-        head = _heads(of)
-        ends = np.append(head[1:], len(of))
-        blobs = [six(w48[a:b]) for a, b in zip(head.tolist(), ends.tolist(), strict=True)]
-        yield pa.record_batch([pa.array(key[of[head]]), pa.array(np.zeros(len(head))), pa.array(blobs, pa.binary())], ["key", "seen", "unseen"])
-
-
-def _word_rows(source: DataFrame, shards: int, unseen: bool) -> DataFrame:
-    """Words of the documents, or of the unseen pairs, by shard; equal words of a document are one with a weight."""
+        r[name][i] = b""
+    if name == "docs":
+        return np.concatenate([_index(x, begin[j + 1] - begin[j]) + begin[j] for j, x in enumerate(raw)])
+    whole = b"".join(raw)
+    return from_five(whole) if name in ("contexts", "short") else np.frombuffer(whole, dtype="<u8" if name == "long" else "<u4").astype(np.int64)
+
+
+def _score_pairs(rows: list[dict]) -> Iterator[pa.RecordBatch]:
+    """For each slice of documents: their sums over seen pairs, and the words of their unseen ones."""
+    train, begin = _gathered(rows)
+    sums, missing_docs, missing_words = np.zeros(len(train)), [], []
+    for i in range(len(rows[0]["uses"])):
+        context = np.repeat(_part(rows, begin, i, "contexts"), _part(rows, begin, i, "successors"))
+        word = from_five(b"".join(r["words"][i] for r in rows))
+        use, doc = _part(rows, begin, i, "uses"), _part(rows, begin, i, "docs")
+        if not len(word):
+            continue
+        _, first, group = np.unique(mix64(context * U(MIX_A) + word), return_index=True, return_inverse=True)
+        trained = np.add.reduceat(train[doc].astype(np.int64), np.cumsum(use) - use)
+        count = np.bincount(group, weights=trained, minlength=len(first)).astype(np.int64)
+        c, w = context[first], word[first]
+        own = np.flatnonzero(count > 0)
+        own = own[np.lexsort((w[own], c[own]))]
+        each = Trie(c[own], w[own], count[own]).log_counts(c, w)[group]
+        each = np.repeat(each, use)
+        seen = np.isfinite(each)
+        sums += np.bincount(doc[seen], weights=each[seen], minlength=len(sums))
+        missing_docs.append(doc[~seen])
+        missing_words.append(np.repeat(word, use)[~seen])
+    of = np.concatenate(missing_docs) if missing_docs else np.zeros(0, np.int64)
+    word = np.concatenate(missing_words) if missing_words else np.zeros(0, U)
+    order = np.argsort(of, kind="stable")
+    of, word = of[order], word[order]
+    edge = np.searchsorted(of, begin)
+    out = []
+    for j, r in enumerate(rows):
+        places = np.frombuffer(r["places"], dtype="<u4")
+        own = slice(edge[j], edge[j + 1])
+        out.append((r["piece"], r["keys"], r["places"], sums[begin[j] : begin[j + 1]].tobytes(), places[of[own] - begin[j]].tobytes(), five(word[own])))
+    yield _record(out, [pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 4], ["piece", "keys", "places", "seen", "docs", "words"])
+
+
+PAIR_SUMS = "piece long, keys array<long>, places binary, seen binary, docs binary, words binary"
+
+
+def _word_rows(docs: DataFrame, shards: int, parts: int) -> DataFrame:
+    """The documents' words, by shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, 8 << 20, "unseen" if unseen else "text"):
-                keys = part.column("key").to_numpy(zero_copy_only=False)
-                if unseen:
-                    blobs = part.column("unseen").to_pylist()
-                    word, row = from_six(b"".join(blobs)) << U(16), np.repeat(np.arange(len(blobs)), [len(b) // 6 for b in blobs])
-                    train = np.zeros(len(blobs), dtype=bool)
-                else:
-                    word, row, _ = tokens(TextBatch(part.column("text"), lower=True))
-                    train = part.column("train").to_numpy(zero_copy_only=False)
-                order = np.lexsort((row, word))
-                word, row = word[order], row[order]
-                head = _heads(word, row)
-                weight = np.diff(np.append(head, len(word)))
-                word, row = word[head], row[head]
-                edge = np.searchsorted(shard_of(word, shards), np.arange(shards + 1))
-                out = []
-                for s in np.flatnonzero(np.diff(edge)).tolist():
-                    own = slice(edge[s], edge[s + 1])
-                    one = _heads(word[own])
-                    named = _docs(row[own], keys, train)
-                    uses = np.diff(np.append(one, edge[s + 1] - edge[s]))
-                    out.append((s, named[0], named[1], word[own][one].astype("<u8").tobytes(), uses.astype("<u4").tobytes(), named[2], weight[own].astype("<u4").tobytes(), unseen))
-                types = [pa.int32(), pa.list_(pa.int64()), *[pa.binary()] * 5, pa.bool_()]
-                yield _record(out, types, ["shard", "keys", "train", "words", "uses", "docs", "weights", "unseen"])
-
-    return source.mapInArrow(run, WORD_ROWS)
+            for part in pieces(batch, 2 << 20):
+                word, row, _ = tokens(TextBatch(part.column("text"), lower=True))
+                keys, train = (part.column(c).to_numpy(zero_copy_only=False) for c in ("key", "train"))
+                yield _words_sent(word, row, _piece(keys), keys, train, shards, parts, False)
+
+    return docs.mapInArrow(run, WORD_ROWS)
+
+
+def _missing_rows(pairs: DataFrame, shards: int, parts: int) -> DataFrame:
+    """The unseen pairs' words, by shard."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece, docs, words in zip(*(batch.column(c).to_pylist() for c in ("piece", "docs", "words")), strict=True):
+                word, row = from_five(words) << SHORT, np.frombuffer(docs, dtype="<u4").astype(np.int64)
+                none = np.zeros(int(row.max(initial=-1)) + 1, dtype=np.int64)
+                yield _words_sent(word, row, piece, none, none, shards, parts, True)
+
+    return pairs.mapInArrow(run, WORD_ROWS)
+
+
+def _words_sent(word: np.ndarray, row: np.ndarray, piece: int, keys: np.ndarray, train: np.ndarray, shards: int, parts: int, unseen: bool) -> pa.RecordBatch:
+    """A slice's words for the shards; equal words of a document are one with a weight."""
+    order = np.lexsort((row, word)) if unseen else np.argsort(word, kind="stable")  # rows ascend within a word
+    word, row = word[order], row[order]
+    head = _heads(word, row)
+    weight = np.diff(np.append(head, len(word)))
+    word, row = word[head], row[head]
+
+    def cut(own: slice, index: bytes) -> tuple[bytes, ...]:
+        one = _heads(word[own])
+        uses = np.diff(np.append(one, own.stop - own.start))
+        return word[own][one].astype("<u8").tobytes(), uses.astype("<u4").tobytes(), index, weight[own].astype("<u4").tobytes()
+
+    rows = _sent(shard_of(word, shards * parts), row, piece, keys, train, shards, parts, cut)
+    rows = [(*r[:2], None if unseen else r[2], *r[3:5], unseen, *r[5:]) for r in rows]
+    return _record(rows, [*_HEAD, pa.bool_(), *[pa.list_(pa.binary())] * 4], [*_NAMES, "unseen", "words", "uses", "docs", "weights"])
+
+
+WORD_SUMS = "piece long, places binary, sums binary, tokens long, words long"
+#: Columns of a document's sums, as doubles.
+SUMS = ("tokens", "known", "base", "model", "unseen")
 
 
 def _score_words(rows: list[dict]) -> Iterator[pa.RecordBatch]:
-    """(key, tokens, known, base, model) of each document's words in the shard; and one row (key null) with N and V's shares.
+    """For each slice: its documents' SUMS over the shard's words; and one row (piece null) with the shard's shares of N and V.
 
-    base: sum of log10(c + 0.5). model: minus the sum of log10(c(v) + STRENGTH) of the words as contexts,
-    plus log10 STRENGTH + log10(c + 0.5) of unseen pairs' words, which are counted in ``unseen``.
+    base: sum of log10(c + 0.5). model: minus the sum of log10(c(v) + STRENGTH) of the words as contexts;
+    in rows of unseen pairs, the sum of log10 STRENGTH + log10(c + 0.5), and their number in ``unseen``.
     """
-    texts, missing = [r for r in rows if not r["unseen"]], [r for r in rows if r["unseen"]]
-
-    def read(part: list[dict]):
-        words, docs, weights, keys, train, shift = [], [], [], [], [], 0
-        for r in part:
-            words.append(np.repeat(np.frombuffer(r.pop("words"), dtype="<u8").astype(U), np.frombuffer(r.pop("uses"), dtype="<u4")))
-            docs.append(_index(r.pop("docs"), len(r["keys"])) + shift)
-            weights.append(np.frombuffer(r.pop("weights"), dtype="<u4").astype(np.int64))
-            keys.append(np.array(r.pop("keys"), dtype=np.int64))
-            train.append(np.frombuffer(r.pop("train"), dtype=np.uint8))
-            shift += len(keys[-1])
-        return [np.concatenate(x) for x in (words, docs, weights, keys, train)] if part else [np.zeros(0, t) for t in (U, np.int64, np.int64, np.int64, np.uint8)]
-
-    word, doc, weight, key, train = read(texts)
-    distinct, group = np.unique(word, return_inverse=True)
-    count = np.bincount(group, weights=weight * train[doc], minlength=len(distinct)).astype(np.int64)
-    c = count[group]
-    total = lambda values, n, of: np.bincount(of, weights=values, minlength=n)
-    n = len(key)
-    log_half = np.log10(c + 0.5)
-    as_context = np.where(word == END, 0.0, -np.log10(c + STRENGTH))
-    cols = [key, total(weight, n, doc).astype(np.int64), total(weight * (c > 0), n, doc).astype(np.int64), total(weight * log_half, n, doc), total(weight * as_context, n, doc), np.zeros(n, np.int64)]
-    names = ["key", "tokens", "known", "base", "model", "unseen"]
-    yield pa.record_batch([pa.array(x) for x in cols], names)
-    word, doc, weight, key, _ = read(missing)
-    if len(word):
-        lead = distinct >> U(16)
-        at = np.minimum(np.searchsorted(lead, word >> U(16)), max(len(lead) - 1, 0))
-        c = np.where(lead[at] == word >> U(16), count[at], 0) if len(lead) else np.zeros(len(word), np.int64)
-        n = len(key)
-        zero = np.zeros(n, np.int64)
-        cols = [key, zero, zero, np.zeros(n), total(weight * (np.log10(c + 0.5) + np.log10(STRENGTH)), n, doc), total(weight, n, doc).astype(np.int64)]
-        yield pa.record_batch([pa.array(x) for x in cols], names)
-    sums = [[None], [int(count.sum())], [int((count > 0).sum())], [0.0], [0.0], [0]]
-    yield pa.record_batch([pa.array(x, t) for x, t in zip(sums, (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()), strict=True)], names)
+    texts, pairs = [r for r in rows if not r["unseen"]], [r for r in rows if r["unseen"]]
+    train, begin = _gathered(texts) if texts else (np.zeros(0, np.uint8), [0])
+    other, other_begin = _gathered(pairs) if pairs else (np.zeros(0, np.uint8), [0])
+    n_tokens, n_known, base, model, none = (np.zeros(len(train)) for _ in range(5))
+    backed, n_backed, zero, total, n_words = np.zeros(len(other)), np.zeros(len(other)), np.zeros(len(other)), 0, 0
+
+    def read(part: list[dict], start: list[int], i: int) -> tuple[np.ndarray, ...]:
+        words = np.frombuffer(b"".join(r["words"][i] for r in part), dtype="<u8").astype(U)
+        return np.repeat(words, _part(part, start, i, "uses")), _part(part, start, i, "docs"), _part(part, start, i, "weights")
+
+    for i in range(len(rows[0]["uses"])):
+        distinct, count = np.zeros(0, U), np.zeros(0, np.int64)
+        if texts:
+            word, doc, weight = read(texts, begin, i)
+            distinct, group = np.unique(word, return_inverse=True)
+            count = np.bincount(group, weights=weight * train[doc], minlength=len(distinct)).astype(np.int64)
+            c = count[group]
+            add = lambda values: np.bincount(doc, weights=values, minlength=len(train))  # noqa: E731, B023
+            n_tokens += add(weight)
+            n_known += add(weight * (c > 0))
+            base += add(weight * np.log10(c + 0.5))
+            model += add(np.where(word == END, 0.0, -weight * np.log10(c + STRENGTH)))
+            total, n_words = total + int(count.sum()), n_words + int((count > 0).sum())
+        if pairs:
+            word, doc, weight = read(pairs, other_begin, i)
+            lead, want = distinct >> SHORT, word >> SHORT
+            at = np.minimum(np.searchsorted(lead, want), max(len(lead) - 1, 0))
+            c = np.where(lead[at] == want, count[at], 0) if len(lead) else np.zeros(len(word), np.int64)
+            backed += np.bincount(doc, weights=weight * (np.log10(c + 0.5) + np.log10(STRENGTH)), minlength=len(other))
+            n_backed += np.bincount(doc, weights=weight, minlength=len(other))
+    out = []
+    for part, start, sums in ((texts, begin, (n_tokens, n_known, base, model, none)), (pairs, other_begin, (zero, zero, zero, backed, n_backed))):
+        for j, r in enumerate(part):
+            out.append((r["piece"], r["places"], np.stack([x[start[j] : start[j + 1]] for x in sums]).tobytes(), 0, 0))
+    out.append((None, b"", b"", total, n_words))
+    yield _record(out, [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64()], ["piece", "places", "sums", "tokens", "words"])
+
+
+def _by_document(pairs: DataFrame, words: DataFrame) -> DataFrame:
+    """(key, SUMS): the slices' sums over all shards, taken apart. A slice has one row for each shard, so a task is small."""
+    none = F.lit(None)
+    rows = pairs.select("piece", "keys", "places", F.col("seen").alias("sums"), F.lit(True).alias("pair"))
+    rows = rows.union(words.filter("piece is not null").select("piece", none.cast("array<bigint>"), "places", "sums", F.lit(False)))
+
+    def add(table: pa.Table) -> pa.Table:
+        keys, total = None, None
+        rows = table.to_pylist()
+        keys = next(r["keys"] for r in rows if r["keys"] is not None)
+        total = np.zeros((len(SUMS), len(keys)))
+        for r in rows:
+            places = np.frombuffer(r["places"], dtype="<u4")
+            if r["pair"]:
+                total[SUMS.index("model"), places] += np.frombuffer(r["sums"])
+            else:
+                total[:, places] += np.frombuffer(r["sums"]).reshape(len(SUMS), len(places))
+        return pa.table({"key": pa.array(keys, pa.int64())} | {n: pa.array(x if n in ("base", "model") else x.astype(np.int64)) for n, x in zip(SUMS, total, strict=True)})
+
+    schema = "key long, " + ", ".join(f"{n} {'double' if n in ('base', 'model') else 'long'}" for n in SUMS)
+    return rows.groupBy("piece").applyInArrow(add, schema)
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -398,18 +478,19 @@ def score(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), held.alias("held_out"))
     docs = docs.withColumn("key", F.coalesce("doc_id", F.xxhash64("text"))).withColumn("train", ~F.col("held_out"))
     size = docs.agg(F.sum(F.length("text") + 1).alias("n")).first()["n"] or 0
-    shards = int(max(1, min(shuffle_partitions(spark), size // 200_000 + 1), -(-size // SHARD)))
-    pairs = _by_shard(_pair_rows(docs.select("key", "train", "text"), shards), shards, _score_pairs, "key long, seen double, unseen binary")
-    pairs = work.save(pairs, "pairs")
-    words = _word_rows(docs.select("key", "train", "text"), shards, False).union(_word_rows(pairs.filter("unseen is not null").select("key", "unseen"), shards, True))
-    words = work.save(_by_shard(words, shards, _score_words, "key long, tokens long, known long, base double, model double, unseen long"), "words")
-    corpus = words.filter("key is null").agg(F.sum("tokens").alias("n"), F.sum("known").alias("v")).first()
+    shards = int(max(1, -(-size // SHARD)))
+    parts = int(max(1, -(-size // (shards * PART))))
+    columns = docs.select("key", "train", "text")
+    pairs = work.save(_by_shard(_pair_rows(columns, shards, parts), shards, _score_pairs, PAIR_SUMS), "pairs")
+    work.release()
+    missing = pairs.filter(F.length("words") > 0).select("piece", "docs", "words")
+    rows = _word_rows(columns, shards, parts).union(_missing_rows(missing, shards, parts))
+    words = work.save(_by_shard(rows, shards, _score_words, WORD_SUMS), "words")
+    work.release()
+    corpus = words.filter("piece is null").agg(F.sum("tokens").alias("n"), F.sum("words").alias("v")).first()
     n, v = int(corpus["n"] or 0), int(corpus["v"] or 0)
     trained = docs.filter("train").agg(F.count(F.lit(1)).alias("n")).first()["n"]
-    zero = F.lit(0).cast("long")
-    sums = words.filter("key is not null").select("key", "tokens", "known", "base", "model", "unseen")
-    sums = sums.union(pairs.filter("unseen is null").select("key", zero, zero, F.lit(0.0), "seen", zero))
-    sums = sums.groupBy("key").agg(*(F.sum(c).alias(c) for c in ("tokens", "known", "base", "model", "unseen")))
+    sums = _by_document(pairs, words).groupBy("key").agg(*(F.sum(c).alias(c) for c in SUMS))
     rows = docs.select("key", "doc_id", "held_out")
     same = rows.groupBy("key").agg(F.count(F.lit(1)).alias("rows"))
     out = rows.join(same, "key").join(sums, "key")
