@@ -20,8 +20,9 @@ empty bin borrows from the first filled bin of a permutation of its own (optimal
    n - u < a shares too few with any partner of the sizes in its bucket, and leaves it. And each is
    compared once with its bucket's reference R (the root of its most common component): a bit for each
    shingle of R that it has, and the number b of its shingles outside R. Two documents share at most
-   popcount(bits & bits') + min(b - u, b' - u'), which the join tests before a pair is made. So copies
-   with edits of their own aren't compared with all of a large group.
+   popcount(bits & bits') + max(0, min(b - u, b' - u')), which the join tests before a pair is made (R
+   itself has all bits and no shingle outside, so its own ones count in bits: b - u is below 0, and the
+   popcount alone is exact). So copies with edits of their own aren't compared with all of a large group.
 
 Shuffles: bucket keys once, the texts of bucket members once, then only pairs. Keys are spread over
 bands, and joins read written tables, so that Spark can split a hot key (sort-merge skew join).
@@ -246,7 +247,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         fits = (100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")) & (F.col("c") != F.col("hub_c"))
         fits &= (100 + percent) * F.least(F.col("n") - F.col("u"), F.col("hub_n") - F.col("hub_u")) >= at_least
         both = F.aggregate(F.zip_with("bits", "hub_bits", lambda a, b: F.bit_count(a.bitwiseAND(b))), F.lit(0), lambda s, v: s + v)
-        shared_at_most = both + F.least(F.col("b") - F.col("u"), F.col("hub_b") - F.col("hub_u"))
+        shared_at_most = both + F.greatest(F.lit(0), F.least(F.col("b") - F.col("u"), F.col("hub_b") - F.col("hub_u")))
         fits &= F.coalesce((100 + percent) * shared_at_most >= at_least, F.lit(True))
         star = live.join(hubs, "key").filter(fits)
         pairs = work.save(star.select(F.least("x", "hub_x").alias("u"), F.greatest("x", "hub_x").alias("v")).distinct(), f"pairs{step}")
