@@ -12,9 +12,10 @@ template of a host has at most twice as many tokens as its mean page.
 
 Slots of navigation, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
 comments are told by element, role and class names of their enclosing tags and left out, at whatever
-depth they stand. If the page has an article or main element, its slots are the main text, and text
-in them is never taken for template (copies of one article may fill a host). Otherwise all remaining
-slots are, without the text that the template fixes.
+depth they stand. If the page has an article or main element, the slots inside it are the main text;
+otherwise all remaining slots are. Text that the template fixes is left out of both. Copies of one
+article may fill a host, so a page keeps the blocks in its article or main element whole if the
+template fixes half of their characters or more.
 
 Null html counts as empty: empty text. A null url is a host of its own name "". Repeated rows give
 equal results; other columns are kept.
@@ -77,9 +78,9 @@ def unwanted(tag: str, attributes: str, in_main: bool) -> bool:
     return False
 
 
-def parse(source: str) -> tuple[list[str], list[tuple[str, str, bool, bool]]]:
-    """Paths of the tags in page order; and the blocks (path, text, left out, in an article or main element)."""
-    paths: list[str] = []
+def parse(source: str) -> tuple[list[str | int], list[tuple[str, str, bool, bool]]]:
+    """The page in order, a tag as its path and a block as its number; and the blocks (path, text, left out, in an article or main element)."""
+    order: list[str | int] = []
     blocks: list[tuple[str, str, bool, bool]] = []
     stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]  # name, path, left out, in main
     held: list[str] = []
@@ -90,6 +91,7 @@ def parse(source: str) -> tuple[list[str], list[tuple[str, str, bool, bool]]]:
             text = " ".join(html.unescape("".join(held)).split())
             held.clear()
             if text:
+                order.append(len(blocks))
                 blocks.append((stack[-1][1], text, stack[-1][2], stack[-1][3]))
 
     def close_to(depth: int) -> None:
@@ -125,7 +127,7 @@ def parse(source: str) -> tuple[list[str], list[tuple[str, str, bool, bool]]]:
         _, path, out, main = stack[-1]
         if name in BLOCK:
             path = f"{path}/{name}"
-            paths.append(path)
+            order.append(path)
         if name in VOID or attributes.endswith("/") and name not in BLOCK:
             continue
         out = out or unwanted(name, attributes, main)
@@ -133,7 +135,7 @@ def parse(source: str) -> tuple[list[str], list[tuple[str, str, bool, bool]]]:
         stack.append((name, path, out, main))
     held.append(source[at:])
     flush()
-    return paths, blocks
+    return order, blocks
 
 
 def host_of(url):
@@ -161,10 +163,10 @@ def parsed(pages: DataFrame) -> DataFrame:
             for part in pieces(batch, 1 << 20, "html"):
                 all_blocks, all_tokens = [], []
                 for source in part.column("html").to_pylist():
-                    paths, blocks = parse(source or "")
+                    order, blocks = parse(source or "")
                     rows = [{"text": t, "token": number(f"{p}\n{t}"), "out": o, "main": m} for p, t, o, m in blocks]
                     seen: dict[int, list[int]] = {}
-                    for place, one in enumerate([*(number(p) for p in paths), *(r["token"] for r in rows if not r["main"])]):
+                    for place, one in enumerate(number(p) if isinstance(p, str) else rows[p]["token"] for p in order):
                         seen.setdefault(one, [0, place])[0] += 1
                     all_blocks.append(rows)
                     all_tokens.append([{"token": k, "n": n, "place": p} for k, (n, p) in seen.items()])
@@ -196,22 +198,26 @@ def extract(pages: DataFrame, keep_html: bool = True) -> DataFrame:
     """Adds ``text`` (the main text, blocks joined by a line feed) and ``n_chars``.
 
     Pages are parsed twice: for their hosts' templates, and for their text. Only the tokens' hashes are
-    written in between, and the blocks of pages that need a template.
+    written in between.
     """
     work = Workspace(pages.sparkSession, "html")
     pages = pages.drop("text", "n_chars")
     kept = [c for c in pages.columns if keep_html or c != "html"]
     read = parsed(pages.withColumn("html", F.coalesce(F.col("html").cast("string"), F.lit(""))))
-    read = read.withColumn("_main", F.exists("_blocks", lambda b: b.main & ~b.out))
-    own = F.when(~F.col("_main"), F.struct(*kept, "_blocks")).alias("own")
     page = F.xxhash64(*(c for c in ("page_id", "url", "html") if c in pages.columns)).alias("page")
-    seen = work.save(read.select(host_of(F.col("url")).alias("host"), page, "_tokens", own), "seen")
-    found = work.save(templates(seen.select("host", "page", "_tokens")), "templates")
-    text = lambda slots: F.array_join(F.transform(slots, lambda b: b.text), "\n").alias("text")
-    with_main = read.filter("_main").select(*kept, text(F.filter("_blocks", lambda b: b.main & ~b.out)))
-    others = seen.filter("own is not null").select("host", "own").join(found, "host", "left").select("own.*", F.coalesce("template", F.array().cast("array<bigint>")).alias("_template"))
-    others = others.select(*kept, text(F.filter("_blocks", lambda b: ~b.out & ~F.array_contains(F.col("_template"), b.token))))
-    return with_main.union(others).withColumn("n_chars", F.length("text").cast("long"))
+    host = host_of(F.col("url"))
+    seen = work.save(read.select(host.alias("host"), page, "_tokens"), "seen")
+    found = work.save(templates(seen), "templates").select(F.col("host").alias("_host"), F.col("template").alias("_template"))
+    known = read.withColumn("_host", host).join(found, "_host", "left").withColumn("_template", F.coalesce("_template", F.array().cast("array<bigint>")))
+    fixed = lambda b: F.array_contains(F.col("_template"), b.token)
+    in_main = known.withColumn("_main", F.filter("_blocks", lambda b: b.main & ~b.out))
+    in_main = in_main.withColumn("_slots", F.filter("_main", lambda b: ~fixed(b)))
+    chars = lambda c: F.aggregate(c, F.lit(0), lambda n, b: n + F.length(b.text))
+    main = F.when(2 * chars("_slots") > chars("_main"), F.col("_slots")).otherwise(F.col("_main"))
+    others = F.filter("_blocks", lambda b: ~b.out & ~fixed(b))
+    slots = F.when(F.size("_main") > 0, main).otherwise(others)
+    out = in_main.select(*kept, F.array_join(F.transform(slots, lambda b: b.text), "\n").alias("text"))
+    return out.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def digest(pages: DataFrame) -> DataFrame:

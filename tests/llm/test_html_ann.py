@@ -27,6 +27,17 @@ def test_copies_of_an_article_stay(spark):
     assert html.digest(rows.limit(0)).count() == 0
 
 
+def test_template_inside_articles(spark):
+    body = lambda i: f"<h1>Title {i}</h1><p>By the desk</p><p>Body text number {i} with words of its own, {i * 7} of them</p><div class=x1><p>Read this first</p></div>"
+    pages = [f"<html><body><nav>x</nav><article>{body(i)}</article></body></html>" for i in range(6)]
+    rows = [(i, "http://d.example/", p) for i, p in enumerate(pages)]
+    copy = "<html><body><nav>x</nav><article><h1>One</h1><p>The same long article with many words on all of these pages</p><p>Date {}</p></article></body></html>"
+    rows += [(20 + i, "http://e.example/", copy.format(i)) for i in range(6)]
+    got = {r.page_id: r.text for r in html.digest(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(6)] == [f"Title {i}\nBody text number {i} with words of its own, {i * 7} of them" for i in range(6)]
+    assert [got[20 + i] for i in range(6)] == [f"One\nThe same long article with many words on all of these pages\nDate {i}" for i in range(6)]
+
+
 def test_broken_markup():
     for source in ("<p>a<b>c", "a < b > c", "<div class='x>y</div>", "<!-- open", "<script>never closed", "</p></div>text", "<p/><br/>x"):
         html.parse(source)
