@@ -3,12 +3,16 @@
 A page is a sequence of tokens: its tags, told apart by their path from the root, and its text
 blocks. A token's occurrence vector says how often each page of the host has it. Tokens with the same
 vector form an equivalence class; one that is frequent (in half of the host's pages, three at least)
-and large (two tokens), and whose tokens keep one order on every page, is valid and belongs to the
-host's template. Classes nest by the paths of their tags. What the template doesn't fix are slots.
+and large (two tokens), and whose tokens keep one order on every page, is ordered. Ordered classes nest:
+each time, a class stands whole in one gap between two tokens of the class around it, and always in the
+same gap of the same class. Those that do are valid and belong to the host's template; others are not
+split, but left out of it. A valid class is in order on every page that has it, so what stands between
+its tokens, all blocks of no valid class, are the slots.
 
 Vectors aren't gathered: a token's signature is the sum of a hash of (page, count) over its pages, a
 partial aggregate by (host, token), so a host with a third of all pages is spread over all tasks. The
-template of a host has at most twice as many tokens as its mean page.
+template of a host has at most twice as many tokens as its mean page. Order and nesting are judged page
+by page against the host's classes; verdicts are combined by partial aggregates by (host, class).
 
 Slots of navigation, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
 comments are told by element, role and class names of their enclosing tags and left out, at whatever
@@ -147,51 +151,131 @@ BLOCKS = "array<struct<text:string,token:long,out:boolean,main:boolean>>"
 
 
 def parsed(pages: DataFrame) -> DataFrame:
-    """Adds host, blocks, and tokens: (token, count, place) of the page's distinct tokens."""
+    """Adds blocks; tokens: (token, count) of the page's distinct tokens; and order: all its tokens."""
     import xxhash
 
-    names = ["_blocks", "_tokens"]
+    names = ["_blocks", "_tokens", "_order"]
     block = T.StructType().add("text", "string").add("token", "long").add("out", "boolean").add("main", "boolean")
-    token = T.StructType().add("token", "long").add("n", "integer").add("place", "integer")
-    schema = T.StructType([*pages.schema.fields, *(T.StructField(n, T.ArrayType(t)) for n, t in zip(names, (block, token), strict=True))])
+    token = T.StructType().add("token", "long").add("n", "integer")
+    schema = T.StructType([*pages.schema.fields, *(T.StructField(n, T.ArrayType(t)) for n, t in zip(names, (block, token, T.LongType()), strict=True))])
     block_type = pa.list_(pa.struct([("text", pa.string()), ("token", pa.int64()), ("out", pa.bool_()), ("main", pa.bool_())]))
-    token_type = pa.list_(pa.struct([("token", pa.int64()), ("n", pa.int32()), ("place", pa.int32())]))
+    token_type = pa.list_(pa.struct([("token", pa.int64()), ("n", pa.int32())]))
     number = lambda s: xxhash.xxh64_intdigest(s) - (1 << 63)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, 1 << 20, "html"):
-                all_blocks, all_tokens = [], []
+                all_blocks, all_tokens, all_order = [], [], []
                 for source in part.column("html").to_pylist():
                     order, blocks = parse(source or "")
                     rows = [{"text": t, "token": number(f"{p}\n{t}"), "out": o, "main": m} for p, t, o, m in blocks]
-                    seen: dict[int, list[int]] = {}
-                    for place, one in enumerate(number(p) if isinstance(p, str) else rows[p]["token"] for p in order):
-                        seen.setdefault(one, [0, place])[0] += 1
+                    seen: dict[int, int] = {}
+                    tokens = [number(p) if isinstance(p, str) else rows[p]["token"] for p in order]
+                    for one in tokens:
+                        seen[one] = seen.get(one, 0) + 1
                     all_blocks.append(rows)
-                    all_tokens.append([{"token": k, "n": n, "place": p} for k, (n, p) in seen.items()])
-                yield pa.record_batch([*part.columns, pa.array(all_blocks, block_type), pa.array(all_tokens, token_type)], [*part.schema.names, *names])
+                    all_order.append(tokens)
+                    all_tokens.append([{"token": k, "n": n} for k, n in seen.items()])
+                yield pa.record_batch([*part.columns, pa.array(all_blocks, block_type), pa.array(all_tokens, token_type), pa.array(all_order, pa.list_(pa.int64()))], [*part.schema.names, *names])
 
     return pages.mapInArrow(run, schema)
 
 
-def templates(page_tokens: DataFrame, least_share: float = 0.5, least_pages: int = 3) -> DataFrame:
+def orders(tokens: list[int], classes: list[list[int]]) -> list[tuple[int, list[int]]]:
+    """(class, its tokens in the page's order) of the classes on a page; none if their order changes within the page."""
+    at = {t: c for c, own in enumerate(classes) for t in own}
+    met: dict[int, list[int]] = {}
+    for t in tokens:
+        if t in at:
+            met.setdefault(at[t], []).append(t)
+    found = []
+    for c, row in met.items():
+        first = row[: len(classes[c])]
+        found.append((c, first if len(set(first)) == len(first) and row == first * (len(row) // len(first)) else []))
+    return found
+
+
+def _gaps(tokens: list[int], classes: list[list[int]]) -> tuple[dict[int, set[int]], set[int]]:
+    """Of the ordered classes on a page: hashes of the gaps around each, outermost first; and those that cross the class around them."""
+    at = {t: (c, j) for c, own in enumerate(classes) for j, t in enumerate(own)}
+    stack: list[list[int]] = []  # class, its last token, hash of the gaps around it
+    around: dict[int, set[int]] = {}
+    crossing: set[int] = set()
+    for t in tokens:
+        c, j = at.get(t, (-1, 0))
+        if c < 0 or c in crossing:
+            continue
+        if j == 0:
+            gaps = hash((stack[-1][2], classes[stack[-1][0]][0], stack[-1][1])) if stack else 0
+            around.setdefault(c, set()).add(gaps)
+            stack.append([c, 0, gaps])
+            continue
+        while stack[-1][0] != c:
+            crossing.add(stack.pop()[0])
+        stack[-1][1] = j
+        if j == len(classes[c]) - 1:
+            stack.pop()
+    return around, crossing
+
+
+def uncrossed(tokens: list[int], classes: list[list[int]]) -> list[tuple[int, list[int]]]:
+    """(class, [1]) of the classes on a page; empty for those that cross another."""
+    around, crossing = _gaps(tokens, classes)
+    return [(c, [] if c in crossing else [1]) for c in around]
+
+
+def nesting(tokens: list[int], classes: list[list[int]]) -> list[tuple[int, list[int]]]:
+    """(class, [hash of the gaps around it]) of the classes on a page; empty for those in several."""
+    return [(c, list(gaps) if len(gaps) == 1 else []) for c, gaps in _gaps(tokens, classes)[0].items()]
+
+
+def _agreed(seen: DataFrame, classes: DataFrame, judge, work: Workspace, name: str) -> DataFrame:
+    """(host, class, verdict): the classes on which all pages give one verdict, which isn't empty."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            verdicts: dict[tuple[str, int], list[int]] = {}
+            known: dict[str, list[list[int]]] = {}
+            for host, tokens, own in zip(batch.column("host").to_pylist(), batch.column("_order").to_pylist(), batch.column("classes"), strict=True):
+                if host not in known:
+                    known[host] = own.as_py()
+                for c, verdict in judge(tokens, known[host]):
+                    key = (host, min(known[host][c]))
+                    if verdicts.setdefault(key, verdict) != verdict:
+                        verdicts[key] = []
+            longs = pa.list_(pa.int64())
+            yield pa.record_batch([pa.array([h for h, _ in verdicts], pa.string()), pa.array([c for _, c in verdicts], pa.int64()), pa.array(list(verdicts.values()), longs)], ["host", "class", "verdict"])
+
+    pages = seen.select("host", "_order").join(classes, "host")
+    judged = pages.mapInArrow(run, "host string, class long, verdict array<long>").groupBy("host", "class").agg(F.min("verdict").alias("verdict"), F.max("verdict").alias("other"))
+    return work.save(judged.filter("verdict = other and size(verdict) > 0").select("host", "class", "verdict"), name)
+
+
+def _by_host(ordered: DataFrame, work: Workspace, name: str) -> DataFrame:
+    """(host, classes), from one row for each class with its tokens in order."""
+    return work.save(ordered.groupBy("host").agg(F.array_sort(F.collect_list("tokens")).alias("classes")), name)
+
+
+def templates(seen: DataFrame, work: Workspace, least_share: float = 0.5, least_pages: int = 3) -> DataFrame:
     """(host, template): the tokens of the valid equivalence classes of every host.
 
-    page_tokens: host, page (a hash of the row), tokens. Two tokens are of one class if their
-    signatures over the host's pages are equal.
+    seen: host, page (a hash of the row), tokens, order. Two tokens are of one class if their signatures
+    over the host's pages are equal. First order is judged; then, of the ordered classes, which cross
+    another one; then whether the others always stand in the same gaps.
     """
-    each = page_tokens.select("host", "page", F.explode("_tokens").alias("t")).select("host", "page", "t.*")
+    each = seen.select("host", "page", F.explode("_tokens").alias("t")).select("host", "page", "t.*")
     mark = F.xxhash64("page", "n")
     low = lambda c: c.bitwiseAND(F.lit((1 << 31) - 1))
-    vectors = each.groupBy("host", "token").agg(
-        F.count(F.lit(1)).alias("pages"), F.sum(low(mark)).alias("s1"), F.sum(low(F.shiftright(mark, 32))).alias("s2"), F.sum("place").alias("places")
-    )
-    size = page_tokens.groupBy("host").agg(F.count(F.lit(1)).alias("of"))
+    vectors = each.groupBy("host", "token").agg(F.count(F.lit(1)).alias("pages"), F.sum(low(mark)).alias("s1"), F.sum(low(F.shiftright(mark, 32))).alias("s2"))
+    size = seen.groupBy("host").agg(F.count(F.lit(1)).alias("of"))
     frequent = vectors.join(size, "host").filter((F.col("pages") >= least_pages) & (F.col("pages") >= least_share * F.col("of")))
-    classes = frequent.groupBy("host", "pages", "s1", "s2").agg(F.collect_list(F.struct("places", "token")).alias("tokens"))
-    large = classes.filter(F.size("tokens") >= 2).withColumn("tokens", F.transform(F.array_sort("tokens"), lambda t: t.token))
-    return large.groupBy("host").agg(F.flatten(F.collect_list("tokens")).alias("template"))
+    classes = frequent.groupBy("host", "pages", "s1", "s2").agg(F.array_sort(F.collect_list("token")).alias("tokens"))
+    large = _by_host(classes.filter(F.size("tokens") >= 2), work, "large")
+    ordered = _agreed(seen, large, orders, work, "ordered").select("host", "class", F.col("verdict").alias("tokens"))
+    apart = _agreed(seen, _by_host(ordered, work, "by-order"), uncrossed, work, "uncrossed").select("host", "class")
+    apart = work.save(ordered.join(apart, ["host", "class"]), "apart")
+    nested = _agreed(seen, _by_host(apart, work, "by-nesting"), nesting, work, "nested").select("host", "class")
+    return apart.join(nested, ["host", "class"]).groupBy("host").agg(F.flatten(F.array_sort(F.collect_list("tokens"))).alias("template"))
 
 
 def extract(pages: DataFrame, keep_html: bool = True) -> DataFrame:
@@ -206,8 +290,8 @@ def extract(pages: DataFrame, keep_html: bool = True) -> DataFrame:
     read = parsed(pages.withColumn("html", F.coalesce(F.col("html").cast("string"), F.lit(""))))
     page = F.xxhash64(*(c for c in ("page_id", "url", "html") if c in pages.columns)).alias("page")
     host = host_of(F.col("url"))
-    seen = work.save(read.select(host.alias("host"), page, "_tokens"), "seen")
-    found = work.save(templates(seen), "templates").select(F.col("host").alias("_host"), F.col("template").alias("_template"))
+    seen = work.save(read.select(host.alias("host"), page, "_tokens", "_order"), "seen")
+    found = work.save(templates(seen, work), "templates").select(F.col("host").alias("_host"), F.col("template").alias("_template"))
     known = read.withColumn("_host", host).join(found, "_host", "left").withColumn("_template", F.coalesce("_template", F.array().cast("array<bigint>")))
     fixed = lambda b: F.array_contains(F.col("_template"), b.token)
     in_main = known.withColumn("_main", F.filter("_blocks", lambda b: b.main & ~b.out))

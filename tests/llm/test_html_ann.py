@@ -38,6 +38,29 @@ def test_template_inside_articles(spark):
     assert [got[20 + i] for i in range(6)] == [f"One\nThe same long article with many words on all of these pages\nDate {i}" for i in range(6)]
 
 
+def test_classes_without_order_or_nesting_stay(spark):
+    page = "<body><div class=menu>Home</div><div>{}</div></body>"
+    one, two = "<p>First sentence</p>", "<p>Second sentence</p>"
+    swapped = [page.format(f"<p>Text {i}</p>" + (one + two if i % 2 else two + one)) for i in range(6)]
+    pair = "<h2>Both</h2><h3>Ends</h3>"  # a pair that stands in two gaps of the page's frame
+    moved = [f"<body><h1>Frame</h1>{pair * (i % 2)}<h4>Middle</h4>{pair * (1 - i % 2)}<p>Text {i}</p></body>" for i in range(6)]
+    fixed = [f"<body><h1>Frame</h1>{pair}<h4>Middle</h4><p>Text {i}</p></body>" for i in range(6)]
+    rows = [(100 * h + i, f"http://{h}.example/", p) for h, pages in enumerate((swapped, moved, fixed)) for i, p in enumerate(pages)]
+    got = {r.page_id: r.text for r in html.digest(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(6):
+        assert got[i].split("\n") == ([f"Text {i}", "First sentence", "Second sentence"] if i % 2 else [f"Text {i}", "Second sentence", "First sentence"])
+        assert "Both" in got[100 + i] and got[200 + i] == f"Text {i}"
+
+
+def test_order_and_nesting_of_one_page():
+    assert html.orders([1, 9, 2, 1, 2], [[1, 2]]) == [(0, [1, 2])] and html.orders([1, 2, 2, 1], [[1, 2]]) == [(0, [])]
+    classes = [[1, 2, 3], [4, 5]]
+    assert html.uncrossed([1, 4, 5, 2, 3], classes) == [(0, [1]), (1, [1])]
+    assert html.uncrossed([1, 4, 2, 5, 3], classes) == [(0, [1]), (1, [])]
+    gap = lambda tokens: dict(html.nesting(tokens, classes))[1]
+    assert gap([1, 4, 5, 2, 3]) == gap([1, 9, 4, 5, 2, 3]) != gap([1, 2, 4, 5, 3]) and gap([1, 4, 5, 2, 4, 5, 3]) == []
+
+
 def test_broken_markup():
     for source in ("<p>a<b>c", "a < b > c", "<div class='x>y</div>", "<!-- open", "<script>never closed", "</p></div>text", "<p/><br/>x"):
         html.parse(source)
