@@ -2,8 +2,10 @@
 
 Fixed patterns find e-mail addresses, IPv4 addresses, card numbers and phone numbers in the text as
 it stands. Then a transducer rewrites the text: look-alike letters and digits of other scripts become
-ASCII, invisible characters go, spelled digits become digits where seven or more stand in a row, and
-``(at)``/``dot`` disguises become @ and full stops. It keeps, for every character that it writes,
+ASCII, invisible characters go, four groups of digits (spelled ones too) between ``dot`` disguises or
+full stops become an address, spelled digits become digits where seven or more stand in a row or where
+they touch digits or a plus, and ``(at)``/``dot`` disguises in e-mail shapes become @ and full stops.
+What is rewritten counts only if a fixed pattern matches it. It keeps, for every character that it writes,
 the source span that the character came from, so a match in the rewritten text maps back to a span
 of the source. A mapped span is added unless it overlaps a span that was found in plain.
 
@@ -55,6 +57,13 @@ _open, _close = r"\s*[(\[{<]\s*", r"\s*[)\]}>]\s*"
 AT = rf"(?:{_open}(?:at|@){_close}|\s+at\s+|\s+@\s*|\s*@\s+|@)"
 DOT = rf"(?:{_open}(?:dot|\.){_close}|\s+dot\s+|\.)"
 DISGUISED = re.compile(rf"(?i)[A-Za-z0-9_%+-]+(?:{DOT}[A-Za-z0-9_%+-]+)*{AT}[A-Za-z0-9-]+(?:{DOT}[A-Za-z0-9-]+)+")
+_digit = rf"(?:{_word}|[0-9])(?!\w)"
+_group = rf"(?:[0-9]+|{_digit}(?:[\s,-]{{1,3}}{_digit}){{0,2}})"
+QUAD = re.compile(rf"(?i)(?<![\w.]){_group}(?:{DOT}{_group}){{3}}(?!\w)")
+_item = rf"(?:(?:{_word})(?!\w)|[0-9]+(?!\w))"
+_between = r"[\s,.()-]{1,3}"
+MIXED = re.compile(rf"(?i)(?<!\w)(?:plus\s+|\+\s*)?\(?{_item}(?:{_between}{_item})+")
+MIXED_PART = re.compile(rf"(?i)plus\s+|\+\s*|{_word}|[0-9]+|[^\w+]+")
 AT_PART, DOT_PART = re.compile(f"(?i){AT}"), re.compile(f"(?i){DOT}")
 HINT = re.compile(r"(?i)[(\[{<]\s*(?:at|dot|@|\.)\s*[)\]}>]|\sdot\s|\s@|@\s")
 
@@ -128,11 +137,49 @@ class Rewritten:
         return self.start[a], self.end[b - 1]
 
 
+def _in_digits(text: str) -> str:
+    """A row of digits, spelled or not, as ASCII digits alone."""
+    return "".join(SPELLED.get(p[0].lower(), p[0]) for p in ONE_DIGIT.finditer(text))
+
+
+def _quads(text: str) -> list[tuple[int, int, str]]:
+    """Edits that make addresses of four groups with dots, where they aren't addresses as they stand."""
+    edits = []
+    for m in QUAD.finditer(text):
+        groups = [_in_digits(g) for g in DOT_PART.split(m[0])]
+        if not IP.fullmatch(m[0]) and all(len(g) <= 3 and int(g) <= 255 for g in groups):
+            edits.append((*m.span(), ".".join(groups)))
+    return edits
+
+
+def _mixed(text: str) -> list[tuple[int, int, str]]:
+    """Edits that spell out digits in words beside digit groups or a plus; single digits beside them close up."""
+    edits = []
+    for m in MIXED.finditer(text):
+        parts = [(p[0].lower(), *p.span()) for p in MIXED_PART.finditer(m[0])]
+        words = [p in SPELLED for p, _, _ in parts]
+        if not any(words) or not (any(p.isdigit() for p, _, _ in parts) or parts[0][0][0] in "+p"):
+            continue
+        for i, (p, a, b) in enumerate(parts):
+            new = p
+            if words[i]:
+                new = SPELLED[p]
+            elif p.startswith("plus"):
+                new = "+"
+            elif not p[0].isdigit() and p[0] != "+" and 0 < i < len(parts) - 1 and (words[i - 1] or words[i + 1]):
+                single = all(words[j] or len(parts[j][0]) == 1 and parts[j][0].isdigit() for j in (i - 1, i + 1))
+                new = "" if single else p if len(p) == 1 and p in " -" else " "
+            if new != p:
+                edits.append((m.start() + a, m.start() + b, new))
+    return edits
+
+
 def rewrite(text: str) -> Rewritten:
-    """The transducer: look-alikes, then spelled digits, then at and dot."""
+    """The transducer: look-alikes, then addresses, then spelled digits, then at and dot."""
     out = Rewritten(text)
     if not text.isascii():
         out.apply([(i, i + 1, new) for i, c in enumerate(text) if ord(c) > 127 and (new := _ascii_of(c)) != c])
+    out.apply(_quads(out.text))
     rows = []
     for row in ROW_OF_DIGITS.finditer(out.text):
         if not re.search(r"[A-Za-z]", row[0]):
@@ -140,6 +187,7 @@ def rewrite(text: str) -> Rewritten:
         new = "".join("+" if p[0].lower() == "plus" else SPELLED.get(p[0].lower(), p[0]) for p in ONE_DIGIT.finditer(row[0]))
         rows.append((row.start(), row.end(), row[0], "+" * row[0].startswith("+") + new))
     out.apply([(a, b, new) for a, b, _, new in rows])
+    out.apply(_mixed(out.text))
     edits = []
     for m in DISGUISED.finditer(out.text):
         at = AT_PART.search(out.text, m.start(), m.end())
@@ -154,19 +202,21 @@ def rewrite(text: str) -> Rewritten:
 
 
 _UNUSUAL = re.compile("[^\x00-\x7fÀ-ɏ¡-¬®-±´-¸º-¿]")
-_SPELLED_HINT = re.compile(rf"(?i)(?<!\w)(?:{_word})(?:[\s,.-]{{1,3}}(?:{_word}|[0-9])(?!\w)){{3}}")
+_SPELLED_HINT = re.compile(
+    rf"(?i)(?<!\w)(?:{_word})(?:[\s,.-]{{1,3}}(?:{_word}|[0-9])(?!\w)){{3}}|(?<!\w)(?:{_word}){_between}[0-9]|(?:(?<=\+)|(?<=[0-9+][\s,.(-])|(?<=[0-9][\s,.)-][\s,.(-]))(?:{_word})(?!\w)"
+)
 
 
 def disguise_possible(text: str, low: str) -> bool:
     if not text.isascii() and _UNUSUAL.search(text):
         return True
-    if ("dot" in low or "@" in low or "." in low) and any(h in low for h in ("(at", "[at", "{at", "<at", "( at", "[ at", "{ at", " dot ", "(dot", "[dot", "{dot", "<dot", " @", "@ ", "(@", "[@", "(.)", "[.]")) and HINT.search(text):
+    if ("dot" in low or "@" in low or "." in low) and any(h in low for h in ("(at", "[at", "{at", "<at", "( at", "[ at", "{ at", " dot ", "(dot", "[dot", "{dot", "<dot", "( dot", "[ dot", "{ dot", "{.}", "<.>", " @", "@ ", "(@", "[@", "(.)", "[.]")) and HINT.search(text):
         return True
     return any(w in low for w in _SPELLED_PAIRS) and bool(_SPELLED_HINT.search(text))
 
 
-#: A row of seven digits in words has, next to each other, two of them.
-_SPELLED_PAIRS = tuple(sorted({w for w in SPELLED if len(w) > 2}))
+#: A row of digits in words has one of them.
+_SPELLED_PAIRS = tuple(sorted(SPELLED))
 
 
 def spans_of(text: str, n_digits: int, low: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:

@@ -113,6 +113,31 @@ def test_disguises(text, kind, source):
     assert (kind, source) in [(pii.KINDS[k], text[a:b]) for k, a, b in every if (k, a, b) not in plain]
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "source"),
+    [
+        ("host 192[.]168[.]1[.]10 up", "ip", "192[.]168[.]1[.]10"),
+        ("host 192(dot)168(dot)1(dot)10, up", "ip", "192(dot)168(dot)1(dot)10"),
+        ("host 192 dot 168 dot 1 dot 10 up", "ip", "192 dot 168 dot 1 dot 10"),
+        ("at one two seven dot zero dot zero dot one today", "ip", "one two seven dot zero dot zero dot one"),
+        ("at one nine two.one six eight.1.one zero today", "ip", "one nine two.one six eight.1.one zero"),
+        ("at 127.zero.zero.1 today", "ip", "127.zero.zero.1"),
+        ("call +1 555 867 five three oh nine now", "phone", "+1 555 867 five three oh nine"),
+        ("call +1 (five five five) 867-5309 now", "phone", "+1 (five five five) 867-5309"),
+        ("call plus one 555 867 5309 now", "phone", "plus one 555 867 5309"),
+        ("card 4111 1111 1111 one one one one", "card", "4111 1111 1111 one one one one"),
+    ],
+)
+def test_dot_and_short_digit_disguises(text, kind, source):
+    plain, every = pii.spans_of(text, sum(c in "0123456789" for c in text), text.lower())
+    assert [(pii.KINDS[k], text[a:b]) for k, a, b in every if (k, a, b) not in plain] == [(kind, source)]
+
+
+def test_prose_beside_digits_is_left_alone():
+    for text in ("one. two. three. four", "1. 2. 3. 4", "in 2024 one of 300 dot 400 dot 500 dot 600", "five plus 20 one 30", "version 1 dot 2 dot 3", "un 3 deux 4 sept 12"):
+        assert pii.spans_of(text, sum(c in "0123456789" for c in text), text.lower()) == ([], [])
+
+
 def test_prose_is_left_alone():
     for text in ("meet at example.com at noon", "one two three", "un un un un un un un", "he was at home. dot com was new"):
         assert pii.spans_of(text, 0, text.lower())[1] == []
