@@ -4,7 +4,9 @@ Fixed patterns: assignments of eight or more characters to a password-like name,
 long lower-case hexadecimal runs. The test: a run of 20 or more key characters that isn't a known
 digest, UUID or identifier is encoded with a byte-level BPE vocabulary; ordinary language needs one
 token for some three characters and more, a random string one for about one and a half, so a ratio
-under the limit marks it (kind ``random``).
+under the limit marks it (kind ``random``). Runs of letters of one case, or of parts that are, look like words:
+for them only the letters of parts of four or more count, 16 of them and eight different ones at least,
+under a stricter limit. Known are UUIDs, numbers, digests by their lengths, and camel-case words.
 
 Only words of 16 or more bytes are looked at one by one; they are found by a numpy pass over the
 batch. Assignments are sought in documents that have one of the names. Nothing is shuffled.
@@ -36,6 +38,8 @@ HEX = re.compile(rb"[0-9a-f]+")
 RUN = re.compile(rb"[A-Za-z0-9+/_=-]{20,}")
 UUID = re.compile(rb"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 DIGEST_LENGTHS = {32, 40, 48, 56, 64, 96, 128}
+#: By how much the limit is less for runs of one case: words of any language have more characters a token.
+STRICTER = 0.05
 WORDLIKE = re.compile(rb"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 
@@ -59,6 +63,18 @@ def varied(run: bytes) -> bool:
     return (upper + lower > 0 and any(48 <= c <= 57 for c in run)) or (upper >= 3 and lower >= 3)
 
 
+def one_case(run: bytes) -> list[bytes]:
+    """The letter parts of four or more of a run without mixed-case parts, if they are enough to judge."""
+    if UUID.fullmatch(run) or (len(run) in DIGEST_LENGTHS and re.fullmatch(rb"[0-9a-f]+|[0-9A-F]+", run)):
+        return []
+    parts = re.findall(rb"[A-Za-z]+", run)
+    if not all(p.islower() or p.isupper() for p in parts):
+        return []
+    long = [p for p in parts if len(p) >= 4]
+    letters = b"".join(long).lower()
+    return long if len(letters) >= 16 and len(set(letters)) >= 8 else []
+
+
 class TokenEfficiency:
     """Characters per token under the vocabulary of a tiktoken file."""
 
@@ -73,6 +89,14 @@ class TokenEfficiency:
         return len(run) / max(1, len(self.encoding.encode_ordinary(run.decode())))
 
 
+    def is_random(self, run: bytes, most_ratio: float) -> bool:
+        if varied(run) and not is_known(run):
+            return self.ratio(run) < most_ratio
+        parts = one_case(run)
+        tokens = sum(len(self.encoding.encode_ordinary(p.decode())) for p in parts)
+        return bool(parts) and sum(map(len, parts)) < (most_ratio - STRICTER) * tokens
+
+
 _tests: dict[str, TokenEfficiency] = {}
 
 
@@ -91,7 +115,7 @@ def spans_of(text: bytes, words: list[tuple[int, int]], test: TokenEfficiency, m
         if b - a >= 20:
             for m in RUN.finditer(word):
                 run = m[0].strip(b"=-/+_")
-                if len(run) >= 20 and varied(run) and not is_known(run) and test.ratio(run) < most_ratio:
+                if len(run) >= 20 and test.is_random(run, most_ratio):
                     at = a + m.start() + m[0].index(run)
                     if not any(s < at + len(run) and at < e for s, _, e in found):
                         found.append((at, 3, at + len(run)))

@@ -79,6 +79,13 @@ def test_random_strings(spark):
     assert masked[0] == "the value [secret] here" and masked[3] == texts[3] and masked[4] is None
 
 
+def test_random_strings_of_one_case(spark):
+    texts = ["qzvxkjwplmtrbghdnfcyqzvx", "XQZPT-WJKRV-BNMLH-QWHZX", "donaudampfschifffahrtsgesellschaft", "CONFIGURATION_DIRECTORY_PATH", "2024-01-15-10-22-33-44-55", "ha" * 20, "0123abcd-0123-abcd-0123-0123456789ab"]
+    rows = spark.createDataFrame(list(enumerate(f"see {t} here" for t in texts)), "doc_id long, text string")
+    got = {r.doc_id: r.n_random for r in secrets.digest(secrets.scan(rows)).collect()}
+    assert [got[i] for i in range(len(texts))] == [1, 1, 0, 0, 0, 0, 0]
+
+
 def brute_pii(text):
     digits = lambda s: re.sub("[^0-9]", "", s)
     found = [(0, *m.span()) for m in pii.EMAIL.finditer(text)]
