@@ -384,6 +384,39 @@ def answer_summary(spark, sf_dir):
     return out.select("cases", "answered", "refused", "errors", *(six(c, c) for c in ("page_hit_rate", "mean_number_recall", "proxy_rate", "mean_seconds", "median_seconds", "max_seconds")))
 
 
+def _asked_documents(spark, sf_dir):
+    """doc_id, text, reference: every document, and the whole text of the question that it is dealt by its number."""
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("_item"), F.col("text").alias("reference"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").crossJoin(F.broadcast(asked.agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("_of"))))  # one row
+    dealt = docs.withColumn("_item", F.pmod("doc_id", "_of")).join(asked, "_item", "left")
+    return dealt.select("doc_id", "text", F.coalesce("reference", F.lit("")).alias("reference"))
+
+
+def _whole_cases(spark, sf_dir):
+    """As _cases, on whole texts: a question's text is the reference, a document's text the answer."""
+    turn = F.col("doc_id")
+    rows = _asked_documents(spark, sf_dir).select(
+        turn.alias("query_id"), F.element_at(F.array(*map(F.lit, ("answered", "refused", "error", "evidence_only"))), (turn % 4 + 1).cast("int")).alias("status"),
+        F.col("reference").alias("reference_answer"), F.col("text").alias("answer"),
+        F.array(turn % 7).alias("gold_pages"), F.array(turn % 5, turn % 3).alias("cited_pages"), ((turn % 13) / 4.0).alias("seconds"),
+    )
+    return evaluate.answer_cases(rows)
+
+
+def answer_case_whole(spark, sf_dir):
+    return _whole_cases(spark, sf_dir).select("query_id", "status", "page_hit", six("number_recall", "number_recall"), "proxy")
+
+
+def answer_summary_whole(spark, sf_dir):
+    out = evaluate.answer_summary(_whole_cases(spark, sf_dir))
+    return out.select("cases", "answered", "refused", "errors", *(six(c, c) for c in ("page_hit_rate", "mean_number_recall", "proxy_rate", "mean_seconds", "median_seconds", "max_seconds")))
+
+
+def quote_window_whole(spark, sf_dir):
+    terms = X.salient(F.col("reference"), LATIN.ignored)
+    return _asked_documents(spark, sf_dir).select("doc_id", X.quote(F.col("text"), terms, AnswerConfig().max_quote_chars).alias("quote"))
+
+
 def resume_pending(spark, sf_dir):
     questions = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"))
     done = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("query_id"), F.when(F.col("quality") == 0, F.lit("timeout")).alias("error"))
@@ -395,7 +428,8 @@ NAMES = (
     "audit_samples page_contiguity turn_contiguity duplicate_ids fingerprint registration_check registered_manifest lifecycle_gate fixed_chunks fixed_chunk_quality "
     "structured_chunks structured_quality strategy_delta token_stats bm25_top5 bm25_top5_filtered token_cosine_top5 vector_top5 vector_top5_filtered hashed_embedding "
     "index_upsert rrf expand_query rerank_features hybrid_top5 scope_gate evidence_gate citations quote_window evidence_answer prompt citation_validate answers "
-    "evidence_pages first_rank method_compare acceptance number_norm answer_case answer_summary resume_pending"
+    "evidence_pages first_rank method_compare acceptance number_norm answer_case answer_summary resume_pending "
+    "answer_case_whole answer_summary_whole quote_window_whole"
 ).split()
 
 

@@ -207,3 +207,17 @@ def test_sources_and_the_stream(spark, tmp_path):
     stream = spark.readStream.schema("document_id string, chunk_id string, text string").json(str(chunks))
     follow(stream, lambda b: vectors.hashed_embedding(b, 16), str(tmp_path / "index"), str(tmp_path / "ck")).awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "index")).count() == 2
+
+
+def test_registered_queries_read_whole_texts(spark, tmp_path):
+    from evidentia.plans import queries
+
+    lead = "filler words without any figure here " * 30
+    spark.createDataFrame([(0, f"{lead} 1234.5 and 77 at the end"), (4, f"{lead} 1234.5 alone"), (5, "unlike")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, f"{lead} 1234.5 and 77"), (1, "no figure")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = queries.queries()
+    got = {r.query_id: (r.number_recall, r.proxy) for r in found["answer_case_whole"](spark, str(tmp_path)).collect()}
+    assert got == {0: (1.0, True), 4: (0.5, False), 5: (None, False)}
+    total = found["answer_summary_whole"](spark, str(tmp_path)).first()
+    assert (total.cases, total.mean_number_recall, total.proxy_rate) == (3, 0.75, 0.333333)
+    assert found["quote_window_whole"](spark, str(tmp_path)).count() == 3
