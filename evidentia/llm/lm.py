@@ -4,7 +4,9 @@ Model: log10 P(text) = sum over tokens w after context v of
     log10 c(v, w) - log10(c(v) + STRENGTH)                 if the pair was seen in training,
     log10 STRENGTH - log10(c(v) + STRENGTH) + log10 P1(w)  if not,
 with P1(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)): a bigram model that backs off to the smoothed unigram
-with the weight of STRENGTH pseudo-counts. Probabilities sum to one at most.
+with the weight of STRENGTH pseudo-counts. Probabilities sum to one at most. The order is two, and the
+trie holds log counts of pairs, not smoothed probabilities; it is asked for pairs whose counts the shard
+has at hand, so the lookup changes only the quantisation, and it is dropped after that.
 
 The model grows with the corpus, so it is never in one place: a shard holds the part of the trie for
 its share of (context, word) hashes, and texts come to the shards as packed token lists.
