@@ -276,16 +276,23 @@ def evidence_gate(spark, sf_dir):
     return answer.evidence_gate(questions, hits, 0.5).select("query_id", six("max_coverage", "max_coverage"), "refusal_reason")
 
 
-def _cited(spark, sf_dir):
+def _cited(spark, sf_dir, config=AnswerConfig(max_citations=3, max_quote_chars=200, relative_score=0.9)):
     _, questions, hits = _hybrid(spark, sf_dir)
-    return questions, answer.citations(hits, questions, AnswerConfig(max_citations=3, max_quote_chars=200, relative_score=0.9))
+    return questions, answer.citations(hits, questions, config)
 
 
-def citations(spark, sf_dir):
-    _, cited = _cited(spark, sf_dir)
+def _citations(cited):
     return cited.select("query_id", "citation_id", "chunk_id", "quote", six("retrieval_score", "retrieval_score"))
 
 
+def citations(spark, sf_dir):
+    return _citations(_cited(spark, sf_dir)[1])
+
+
+def citations_whole(spark, sf_dir):
+    return _citations(_cited(spark, sf_dir, AnswerConfig())[1])
+
+
 def quote_window(spark, sf_dir):
     terms = X.salient(F.substring("text", 1, 60), LATIN.ignored)
     return table(spark, sf_dir, "documents").select("doc_id", X.quote(F.col("text"), terms, 120).alias("quote"))
@@ -296,11 +303,22 @@ def evidence_answer(spark, sf_dir):
     return answer.evidence_answers(cited)
 
 
-def prompt(spark, sf_dir):
-    questions, cited = _cited(spark, sf_dir)
+def evidence_answer_whole(spark, sf_dir):
+    return answer.evidence_answers(_cited(spark, sf_dir, AnswerConfig())[1])
+
+
+def _prompt(questions, cited):
     return answer.prompts(cited, questions).select("query_id", md5("prompt").alias("prompt_md5"), F.length("prompt").alias("length"))
 
 
+def prompt(spark, sf_dir):
+    return _prompt(*_cited(spark, sf_dir))
+
+
+def prompt_whole(spark, sf_dir):
+    return _prompt(*_cited(spark, sf_dir, AnswerConfig()))
+
+
 def citation_validate(spark, sf_dir):
     _, cited = _cited(spark, sf_dir)
     valid = cited.groupBy("query_id").agg(F.collect_set("citation_id").alias("valid_ids"))
@@ -308,14 +326,22 @@ def citation_validate(spark, sf_dir):
     return answer.checked(valid.withColumn("answer", made))
 
 
-def answers(spark, sf_dir):
-    """The whole pipeline, with evidence-only answers."""
+def _answers(spark, sf_dir, config):
     chunks, questions = chunk_rows(spark, sf_dir), question_rows(spark, sf_dir)
     search = lambda q: fusion.hybrid(chunks, q, lambda asked, k: vectors.token_cosine(chunks, asked, k))
-    out = answer.answer(questions, search, chunks, AnswerConfig(max_citations=3, max_quote_chars=200, relative_score=0.9, least_coverage=0.5))
+    out = answer.answer(questions, search, chunks, config)
     return out.select("query_id", "status", "refusal_reason", md5("answer").alias("answer_md5"))
 
 
+def answers(spark, sf_dir):
+    """The whole pipeline, with evidence-only answers."""
+    return _answers(spark, sf_dir, AnswerConfig(max_citations=3, max_quote_chars=200, relative_score=0.9, least_coverage=0.5))
+
+
+def answers_whole(spark, sf_dir):
+    return _answers(spark, sf_dir, AnswerConfig())
+
+
 # evaluation
 
 
@@ -429,7 +455,7 @@ NAMES = (
     "structured_chunks structured_quality strategy_delta token_stats bm25_top5 bm25_top5_filtered token_cosine_top5 vector_top5 vector_top5_filtered hashed_embedding "
     "index_upsert rrf expand_query rerank_features hybrid_top5 scope_gate evidence_gate citations quote_window evidence_answer prompt citation_validate answers "
     "evidence_pages first_rank method_compare acceptance number_norm answer_case answer_summary resume_pending "
-    "answer_case_whole answer_summary_whole quote_window_whole"
+    "answer_case_whole answer_summary_whole quote_window_whole citations_whole evidence_answer_whole prompt_whole answers_whole"
 ).split()
 
 

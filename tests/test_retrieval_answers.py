@@ -221,3 +221,10 @@ def test_registered_queries_read_whole_texts(spark, tmp_path):
     total = found["answer_summary_whole"](spark, str(tmp_path)).first()
     assert (total.cases, total.mean_number_recall, total.proxy_rate) == (3, 0.75, 0.333333)
     assert found["quote_window_whole"](spark, str(tmp_path)).count() == 3
+
+
+def test_registered_citations_of_the_configured_size(spark):
+    from evidentia.plans import queries
+
+    rows = queries.queries()["citations_whole"](spark, "/root/testdata/sf0.001").collect()
+    assert max(len(r.quote) for r in rows) > 200 and max(r.citation_id for r in rows) > 3
