@@ -16,7 +16,7 @@ by page against the host's classes; verdicts are combined by partial aggregates
 
 Slots of navigation, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
 comments are told by element, role and class names of their enclosing tags and left out, at whatever
-depth they stand. If the page has an article or main element, the slots inside it are the main text;
+depth they stand, unless a main element begins within. If the page has an article or main element, the slots inside it are the main text;
 otherwise all remaining slots are. Text that the template fixes is left out of both. Copies of one
 article may fill a host, so a page keeps the blocks in its article or main element whole if the
 template fixes half of their characters or more.
@@ -32,6 +32,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,7 +40,7 @@ from pyspark.sql import types as T
 from .common import Workspace, pieces
 
 # Element names.
-RAW = "script|style|noscript|template|textarea|title|iframe|svg|xmp"
+RAW = set("script style noscript template textarea title iframe svg xmp".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = set(
     "address article aside blockquote body br center dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -54,89 +55,135 @@ UNWANTED = set(
     "modal newsletter subscribe subscription signup login search comment comments commentlist disqus respond replies reply footer masthead "
     "toolbar pagination pager share sharing social hidden skip contentinfo complementary form topbar".split()
 )
-WANTED = set("content main article body page wrapper container layout with has no without post entry".split())
-TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*+>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-z][^\s/>]*)([^>]*)>",
-    re.S | re.I,
-)
-ATTRIBUTE = re.compile(r"""([a-z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+# With these beside it, such a word tells of a page's layout ("has-sidebar").
+LAYOUT = set("with has no without layout".split())
+NAME = re.compile(r"(/?)([A-Za-z][^\s/>]*+)")
+QUOTED = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+")
+RAW_END = {name: re.compile(rf"(?i)</{name}\s*+>") for name in RAW}
+ATTRIBUTE = re.compile(r"""(?i)(?<![a-z-])([a-z-]++)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++))""")
+HIDDEN = re.compile(r"""(?i)(?:^|\s)hidden(?:\s|=|$)|display\s*+:\s*+none|aria-hidden\s*+=\s*+["']?true""")
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
+ZEROS = re.compile(r"(&#[xX]?)0++(?=[0-9a-fA-F])")
+TOO_LARGE = re.compile(r"&#(?:[0-9]{8,}+|[xX][0-9a-fA-F]{7,}+);?")
 
 
 def unwanted(tag: str, attributes: str, in_main: bool) -> bool:
     """Whether an element with these attributes holds something other than the article."""
     if tag in LEFT_OUT or (tag == "header" and not in_main):
         return True
-    if not attributes or tag in ("html", "body", "article", "main"):
-        found = ATTRIBUTE.findall(attributes) if tag == "article" and attributes else []
-    else:
-        if re.search(r"(?i)(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", attributes):
-            return True
-        found = ATTRIBUTE.findall(attributes)
-    for name, a, b, c in found:
+    if not attributes or tag in ("html", "body", "main"):
+        return False
+    if tag != "article" and HIDDEN.search(attributes):
+        return True
+    for name, a, b, c in ATTRIBUTE.findall(attributes):
         if name.lower() in ("class", "id", "role"):
             for one in (a or b or c).split():
                 parts = {p.lower() for p in NAME_PART.findall(one)}
-                if (parts & UNWANTED and not parts & WANTED) or ("header" in parts and not in_main and len(parts) == 1):
+                if (parts & UNWANTED and not parts & LAYOUT) or (parts == {"header"} and not in_main):
                     return True
     return False
 
 
-def parse(source: str) -> tuple[list[str | int], list[tuple[str, str, bool, bool]]]:
-    """The page in order, a tag as its path and a block as its number; and the blocks (path, text, left out, in an article or main element)."""
-    order: list[str | int] = []
-    blocks: list[tuple[str, str, bool, bool]] = []
-    stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]  # name, path, left out, in main
+def unescaped(text: str) -> str:
+    """Character references decoded; numbers of any length are borne."""
+    if "&" not in text:
+        return text
+    return html.unescape(TOO_LARGE.sub("\ufffd", ZEROS.sub(r"\1", text)))
+
+
+def tags(source: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """(start, end, slash, name, attributes) of every tag, name "" for comments, declarations and raw elements.
+
+    Linear: what no later character can close is told from the last ">", and once a tag's quotes don't
+    close, the tags after it end at their first ">".
+    """
+    last, quotes_close, at = source.rfind(">"), True, source.find("<")
+    while at >= 0:
+        end = -1
+        if source.startswith("<!--", at):
+            close = source.find("-->", at + 4)
+            yield at, (end := len(source) if close < 0 else close + 3), "", "", ""
+        elif at < last:
+            m = NAME.match(source, at + 1)
+            if m is None:
+                if source[at + 1 : at + 2] in ("!", "?"):
+                    yield at, (end := source.index(">", at) + 1), "", "", ""
+            else:
+                stop = QUOTED.match(source, m.end()).end() if quotes_close else source.find(">", m.end())
+                if stop >= len(source) or source[stop] != ">":
+                    quotes_close, stop = False, source.find(">", m.end())
+                name = m[2].lower()
+                if stop >= 0 and not m[1] and name in RAW and not (name == "svg" and source[stop - 1] == "/"):
+                    close = RAW_END[name].search(source, stop + 1)
+                    yield at, (end := close.end() if close else len(source)), "", "", ""
+                elif stop >= 0:
+                    yield at, (end := stop + 1), m[1], name, source[m.end() : stop]
+        at = source.find("<", max(end, at + 1))
+
+
+def number(text: str, seed: int) -> int:
+    """A signed 64-bit hash."""
+    return xxhash.xxh64_intdigest(text, seed & 0xFFFFFFFFFFFFFFFF) - (1 << 63)
+
+
+def parse(source: str) -> tuple[list[int], list[tuple[int, str, bool, bool]]]:
+    """The page's tokens in order, and its blocks: token, text, whether left out, whether in an article or main element.
+
+    A tag's token is its path, a running hash of element names, so that depth costs nothing; a block's
+    is a hash of its path and text.
+    """
+    order: list[int] = []
+    blocks: list[tuple[int, str, bool, bool]] = []
+    stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]  # name, path, left out, in main
+    opened: dict[str, list[int]] = {}  # depths of the open elements of a name
+    block_depths: list[int] = [0]
     held: list[str] = []
     at = 0
 
     def flush() -> None:
         if held:
-            text = " ".join(html.unescape("".join(held)).split())
+            text = " ".join(unescaped("".join(held)).split())
             held.clear()
             if text:
-                order.append(len(blocks))
-                blocks.append((stack[-1][1], text, stack[-1][2], stack[-1][3]))
+                order.append(number(text, stack[-1][1]))
+                blocks.append((order[-1], text, stack[-1][2], stack[-1][3]))
 
     def close_to(depth: int) -> None:
-        del stack[depth:]
-
-    for m in TOKEN.finditer(source):
-        if m.start() > at:
-            held.append(source[at : m.start()])
-        at = m.end()
-        slash, name, attributes = (m[2], m[3], m[4]) if m[3] else (m[5], m[6], m[7])
+        while len(stack) > depth:
+            opened[stack.pop()[0]].pop()
+        while block_depths[-1] >= depth:
+            block_depths.pop()
+
+    for start, end, slash, name, attributes in tags(source):
+        if start > at:
+            held.append(source[at:start])
+        at = end
         if not name:
             continue
-        name = name.lower()
         if name in BLOCK:
             flush()
+        depths = opened.get(name)
         if slash:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] == name:
-                    if name not in BLOCK and any(s[0] in BLOCK for s in stack[depth + 1 :]):
-                        break  # an inline end tag doesn't close a block
-                    close_to(depth)
-                    break
+            if depths and (name in BLOCK or block_depths[-1] <= depths[-1]):  # an inline end tag doesn't close a block
+                close_to(depths[-1])
             continue
         if name in ENDS_P:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] == "p":
-                    close_to(depth)
-                    break
-                if stack[depth][0] in BLOCK:
-                    break
+            if stack[block_depths[-1]][0] == "p":
+                close_to(block_depths[-1])
             if name in ("li", "dt", "dd", "tr", "td", "th", "option") and stack[-1][0] == name:
                 close_to(len(stack) - 1)
         _, path, out, main = stack[-1]
         if name in BLOCK:
-            path = f"{path}/{name}"
+            path = number(name, path)
             order.append(path)
         if name in VOID or attributes.endswith("/") and name not in BLOCK:
             continue
-        out = out or unwanted(name, attributes, main)
-        main = main or (name in ("article", "main") or 'role="main"' in attributes)
-        stack.append((name, path, out, main))
+        is_main = name == "main" or 'role="main"' in attributes
+        out = (out and not is_main) or unwanted(name, attributes, main)
+        opened.setdefault(name, []).append(len(stack))
+        if name in BLOCK:
+            block_depths.append(len(stack))
+        stack.append((name, path, out, main or is_main or name == "article"))
     held.append(source[at:])
     flush()
     return order, blocks
@@ -152,15 +199,12 @@ BLOCKS = "array<struct<text:string,token:long,out:boolean,main:boolean>>"
 
 def parsed(pages: DataFrame) -> DataFrame:
     """Adds blocks; tokens: (token, count) of the page's distinct tokens; and order: all its tokens."""
-    import xxhash
-
     names = ["_blocks", "_tokens", "_order"]
     block = T.StructType().add("text", "string").add("token", "long").add("out", "boolean").add("main", "boolean")
     token = T.StructType().add("token", "long").add("n", "integer")
     schema = T.StructType([*pages.schema.fields, *(T.StructField(n, T.ArrayType(t)) for n, t in zip(names, (block, token, T.LongType()), strict=True))])
     block_type = pa.list_(pa.struct([("text", pa.string()), ("token", pa.int64()), ("out", pa.bool_()), ("main", pa.bool_())]))
     token_type = pa.list_(pa.struct([("token", pa.int64()), ("n", pa.int32())]))
-    number = lambda s: xxhash.xxh64_intdigest(s) - (1 << 63)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,13 +212,11 @@ def parsed(pages: DataFrame) -> DataFrame:
                 all_blocks, all_tokens, all_order = [], [], []
                 for source in part.column("html").to_pylist():
                     order, blocks = parse(source or "")
-                    rows = [{"text": t, "token": number(f"{p}\n{t}"), "out": o, "main": m} for p, t, o, m in blocks]
                     seen: dict[int, int] = {}
-                    tokens = [number(p) if isinstance(p, str) else rows[p]["token"] for p in order]
-                    for one in tokens:
+                    for one in order:
                         seen[one] = seen.get(one, 0) + 1
-                    all_blocks.append(rows)
-                    all_order.append(tokens)
+                    all_blocks.append([{"text": t, "token": k, "out": o, "main": m} for k, t, o, m in blocks])
+                    all_order.append(order)
                     all_tokens.append([{"token": k, "n": n} for k, n in seen.items()])
                 yield pa.record_batch([*part.columns, pa.array(all_blocks, block_type), pa.array(all_tokens, token_type), pa.array(all_order, pa.list_(pa.int64()))], [*part.schema.names, *names])
 

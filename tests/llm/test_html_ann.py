@@ -1,6 +1,9 @@
+import time
+
 import numpy as np
 
 from evidentia.llm import ann, html
+from evidentia.llm.common import Workspace
 
 
 def test_main_text(spark):
@@ -61,6 +64,86 @@ def test_order_and_nesting_of_one_page():
     assert gap([1, 4, 5, 2, 3]) == gap([1, 9, 4, 5, 2, 3]) != gap([1, 2, 4, 5, 3]) and gap([1, 4, 5, 2, 4, 5, 3]) == []
 
 
+def deduced(pages):
+    """The template of one host by the definitions, on whole vectors and intervals; None where crossing classes cross each other."""
+    tokens = sorted({t for page in pages for t in page})
+    vectors: dict[tuple, list[int]] = {}
+    for t in tokens:
+        vectors.setdefault(tuple(page.count(t) for page in pages), []).append(t)
+    frequent = [own for v, own in vectors.items() if len(own) >= 2 and sum(n > 0 for n in v) >= max(3, len(pages) / 2)]
+    ordered = {}
+    for own in frequent:
+        rows = [[t for t in page if t in own] for page in pages]
+        first = next(r for r in rows if r)[: len(own)]
+        if all(r == first * (len(r) // len(own)) for r in rows) and len(set(first)) == len(own):
+            ordered[tuple(first)] = [[(a := [i for i, t in enumerate(page) if t in own])[k : k + len(own)] for k in range(0, sum(t in own for t in page), len(own))] for page in pages]
+    bad, around = set(), set()
+    for x in ordered:
+        for c in ordered:
+            for p in range(len(pages)):
+                for own in ordered[x][p]:
+                    for other in ordered[c][p]:
+                        if x != c and other[0] < own[0] and any(own[0] < i < own[-1] for i in other):
+                            bad.add(x)
+                            around.add(c)
+    if bad & around:
+        return None
+    good = [x for x in ordered if x not in bad]
+    valid = []
+    for x in good:
+        gaps = set()
+        for p in range(len(pages)):
+            for own in ordered[x][p]:
+                outer = sorted((o[0], c, sum(i < own[0] for i in o)) for c in good if c != x for o in ordered[c][p] if o[0] < own[0] < o[-1])
+                gaps.add(tuple(o[1:] for o in outer))
+        if len(gaps) == 1:
+            valid.append(x)
+    return {t for x in valid for t in x}
+
+
+def test_templates_equal_the_definitions(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    hosts, rows = {}, []
+    for h in range(150):
+        frame = [["a", "A", "b"], ["c", "C"], ["d", "D"], ["e"], ["f", "F"]]
+        pages = []
+        for i in range(int(rng.integers(3, 7))):
+            page = ["a", *([*frame[1]] * int(rng.integers(1, 3))), "A", *([*frame[2]] if h % 3 else []), f"t{i}", *(["f", "F"] if rng.random() < 0.8 else ["F", "f"]), "b", *(["e"] if rng.random() < 0.7 else [])]
+            if rng.random() < 0.3:
+                i, j = rng.integers(0, len(page), 2)
+                page[i], page[j] = page[j], page[i]
+            pages.append([hash_of(t) for t in page])
+        hosts[f"h{h}"] = pages
+        rows += [(f"h{h}", i, [(t, page.count(t)) for t in sorted(set(page))], page) for i, page in enumerate(pages)]
+    seen = spark.createDataFrame(rows, "host string, page long, _tokens array<struct<token:long,n:int>>, _order array<long>")
+    got = {r.host: set(r.template) for r in html.templates(seen, Workspace(spark, "test")).collect()}
+    want = {h: deduced(pages) for h, pages in hosts.items()}
+    judged = [h for h in want if want[h] is not None]
+    assert len(judged) > 100 and sum(bool(want[h]) for h in judged) > 50 and len({len(want[h]) for h in judged}) > 3
+    assert all(got.get(h, set()) == want[h] for h in judged)
+
+
+def hash_of(token: str) -> int:
+    return html.number(token, 0)
+
+
+def test_classes_of_comments_footers_and_adverts_go(spark):
+    names = ("post-comments", "article-comments", "entry-footer", "main-sidebar", "content-ads", "sidebar-wrapper", "commentsContainer")
+    inner = "".join(f"<div class='{n}'><p>not this {n}</p></div>" for n in names)
+    page = f"<body class='page-with-sidebar'><div class='has-sidebar layout-menu'><article class='post'><header><h1>T</h1></header>{inner}<p>this</p></article></div><div class='search-results'><main><p>and this</p></main></div></body>"
+    rows = spark.createDataFrame([(1, "http://x.example/", page)], "page_id long, url string, html string")
+    assert html.digest(rows).first().text == "T\nthis\nand this"
+
+
+def test_markup_of_a_megabyte_takes_seconds():
+    long = ("<div>" * 200_000, "<a b='" * 170_000, "<a b='" * 170_000 + ">", '<a ">" ' * 140_000 + "'>", "<p " + "a" * 10**6 + ">", "<div>" * 10**5 + "</span>" * 10**5, "<script" * 150_000, "<" * 10**6 + ">", "<p a" + " " * 10**6 + ">", "<p><div></p>" * 80_000)
+    began = time.perf_counter()
+    for source in long:
+        html.parse(source)
+    assert time.perf_counter() - began < 30
+    assert html.parse("x&#" + "9" * 10**5 + ";y&#" + "0" * 10**5 + "65;")[1][0][1] == "x\ufffdyA"
+
+
 def test_broken_markup():
     for source in ("<p>a<b>c", "a < b > c", "<div class='x>y</div>", "<!-- open", "<script>never closed", "</p></div>text", "<p/><br/>x"):
         html.parse(source)
