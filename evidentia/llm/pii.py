@@ -11,6 +11,8 @@ of the source. A mapped span is added unless it overlaps a span that was found i
 
 Only texts that could hold a kind are searched for it (an @, a plus sign, enough digits), which a
 numpy pass over the batch decides; only texts with a disguise are rewritten. Nothing is shuffled.
+Time is linear in the text, whatever it holds: patterns begin at the beginning of a run or at an @ and
+go outwards, and a disguise has at most three white-space characters in a row.
 
 Nulls and empty texts have no spans. Rows are judged one by one, so ties and repeated rows give equal
 results; other columns are kept, except that results replace columns of their names.
@@ -18,6 +20,7 @@ results; other columns are kept, except that results replace columns of their na
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 from bisect import bisect_right
@@ -36,7 +39,10 @@ EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-AROUND_AT = re.compile(r"[^\s@]*@[^\s]*")
+# The same in linear time: an address begins where its run does, and a domain or four groups leave nothing to give back.
+LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+FOUR_GROUPS = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 
 # Letters of other scripts that look like an ASCII letter.
 ALIKE = dict(zip("АВЕЅІЈКМНОРСТУХаеіјорсухѕԁһӏΑΒΕΖΗΙΚΜΝΟΡΤΥΧαορνι", "ABESIJKMHOPCTYXaeijopcyxsdhlABEZHIKMNOPTYXaopvi", strict=True))
@@ -51,21 +57,24 @@ SPELLED = {
     "oh": "0",
 }
 _word = "|".join(sorted(SPELLED, key=len, reverse=True))
-ROW_OF_DIGITS = re.compile(rf"(?i)(?<!\w)(?:(?:plus|\+)\s*)?(?:{_word}|[0-9])(?:[\s,.-]{{1,3}}(?:{_word}|[0-9])(?!\w)){{6,}}")
+ROW_OF_DIGITS = re.compile(rf"(?i)(?<!\w)(?:(?:plus|\+)\s{{0,3}})?(?:{_word}|[0-9])(?:[\s,.-]{{1,3}}(?:{_word}|[0-9])(?!\w)){{6,}}")
 ONE_DIGIT = re.compile(rf"(?i){_word}|plus|[0-9]")
-_open, _close = r"\s*[(\[{<]\s*", r"\s*[)\]}>]\s*"
-AT = rf"(?:{_open}(?:at|@){_close}|\s+at\s+|\s+@\s*|\s*@\s+|@)"
-DOT = rf"(?:{_open}(?:dot|\.){_close}|\s+dot\s+|\.)"
-DISGUISED = re.compile(rf"(?i)[A-Za-z0-9_%+-]+(?:{DOT}[A-Za-z0-9_%+-]+)*{AT}[A-Za-z0-9-]+(?:{DOT}[A-Za-z0-9-]+)+")
+# A disguise has at most three white-space characters in a row.
+_open, _close = r"\s{0,3}[(\[{<]\s{0,3}", r"\s{0,3}[)\]}>]\s{0,3}"
+AT = rf"(?:{_open}(?:at|@){_close}|\s{{1,3}}at\s{{1,3}}|\s{{1,3}}@\s{{0,3}}|\s{{0,3}}@\s{{1,3}}|@)"
+DOT = rf"(?:{_open}(?:dot|\.){_close}|\s{{1,3}}dot\s{{1,3}}|\.)"
+_dot_from_behind = rf"(?:{_close}(?:tod|\.){_open}|\s{{1,3}}tod\s{{1,3}}|\.)"
+LOCAL_FROM_BEHIND = re.compile(rf"(?i)[A-Za-z0-9_%+-]++(?:{_dot_from_behind}[A-Za-z0-9_%+-]++)*+")
+DOMAIN_DISGUISED = re.compile(rf"(?i)[A-Za-z0-9-]++(?:{DOT}[A-Za-z0-9-]++)++")
 _digit = rf"(?:{_word}|[0-9])(?!\w)"
-_group = rf"(?:[0-9]+|{_digit}(?:[\s,-]{{1,3}}{_digit}){{0,2}})"
+_group = rf"(?:[0-9]++|{_digit}(?:[\s,-]{{1,3}}{_digit}){{0,2}})"
 QUAD = re.compile(rf"(?i)(?<![\w.]){_group}(?:{DOT}{_group}){{3}}(?!\w)")
 _item = rf"(?:(?:{_word})(?!\w)|[0-9]+(?!\w))"
 _between = r"[\s,.()-]{1,3}"
-MIXED = re.compile(rf"(?i)(?<!\w)(?:plus\s+|\+\s*)?\(?{_item}(?:{_between}{_item})+")
-MIXED_PART = re.compile(rf"(?i)plus\s+|\+\s*|{_word}|[0-9]+|[^\w+]+")
+MIXED = re.compile(rf"(?i)(?<!\w)(?:plus\s{{1,3}}|\+\s{{0,3}})?\(?{_item}(?:{_between}{_item})+")
+MIXED_PART = re.compile(rf"(?i)plus\s{{1,3}}|\+\s{{0,3}}|{_word}|[0-9]+|[^\w+]+")
 AT_PART, DOT_PART = re.compile(f"(?i){AT}"), re.compile(f"(?i){DOT}")
-HINT = re.compile(r"(?i)[(\[{<]\s*(?:at|dot|@|\.)\s*[)\]}>]|\sdot\s|\s@|@\s")
+HINT = re.compile(r"(?i)[(\[{<]\s{0,3}(?:at|dot|@|\.)\s{0,3}[)\]}>]|\sdot\s|\s@|@\s")
 
 
 def luhn(digits: str) -> bool:
@@ -80,18 +89,36 @@ def _digits(text: str) -> str:
     return "".join(c for c in text if c.isdigit())
 
 
+def _run_begin(text: str, end: int, floor: int) -> int:
+    """Where the run of local-part characters that ends at ``end`` begins, not before ``floor``."""
+    size = 64
+    while True:
+        part = text[max(floor, end - size) : end]
+        n = len(part) - len(part.rstrip(LOCAL))
+        if n < len(part) or end - n <= floor:
+            return end - n
+        size *= 8
+
+
+def _emails(text: str) -> Iterator[tuple[int, int]]:
+    """The matches of EMAIL, from each @ outwards."""
+    floor, at = 0, text.find("@")
+    while at >= 0:
+        begin = _run_begin(text, at, floor)
+        domain = DOMAIN.match(text, at + 1) if begin < at else None
+        floor = domain.end() if domain else at + 1
+        if domain:
+            yield begin, floor
+        at = text.find("@", floor)
+
+
 def plain_spans(text: str, n_digits: int) -> list[tuple[int, int, int]]:
     """(kind, start, end) of the fixed patterns, by kind and start; n_digits: ASCII digits in the text."""
     found = []
     if "@" in text:
-        done = 0
-        for around in AROUND_AT.finditer(text):
-            if around.end() > done:
-                for m in EMAIL.finditer(text, max(done, around.start()), around.end()):
-                    found.append((0, *m.span()))
-                    done = m.end()
+        found += [(0, a, b) for a, b in _emails(text)]
     if n_digits >= 4 and "." in text:
-        found += [(1, *m.span()) for m in IP.finditer(text) if all(int(p[-400:]) <= 255 and p.lstrip("0")[3:] == "" for p in m[0].split("."))]
+        found += [(1, *m.span()) for m in FOUR_GROUPS.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p[-3:]) <= 255 for p in m[0].split("."))]
     if n_digits >= 16:
         for m in CARD.finditer(text):
             if 16 <= m.end() - m.start() <= 37 and 16 <= len(d := _digits(m[0])) <= 19 and luhn(d):
@@ -101,6 +128,7 @@ def plain_spans(text: str, n_digits: int) -> list[tuple[int, int, int]]:
     return found
 
 
+@functools.lru_cache(maxsize=1 << 16)
 def _ascii_of(c: str) -> str:
     if c in INVISIBLE:
         return ""
@@ -119,22 +147,30 @@ class Rewritten:
 
     def __init__(self, text: str):
         self.text = text
-        self.start = list(range(len(text)))
-        self.end = list(range(1, len(text) + 1))
+        self.start = np.arange(len(text))
+        self.end = self.start + 1
 
     def apply(self, edits: list[tuple[int, int, str]]) -> None:
         """Replaces disjoint, ascending spans. What replaces a span stands for all of it."""
-        out, start, end, at = [], [], [], 0
+        if not edits:
+            return
+        out: list[str] = []
+        at = 0
+        kept = np.ones(len(self.text), dtype=bool)
         for a, b, new in edits:
             out += [self.text[at:a], new]
-            start += self.start[at:a] + [self.start[a]] * len(new)
-            end += self.end[at:a] + [self.end[b - 1]] * len(new)
+            kept[a:b] = False
             at = b
-        self.text = "".join([*out, self.text[at:]])
-        self.start, self.end = start + self.start[at:], end + self.end[at:]
+        out.append(self.text[at:])
+        first, last = np.array([a for a, _, _ in edits]), np.array([b for _, b, _ in edits]) - 1
+        size = np.array([len(new) for _, _, new in edits])
+        place = np.searchsorted(np.flatnonzero(kept), first)  # how many kept characters stand before each edit
+        place = np.repeat(place, size)
+        self.start, self.end = (np.insert(x[kept], place, np.repeat(x[of], size)) for x, of in ((self.start, first), (self.end, last)))
+        self.text = "".join(out)
 
     def source(self, a: int, b: int) -> tuple[int, int]:
-        return self.start[a], self.end[b - 1]
+        return int(self.start[a]), int(self.end[b - 1])
 
 
 def _in_digits(text: str) -> str:
@@ -174,6 +210,28 @@ def _mixed(text: str) -> list[tuple[int, int, str]]:
     return edits
 
 
+def _ats(text: str) -> list[tuple[int, int, str]]:
+    """Edits that undo at and dot disguises, from each at outwards; a local part doesn't reach over the at before it."""
+    edits, behind, floor = [], None, 0
+    for at in AT_PART.finditer(text):
+        if at.start() < floor:
+            continue
+        behind = behind or text[::-1]
+        local = LOCAL_FROM_BEHIND.match(behind, len(text) - at.start(), len(text) - floor)
+        domain = DOMAIN_DISGUISED.match(text, at.end()) if local else None
+        floor = domain.end() if domain else at.end()
+        if not domain:
+            continue
+        lo = len(text) - local.end()
+        parts = [(*at.span(), "@")] if at[0] != "@" else []
+        for a, b in ((lo, at.start()), (at.end(), floor)):
+            parts += [(*d.span(), ".") for d in DOT_PART.finditer(text, a, b) if d[0] != "."]
+        plain_word_at = at[0].strip().lower() == "at" and not any(new == "." for *_, new in parts)
+        if parts and not plain_word_at:  # "meet at example.com" is prose
+            edits += sorted(parts)
+    return edits
+
+
 def rewrite(text: str) -> Rewritten:
     """The transducer: look-alikes, then addresses, then spelled digits, then at and dot."""
     out = Rewritten(text)
@@ -188,16 +246,7 @@ def rewrite(text: str) -> Rewritten:
         rows.append((row.start(), row.end(), row[0], "+" * row[0].startswith("+") + new))
     out.apply([(a, b, new) for a, b, _, new in rows])
     out.apply(_mixed(out.text))
-    edits = []
-    for m in DISGUISED.finditer(out.text):
-        at = AT_PART.search(out.text, m.start(), m.end())
-        parts = [(*at.span(), "@")] if at[0] != "@" else []
-        for lo, hi in ((m.start(), at.start()), (at.end(), m.end())):
-            parts += [(*d.span(), ".") for d in DOT_PART.finditer(out.text, lo, hi) if d[0] != "."]
-        plain_word_at = at[0].strip().lower() == "at" and not any(new == "." for *_, new in parts)
-        if parts and not plain_word_at:  # "meet at example.com" is prose
-            edits += sorted(parts)
-    out.apply(edits)
+    out.apply(_ats(out.text))
     return out
 
 

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -104,6 +105,45 @@ def test_pii_patterns_equal_brute_force(parts):
     assert pii.plain_spans(text, sum(c in "0123456789" for c in text)) == brute_pii(text)
 
 
+def test_pii_in_linear_time():
+    size = 10**6
+    long = ("a" * size, "x@y.zz" + "a" * size, "1" * size + ".2", "1." * (size // 2), "a" * size + " @ b", "a." * (size // 2) + " (at) b", "+" + " " * size, "a@" * (size // 2), "one " * (size // 4), "1 " * (size // 2), "x at " * (size // 5) + "(dot)")
+    for text in long:
+        began = time.perf_counter()
+        pii.spans_of(text, sum(text.count(c) for c in "0123456789"), text.lower())
+        assert time.perf_counter() - began < 10, text[:10]
+
+
+def test_mapped_spans_equal_what_was_planted():
+    rng = random.Random(12)
+    spelled = "zero one two three four five six seven eight nine".split()
+    alike = {v: k for k, v in pii.ALIKE.items()}
+    pick = lambda *x: rng.choice(x)
+    name = lambda: "".join(rng.choice("bdfgklmntrw") + rng.choice("aeio") for _ in range(rng.randrange(2, 5)))
+    dots = (" dot ", "[dot]", "(dot)", " [.] ", "{dot}", " DOT ")
+    for _ in range(600):
+        kind = rng.randrange(4)
+        if kind == 0 and rng.random() < 0.5:
+            dot = rng.choice(dots)
+            hidden = name() + pick(" at ", "(at)", " [at] ", " @ ", "{at}") + name() + dot + pick("com", "org", "net")
+        elif kind == 0:
+            label = name()
+            i = rng.choice([i for i, c in enumerate(label) if c in alike])
+            hidden = f"{name()}@{label[:i]}{alike[label[i]]}{label[i + 1 :]}.com"
+        elif kind == 1:
+            hidden = pick(*dots[:3]).join(str(rng.randrange(256)) for _ in range(4))
+        else:
+            digits = "".join(rng.choice("0123456789") for _ in range(15 if kind == 2 else 11))
+            if kind == 2:
+                digits += next(d for d in "0123456789" if pii.luhn(digits + d))
+            words = " ".join(spelled[int(d)] for d in digits)
+            hidden = words if kind == 2 else "plus " + words
+        before, after = "Ünlike all ﬁgures: " * rng.randrange(3) + "see ", ", and more"
+        text = before + hidden + after
+        plain, every = pii.spans_of(text, sum(c in "0123456789" for c in text), text.lower())
+        assert (plain, [(k, text[a:b]) for k, a, b in every]) == ([], [(kind, hidden)]), text
+
+
 @pytest.mark.parametrize(
     ("text", "kind", "source"),
     [
