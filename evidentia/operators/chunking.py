@@ -2,8 +2,8 @@
 
 Fixed chunks don't build the corpus string: each page is cut by the windows that it touches, and the
 pieces are grouped by (document, window). So no task holds a document, and one shuffle is enough.
-Structured chunks need the state of a greedy scan; a change of chapter resets it, so the unit of work
-is a document's run of pages in one chapter.
+Where it lies is known from the pages' lengths alone; texts are joined to that. Structured chunks are
+found likewise, from the lengths of units that stream by in order; a change of chapter begins anew.
 """
 
 from __future__ import annotations
@@ -11,12 +11,15 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import LATIN, ChunkConfig, Lexicon
 from ..functions import text as X
+from ..schemas import CHUNK
+from .ingest import require_none
 
 UNITS = "document_id string, pdf_page int, unit int, chapter string, text string"
 
@@ -25,16 +28,16 @@ def fixed_chunks(pages: DataFrame, config: ChunkConfig | None = None, lexicon: L
     """document_id, chunk_index, chunk_id, text, char_count, pdf_pages, chapter, chapters of every window that isn't blank.
 
     pages: document_id, pdf_page, text, chapter. Pages are joined by blank lines; windows begin every
-    size - overlap characters and end with the first that reaches the end.
+    size - overlap characters and end with the first that reaches the end. Pages without a document have none.
     """
     config = config or ChunkConfig()
     step = config.size - config.overlap
     order = Window.partitionBy("document_id").orderBy("pdf_page")
     rows = pages.select("document_id", "pdf_page", "chapter", X.strip(F.coalesce("text", F.lit(""))).alias("text")).filter("text <> ''")
-    rows = rows.withColumn("n", F.length("text").cast("long"))
-    rows = rows.withColumn("a", F.coalesce(F.sum(F.col("n") + 2).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    whole = Window.partitionBy("document_id")
-    rows = rows.withColumn("total", F.max(F.col("a") + F.col("n")).over(whole))
+    lengths = rows.select("document_id", "pdf_page", F.length("text").cast("long").alias("n"))
+    ends = lengths.groupBy("document_id").agg((F.sum(F.col("n") + 2) - 2).alias("total"))
+    places = lengths.withColumn("a", F.coalesce(F.sum(F.col("n") + 2).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    rows = rows.join(places.join(ends, "document_id"), ["document_id", "pdf_page"])
     rows = rows.withColumn("piece", F.when(F.col("a") + F.col("n") < F.col("total"), F.concat("text", F.lit("\n\n"))).otherwise(F.col("text")))
     rows = rows.withColumn("b", F.col("a") + F.length("piece"))
     last = F.greatest(F.lit(0), F.ceil((F.col("total") - config.size) / step))
@@ -73,121 +76,157 @@ def fixed_quality(chunks: DataFrame) -> DataFrame:
     )
 
 
-def split_long(text: str, most: int, ends: str) -> list[str]:
-    """Sentences packed greedily; a single one, or one that is too long, is cut hard."""
-    slices = lambda s: [s[i : i + most] for i in range(0, len(s), most)]
-    sentences = [s.strip() for s in re.split(f"(?<=[{re.escape(ends)}])", text) if s.strip()]
-    if len(sentences) < 2:
-        return slices(text)
-    out, held = [], ""
-    for one in sentences:
-        if len(one) > most or (held and len(held) + len(one) > most):
-            out += [held] if held else []
-            held = ""
-        if len(one) > most:
-            out += slices(one)
-        else:
-            held += one
-    return out + ([held] if held else [])
-
-
-def units_of(text: str, most: int, heading: re.Pattern, ends: str) -> list[str]:
-    """Paragraph-like units of one page: headings alone, lines gathered up to ``most`` characters."""
-    out: list[str] = []
-    lines: list[str] = []
-    size = 0
-
-    def close() -> None:
-        nonlocal size
-        if lines:
-            out.extend(split_long("\n".join(lines).strip(), most, ends))
-        lines.clear()
-        size = 0
-
-    for line in map(str.strip, text.strip().splitlines()):
-        if not line:
-            close()
-        elif len(line) <= 80 and heading.match(line):
-            close()
-            out.append(line)
-        else:
-            if lines and size + len(line) > most:
-                close()
-            lines.append(line)
-            size += len(line)
-            if line[-1] in ends and size >= most // 2:
-                close()
-    close()
-    return [u for u in out if u.strip()]
-
-
-class Packer:
-    """The greedy scan over units: what is held, how much of it is new, and what comes out."""
-
-    def __init__(self, config: ChunkConfig):
-        self.config, self.held, self.fresh, self.out = config, [], False, []
-
-    def length(self, more: int = 0) -> int:
-        sizes = [len(t) for _, t in self.held] + ([more] if more else [])
-        return sum(sizes) + 2 * (len(sizes) - 1)
-
-    def emit(self, overlap: bool) -> None:
-        if not self.fresh:
-            return
-        self.out.append(list(self.held))
-        keep, size, limit = 0, 0, self.config.structured_overlap
-        for _, text in reversed(self.held):
-            if keep and size + len(text) > limit:
-                break
-            keep, size = keep + 1, size + len(text)
-            if size >= limit:
-                break
-        self.held = self.held[len(self.held) - keep :] if overlap and limit else []
-        self.fresh = False
-
-    def add(self, page: int, text: str) -> None:
-        if self.held and self.length(len(text)) > self.config.most:
-            self.emit(True)
-        self.held.append((page, text))
-        self.fresh = True
-        if self.length() >= self.config.target:
-            self.emit(True)
+def first_from(cumulated: np.ndarray, start: int, size: int, beyond: bool) -> int:
+    """The least end with cumulated[end] - cumulated[start] >= size (> size if ``beyond``); the array's length if there is none."""
+    return int(np.searchsorted(cumulated, cumulated[start] + size, side="right" if beyond else "left"))
 
 
-def units(pages: DataFrame, config: ChunkConfig | None = None, lexicon: Lexicon = LATIN) -> DataFrame:
-    """Units of every page, page by page: no shuffle."""
-    config = config or ChunkConfig()
+def sentence_groups(lengths: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Ranges of sentences that fill ``most`` characters together; one that is longer by itself is a range of its own."""
+    total, n, out, at = np.append(0, np.cumsum(lengths)), len(lengths), [], 0
+    alone = np.append(np.flatnonzero(lengths > most), n)
+    while at < n:
+        wall = int(alone[np.searchsorted(alone, at)])
+        end = at + 1 if wall == at else min(wall, first_from(total, at, most, True) - 1)
+        out.append((at, end))
+        at = end
+    return out
+
+
+def cut_text(text: str, most: int, ends: str) -> list[str]:
+    """A unit's text in parts of ``most`` characters: along sentences if it has two or more, else hard."""
+    parts = [s for s in map(str.strip, re.split(f"(?<=[{re.escape(ends)}])", text)) if s]
+    if len(parts) > 1:
+        groups = sentence_groups(np.array([len(p) for p in parts]), most)
+        parts = ["".join(parts[a:b]) for a, b in groups]
+    else:
+        parts = [text]
+    return [p[i : i + most] for p in parts for i in range(0, len(p), most)]
+
+
+def line_groups(lengths: np.ndarray, ending: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Ranges of neighbouring lines that make one unit.
+
+    A unit ends after its first line that ends a sentence and with which it has half of ``most``
+    characters, or before the first line that it has no room for, whichever comes first.
+    """
+    total, n, out, at = np.append(0, np.cumsum(lengths)), len(lengths), [], 0
+    marks = np.append(np.flatnonzero(ending), n)
+    while at < n:
+        enough = max(first_from(total, at, most // 2, False) - 1, at)
+        full = max(first_from(total, at, most, True) - 1, at + 1)
+        end = min(int(marks[np.searchsorted(marks, enough)]) + 1, full, n)
+        out.append((at, end))
+        at = end
+    return out
+
+
+def page_units(text: str, most: int, heading: re.Pattern, ends: str) -> list[str]:
+    """Units of one page: a heading is one, and so are the groups of the lines between blank lines and headings."""
+    lines = [line.strip() for line in text.strip().splitlines()]
+    single = np.array([bool(line) and len(line) <= 80 and heading.match(line) is not None for line in lines], dtype=bool)
+    inside = np.array([bool(line) for line in lines], dtype=bool) & ~single
+    edge = np.flatnonzero(np.diff(np.concatenate(([0], inside.astype(np.int8), [0]))))
+    blocks = [(int(i), [lines[i]]) for i in np.flatnonzero(single)]
+    for lo, hi in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+        own = lines[lo:hi]
+        groups = line_groups(np.array([len(x) for x in own]), np.array([x[-1] in ends for x in own]), most)
+        blocks += [(lo + a, cut_text("\n".join(own[a:b]), most, ends)) for a, b in groups]
+    return [u for _, units in sorted(blocks) for u in units if u.strip()]
+
+
+def chunk_ranges(lengths: np.ndarray, config: ChunkConfig, overlap: int = 0) -> tuple[list[tuple[int, int]], int, int]:
+    """Chunks as ranges of units, by the units' lengths alone; where the next one begins; and the first unit in no chunk yet.
+
+    The first ``overlap`` units are known to be in the chunk before. Joined units are two characters
+    apart. A chunk ends with the unit that brings it to ``target``, or before the first that would
+    bring it over ``most``, but has one unit at least that the chunk before lacks. It begins with the
+    last units of the chunk before, as many as ``structured_overlap`` characters hold, one at least.
+    """
+    total = np.append(0, np.cumsum(lengths))
+    joined = total + 2 * np.arange(len(total))
+    out, begin, fresh = [], 0, overlap
+    while fresh < len(lengths):
+        reached = first_from(joined, begin, config.target + 2, False)
+        over = first_from(joined, begin, config.most + 2, True) - 1
+        end = max(min(reached, over), fresh + 1)
+        if end > len(lengths) or (end == len(lengths) and reached > end):
+            break  # open: it may take more units
+        out.append((begin, end))
+        kept = int(np.searchsorted(total, total[end] - config.structured_overlap))
+        begin, fresh = max(begin, min(kept, end - 1)) if config.structured_overlap else end, end
+    return out, begin, fresh
+
+
+UNIT_LENGTHS = "document_id string, pdf_page int, unit int, chapter string, n int"
+PLACES = "document_id string, run int, i int, pdf_page int, unit int"
+
+
+def _units(pages: DataFrame, config: ChunkConfig, lexicon: Lexicon, lengths_only: bool) -> DataFrame:
     heading = re.compile(lexicon.heading)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for document, page, chapter, text in batch.itertuples(index=False):
-                rows += [(document, page, i, chapter, u) for i, u in enumerate(units_of(text or "", config.unit, heading, lexicon.sentence_ends))]
-            yield pd.DataFrame(rows, columns=["document_id", "pdf_page", "unit", "chapter", "text"])
+                found = page_units(text or "", config.unit, heading, lexicon.sentence_ends)
+                rows += [(document, page, i, chapter, len(u) if lengths_only else u) for i, u in enumerate(found)]
+            yield pd.DataFrame(rows, columns=["document_id", "pdf_page", "unit", "chapter", "n" if lengths_only else "text"])
 
-    return pages.select("document_id", "pdf_page", "chapter", "text").mapInPandas(run, UNITS)
+    return pages.select("document_id", "pdf_page", "chapter", "text").mapInPandas(run, UNIT_LENGTHS if lengths_only else UNITS)
 
 
-def structured_chunks(pages: DataFrame, config: ChunkConfig | None = None, lexicon: Lexicon = LATIN) -> DataFrame:
-    """document_id, chunk_index, chunk_id, text, char_count, pdf_pages, chapter: no chunk crosses a chapter."""
-    config = config or ChunkConfig()
-    found = units(pages, config, lexicon)
+def units(pages: DataFrame, config: ChunkConfig | None = None, lexicon: Lexicon = LATIN) -> DataFrame:
+    """Units of every page, page by page: no shuffle."""
+    return _units(pages, config or ChunkConfig(), lexicon, False)
+
+
+def _places(lengths: DataFrame, config: ChunkConfig) -> DataFrame:
+    """Which units each chunk has. A document's units stream by in order, lengths alone; an open chunk is all that is held."""
     order = Window.partitionBy("document_id").orderBy("pdf_page", "unit")
     turn = F.when(F.col("chapter") == F.lag("chapter").over(order), 0).otherwise(1)
-    runs = found.withColumn("_turn", turn).withColumn("run", F.sum("_turn").over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
-
-    def pack(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["pdf_page", "unit"])
-        packer = Packer(config)
-        for page, text in zip(group["pdf_page"], group["text"], strict=True):
-            packer.add(int(page), text)
-        packer.emit(False)
-        head = group.iloc[0]
-        rows = [(head["document_id"], int(head["run"]), i, "\n\n".join(t for _, t in c).strip(), list(dict.fromkeys(p for p, _ in c)), head["chapter"]) for i, c in enumerate(packer.out)]
-        return pd.DataFrame(rows, columns=["document_id", "run", "i", "text", "pdf_pages", "chapter"])
-
-    chunks = runs.drop("_turn").groupBy("document_id", "run").applyInPandas(pack, "document_id string, run int, i int, text string, pdf_pages array<int>, chapter string")
+    runs = lengths.withColumn("turn", turn).withColumn("run", F.sum("turn").over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        open_, held, known, count = None, None, 0, 0  # a run, units of its open chunk, how many of them the last chunk has, chunks so far
+        columns = ["document_id", "run", "i", "pdf_page", "unit"]
+
+        def placed(rows: pd.DataFrame, ranges: list[tuple[int, int]], first: int) -> pd.DataFrame:
+            at = np.concatenate([np.arange(a, b) for a, b in ranges]) if ranges else np.zeros(0, np.int64)
+            out = rows.iloc[at][["document_id", "run", "pdf_page", "unit"]].copy()
+            out["i"] = np.repeat(np.arange(first, first + len(ranges)), [b - a for a, b in ranges])
+            return out[columns]
+
+        for batch in batches:
+            for key, rows in batch.groupby(["document_id", "run"], sort=False):
+                if key == open_:
+                    rows = pd.concat([held, rows])
+                else:
+                    if open_ is not None and len(held) > known:
+                        yield placed(held, [(0, len(held))], count)
+                    open_, known, count = key, 0, 0
+                ranges, begin, fresh = chunk_ranges(rows["n"].to_numpy(), config, known)
+                yield placed(rows, ranges, count)
+                held, known, count = rows.iloc[begin:], fresh - begin, count + len(ranges)
+        if open_ is not None and len(held) > known:
+            yield placed(held, [(0, len(held))], count)
+
+    ordered = runs.select("document_id", "run", "pdf_page", "unit", "n").repartition("document_id", "run").sortWithinPartitions("document_id", "run", "pdf_page", "unit")
+    return ordered.mapInPandas(run, PLACES)
+
+
+def structured_chunks(pages: DataFrame, config: ChunkConfig | None = None, lexicon: Lexicon = LATIN) -> DataFrame:
+    """document_id, chunk_index, chunk_id, text, char_count, pdf_pages, chapter: no chunk crosses a chapter.
+
+    Chunks are found from the units' lengths; texts are joined to them last. Pages without a document have none.
+    """
+    config = config or ChunkConfig()
+    places = _places(_units(pages, config, lexicon, True), config)
+    held = places.join(units(pages, config, lexicon), ["document_id", "pdf_page", "unit"])
+    own = held.groupBy("document_id", "run", "i").agg(F.array_sort(F.collect_list(F.struct("pdf_page", "unit", "text"))).alias("u"), F.first("chapter").alias("chapter"))
+    chunks = own.select(
+        "document_id", "run", "i", X.strip(F.array_join(F.transform("u", lambda u: u.text), "\n\n")).alias("text"), F.array_distinct(F.transform("u", lambda u: u.pdf_page)).alias("pdf_pages"), "chapter"
+    )
     chunks = chunks.withColumn("chunk_index", F.row_number().over(Window.partitionBy("document_id").orderBy("run", "i")) - 1)
     return chunks.select(
         "document_id", "chunk_index", F.concat("document_id", F.lit("_structured_"), F.lpad(F.col("chunk_index").cast("string"), 5, "0")).alias("chunk_id"),
@@ -203,6 +242,37 @@ def structured_quality(chunks: DataFrame, lexicon: Lexicon = LATIN) -> DataFrame
     )
 
 
+#: What a chunk has from its document.
+FROM_DOCUMENT = ("company", "stock_code", "report_year", "report_type", "source_file", "source_url")
+STRATEGIES = {"baseline": "fixed_char", "structured": "chapter_paragraph"}
+
+
+def described(chunks: DataFrame, pages: DataFrame, strategy: str) -> DataFrame:
+    """The chunks with strategy, page range, printed pages, and what the first page says of the document: the columns of CHUNK.
+
+    strategy: baseline or structured. Columns that the pages lack are null.
+    """
+    given = lambda name: F.min_by(name, "pdf_page").alias(name) if name in pages.columns else F.first(F.lit(None).cast("int" if name == "report_year" else "string")).alias(name)
+    documents = pages.groupBy("document_id").agg(*(given(c) for c in FROM_DOCUMENT))
+    out = chunks.join(documents, "document_id")
+    if "printed_page" in pages.columns:
+        each = chunks.select("document_id", "chunk_id", F.explode("pdf_pages").alias("pdf_page"))
+        known = each.join(pages.filter("printed_page is not null").select("document_id", "pdf_page", "printed_page"), ["document_id", "pdf_page"])
+        printed = known.groupBy("chunk_id").agg(F.array_sort(F.collect_list(F.struct("pdf_page", "printed_page"))).alias("_p"))
+        out = out.join(printed, "chunk_id", "left").withColumn("printed_pages", F.coalesce(F.array_distinct(F.transform("_p", lambda p: p.printed_page)), F.array().cast("array<int>")))
+    else:
+        out = out.withColumn("printed_pages", F.array().cast("array<int>"))
+    out = out.withColumns({"strategy": F.lit(STRATEGIES[strategy]), "pdf_page_start": F.array_min("pdf_pages"), "pdf_page_end": F.array_max("pdf_pages")})
+    return out.select(*(c.split()[0] for c in CHUNK.split(", ")))
+
+
+def compared(fixed: DataFrame, structured: DataFrame) -> DataFrame:
+    """strategy_delta of two quality reports with page_count; an error where the reports' pages differ."""
+    both = fixed.select("document_id", F.col("page_count").alias("f")).join(structured.select("document_id", F.col("page_count").alias("s")), "document_id")
+    require_none(both.filter("not f <=> s"), "the reports are of different pages")
+    return strategy_delta(fixed, structured)
+
+
 def change(before, after):
     """Relative change to four places, 0 where the base is 0."""
     return F.when(before != 0, F.bround((after - before) / before, 4)).otherwise(F.lit(0.0))

@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -114,8 +115,42 @@ def test_structured_chunks(spark):
     got = chunking.structured_chunks(rows, ChunkConfig(target=180, most=240, structured_overlap=40, unit=100), CHINESE).orderBy("chunk_index").collect()
     assert [r.chunk_index for r in got] == list(range(len(got))) and all(r.char_count <= 240 for r in got)
     assert {tuple(r.pdf_pages) for r in got if r.chapter == "乙"} == {(3,)}
-    assert chunking.split_long("一。二二。三三三三三", 4, "。！？；") == ["一。", "二二。", "三三三三", "三"]
-    assert chunking.split_long("abcdef", 4, "。") == ["abcd", "ef"]
+    assert chunking.cut_text("一。二二。三三三三三", 4, "。！？；") == ["一。", "二二。", "三三三三", "三"]
+    assert chunking.cut_text("abcdef", 4, "。") == ["abcd", "ef"]
+
+
+def test_chunk_ranges_hold_their_rules():
+    rng = random.Random(6)
+    for _ in range(300):
+        lengths = [rng.randrange(1, 60) for _ in range(rng.randrange(1, 60))]
+        config = ChunkConfig(target=rng.randrange(20, 90), most=rng.randrange(90, 130), structured_overlap=rng.choice((0, 5, 19)), unit=20)
+        ranges, begin, fresh = chunking.chunk_ranges(np.array(lengths), config)
+        ranges += [(begin, len(lengths))] if fresh < len(lengths) else []
+        joined = lambda a, b: sum(lengths[a:b]) + 2 * (b - a - 1)  # noqa: E731, B023
+        assert ranges[0][0] == 0 and ranges[-1][1] == len(lengths)
+        for i, (a, b) in enumerate(ranges):
+            first = ranges[i - 1][1] if i else a  # the first unit that the chunk before lacks
+            assert a <= first < b and all(joined(a, e) < config.target and joined(a, e + 1) <= config.most for e in range(first + 1, b))
+            assert b == len(lengths) or joined(a, b) >= config.target or joined(a, b + 1) > config.most
+            if i and not config.structured_overlap:
+                assert a == first
+            elif i:
+                before = ranges[i - 1][0]
+                assert a == first - 1 or a >= before and sum(lengths[a:first]) <= config.structured_overlap
+                assert a == before or a == 0 or sum(lengths[a - 1 : first]) > config.structured_overlap
+
+
+def test_chunks_dont_depend_on_batches(spark):
+    rng = random.Random(7)
+    rows = [("d", i, " ".join("".join(rng.choice("abc") for _ in range(rng.randrange(1, 9))) + rng.choice(("", ".", "\n")) for _ in range(40)), "x" if i < 60 else "y") for i in range(1, 90)]
+    frame = spark.createDataFrame(rows, "document_id string, pdf_page int, text string, chapter string")
+    config = ChunkConfig(target=80, most=120, structured_overlap=20, unit=50)
+    many = [r.text for r in chunking.structured_chunks(frame, config).orderBy("chunk_index").collect()]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        assert [r.text for r in chunking.structured_chunks(frame, config).orderBy("chunk_index").collect()] == many
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
 def test_parameters():
