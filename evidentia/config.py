@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 from dataclasses import dataclass, field
 
 
@@ -101,9 +103,18 @@ RULES = (
     "8. “同比增长/下降多少”默认询问同比变动比例；证据已直接给出比例时应直接回答，不要因无法计算绝对变动额而拒答。",
 )
 EVIDENCE_ONLY = "当前未配置LLM，以下是与问题最相关的年报原文证据："
+#: What a question has, and what a text needs to have then.
+INTENTS = (
+    ("年末|余额", "年末|12\\s*月\\s*31\\s*日|期末"),
+    ("拟|预案", "预案"),
+    ("占|比例|比重", "占.*(?:比例|比重)|\\d+(?:\\.\\d+)?%"),
+    ("公司为子公司|实际提供的担保", "本公司为其?子公司实际提供的担保"),
+    ("营业收入", "营业收入(?:合计)?（?元）?"),
+)
 IGNORED = ("公司", "比亚迪", "2025", "多少", "如何", "什么", "的是", "是否")
 
 
+# The fields' defaults.
 @dataclass(frozen=True)
 class Lexicon:
     aliases: dict[str, str] = field(default_factory=lambda: dict(ALIASES))
@@ -135,6 +146,38 @@ class Lexicon:
     dividend: str = "分红"
     plan_suffix: str = "年度利润分配预案"
     year_in_query: str = "(20\\d{2})年"
+    intents: tuple[tuple[str, str], ...] = INTENTS
+    intent_proposal: str = "拟|预案"
+    plan_years: str = "(20\\d{2})年度利润分配"
+    plan_done: str = "实施完毕|已实施"
+
+
+def settings(path: str, section: str) -> dict:
+    """The settings of a section of a configuration file: JSON, or YAML as far as sections of plain ``key: value`` lines go.
+
+    They are passed on by name, for instance ``RetrievalConfig(**settings(path, "retrieval"))``, which checks them.
+    """
+    with open(path, encoding="utf-8") as f:
+        text = f.read()
+    try:
+        return dict(json.loads(text)[section])
+    except json.JSONDecodeError:
+        pass
+    found, inside = {}, False
+    for line in text.splitlines():
+        plain = re.sub(r"(^|\s)#.*$", "", line).rstrip()
+        if not plain:
+            continue
+        key, _, value = plain.strip().partition(":")
+        if not line[0].isspace():
+            inside = key == section
+        elif inside and value.strip():
+            word = value.strip().strip("'\"")
+            number = re.fullmatch(r"-?[0-9]+(\.[0-9]+)?", value.strip())
+            found[key.strip()] = (float(word) if number[1] else int(word)) if number else {"true": True, "false": False}.get(word.lower(), word)
+    if not found:
+        raise KeyError(f"{path} has no section {section!r}")
+    return found
 
 
 #: For the tables of TESTDATA.md, which have no Chinese: same operators, other words.
@@ -161,6 +204,9 @@ LATIN = Lexicon(
     ignored=("the", "and"),
     citation_label="E",
     citation="\\[E(\\d+)\\]",
+    intents=(("the|ent", "and|of"), ("des|der", "[0-9]+%|des"), ("license|token", "Apache|MIT")),
+    intent_proposal="ention",
+    plan_done="Apache License",
     proposal="license",
     dividend="the",
 )

@@ -7,6 +7,11 @@ from pyspark.sql import functions as F
 
 from ..config import EVIDENCE_ONLY, LATIN, RULES, AnswerConfig, Lexicon
 from ..functions import text as X
+from ..sources.scratch import stored
+
+
+#: What a citation says of its chunk, besides the quote.
+METADATA = ("company", "stock_code", "report_year", "chapter", "pdf_pages", "source_file", "source_url")
 
 
 def asks_advice(question: Column, lexicon: Lexicon = LATIN) -> Column:
@@ -27,7 +32,8 @@ def citations(hits: DataFrame, questions: DataFrame, config: AnswerConfig | None
 
     hits: query_id, rank, chunk_id, score, text (and, for units, document_id and pdf_pages). The first
     hit always stays; later ones need the given share of its score. units: document_id, pdf_page,
-    unit_context; a citation has that of the first of its pages that has one.
+    unit_context; a citation has that of the first of its pages that has one. Company, year, chapter,
+    pages and source go with a citation, as far as the hits have them.
     """
     config = config or AnswerConfig()
     first = hits.groupBy("query_id", "chunk_id").agg(F.min_by(F.struct(*[c for c in hits.columns if c not in ("query_id", "chunk_id")]), "rank").alias("h")).select("query_id", "chunk_id", "h.*")
@@ -45,7 +51,8 @@ def citations(hits: DataFrame, questions: DataFrame, config: AnswerConfig | None
         pages = out.select("query_id", "chunk_id", "document_id", F.posexplode("pdf_pages").alias("_at", "pdf_page"))
         found = pages.join(units.filter("unit_context is not null"), ["document_id", "pdf_page"]).groupBy("query_id", "chunk_id").agg(F.min_by("unit_context", "_at").alias("unit_context"))
         out = out.join(found, ["query_id", "chunk_id"], "left")
-    return out.select("query_id", "citation_id", "chunk_id", "quote", F.col("score").alias("retrieval_score"), "unit_context")
+    known = [c for c in METADATA if c in out.columns]
+    return out.select("query_id", "citation_id", "chunk_id", *known, "quote", F.col("score").alias("retrieval_score"), "unit_context")
 
 
 def evidence_answers(cited: DataFrame, lexicon: Lexicon = LATIN) -> DataFrame:
@@ -89,7 +96,7 @@ def answer(questions: DataFrame, search, chunks: DataFrame, config: AnswerConfig
     config = config or AnswerConfig()
     scoped = questions.withColumn("_advice", asks_advice(F.col("query"), lexicon))
     open_ = scoped.filter("not _advice").drop("_advice")
-    hits = search(open_)
+    hits = stored(search(open_), "hits")  # read by the gate and by the citations
     gate = evidence_gate(open_, hits, config.least_coverage)
     passed = gate.filter("refusal_reason is null").select("query_id")
     cited = citations(hits.join(passed, "query_id", "left_semi"), open_, config, lexicon)

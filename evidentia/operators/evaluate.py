@@ -8,18 +8,26 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 
 
-def first_ranks(hits: DataFrame, gold: DataFrame, top: int = 5) -> DataFrame:
+def first_ranks(hits: DataFrame, gold: DataFrame, top: int = 5, methods: tuple[str, ...] | None = None) -> DataFrame:
     """query_id, method, first_rank: the first of the top hits whose pages overlap the gold pages, or null.
 
     hits: query_id, method, rank, pdf_pages; gold: query_id, gold_pages. Questions without gold are left out.
+    methods: those to report on, by default all that the hits name.
     """
     known = gold.filter(F.size("gold_pages") > 0)
-    methods = hits.select("method").distinct()
-    every = known.select("query_id").crossJoin(F.broadcast(methods))  # a row for each method, of which there are a few
+    methods = methods or tuple(r.method for r in hits.select("method").distinct().collect())  # a few names
+    every = known.select("query_id", F.explode(F.array(*map(F.lit, methods)).cast("array<string>")).alias("method"))
     found = hits.filter(F.col("rank") <= top).join(known, "query_id").filter(F.arrays_overlap("pdf_pages", "gold_pages"))
     return every.join(found.groupBy("query_id", "method").agg(F.min("rank").alias("first_rank")), ["query_id", "method"], "left")
 
 
+def single_method(hits: DataFrame, gold: DataFrame, top_k: int) -> DataFrame:
+    """metrics of one method whose reciprocal ranks count as far as top_k, which has to be five or more."""
+    if top_k < 5:
+        raise ValueError("top_k >= 5 is required")
+    return metrics(first_ranks(hits, gold, top_k))
+
+
 def metrics(ranks: DataFrame) -> DataFrame:
     """method, questions, recall_at_3, recall_at_5, mrr."""
     hit = lambda k: F.avg(F.when(F.col("first_rank") <= k, 1.0).otherwise(0.0))
@@ -70,6 +78,24 @@ def pending(questions: DataFrame, done: DataFrame, retry: list[str] | None = Non
     return questions.join(finished.select("query_id"), "query_id", "left_anti")
 
 
+def evaluation_round(questions: DataFrame, done: DataFrame, run, retry: list[str] | None = None) -> DataFrame:
+    """query_id, status, page_hit, number_recall, proxy, seconds, error: finished cases as they are, and the pending ones after a run.
+
+    questions: query_id, reference_answer, gold_pages; done: as this returns it; run(pending questions) ->
+    query_id, status, answer, cited_pages, seconds, error. A question without a result, or with an error, is
+    an error of its own and pending in the next round; it stops no other one.
+    """
+    columns = ("query_id", "status", "page_hit", "number_recall", "proxy", "seconds", "error")
+    todo = pending(questions, done, retry)
+    made = todo.join(run(todo), "query_id", "left").withColumn("error", F.when(F.col("status").isNull(), F.coalesce("error", F.lit("no result"))).otherwise(F.col("error")))
+    made = made.withColumn("status", F.when(F.col("error").isNotNull(), F.lit("error")).otherwise(F.col("status")))
+    fine = F.col("error").isNull()
+    made = made.withColumn("answer", F.when(fine, F.col("answer"))).withColumn("cited_pages", F.when(fine, F.col("cited_pages")))
+    kept = done.join(todo.select("query_id"), "query_id", "left_anti").join(questions.select("query_id"), "query_id", "left_semi")
+    new = answer_cases(made).withColumn("number_recall", F.when(F.col("error").isNull(), F.col("number_recall")))
+    return kept.select(*columns).unionByName(new.select(*columns))
+
+
 def document_label(questions: DataFrame) -> DataFrame:
     """One row: the questions' document, or ``multi_document`` if there are several."""
     return questions.agg(F.when(F.countDistinct("document_id") == 1, F.min("document_id")).otherwise(F.lit("multi_document")).alias("document_id"))

@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from ..config import LATIN, Lexicon, RetrievalConfig
 from ..functions import text as X
-from .lexical import bm25, rounded
+from ..sources.scratch import stored
+from .blocks import rounded
+from .lexical import bm25, index, token_cosine
 
 
 def any_of(conditions) -> Column:
@@ -72,21 +74,13 @@ def multi_metric_score(query: Column, expanded: Column, text: Column, lexicon: L
     return F.greatest(requested, F.lit(0.0), *concepts)
 
 
-def intent_score(query: Column, text: Column) -> Column:
+def intent_score(query: Column, text: Column, lexicon: Lexicon = LATIN) -> Column:
     """Mean of the signals that apply; -1 where a proposal question meets another year's or a finished plan."""
-    # Cues in a question, and what answers them.
-    flag = lambda c: c.cast("double")
-    year = F.regexp_extract(query, "(20\\d{2})年", 1)
-    years = F.regexp_extract_all(text, F.lit("(20\\d{2})年度利润分配"), F.lit(1))
-    proposal = query.contains("拟") | query.contains("预案")
-    wrong = proposal & (((year != "") & (F.size(years) > 0) & ~F.array_contains(years, year)) | text.rlike("实施完毕|已实施"))
-    signals = F.array_compact(F.array(
-        F.when(query.contains("年末") | query.contains("余额"), flag(text.rlike("年末|12\\s*月\\s*31\\s*日|期末"))),
-        F.when(proposal, flag(text.contains("预案"))),
-        F.when(query.contains("占") | query.contains("比例") | query.contains("比重"), flag(text.rlike("占.*(?:比例|比重)|\\d+(?:\\.\\d+)?%"))),
-        F.when(query.contains("公司为子公司") | query.contains("实际提供的担保"), flag(text.rlike("本公司为其?子公司实际提供的担保"))),
-        F.when(query.contains("营业收入"), flag(text.rlike("营业收入(?:合计)?（?元）?"))),
-    ))
+    year = F.regexp_extract(query, lexicon.year_in_query, 1)
+    years = F.regexp_extract_all(text, F.lit(lexicon.plan_years), F.lit(1))
+    other_year = (year != "") & (F.size(years) > 0) & ~F.array_contains(years, year)
+    wrong = query.rlike(lexicon.intent_proposal) & (other_year | text.rlike(lexicon.plan_done))
+    signals = F.array_compact(F.array(*(F.when(query.rlike(asked), text.rlike(needed).cast("double")) for asked, needed in lexicon.intents)))
     mean = F.when(F.size(signals) > 0, F.aggregate(signals, F.lit(0.0), lambda s, v: s + v) / F.size(signals)).otherwise(F.lit(0.0))
     return F.when(wrong, F.lit(-1.0)).otherwise(mean)
 
@@ -115,7 +109,7 @@ def rerank(hits: DataFrame, questions: DataFrame, chunks: DataFrame, config: Ret
     rows = hits.join(features(questions, lexicon), "query_id").join(chunks.select("chunk_id", "text"), "chunk_id")
     rows = rows.withColumns({
         "term_coverage": coverage(terms, text), "phrase_score": phrase_score(q, e, text, lexicon), "numeric_score": numeric_score(q, terms, text, lexicon),
-        "multi_metric_score": multi_metric_score(q, e, text, lexicon), "intent_alignment_score": intent_score(q, text),
+        "multi_metric_score": multi_metric_score(q, e, text, lexicon), "intent_alignment_score": intent_score(q, text, lexicon),
     })
     total = (
         config.rrf_weight * F.col("rrf_score") + config.coverage_weight * F.col("term_coverage") + config.phrase_weight * F.col("phrase_score")
@@ -126,14 +120,17 @@ def rerank(hits: DataFrame, questions: DataFrame, chunks: DataFrame, config: Ret
     return rows.withColumn("rank", F.row_number().over(order)).withColumn("score", F.col("rerank_score")).drop("expanded", "terms")
 
 
-def hybrid(chunks: DataFrame, questions: DataFrame, vector_search, config: RetrievalConfig | None = None, lexicon: Lexicon = LATIN, reranked: bool = True, by: list[str] | None = None) -> DataFrame:
+def hybrid(chunks: DataFrame, questions: DataFrame, vector_search=None, config: RetrievalConfig | None = None, lexicon: Lexicon = LATIN, reranked: bool = True, by: list[str] | None = None) -> DataFrame:
     """Vector hits of the question as asked, BM25 hits of its expansion, fused, reranked, and cut.
 
-    vector_search(questions, k) -> hits is the injected vector branch.
+    vector_search(questions, k, by) -> hits is the injected vector branch; without it, token counts are compared.
+    Both branches filter by the columns ``by``, on which a question and a chunk have to agree.
     """
     config = config or RetrievalConfig()
+    table = index(chunks, by)
+    search = vector_search or (lambda q, k, by: token_cosine(chunks, q, k, by, table))
     asked = questions.withColumn("query", expand(F.col("query"), lexicon))
-    lexical = bm25(chunks, asked, config.candidate_pool, config.k1, config.b, by)
-    fused = rrf(vector_search(questions, config.candidate_pool), lexical, config.rrf_k, config.vector_weight, config.bm25_weight)
+    lexical = bm25(chunks, asked, config.candidate_pool, config.k1, config.b, by, table)
+    fused = stored(rrf(search(questions, config.candidate_pool, by), lexical, config.rrf_k, config.vector_weight, config.bm25_weight), "fused")
     out = rerank(fused, questions, chunks, config, lexicon) if reranked else fused
     return out.filter(F.col("rank") <= config.top_k)

@@ -1,13 +1,14 @@
 """Exact cosine search, hashed n-gram vectors, and the vector table.
 
-Search deals the vectors over salts and each question to every salt, so no side is broadcast and no
-task holds all vectors. Within a filter (``by``) the join is on the filter's columns too.
+Search scores vectors where they lie, for a block of questions of a checked size at a time (``blocks``),
+within a filter (``by``) those that agree with the question on its columns.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from .lexical import ranked
+from .blocks import best_by_cosine, ranked
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -31,42 +32,41 @@ def normalised(a: Column) -> Column:
     return X.let(norm(a), lambda n: F.when(n > 0, F.transform(a, lambda x: x / n)).otherwise(a))
 
 
-def cosine_search(vectors: DataFrame, questions: DataFrame, k: int = 5, by: list[str] | None = None, salts: int = 32) -> DataFrame:
+def cosine_search(vectors: DataFrame, questions: DataFrame, k: int = 5, by: list[str] | None = None) -> DataFrame:
     """query_id, rank, chunk_id, score: the k most similar chunks of each question.
 
     vectors: chunk_id, embedding and ``by``; questions: query_id, embedding and ``by``. Vectors that
-    are null or zero take no part.
+    are null, zero, not finite or of another length take no part.
     """
     if k <= 0:
         raise ValueError("k must be positive")
-    by = by or []
-    doubles = lambda df, key, name: df.select(key, *by, F.col("embedding").cast("array<double>").alias(name)).withColumn(f"n_{name}", norm(F.col(name))).filter(F.col(f"n_{name}") > 0)
-    left = doubles(vectors, "chunk_id", "v").withColumn("salt", F.pmod(F.xxhash64("chunk_id"), F.lit(salts)).cast("int"))
-    right = doubles(questions, "query_id", "q").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    scored = left.join(right, [*by, "salt"]).select("query_id", "chunk_id", (dot(F.col("v"), F.col("q")) / (F.col("n_v") * F.col("n_q"))).alias("score"))
-    return ranked(scored, "query_id", k).select("query_id", "rank", "chunk_id", "score")
+    return ranked(best_by_cosine(vectors, questions, k, by or []), "query_id", k).select("query_id", "rank", "chunk_id", "score")
 
 
-def token_cosine(chunks: DataFrame, questions: DataFrame, k: int = 5) -> DataFrame:
-    """Cosine of token counts, by the inverted index: the vector branch where no embedding model is at hand."""
-    count = lambda df, key, text: df.select(key, F.explode(X.tokens(F.col(text))).alias("token")).groupBy(key, "token").agg(F.count(F.lit(1)).alias("n"))
-    docs, asked = count(chunks, "chunk_id", "text"), count(questions, "query_id", "query")
-    size = lambda df, key, name: df.groupBy(key).agg(F.sqrt(F.sum(F.col("n") * F.col("n")).cast("double")).alias(name))
-    products = docs.join(asked.withColumnRenamed("n", "m"), "token").groupBy("query_id", "chunk_id").agg(F.sum(F.col("n") * F.col("m")).alias("p"))
-    scored = products.join(size(docs, "chunk_id", "nc"), "chunk_id").join(size(asked, "query_id", "nq"), "query_id")
-    return ranked(scored.select("query_id", "chunk_id", (F.col("p") / (F.col("nc") * F.col("nq"))).alias("score")), "query_id", k).select("query_id", "rank", "chunk_id", "score")
+def gram_numbers(grams: np.ndarray) -> np.ndarray:
+    """The first eight bytes of each one's BLAKE2b digest, as numbers."""
+    return np.array([int.from_bytes(hashlib.blake2b(g.encode(), digest_size=8).digest(), "big") for g in grams], dtype=np.uint64)
+
+
+def hash_vectors(texts: list[str], dimensions: int, least: int = 1, most: int = 3) -> np.ndarray:
+    """Signed counts of hashed character n-grams, at unit length, a row for each text. A batch's distinct n-grams are hashed once."""
+    plain = ["".join(t.split()).lower() for t in texts]
+    grams, row = [], []
+    for i, t in enumerate(plain):
+        own = [t[j : j + n] for n in range(least, most + 1) for j in range(len(t) - n + 1)]
+        grams += own
+        row += [i] * len(own)
+    code, distinct = pd.factorize(np.array(grams, dtype=object))
+    value = gram_numbers(distinct)
+    place, sign = (value % np.uint64(dimensions)).astype(np.int64), np.where(value % np.uint64(2) == 1, 1.0, -1.0)
+    out = np.bincount(np.array(row, dtype=np.int64) * dimensions + place[code], weights=sign[code], minlength=len(texts) * dimensions).reshape(len(texts), dimensions) if grams else np.zeros((len(texts), dimensions))
+    length = np.sqrt((out * out).sum(axis=1, keepdims=True))
+    return np.divide(out, length, out=out, where=length > 0)
 
 
 def hash_vector(text: str, dimensions: int, least: int = 1, most: int = 3) -> np.ndarray:
-    """Signed counts of hashed character n-grams, at unit length."""
-    plain = "".join(text.split()).lower()
-    out = np.zeros(dimensions)
-    for n in range(least, most + 1):
-        for i in range(len(plain) - n + 1):
-            value = int.from_bytes(hashlib.blake2b(plain[i : i + n].encode(), digest_size=8).digest(), "big")
-            out[value % dimensions] += 1.0 if value % 2 else -1.0
-    length = np.sqrt((out * out).sum())
-    return out / length if length else out
+    """The hashed n-gram vector of one text."""
+    return hash_vectors([text], dimensions, least, most)[0]
 
 
 def hashed_embedding(texts: DataFrame, dimensions: int = 768, column: str = "text") -> DataFrame:
@@ -75,7 +75,8 @@ def hashed_embedding(texts: DataFrame, dimensions: int = 768, column: str = "tex
     @F.pandas_udf("array<double>")
     def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield batch.map(lambda t: hash_vector(t or "", dimensions))
+            parts = [hash_vectors([t or "" for t in batch.iloc[i : i + 64]], dimensions) for i in range(0, len(batch), 64)]
+            yield pd.Series([v for part in parts for v in part])
 
     return texts.withColumn("embedding", embed(F.col(column)))
 
@@ -93,3 +94,30 @@ def index_report(index: DataFrame, key: str = "document_id") -> DataFrame:
 def collection_name(strategy: str, embedder: str) -> str:
     """One table for each pair of strategy and embedder."""
     return f"annual_reports_{strategy}_{embedder}".replace("-", "_")
+
+
+@dataclass(frozen=True)
+class Embedder:
+    """A plug-in: its name, its dimensions, and a function that adds ``embedding`` to rows with ``text``."""
+
+    name: str
+    dimensions: int
+    embed: Callable[[DataFrame], DataFrame]
+
+
+def hashed_embedder(dimensions: int = 768) -> Embedder:
+    return Embedder(f"hashed_ngrams_{dimensions}", dimensions, lambda rows: hashed_embedding(rows, dimensions))
+
+
+def metadata(chunks: DataFrame) -> DataFrame:
+    """chunk_id, the twelve scalars that the vector table keeps of a chunk, and its text."""
+    pages = F.concat(F.lit("["), F.array_join(F.col("pdf_pages").cast("array<string>"), ", "), F.lit("]")).alias("pdf_pages_json")
+    return chunks.select(
+        "chunk_id", "document_id", "company", "stock_code", F.col("report_year").cast("int").alias("report_year"), "report_type", "strategy",
+        F.coalesce("chapter", F.lit("unknown")).alias("chapter"), "pdf_page_start", "pdf_page_end", pages, "source_file", "source_url", "text",
+    )
+
+
+def embedded(chunks: DataFrame, embedder: Embedder) -> DataFrame:
+    """The rows of the vector table for these chunks."""
+    return embedder.embed(metadata(chunks))

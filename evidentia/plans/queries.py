@@ -7,14 +7,17 @@ conversations stand for pages where something is carried forward. The word lists
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import LATIN, AnswerConfig, ChunkConfig
+from ..config import LATIN, AnswerConfig
 from ..functions import text as X
-from ..operators import answer, chunking, evaluate, fusion, ingest, lexical, pages, vectors
+from ..operators import answer, chunking, drivers, evaluate, fusion, ingest, lexical, pages, vectors
+from ..sources import tables
+from ..sources.scratch import shared_folder, stored
 from . import sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -126,7 +129,9 @@ def duplicate_ids(spark, sf_dir):
 
 
 def fingerprint(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", F.length(F.col("html").cast("binary")).alias("length"), F.sha2(F.col("html").cast("binary"), 256).alias("file_hash"))
+    html = F.col("html").cast("binary")
+    files = table(spark, sf_dir, "pages").select(F.col("page_id").alias("path"), F.length(html).alias("length"), html.alias("content"))
+    return ingest.fingerprints(files).withColumnRenamed("path", "page_id")
 
 
 def registration_check(spark, sf_dir):
@@ -136,9 +141,9 @@ def registration_check(spark, sf_dir):
 
 
 def registered_manifest(spark, sf_dir):
-    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("document_id"), F.lit("").alias("page_count"), F.lit("parsed").alias("parse_status"))
-    new = table(spark, sf_dir, "documents").filter("n_chars > 2000").select(F.col("doc_id").cast("string").alias("document_id"), F.col("n_chars").alias("page_count"))
-    return ingest.registered(labels, new)
+    files = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("document_id"), F.lit("").alias("page_count"), F.lit("parsed").alias("parse_status"))
+    new = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("document_id"), (F.col("quality") + 1).alias("page_count"))
+    return ingest.registered(files, new)
 
 
 def lifecycle_gate(spark, sf_dir):
@@ -156,6 +161,51 @@ def _chaptered(spark, sf_dir):
     return rows.drop("lines").join(pages.chapters(rows), ["document_id", "pdf_page"])
 
 
+def _reported(spark, sf_dir):
+    """Pages of documents whose company, code and year are made from their names."""
+    name = F.col("document_id")
+    rows = _chaptered(spark, sf_dir).withColumn("printed_page", (F.col("pdf_page") + 4).cast("int"))
+    return rows.withColumns({
+        "company": F.upper(name), "stock_code": F.lpad(F.length(name).cast("string"), 6, "0"), "report_year": (F.length(name) + 2000).cast("int"),
+        "report_type": F.lit("annual"), "source_file": F.concat(name, F.lit(".pdf")), "source_url": F.concat(F.lit("https://example.com/"), name),
+    })
+
+
+def _manifest(rows, status):
+    return rows.select("document_id").distinct().select("document_id", F.lit("").alias("page_count"), F.lit(status).alias("parse_status"), F.lit("").alias("notes"))
+
+
+def parse_driver(spark, sf_dir):
+    rows = page_rows(spark, sf_dir)
+    counted = rows.groupBy("document_id").agg(F.count(F.lit(1)).cast("string").alias("page_count"))
+    manifest = counted.select("document_id", "page_count", F.lit("pending").alias("parse_status"), F.lit("").alias("notes"))
+    return drivers.parse_reports(manifest, rows)[2]
+
+
+def chunk_driver(spark, sf_dir):
+    rows = _reported(spark, sf_dir)
+    return drivers.chunk_reports(_manifest(rows, "audited"), rows, "baseline")[2]
+
+
+def chunk_metadata(spark, sf_dir):
+    rows = _reported(spark, sf_dir)
+    out = vectors.metadata(chunking.described(chunking.fixed_chunks(rows), rows, "baseline"))
+    return out.drop("text")
+
+
+def printed_pages(spark, sf_dir):
+    rows = _reported(spark, sf_dir)
+    out = chunking.described(chunking.structured_chunks(rows), rows, "structured")
+    return out.select("chunk_id", "strategy", "pdf_page_start", "pdf_page_end", csv("printed_pages").alias("printed_pages"), "report_year")
+
+
+def index_build(spark, sf_dir):
+    rows = _reported(spark, sf_dir)
+    chunks = stored(chunking.described(chunking.fixed_chunks(rows), rows, "baseline"), "chunks")
+    folder = f"{shared_folder(spark)}/evidentia-index-{uuid.uuid4().hex[:12]}"
+    return tables.build_index(chunks, vectors.hashed_embedder(64), folder, "baseline")
+
+
 def fixed_chunks(spark, sf_dir):
     out = chunking.fixed_chunks(_chaptered(spark, sf_dir))
     return out.select("chunk_id", "char_count", md5("text").alias("text_md5"), csv("pdf_pages").alias("pages"), "chapter", F.size("chapters").alias("n_chapters"))
@@ -175,8 +225,10 @@ def structured_quality(spark, sf_dir):
 
 
 def strategy_delta(spark, sf_dir):
-    rows = _chaptered(spark, sf_dir)
-    return chunking.strategy_delta(chunking.fixed_quality(chunking.fixed_chunks(rows)), chunking.structured_quality(chunking.structured_chunks(rows)))
+    rows = _reported(spark, sf_dir)
+    _, fixed, manifest = drivers.chunk_reports(_manifest(rows, "audited"), rows, "baseline")
+    _, structured, _ = drivers.chunk_reports(manifest, rows, "structured")
+    return chunking.compared(fixed, structured)
 
 
 # retrieval
@@ -200,7 +252,7 @@ def bm25_top5_filtered(spark, sf_dir):
 
 
 def token_cosine_top5(spark, sf_dir):
-    return _hits(vectors.token_cosine(chunk_rows(spark, sf_dir), question_rows(spark, sf_dir)))
+    return _hits(lexical.token_cosine(chunk_rows(spark, sf_dir), question_rows(spark, sf_dir)))
 
 
 def _vectors(spark, sf_dir):
@@ -233,8 +285,9 @@ def index_upsert(spark, sf_dir):
 
 def _pool(spark, sf_dir, k=120):
     chunks, questions = chunk_rows(spark, sf_dir), question_rows(spark, sf_dir)
-    asked = questions.withColumn("query", fusion.expand(F.col("query")))
-    return chunks, questions, fusion.rrf(vectors.token_cosine(chunks, questions, k), lexical.bm25(chunks, asked, k))
+    asked, tokens = questions.withColumn("query", fusion.expand(F.col("query"))), lexical.index(chunks)
+    fused = fusion.rrf(lexical.token_cosine(chunks, questions, k, table=tokens), lexical.bm25(chunks, asked, k, table=tokens))
+    return chunks, questions, stored(fused, "fused")
 
 
 def rrf(spark, sf_dir):
@@ -254,16 +307,36 @@ def rerank_features(spark, sf_dir):
     return out.select("query_id", "chunk_id", "pre_rerank_rank", *(six(n, n) for n in names))
 
 
-def _hybrid(spark, sf_dir):
+def _hybrid(spark, sf_dir, by=None):
     chunks, questions = chunk_rows(spark, sf_dir), question_rows(spark, sf_dir)
-    return chunks, questions, fusion.hybrid(chunks, questions, lambda q, k: vectors.token_cosine(chunks, q, k))
+    return chunks, questions, fusion.hybrid(chunks, questions, by=by)
 
 
-def hybrid_top5(spark, sf_dir):
-    _, _, hits = _hybrid(spark, sf_dir)
+def _reranked(hits):
     return hits.select("query_id", "rank", "chunk_id", "pre_rerank_rank", six("rerank_score", "rerank_score"))
 
 
+def hybrid_top5(spark, sf_dir):
+    return _reranked(_hybrid(spark, sf_dir)[2])
+
+
+def hybrid_top5_filtered(spark, sf_dir):
+    """Every question searches the chunks of its own language, in both branches."""
+    return _reranked(_hybrid(spark, sf_dir, ["lang"])[2])
+
+
+def hit_projection(spark, sf_dir):
+    id_ = F.col("chunk_id")
+    chunks = chunk_rows(spark, sf_dir)
+    named = chunks.select(
+        "chunk_id", F.upper("source").alias("company"), F.col("lang").alias("stock_code"), (id_ % 7 + 2000).cast("int").alias("report_year"), F.lit("unknown").alias("chapter"),
+        (id_ + 1).cast("int").alias("pdf_page_start"), (id_ + 2).cast("int").alias("pdf_page_end"), F.array(id_ + 1, id_ + 2).cast("array<int>").alias("pdf_pages"),
+        F.concat("source", F.lit(".pdf")).alias("source_file"), F.concat(F.lit("https://example.com/"), "source").alias("source_url"), "text",
+    )
+    out = lexical.described(lexical.bm25(chunks, question_rows(spark, sf_dir)), named)
+    return out.withColumns({"pdf_pages": csv("pdf_pages"), "text": md5("text")})
+
+
 # answers
 
 
@@ -276,9 +349,9 @@ def evidence_gate(spark, sf_dir):
     return answer.evidence_gate(questions, hits, 0.5).select("query_id", six("max_coverage", "max_coverage"), "refusal_reason")
 
 
-def _cited(spark, sf_dir, config=AnswerConfig(max_citations=3, max_quote_chars=200, relative_score=0.9)):
+def _cited(spark, sf_dir):
     _, questions, hits = _hybrid(spark, sf_dir)
-    return questions, answer.citations(hits, questions, config)
+    return questions, answer.citations(hits, questions)
 
 
 def _citations(cited):
@@ -289,13 +362,9 @@ def citations(spark, sf_dir):
     return _citations(_cited(spark, sf_dir)[1])
 
 
-def citations_whole(spark, sf_dir):
-    return _citations(_cited(spark, sf_dir, AnswerConfig())[1])
-
-
 def quote_window(spark, sf_dir):
-    terms = X.salient(F.substring("text", 1, 60), LATIN.ignored)
-    return table(spark, sf_dir, "documents").select("doc_id", X.quote(F.col("text"), terms, 120).alias("quote"))
+    terms = X.salient(F.col("reference"), LATIN.ignored)
+    return _asked_documents(spark, sf_dir).select("doc_id", X.quote(F.col("text"), terms, AnswerConfig().max_quote_chars).alias("quote"))
 
 
 def evidence_answer(spark, sf_dir):
@@ -303,10 +372,6 @@ def evidence_answer(spark, sf_dir):
     return answer.evidence_answers(cited)
 
 
-def evidence_answer_whole(spark, sf_dir):
-    return answer.evidence_answers(_cited(spark, sf_dir, AnswerConfig())[1])
-
-
 def _prompt(questions, cited):
     return answer.prompts(cited, questions).select("query_id", md5("prompt").alias("prompt_md5"), F.length("prompt").alias("length"))
 
@@ -315,10 +380,6 @@ def prompt(spark, sf_dir):
     return _prompt(*_cited(spark, sf_dir))
 
 
-def prompt_whole(spark, sf_dir):
-    return _prompt(*_cited(spark, sf_dir, AnswerConfig()))
-
-
 def citation_validate(spark, sf_dir):
     _, cited = _cited(spark, sf_dir)
     valid = cited.groupBy("query_id").agg(F.collect_set("citation_id").alias("valid_ids"))
@@ -326,20 +387,11 @@ def citation_validate(spark, sf_dir):
     return answer.checked(valid.withColumn("answer", made))
 
 
-def _answers(spark, sf_dir, config):
-    chunks, questions = chunk_rows(spark, sf_dir), question_rows(spark, sf_dir)
-    search = lambda q: fusion.hybrid(chunks, q, lambda asked, k: vectors.token_cosine(chunks, asked, k))
-    out = answer.answer(questions, search, chunks, config)
-    return out.select("query_id", "status", "refusal_reason", md5("answer").alias("answer_md5"))
-
-
 def answers(spark, sf_dir):
     """The whole pipeline, with evidence-only answers."""
-    return _answers(spark, sf_dir, AnswerConfig(max_citations=3, max_quote_chars=200, relative_score=0.9, least_coverage=0.5))
-
-
-def answers_whole(spark, sf_dir):
-    return _answers(spark, sf_dir, AnswerConfig())
+    chunks, questions = chunk_rows(spark, sf_dir), question_rows(spark, sf_dir)
+    out = answer.answer(questions, lambda q: fusion.hybrid(chunks, q), chunks)
+    return out.select("query_id", "status", "refusal_reason", md5("answer").alias("answer_md5"))
 
 
 # evaluation
@@ -371,7 +423,7 @@ def _methods(spark, sf_dir):
     vector = fused.filter("vector_rank is not null").select("query_id", F.col("vector_rank").alias("rank"), "chunk_id")
     bm = fused.filter("bm25_rank is not null").select("query_id", F.col("bm25_rank").alias("rank"), "chunk_id")
     hits = branch(vector, "vector").union(branch(bm, "bm25")).union(branch(fused, "hybrid_rrf")).union(branch(fusion.rerank(fused, questions, chunks), "hybrid_rerank"))
-    return evaluate.first_ranks(hits, _gold(spark, sf_dir))
+    return evaluate.first_ranks(hits, _gold(spark, sf_dir), methods=("vector", "bm25", "hybrid_rrf", "hybrid_rerank"))
 
 
 def first_rank(spark, sf_dir):
@@ -391,11 +443,23 @@ def number_norm(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(X.numbers(F.col("text")), "|").alias("numbers"))
 
 
+def _asked_documents(spark, sf_dir):
+    """doc_id, text, reference: every document, and the whole text of the question that it is dealt by its number."""
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("_item"), F.col("text").alias("reference"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").crossJoin(F.broadcast(asked.agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("_of"))))  # one row
+    dealt = docs.withColumn("_item", F.pmod("doc_id", "_of")).join(asked, "_item", "left")
+    return dealt.select("doc_id", "text", F.coalesce("reference", F.lit("")).alias("reference"))
+
+
+STATES = ("answered", "refused", "error", "evidence_only")
+
+
 def _cases(spark, sf_dir):
-    docs, turn = table(spark, sf_dir, "documents"), F.col("doc_id")
-    rows = docs.select(
-        turn.alias("query_id"), F.element_at(F.array(*map(F.lit, ("answered", "refused", "error", "evidence_only"))), (turn % 4 + 1).cast("int")).alias("status"),
-        F.substring("text", 1, 80).alias("reference_answer"), F.substring("text", 1, 400).alias("answer"),
+    """A question's text is the reference, a document's text the answer."""
+    turn = F.col("doc_id")
+    rows = _asked_documents(spark, sf_dir).select(
+        turn.alias("query_id"), F.element_at(F.array(*map(F.lit, STATES)), (turn % 4 + 1).cast("int")).alias("status"),
+        F.col("reference").alias("reference_answer"), F.col("text").alias("answer"),
         F.array(turn % 7).alias("gold_pages"), F.array(turn % 5, turn % 3).alias("cited_pages"), ((turn % 13) / 4.0).alias("seconds"),
     )
     return evaluate.answer_cases(rows)
@@ -418,29 +482,26 @@ def _asked_documents(spark, sf_dir):
     return dealt.select("doc_id", "text", F.coalesce("reference", F.lit("")).alias("reference"))
 
 
-def _whole_cases(spark, sf_dir):
-    """As _cases, on whole texts: a question's text is the reference, a document's text the answer."""
-    turn = F.col("doc_id")
-    rows = _asked_documents(spark, sf_dir).select(
-        turn.alias("query_id"), F.element_at(F.array(*map(F.lit, ("answered", "refused", "error", "evidence_only"))), (turn % 4 + 1).cast("int")).alias("status"),
-        F.col("reference").alias("reference_answer"), F.col("text").alias("answer"),
-        F.array(turn % 7).alias("gold_pages"), F.array(turn % 5, turn % 3).alias("cited_pages"), ((turn % 13) / 4.0).alias("seconds"),
-    )
-    return evaluate.answer_cases(rows)
-
-
-def answer_case_whole(spark, sf_dir):
-    return _whole_cases(spark, sf_dir).select("query_id", "status", "page_hit", six("number_recall", "number_recall"), "proxy")
+def single_method(spark, sf_dir):
+    hits = lexical.bm25(chunk_rows(spark, sf_dir), question_rows(spark, sf_dir), 10)
+    out = evaluate.single_method(hits.select("query_id", F.lit("bm25").alias("method"), "rank", F.array("chunk_id").alias("pdf_pages")), _gold(spark, sf_dir), 10)
+    return out.select("method", "questions", *(six(c, c) for c in ("recall_at_3", "recall_at_5", "mrr")))
 
 
-def answer_summary_whole(spark, sf_dir):
-    out = evaluate.answer_summary(_whole_cases(spark, sf_dir))
-    return out.select("cases", "answered", "refused", "errors", *(six(c, c) for c in ("page_hit_rate", "mean_number_recall", "proxy_rate", "mean_seconds", "median_seconds", "max_seconds")))
-
-
-def quote_window_whole(spark, sf_dir):
-    terms = X.salient(F.col("reference"), LATIN.ignored)
-    return _asked_documents(spark, sf_dir).select("doc_id", X.quote(F.col("text"), terms, AnswerConfig().max_quote_chars).alias("quote"))
+def evaluation_round(spark, sf_dir):
+    """Labelled documents have been answered; the others are answered by their own text, which is an error for some."""
+    turn = F.col("doc_id")
+    questions = _asked_documents(spark, sf_dir).select(turn.alias("query_id"), F.col("reference").alias("reference_answer"), F.array(turn % 7).alias("gold_pages"))
+    done = table(spark, sf_dir, "labels").select(
+        turn.alias("query_id"), F.lit("answered").alias("status"), F.lit(True).alias("page_hit"), F.lit(1.0).alias("number_recall"), F.lit(True).alias("proxy"),
+        F.lit(0.5).alias("seconds"), F.when(F.col("quality") == 0, F.lit("timeout")).alias("error"),
+    )
+    given = table(spark, sf_dir, "documents").filter(turn % 11 != 0).select(
+        turn.alias("query_id"), F.lit("answered").alias("status"), F.col("text").alias("answer"), F.array(turn % 5, turn % 3).alias("cited_pages"),
+        ((turn % 13) / 4.0).alias("seconds"), F.when(turn % 6 == 0, F.lit("refused connection")).alias("error"),
+    )
+    out = evaluate.evaluation_round(questions, done, lambda todo: given.join(todo.select("query_id"), "query_id", "left_semi"))
+    return out.withColumn("number_recall", six("number_recall", "number_recall"))
 
 
 def resume_pending(spark, sf_dir):
@@ -450,12 +511,12 @@ def resume_pending(spark, sf_dir):
 
 
 NAMES = (
-    "compact_chars normalized_text margin_lines margin_removed_pages printed_page chapter_fill unit_context_fill page_quality_flags flag_histogram parse_quality "
+    "compact_chars normalized_text margin_lines margin_removed_pages printed_page chapter_fill unit_context_fill page_quality_flags flag_histogram parse_quality parse_driver "
     "audit_samples page_contiguity turn_contiguity duplicate_ids fingerprint registration_check registered_manifest lifecycle_gate fixed_chunks fixed_chunk_quality "
-    "structured_chunks structured_quality strategy_delta token_stats bm25_top5 bm25_top5_filtered token_cosine_top5 vector_top5 vector_top5_filtered hashed_embedding "
-    "index_upsert rrf expand_query rerank_features hybrid_top5 scope_gate evidence_gate citations quote_window evidence_answer prompt citation_validate answers "
-    "evidence_pages first_rank method_compare acceptance number_norm answer_case answer_summary resume_pending "
-    "answer_case_whole answer_summary_whole quote_window_whole citations_whole evidence_answer_whole prompt_whole answers_whole"
+    "structured_chunks structured_quality strategy_delta chunk_driver chunk_metadata printed_pages token_stats bm25_top5 bm25_top5_filtered token_cosine_top5 vector_top5 "
+    "vector_top5_filtered hashed_embedding index_upsert index_build rrf expand_query rerank_features hybrid_top5 hybrid_top5_filtered hit_projection scope_gate evidence_gate "
+    "citations quote_window evidence_answer prompt citation_validate answers evidence_pages first_rank method_compare single_method acceptance number_norm answer_case "
+    "answer_summary evaluation_round resume_pending"
 ).split()
 
 

@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators.chunking import STRATEGIES
 from ..operators.ingest import repeated_ids, require_none
 from ..operators.pages import contiguity
+from ..operators.vectors import Embedder, collection_name, embedded, index_report
 from ..schemas import CHUNK, MANIFEST_COLUMNS, PAGE, QUESTION_COLUMNS
 
 
@@ -85,13 +87,51 @@ def write_json(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
+def write_report(report: DataFrame, path: str) -> None:
+    """A report of a few rows as one JSON document (an array of objects), which ``read_report`` reads."""
+    whole = report.agg(F.to_json(F.collect_list(F.struct(*report.columns)), {"ignoreNullFields": "false", "pretty": "true"}).alias("value"))
+    whole.coalesce(1).write.mode("overwrite").text(path)
+
+
 def write_index(index: DataFrame, path: str) -> None:
     """The vector table, by document, so that a later write replaces only the documents that it holds."""
     index.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("document_id").parquet(path)
 
 
+def build_index(chunks: DataFrame, embedder: Embedder, folder: str, strategy: str) -> DataFrame:
+    """Embeds chunks, replaces their documents in the table of this strategy and embedder, and reports on each document.
+
+    chunks: as ``chunking.described`` makes them, of one strategy. A table of another embedder or other
+    dimensions under the same name is an error, and so are vectors of other lengths and lost chunks.
+    """
+    spark, path = chunks.sparkSession, f"{folder}/{collection_name(strategy, embedder.name)}"
+    if strategy not in STRATEGIES:
+        raise ValueError(f"unknown strategy {strategy!r}")
+    require_none(chunks.filter(~F.col("strategy").eqNullSafe(STRATEGIES[strategy])).select("chunk_id", "strategy"), "chunks of another strategy")
+    require_none(repeated_ids(chunks, "chunk_id"), "chunk ids repeat")
+    note = f"{path}.metadata"
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(note)
+    if place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+        known = spark.read.schema("embedder string, dimensions int").json(note).first()
+        if (known.embedder, known.dimensions) != (embedder.name, embedder.dimensions):
+            raise ValueError(f"{path} was made with {known.embedder}, {known.dimensions}")
+    else:
+        spark.createDataFrame([(embedder.name, embedder.dimensions)], "embedder string, dimensions int").coalesce(1).write.json(note)
+    write_index(embedded(chunks, embedder), path)
+    table = spark.read.parquet(path)
+    report = index_report(table.join(chunks.select("document_id").distinct(), "document_id", "left_semi"))
+    require_none(report.filter((F.col("dimensions") != embedder.dimensions) | (F.col("most_dimensions") != embedder.dimensions)).select("document_id"), "vectors of other lengths")
+    wanted = chunks.groupBy("document_id").agg(F.count(F.lit(1)).alias("n"))
+    require_none(wanted.join(report, "document_id", "left").filter(~F.col("n").eqNullSafe(F.col("vectors"))).select("document_id"), "chunks were lost")
+    total = table.count()
+    return report.select(
+        "document_id", F.lit(collection_name(strategy, embedder.name)).alias("collection"), F.lit(strategy).alias("strategy"), F.lit(embedder.name).alias("embedder"),
+        "dimensions", F.col("vectors").alias("indexed_chunks"), F.lit(total).alias("total_chunks"),
+    )
+
+
 def read_report(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("multiLine", True).json(path)
+    return spark.read.option("multiLine", True).json(path)  # an array is a row for each of its objects
 
 
 def write_manifest(manifest: DataFrame, path: str) -> None:

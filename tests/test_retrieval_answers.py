@@ -1,13 +1,17 @@
+import hashlib
 import json
 import math
+import random
 from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from evidentia.config import AnswerConfig, Lexicon, RetrievalConfig
-from evidentia.operators import answer, evaluate, fusion, lexical, vectors
+from evidentia.config import AnswerConfig, Lexicon, RetrievalConfig, settings
+from evidentia.functions import text as X
+from evidentia.operators import answer, blocks, chunking, drivers, evaluate, fusion, lexical, vectors
+from evidentia.schemas import CHUNK
 from evidentia.sources import tables
 from evidentia.streaming.index import follow
 
@@ -48,7 +52,6 @@ def test_bm25_filter_changes_the_statistics(spark, chunks):
     hits = lexical.bm25(chunks, ask(spark, "营业收入"), by=["code"]).collect()
     assert [h.chunk_id for h in hits] == ["A"]
     assert lexical.bm25(chunks, ask(spark, "营业收入", "999999"), by=["code"]).count() == 0
-    assert lexical.bm25(chunks, ask(spark, "")).count() == 0
     with pytest.raises(ValueError):
         lexical.bm25(chunks, ask(spark, "x"), k=0)
 
@@ -170,9 +173,129 @@ def test_manifest_and_results_are_rewritten(spark, tmp_path):
 
 def test_hybrid(spark, chunks):
     questions = ask(spark, "营业收入是多少？")
-    got = fusion.hybrid(chunks, questions, lambda q, k: vectors.token_cosine(chunks, q, k), RetrievalConfig(top_k=1), CHINESE).collect()
+    got = fusion.hybrid(chunks, questions, lambda q, k, by: lexical.token_cosine(chunks, q, k), RetrievalConfig(top_k=1), CHINESE).collect()
     assert [r.chunk_id for r in got] == ["A"]
-    assert fusion.hybrid(chunks.limit(0), questions, lambda q, k: vectors.token_cosine(chunks.limit(0), q, k), lexicon=CHINESE).count() == 0
+    assert fusion.hybrid(chunks.limit(0), questions, lambda q, k, by: lexical.token_cosine(chunks.limit(0), q, k), lexicon=CHINESE).count() == 0
+
+
+def test_full_width_forms_match(spark):
+    rows = spark.createDataFrame([("a", "ＲＥＶＥＮＵＥ of １２.５％"), ("b", "revenues"), ("c", None)], "chunk_id string, text string")
+    got = {r.chunk_id: r.terms for r in lexical.index(rows).collect()}
+    assert got == {"a": ["revenue", "of", "12.5%"], "b": ["revenues"], "c": []}
+    assert [r.chunk_id for r in lexical.bm25(rows, ask(spark, "Ｒevenue")).collect()] == ["a"]
+    for text in ("abc １２3 中文字 x", "ﬁn 2.5% 研发投入"):
+        native = spark.createDataFrame([(text,)], "t string").select(X.tokens(X.nfkc()(F.col("t")))).first()[0]
+        assert lexical.tokens_of(text) == native
+
+
+def test_blank_questions_are_errors(spark, chunks):
+    for query in ("", "  ", None):
+        with pytest.raises(ValueError):
+            lexical.bm25(chunks, ask(spark, query))
+
+
+def test_blocks_of_questions_and_slices_change_nothing(spark, monkeypatch):
+    rng = random.Random(2)
+    text = lambda n: " ".join("".join(rng.choice("ab") for _ in range(rng.randrange(1, 4))) for _ in range(n))
+    rows = spark.createDataFrame([(i, text(12), rng.choice("xy"), [float(rng.randrange(3)) for _ in range(3)]) for i in range(300)], "chunk_id long, text string, lang string, embedding array<double>")
+    asked = spark.createDataFrame([(i, text(5), rng.choice("xyz"), [1.0, float(i % 3), 2.0]) for i in range(20)], "query_id long, query string, lang string, embedding array<double>")
+    runs = [lambda: lexical.bm25(rows, asked, 7), lambda: lexical.bm25(rows, asked, 7, by=["lang"]), lambda: lexical.token_cosine(rows, asked, 7, ["lang"]), lambda: vectors.cosine_search(rows, asked, 7), lambda: vectors.cosine_search(rows, asked, 7, ["lang"])]
+    key = lambda r: (r.query_id, r.rank, r.chunk_id, round(r.score, 9))
+    whole = [sorted(map(key, run().collect())) for run in runs]
+    monkeypatch.setattr(blocks, "BLOCK", 17)
+    monkeypatch.setattr(blocks, "SLICE", 40)
+    assert [sorted(map(key, run().collect())) for run in runs] == whole
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True))
+    for q in asked.collect():
+        near = sorted((-math.floor(dot(q.embedding, r.embedding) / math.sqrt(dot(q.embedding, q.embedding) * dot(r.embedding, r.embedding)) * 1e9 + 0.5), r.chunk_id) for r in rows.collect() if any(r.embedding))
+        assert [c for a, _, c, _ in [(k[0], k[1], k[2], k[3]) for k in whole[3]] if a == q.query_id] == [i for _, i in near[:7]]
+
+
+def test_hashed_vectors_of_a_batch(spark):
+    texts = ["abc abd", "", "研发投入", "x"]
+    for text, row in zip(texts, vectors.hash_vectors(texts, 32), strict=True):
+        want = np.zeros(32)
+        plain = text.replace(" ", "")
+        for n in (1, 2, 3):
+            for i in range(len(plain) - n + 1):
+                value = int.from_bytes(hashlib.blake2b(plain[i : i + n].encode(), digest_size=8).digest(), "big")
+                want[value % 32] += 1 if value % 2 else -1
+        assert np.allclose(row, want / (np.linalg.norm(want) or 1))
+
+
+def report_pages(spark, n=3):
+    rows = [("d", i, f"Page {i} has a few words. " * 30, "unknown" if i == 1 else "Licensed under", "Firm", "000001", 2024, None if i == 1 else i + 10) for i in range(1, n + 1)]
+    return spark.createDataFrame(rows, "document_id string, pdf_page int, text string, chapter string, company string, stock_code string, report_year int, printed_page int")
+
+
+def test_chunks_carry_their_document(spark):
+    rows = report_pages(spark)
+    for strategy, made in (("baseline", chunking.fixed_chunks(rows)), ("structured", chunking.structured_chunks(rows))):
+        out = chunking.described(made, rows, strategy)
+        assert out.columns == [c.split()[0] for c in CHUNK.split(", ")]
+        for r in out.collect():
+            assert (r.company, r.stock_code, r.report_year, r.source_url, r.strategy) == ("Firm", "000001", 2024, None, chunking.STRATEGIES[strategy])
+            assert (r.pdf_page_start, r.pdf_page_end) == (r.pdf_pages[0], r.pdf_pages[-1]) and r.printed_pages == [p + 10 for p in r.pdf_pages if p > 1]
+        one = vectors.metadata(out).first()
+        assert len(vectors.metadata(out).columns) == 14 and json.loads(one.pdf_pages_json) == list(range(one.pdf_page_start, one.pdf_page_end + 1))
+    hits = lexical.described(lexical.bm25(out, ask(spark, "words")), out)
+    assert hits.first().company == "Firm" and set(lexical.HIT) < set(hits.columns)
+    cited = answer.citations(hits, ask(spark, "words"))
+    assert set(answer.METADATA) < set(cited.columns) and cited.first().report_year == 2024
+
+
+def test_index_is_built_and_checked(spark, tmp_path):
+    rows = report_pages(spark)
+    chunks = chunking.described(chunking.fixed_chunks(rows), rows, "baseline")
+    folder = str(tmp_path)
+    for _ in range(2):
+        report = tables.build_index(chunks, vectors.hashed_embedder(16), folder, "baseline").first()
+        assert (report.document_id, report.indexed_chunks, report.total_chunks, report.dimensions) == ("d", chunks.count(), chunks.count(), 16)
+    other = vectors.Embedder("hashed_ngrams_16", 8, lambda r: vectors.hashed_embedding(r, 8))
+    short = vectors.Embedder("short", 9, lambda r: vectors.hashed_embedding(r, 8))
+    for embedder, strategy in ((other, "baseline"), (short, "baseline"), (vectors.hashed_embedder(16), "structured"), (vectors.hashed_embedder(16), "none")):
+        with pytest.raises(ValueError):
+            tables.build_index(chunks, embedder, folder, strategy)
+    tables.write_report(report_rows := tables.build_index(chunks, vectors.hashed_embedder(16), folder, "baseline"), f"{folder}/report")
+    assert tables.read_report(spark, f"{folder}/report").first().asDict() == report_rows.first().asDict()
+
+
+def test_drivers_gate_and_check(spark):
+    rows = report_pages(spark)
+    manifest = lambda status, count="3": spark.createDataFrame([("d", count, status, ""), ("e", "1", "pending", "")], "document_id string, page_count string, parse_status string, notes string")
+    state = lambda m: {r.document_id: (r.parse_status, r.notes) for r in m.collect()}
+    raw = rows.select("document_id", "pdf_page", "text")
+    assert state(drivers.parse_reports(manifest("pending"), raw)[2]) == {"d": ("parsed", "3 pages parsed"), "e": ("pending", "")}
+    for bad, count in (("audited", "3"), ("pending", "4")):
+        with pytest.raises(ValueError):
+            drivers.parse_reports(manifest(bad, count), raw)
+    chunks, fixed, after = drivers.chunk_reports(manifest("audited"), rows, "baseline")
+    assert state(after)["d"] == ("baseline_chunked", f"{chunks.count()} chunks")
+    _, structured, after = drivers.chunk_reports(after, rows, "structured")
+    assert state(after)["d"][0] == "structured_chunked" and chunking.compared(fixed, structured).count() == 1
+    with pytest.raises(ValueError):
+        drivers.chunk_reports(manifest("pending"), rows, "baseline")
+    with pytest.raises(ValueError):
+        chunking.compared(fixed, structured.withColumn("page_count", F.lit(9).cast("long")))
+
+
+def test_settings_from_a_file(tmp_path):
+    (tmp_path / "c.yaml").write_text("app:\n  name: x\nretrieval:\n  top_k: 7  # first\n  b: 0.5\n\nother:\n  top_k: 1\n")
+    (tmp_path / "c.json").write_text('{"retrieval": {"top_k": 7, "b": 0.5}}')
+    for name in ("c.yaml", "c.json"):
+        assert RetrievalConfig(**settings(str(tmp_path / name), "retrieval")) == RetrievalConfig(top_k=7, b=0.5)
+    with pytest.raises(KeyError):
+        settings(str(tmp_path / "c.yaml"), "absent")
+
+
+def test_evaluation_round(spark):
+    questions = spark.createDataFrame([(i, "5", [1]) for i in range(4)], "query_id long, reference_answer string, gold_pages array<int>")
+    done = spark.createDataFrame([(0, "answered", True, 1.0, True, 1.0, None), (1, "error", False, None, False, 1.0, "timeout")], "query_id long, status string, page_hit boolean, number_recall double, proxy boolean, seconds double, error string")
+    run = lambda todo: todo.filter("query_id < 3").select("query_id", F.lit("answered").alias("status"), F.lit("it is 5").alias("answer"), F.array(F.lit(1)).alias("cited_pages"), F.lit(2.0).alias("seconds"), F.when(F.col("query_id") == 2, "broken").alias("error"))
+    got = {r.query_id: (r.status, r.proxy, r.error) for r in evaluate.evaluation_round(questions, done, run).collect()}
+    assert got == {0: ("answered", True, None), 1: ("answered", True, None), 2: ("error", False, "broken"), 3: ("error", False, "no result")}
+    with pytest.raises(ValueError):
+        evaluate.single_method(None, None, 4)
 
 
 def test_sources_and_the_stream(spark, tmp_path):
@@ -216,15 +339,15 @@ def test_registered_queries_read_whole_texts(spark, tmp_path):
     spark.createDataFrame([(0, f"{lead} 1234.5 and 77 at the end"), (4, f"{lead} 1234.5 alone"), (5, "unlike")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(0, f"{lead} 1234.5 and 77"), (1, "no figure")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     found = queries.queries()
-    got = {r.query_id: (r.number_recall, r.proxy) for r in found["answer_case_whole"](spark, str(tmp_path)).collect()}
+    got = {r.query_id: (r.number_recall, r.proxy) for r in found["answer_case"](spark, str(tmp_path)).collect()}
     assert got == {0: (1.0, True), 4: (0.5, False), 5: (None, False)}
-    total = found["answer_summary_whole"](spark, str(tmp_path)).first()
+    total = found["answer_summary"](spark, str(tmp_path)).first()
     assert (total.cases, total.mean_number_recall, total.proxy_rate) == (3, 0.75, 0.333333)
-    assert found["quote_window_whole"](spark, str(tmp_path)).count() == 3
+    assert found["quote_window"](spark, str(tmp_path)).count() == 3
 
 
 def test_registered_citations_of_the_configured_size(spark):
     from evidentia.plans import queries
 
-    rows = queries.queries()["citations_whole"](spark, "/root/testdata/sf0.001").collect()
+    rows = queries.queries()["citations"](spark, "/root/testdata/sf0.001").collect()
     assert max(len(r.quote) for r in rows) > 200 and max(r.citation_id for r in rows) > 3
