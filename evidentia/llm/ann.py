@@ -1,20 +1,27 @@
 """Approximate nearest neighbours by balanced posting lists.
 
 Centroids are fitted to a bounded sample (``SAMPLE`` rows with the least hashes of their ids) by
-k-means with a penalty on large clusters; there is one for about ``LIST`` vectors, ``CENTROIDS`` at
-most, so they and their neighbour graph fit in memory everywhere. Every vector is posted to its
-closest centroid and, at a boundary, to others that are at most ``1 + CLOSURE`` times as far and not
-hidden behind one chosen before. Centroids are found by best-first search on the graph, all vectors
-of a batch at once. A query reads the lists within ``1 + PRUNE`` times the distance of its closest
-centroid, and further ones while those hold fewer than ``ENOUGH`` vectors.
-
-Lists over ``PART`` vectors are split into parts by a hash of the id, so a vector that a third of all
-rows share doesn't fill a task; only the lists' lengths (one number for each centroid) reach the
-driver. Distances are computed in double precision by Spark, on the original vectors, and the best k
-of each query are ranked by distance and then id.
+k-means with a penalty on large clusters, in two levels where there are many; there is one for about
+``LIST`` vectors, ``CENTROIDS`` at most (a bound of memory: 16 MB at 64 components), so they and their
+neighbour graph fit in memory everywhere. Distances to centroids are judged by a scale: a vector's
+distance to its closest one, or the sample's mean of that if it is more, so a vector that is a centroid
+itself has a scale too. Every vector is posted to its closest centroid and, at a boundary, to others
+within ``1 + CLOSURE`` times its scale, ``REPLICAS`` in all. A query reads its ``NEAREST`` lists, all
+further ones within ``1 + PRUNE`` times its scale, and on while those hold fewer than ``ENOUGH``
+vectors. Centroids are found by best-first search on the graph, all vectors of a batch at once; a query
+whose beam ends before its scale does is searched anew with a wider one, so nothing is cut off.
+
+Neighbouring lists make a group of about ``GROUP`` vectors, where they meet the queries that ask for
+one of them. A list over ``PART`` vectors is a group of its own, split into parts by a hash of the id,
+and so are the queries of a group that over ``ASKED`` ask for; so a vector that a third of all rows
+share, or that a third of all queries ask for, doesn't fill a task. Only two numbers for each centroid
+reach the driver. In a group, a list's vectors and its queries are two matrices: distances are found for
+all at once, those among a query's first k are taken again term by term, in double precision on the
+original vectors, and a query's k best of the group go on, to be ranked by distance and then id.
 
 Vectors that are null, zero, of another length than most, or hold null or non-finite components take
-no part, nor do null ids. Rows that share an id count once. No candidate: no row. Other columns are ignored.
+no part, nor do null ids. Of rows that share an id, the least vector takes part. No candidate: no row.
+Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,8 +35,8 @@ from pyspark.sql import functions as F
 
 from .common import Workspace
 
-SAMPLE, LIST, CENTROIDS, PART = 32_768, 100, 1024, 512
-CLOSURE, PRUNE, ENOUGH, REPLICAS, DEGREE, BEAM = 0.15, 0.25, 800, 6, 24, 96
+SAMPLE, LIST, CENTROIDS, PART, GROUP, ASKED, LEVEL = 262_144, 24, 65_536, 4096, 16_384, 4096, 512
+CLOSURE, REPLICAS, PRUNE, NEAREST, ENOUGH, DEGREE, BEAM = 0.1, 4, 0.2, 8, 2000, 24, 64
 
 
 def squared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -64,45 +71,65 @@ def fit(sample: np.ndarray, n: int, rounds: int = 8) -> np.ndarray:
     return centres
 
 
+def fit_levels(sample: np.ndarray, n: int) -> np.ndarray:
+    """Centroids as from fit; where there are many, within the clusters of a first level."""
+    if n <= LEVEL:
+        return fit(sample, n)
+    first = fit(sample, int(n**0.5))
+    own = np.concatenate([squared(sample[i : i + 4096], first).argmin(axis=1) for i in range(0, len(sample), 4096)])
+    parts = [sample[own == c] for c in range(len(first))]
+    return np.concatenate([fit(part, max(1, round(n * len(part) / len(sample)))) for part in parts if len(part)])
+
+
 class Graph:
     """Neighbour graph of the centroids, searched best-first for many vectors at once."""
 
-    def __init__(self, centres: np.ndarray):
+    def __init__(self, centres: np.ndarray, sample: np.ndarray | None = None):
         self.centres = centres
-        n = len(centres)
-        near = squared(centres, centres)
-        np.fill_diagonal(near, np.inf)
-        degree = min(DEGREE, n - 1)
-        links = np.argsort(near, axis=1, kind="stable")[:, :degree]
+        n, degree = len(centres), min(DEGREE, len(centres) - 1)
+        links = []
+        for i in range(0, n, 256):
+            near = squared(centres[i : i + 256], centres)
+            near[np.arange(len(near)), np.arange(i, i + len(near))] = np.inf
+            links.append(np.argpartition(near, max(degree - 1, 0), axis=1)[:, :degree])
         rng = np.random.default_rng(11)
         far = rng.integers(n, size=(n, 4))  # long links keep it connected
         ring = np.stack([(np.arange(n) + 1) % n, (np.arange(n) - 1) % n], axis=1)
-        self.links = np.concatenate((links, far, ring), axis=1)
+        self.links = np.concatenate((np.concatenate(links), far, ring), axis=1).astype(np.int32)
         self.entry = rng.permutation(n)[: min(n, 16)]
+        self.spread = 0.0
+        if sample is not None and len(sample):
+            some = sample[: 1 << 12]
+            self.spread = float(np.sqrt(squared(some, centres).min(axis=1)).mean())
 
     def nearest(self, x: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        """(centroids, distances) of each row of x, closest first, ``beam`` at most."""
+        """(centroids, distances) of each row of x, closest first, ``beam`` at most; -1 and infinity where there are fewer."""
         n = len(self.centres)
         if n <= beam:
             d = np.sqrt(squared(x, self.centres))
             order = np.argsort(d, axis=1, kind="stable")
             return order, np.take_along_axis(d, order, axis=1)
+        at_once = max(1, (1 << 26) // n)  # bounds the table of what was seen
+        found = [self._search(x[i : i + at_once], beam) for i in range(0, len(x), at_once)]
+        return tuple(np.concatenate(part) for part in zip(*found, strict=True)) if found else (np.zeros((0, beam), np.int64), np.zeros((0, beam)))
+
+    def _search(self, x: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+        n, step = len(self.centres), max(4, beam // 16)
         rows = np.arange(len(x))[:, None]
         seen = np.zeros((len(x), n), dtype=bool)
         seen[:, self.entry] = True
         ids = np.full((len(x), beam), -1)
         dist = np.full((len(x), beam), np.inf, dtype=np.float32)
         done = np.ones((len(x), beam), dtype=bool)
-        first = np.broadcast_to(self.entry, (len(x), len(self.entry)))
+        first = np.broadcast_to(self.entry, (len(x), len(self.entry)))[:, :beam]
         ids[:, : first.shape[1]], done[:, : first.shape[1]] = first, False
-        dist[:, : first.shape[1]] = squared(x, self.centres[self.entry])
+        dist[:, : first.shape[1]] = squared(x, self.centres[first[0]])
         norm = (self.centres * self.centres).sum(1)
         own = (x * x).sum(1)
         while True:
             pending = np.where(done, np.inf, dist)
-            pick = np.argpartition(pending, 3, axis=1)[:, :4]
-            value = np.take_along_axis(pending, pick, axis=1)
-            active = np.isfinite(value)
+            pick = np.argpartition(pending, step - 1, axis=1)[:, :step]
+            active = np.isfinite(np.take_along_axis(pending, pick, axis=1))
             if not active.any():
                 break
             np.put_along_axis(done, pick, True, axis=1)
@@ -116,44 +143,97 @@ class Graph:
             d = np.full(new.shape, np.inf, dtype=np.float32)
             d[r, c] = np.maximum(own[r] + norm[new[r, c]] - 2 * np.einsum("ij,ij->i", x[r], self.centres[new[r, c]]), 0)
             ids, dist, done = np.concatenate((ids, new), axis=1), np.concatenate((dist, d), axis=1), np.concatenate((done, ~fresh), axis=1)
-            order = np.argsort(dist, axis=1, kind="stable")[:, :beam]
+            order = np.argpartition(dist, beam - 1, axis=1)[:, :beam]
             ids, dist, done = (np.take_along_axis(v, order, axis=1) for v in (ids, dist, done))
-        return ids, np.sqrt(dist)
+        order = np.argsort(dist, axis=1, kind="stable")
+        ids, dist = (np.take_along_axis(v, order, axis=1) for v in (ids, dist))
+        return np.where(np.isfinite(dist), ids, -1), np.sqrt(dist)
+
+    def reach(self, closest: np.ndarray, share: float) -> np.ndarray:
+        """How far from each vector its lists may be, by the distance of its closest one."""
+        return (1 + share) * np.maximum(closest, self.spread)
 
 
 def postings(graph: Graph, x: np.ndarray) -> list[list[int]]:
-    """The lists of every vector: the closest, and boundary replicas under the ratio and hiding rules."""
-    ids, dist = graph.nearest(x, 16)
-    out = []
-    for own, d in zip(ids.tolist(), dist.tolist(), strict=True):
-        chosen = [own[0]]
-        for c, far in zip(own[1:], d[1:], strict=True):
-            if len(chosen) == REPLICAS or c < 0 or far > (1 + CLOSURE) * d[0]:
-                break
-            hidden = ((graph.centres[chosen] - graph.centres[c]) ** 2).sum(1) < 0.5 * far * far
-            if not hidden.any():
-                chosen.append(c)
-        out.append(chosen)
-    return out
+    """The lists of every vector: the closest, and boundary replicas."""
+    ids, dist = (part[:, :REPLICAS] for part in graph.nearest(x, max(16, 4 * REPLICAS)))
+    keep = (ids >= 0) & (dist <= graph.reach(dist[:, :1], CLOSURE))
+    keep[:, 0] = True
+    return [own[k].tolist() for own, k in zip(ids, keep, strict=True)]
 
 
-def lists_of_query(graph: Graph, x: np.ndarray, length: np.ndarray) -> list[list[int]]:
-    """The lists that each query reads: by distance ratio, and on until they hold enough vectors."""
-    ids, dist = graph.nearest(x, BEAM)
-    out = []
-    for own, d in zip(ids.tolist(), dist.tolist(), strict=True):
-        held, chosen = 0, []
-        for c, far in zip(own, d, strict=True):
-            if c < 0 or (held >= ENOUGH and far > (1 + PRUNE) * d[0]):
-                break
-            chosen.append(c)
-            held += int(length[c])
-        if held < ENOUGH:
-            chosen = list(range(len(length)))
-        out.append(chosen)
+def lists_of_query(graph: Graph, x: np.ndarray, length: np.ndarray, beam: int = BEAM) -> list[list[int]]:
+    """The lists that each query reads: its closest ones, all within its reach, and on until they hold enough vectors."""
+    if not len(x):
+        return []
+    ids, dist = graph.nearest(x, beam)
+    inside = (ids >= 0) & (dist <= graph.reach(dist[:, :1], PRUNE))
+    inside[:, :NEAREST] = ids[:, :NEAREST] >= 0
+    held = np.cumsum(np.where(ids >= 0, length[ids], 0), axis=1)
+    inside[:, 1:] |= (held[:, :-1] < ENOUGH) & (ids[:, 1:] >= 0)
+    out = [own[k].tolist() for own, k in zip(ids, inside, strict=True)]
+    short = np.flatnonzero(inside[:, -1] | (held[:, -1] < ENOUGH)) if beam < len(length) else []
+    if len(short):  # the beam ended first
+        for i, more in zip(short, lists_of_query(graph, x[short], length, 4 * beam), strict=True):
+            out[i] = more
     return out
 
 
+def nearest_of_list(v: np.ndarray, vec_id: np.ndarray, q: np.ndarray, query_id: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, vector, score) by their places: the k nearest vectors of each query but itself, ties to the lesser id."""
+    near = squared(q, v)
+    near[query_id[:, None] == vec_id[None]] = np.inf
+    bound = np.full(len(q), np.finfo(np.float64).max)
+    if len(v) > k:  # with room for what rounding does to squares that are taken apart
+        slack = 1e-9 * ((q * q).sum(axis=1) + (v * v).sum(axis=1).max())
+        bound = np.minimum(np.partition(near, k - 1, axis=1)[:, k - 1] + slack, bound)
+    row, column = np.nonzero(near <= bound[:, None])
+    gap = q[row] - v[column]
+    score = np.sqrt(np.cumsum(gap * gap, axis=1)[:, -1])
+    order, first = _first_of(row, score, vec_id[column], k)
+    return row[order[first]], column[order[first]], score[order[first]]
+
+
+def _first_of(row: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """An order by row, score and id, and which of it are the first k of their row."""
+    order = np.lexsort((ids, score, row))
+    ordered = row[order]
+    begin = np.searchsorted(ordered, ordered)
+    return order, np.arange(len(order)) - begin < k
+
+
+def nearest_of_group(vectors: pa.Table, queries: pa.Table, k: int) -> pa.Table:
+    """query_id, vec_id, score: each query's k nearest among the vectors of the lists that it asks for."""
+    none = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+    if not len(vectors) or not len(queries):
+        return none
+    width = len(vectors.column("embedding")[0])
+    flat = lambda column: column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+    order = np.argsort(vectors.column("list").to_numpy(), kind="stable")
+    v, vec_id, of = flat(vectors.column("embedding"))[order], vectors.column("vec_id").to_numpy()[order], vectors.column("list").to_numpy()[order]
+    q, query_id, lists = flat(queries.column("q")), queries.column("query_id").to_numpy(), queries.column("lists").combine_chunks()
+    wanted = lists.flatten().to_numpy(zero_copy_only=False)
+    asker = np.repeat(np.arange(len(q)), lists.value_lengths().to_numpy(zero_copy_only=False))
+    by_list = np.argsort(wanted, kind="stable")
+    wanted, asker = wanted[by_list], asker[by_list]
+    found = []
+    for c in np.unique(wanted).tolist():
+        lo, hi = np.searchsorted(of, [c, c + 1])
+        own = asker[slice(*np.searchsorted(wanted, [c, c + 1]))]
+        if hi > lo:
+            row, column, score = nearest_of_list(v[lo:hi], vec_id[lo:hi], q[own], query_id[own], k)
+            found.append((own[row], vec_id[lo:hi][column], score))
+    if not found:
+        return none
+    row, ids, score = (np.concatenate(x) for x in zip(*found, strict=True))
+    order, _ = _first_of(row, score, ids, k)
+    row, ids, score = row[order], ids[order], score[order]
+    fresh = np.concatenate(([True], (row[1:] != row[:-1]) | (ids[1:] != ids[:-1])))  # replicas stand side by side
+    row, ids, score = row[fresh], ids[fresh], score[fresh]
+    order, first = _first_of(row, score, ids, k)
+    return pa.table({"query_id": query_id[row[order[first]]], "vec_id": ids[order[first]], "score": score[order[first]]})
+
+
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(len(column), width)
 
@@ -174,10 +254,16 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     if not head:
         return base.select(F.col("vec_id").cast("long").alias("query_id"), F.lit(0).alias("rank"), F.col("vec_id").cast("long").alias("vec_id"), F.lit(0.0).alias("score"))
     width, total = int(head[0]["width"]), int(head[0]["n"])
-    base = base.filter(F.size("embedding") == width)
+    base = base.filter(F.size("embedding") == width).withColumn("vec_id", F.col("vec_id").cast("long"))
+    again = work.save(base.groupBy("vec_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("vec_id"), "again")
+    if not again.isEmpty():
+        one = base.join(again, "vec_id", "left_semi").groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+        base = base.join(again, "vec_id", "left_anti").union(one)
     n_lists = max(1, min(CENTROIDS, total // LIST))
     rows = base.select("vec_id", F.col("embedding").cast("array<float>").alias("e")).orderBy(F.xxhash64("vec_id"), "vec_id").limit(min(SAMPLE, 32 * n_lists)).select("e").toArrow()
-    graph = Graph(fit(_matrix(rows.column("e").combine_chunks(), width), n_lists))
+    sample = _matrix(rows.column("e").combine_chunks(), width)
+    graph = Graph(fit_levels(sample, n_lists), sample)
+    del sample
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -191,24 +277,37 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     length = np.zeros(len(graph.centres), dtype=np.int64)
     for r in posted.groupBy("list").count().collect():  # one row for each centroid
         length[r["list"]] = r["count"]
-    parts = np.maximum(1, -(-length // PART))
+    hot = length > PART
+    group = np.where(hot, -1 - np.arange(len(length)), np.cumsum(np.where(hot, 0, length)) // GROUP)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 1000):
                 part = batch.slice(i, 1000)
                 lists = lists_of_query(graph, _matrix(part.column("q"), width), length)
-                keys = [[int(c) << 32 | p for c in own for p in range(int(parts[c]))] for own in lists]
-                yield pa.record_batch([part.column("query_id"), part.column("q"), pa.array(keys, pa.list_(pa.int64()))], ["query_id", "q", "keys"])
-
-    asked = usable(queries.select("vec_id", "embedding")).filter(F.size("embedding") == width).dropDuplicates(["vec_id"])
-    asked = asked.select(F.col("vec_id").cast("long").alias("query_id"), F.col("embedding").alias("q")).mapInArrow(route, "query_id long, q array<double>, keys array<long>")
-    asked = work.save(asked.select("query_id", "q", F.explode("keys").alias("key")), "asked")
-    n_parts = F.get(F.array(*(F.lit(int(p)) for p in parts)), F.col("list")) if parts.max() > 1 else F.lit(1)
-    keyed = posted.select("vec_id", "embedding", (F.col("list").cast("long") * (1 << 32) + F.pmod(F.xxhash64("vec_id"), n_parts.cast("long"))).alias("key"))
-    keyed = work.save(keyed, "keyed")
-    pairs = asked.join(keyed, "key").filter("vec_id <> query_id")
-    gap = F.sqrt(F.aggregate(F.zip_with("q", "embedding", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v))
-    best = pairs.select("query_id", "vec_id", gap.alias("score")).groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+                asks: list[dict[int, list[int]]] = []
+                for own in lists:
+                    asks.append({})
+                    for c in own:
+                        asks[-1].setdefault(int(group[c]), []).append(c)
+                row = [j for j, own in enumerate(asks) for _ in own]
+                cols = [pa.array([g for own in asks for g in own], pa.int64()), pa.array([cs for own in asks for cs in own.values()], pa.list_(pa.int32()))]
+                yield pa.record_batch([part.column("query_id").take(pa.array(row, pa.int64())), part.column("q").take(pa.array(row, pa.int64())), *cols], ["query_id", "q", "group", "lists"])
+
+    asked = usable(queries.select("vec_id", "embedding")).filter(F.size("embedding") == width)
+    asked = asked.groupBy(F.col("vec_id").cast("long").alias("query_id")).agg(F.min("embedding").alias("q")).mapInArrow(route, "query_id long, q array<double>, group long, lists array<int>")
+    asked = work.save(asked, "asked")
+    asking = {r["group"]: r["count"] for r in asked.groupBy("group").count().collect()}  # one row for each group, of at most as many as centroids
+    parts = [(int(c), int(g), max(1, -(-int(n) // PART)) if h else 1, max(1, -(-asking.get(int(g), 0) // ASKED))) for c, (g, n, h) in enumerate(zip(group, length, hot, strict=True))]
+    dealt = spark.createDataFrame(parts, "list int, group long, v_parts long, q_parts long")
+    copies = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    deal = lambda key, n: F.pmod(F.xxhash64(key), n)
+    left = posted.join(F.broadcast(dealt), "list").withColumn("v_part", deal("vec_id", F.col("v_parts"))).withColumn("q_part", copies(F.col("q_parts")))
+    right = asked.join(F.broadcast(dealt.select("group", "v_parts", "q_parts").distinct()), "group").withColumn("q_part", deal("query_id", F.col("q_parts"))).withColumn("v_part", copies(F.col("v_parts")))
+    keys = ("group", "v_part", "q_part")
+    left, right = left.select(*keys, "list", "vec_id", "embedding"), right.select(*keys, "query_id", "q", "lists")
+    near = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(lambda v, q: nearest_of_group(v, q, k), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    near = near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k * REPLICAS)  # hold k different ones
+    best = near.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

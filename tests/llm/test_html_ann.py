@@ -182,6 +182,52 @@ def test_graph_finds_the_nearest_centres():
     assert (ids[:, 0] == best).mean() >= 0.95
 
 
+def test_few_lists_are_read(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(300, 24))
+    x = (centres[rng.integers(300, size=20_000)] + 0.35 * rng.normal(size=(20_000, 24))).astype(np.float32)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got: dict[int, list] = {}
+    for r in ann.search(table, table.filter("vec_id % 100 = 0")).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    queries = np.arange(0, 20_000, 100)
+    far = ann.squared(x[queries].astype(np.float64), x.astype(np.float64))
+    far[np.arange(len(queries)), queries] = np.inf
+    want = np.argsort(far, axis=1)[:, :10]
+    assert np.mean([len(set(got[int(q)]) & set(w.tolist())) / 10 for q, w in zip(queries, want, strict=True)]) >= 0.9
+    graph = ann.Graph(ann.fit_levels(x, len(x) // ann.LIST), x)
+    posted = ann.postings(graph, x)
+    length = np.bincount([c for own in posted for c in own], minlength=len(graph.centres))
+    read = ann.lists_of_query(graph, x[queries], length)
+    assert 1.05 < length.sum() / len(x) <= ann.REPLICAS  # boundary vectors have replicas
+    assert np.mean([len(own) for own in read]) < 0.2 * len(length)
+    assert np.mean([length[own].sum() for own in read]) < 0.2 * length.sum()
+
+
+def test_recall_on_evenly_spread_vectors():
+    rng = np.random.default_rng(14)
+    x = rng.normal(size=(12_000, 48)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    graph = ann.Graph(ann.fit_levels(x, len(x) // ann.LIST), x)
+    lists: list[list[int]] = [[] for _ in graph.centres]
+    for i, own in enumerate(ann.postings(graph, x)):
+        for c in own:
+            lists[c].append(i)
+    queries = np.arange(0, 12_000, 100)
+    read = ann.lists_of_query(graph, x[queries], np.array([len(own) for own in lists]))
+    far = ann.squared(x[queries].astype(np.float64), x.astype(np.float64))
+    far[np.arange(len(queries)), queries] = np.inf
+    want = np.argsort(far, axis=1)[:, :10].tolist()
+    assert np.mean([len(set(w) & {i for c in own for i in lists[c]}) / 10 for w, own in zip(want, read, strict=True)]) >= 0.9
+
+
+def test_repeated_ids_are_one_vector(spark):
+    rows = [(0, [0.0, 1.0]), (1, [0.0, 5.0]), (1, [0.0, 1.1]), *[(2, [0.0, 1.2])] * 60, (3, [0.0, 9.0]), (4, [1.0, 1.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r.rank, r.vec_id) for r in ann.search(table, table.filter("vec_id = 0")).orderBy("rank").collect()]
+    assert got == [(1, 1), (2, 2), (3, 4), (4, 3)]
+
+
 def test_odd_vectors(spark):
     rows = [(1, [1.0, 0.0]), (2, None), (3, [0.0, 0.0]), (4, [1.0, float("nan")]), (5, [1.0, None]), (6, [float("inf"), 1.0]), (7, [0.5, 0.5]), (None, [1.0, 1.0]), (8, [1.0, 2.0, 3.0]), (100, [1.0, 0.1]), (100, [1.0, 0.1])]
     table = spark.createDataFrame([(*r, "x", 1.0) for r in rows], "vec_id long, embedding array<float>, list string, score double")
