@@ -7,7 +7,9 @@ are sorted where it can matter:
    leftmost of equals). Equal windows have equal anchors at equal places, so only windows whose
    anchor occurs twice or more go on. Consecutive windows with one anchor form a segment.
 2. Segments with equal bytes are counted; where there are two or more, all their windows repeat.
-   This is a partial aggregate, so a group of copies is one row for each map task.
+   This is a partial aggregate, so a group of copies is one row for each map task. Bytes are told
+   apart by two independent 64-bit hashes, a polynomial one and XXH3, the second being the
+   verification of what the first calls equal without bringing the bytes together.
 3. Of the rest, one copy of each distinct segment goes to its anchor's bucket. There the suffixes
    that start at windows with equal distance to the anchor are sorted by mergesort. Suffixes are
    compared by prefix polynomial hashes: a binary search finds their common extension, the next byte
@@ -16,11 +18,13 @@ are sorted where it can matter:
 4. A bucket of more than ``MOST`` distinct segments (a passage in very many different surroundings)
    isn't gathered in one task. Its segments are cut to blocks of ``BLOCK`` windows, whose new anchor is
    all that the block's windows have in common; equal blocks are counted, and the rest sorted by their
-   new buckets. In buckets that are still too large (the passage's edges), windows are counted by a
-   128-bit hash in a partial aggregate.
+   new buckets. In buckets that are still too large (the passage's edges), windows are counted by
+   the same two hashes in a partial aggregate.
 
 Then each document's repeated windows are joined to spans. The corpus is shuffled once by its anchors
-(8 bytes for about every 50), the texts of documents with repeated anchors twice.
+(8 bytes for about every 50), the texts of documents with repeated anchors twice. Tables that grow
+with the corpus are joined by sorting, whose hot keys Spark splits; none of them is broadcast. A document
+is named by two 64-bit hashes of its id and text.
 
 Null text counts as empty: 0 bytes, nothing removed. Rows with equal doc_id and text repeat each other
 and have equal results; a null doc_id stays null. Other columns are kept by ``remove_repeats``.
@@ -33,6 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -172,8 +177,23 @@ class SuffixSort:
         return out
 
 
-def _key() -> Column:
-    return F.xxhash64("doc_id", "text")
+#: A document's name: two hashes of its id and text, with seeds of their own.
+KEY = ("key", "key2")
+
+
+def _keys(doc_id: Column, text: Column) -> list[Column]:
+    return [F.xxhash64(doc_id, text).alias("key"), F.xxhash64(F.lit(7), text, doc_id).alias("key2")]
+
+
+def _merged(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """A join of two tables that grow with the corpus: by sorting, never by broadcast."""
+    return left.join(right.hint("merge"), on, how)
+
+
+def _checks(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """XXH3 of each data[start:end]."""
+    raw = memoryview(np.ascontiguousarray(data))
+    return np.fromiter((xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(start.tolist(), end.tolist(), strict=True)), dtype=U, count=len(start))
 
 
 def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
@@ -190,13 +210,13 @@ def _anchor_lists(docs: DataFrame, size: int) -> DataFrame:
                 offsets = np.searchsorted(row, np.arange(len(texts) + 1)).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(anchor.astype(np.int64)))
                 sha = pa.array([hashlib.sha256(texts.text(i)).hexdigest() for i in range(len(texts))])
-                yield pa.record_batch([part.column("doc_id"), part.column("key"), pa.array(texts.end - texts.start), sha, lists], ["doc_id", "key", "n_bytes", "sha", "anchors"])
+                yield pa.record_batch([*(part.column(c) for c in ("doc_id", *KEY)), pa.array(texts.end - texts.start), sha, lists], ["doc_id", *KEY, "n_bytes", "sha", "anchors"])
 
-    return docs.select("doc_id", "key", "text").mapInArrow(run, "doc_id long, key long, n_bytes long, sha string, anchors array<long>")
+    return docs.select("doc_id", *KEY, "text").mapInArrow(run, "doc_id long, key long, key2 long, n_bytes long, sha string, anchors array<long>")
 
 
 def _segment_rows(texts: DataFrame, size: int) -> DataFrame:
-    """(a, seg, key, at, n) of every segment whose anchor is in the document's list."""
+    """(a, seg, seg2, key, key2, at, n) of every segment whose anchor is in the document's list (or in that of one with its first key)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -214,33 +234,35 @@ def _segment_rows(texts: DataFrame, size: int) -> DataFrame:
                 anchor, row, at, n = anchor[keep], row[keep], at[keep], n[keep]
                 end = at + n - 1 + size
                 seg = mix64((prefix[end] - prefix[at]) * powers(len(prefix), _INVERSE)[at] + (end - at).astype(U) * U(MIX_B)) if len(at) else anchor
-                key = part.column("key").to_numpy(zero_copy_only=False)[row] if len(row) else np.zeros(0, np.int64)
-                cols = [anchor.astype(np.int64), seg.astype(np.int64), key.astype(np.int64), (at - texts.start[row]).astype(np.int32), n.astype(np.int32)]
-                yield pa.record_batch([pa.array(c) for c in cols], ["a", "seg", "key", "at", "n"])
+                keys = [part.column(c).to_numpy(zero_copy_only=False)[row].astype(np.int64) if len(row) else np.zeros(0, np.int64) for c in KEY]
+                cols = [anchor.astype(np.int64), seg.astype(np.int64), _checks(texts.data, at, end).astype(np.int64), *keys, (at - texts.start[row]).astype(np.int32), n.astype(np.int32)]
+                yield pa.record_batch([pa.array(c) for c in cols], ["a", "seg", "seg2", *KEY, "at", "n"])
 
-    return texts.mapInArrow(run, "a long, seg long, key long, at int, n int")
+    return texts.mapInArrow(run, "a long, seg long, seg2 long, key long, key2 long, at int, n int")
 
 
 def _cut(texts: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(a, seg, once, n_segs, bytes) of the wanted segments, cut from one text each."""
-    lists = wanted.groupBy("key").agg(F.collect_list(F.struct("a", "seg", "at", "n", "once", "n_segs")).alias("cuts"))
+    """(a, seg, seg2, once, n_segs, bytes) of the wanted segments, cut from one text each."""
+    lists = wanted.groupBy(*KEY).agg(F.collect_list(F.struct("a", "seg", "seg2", "at", "n", "once", "n_segs")).alias("cuts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
             for text, cuts in zip(batch.column("text").to_pylist(), batch.column("cuts").to_pylist(), strict=True):
                 raw = text.encode()
-                rows += [(c["a"], c["seg"], c["once"], c["n_segs"], raw[c["at"] : c["at"] + c["n"] - 1 + size]) for c in cuts]
-            cols = list(zip(*rows, strict=True)) or [[]] * 5
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary()), strict=True)], ["a", "seg", "once", "n_segs", "bytes"])
+                rows += [(c["a"], c["seg"], c["seg2"], c["once"], c["n_segs"], raw[c["at"] : c["at"] + c["n"] - 1 + size]) for c in cuts]
+            cols = list(zip(*rows, strict=True)) or [[]] * 6
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary())
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["a", "seg", "seg2", "once", "n_segs", "bytes"])
 
-    return texts.select("key", "text").join(lists, "key").select("text", "cuts").mapInArrow(run, "a long, seg long, once boolean, n_segs long, bytes binary")
+    whole = _merged(texts.select(*KEY, "text"), lists, list(KEY))
+    return whole.select("text", "cuts").mapInArrow(run, "a long, seg long, seg2 long, once boolean, n_segs long, bytes binary")
 
 
 def _sorted_buckets(cuts: DataFrame, size: int) -> DataFrame:
-    """(a, seg, lo, hi): runs of windows that repeat in their bucket, by suffix sort, for segments that occur once."""
+    """(a, seg, seg2, lo, hi): runs of windows that repeat in their bucket, by suffix sort, for segments that occur once."""
 
-    def solve(a: np.ndarray, seg: np.ndarray, once: np.ndarray, raw: list[bytes]) -> pa.RecordBatch:
+    def solve(a: np.ndarray, seg: np.ndarray, seg2: np.ndarray, once: np.ndarray, raw: list[bytes]) -> pa.RecordBatch:
         data = np.frombuffer(b"".join(raw), dtype=np.uint8)
         length = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))
         begin = np.cumsum(length) - length
@@ -259,9 +281,10 @@ def _sorted_buckets(cuts: DataFrame, size: int) -> DataFrame:
         rows = []
         edge = np.cumsum(n)
         for i in np.unique(owner[flags & once[owner]]).tolist():
-            rows += [(int(a[i]), int(seg[i]), lo, hi) for lo, hi in _runs(flags[edge[i] - n[i] : edge[i]])]
-        cols = list(zip(*rows, strict=True)) or [[]] * 4
-        return pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["a", "seg", "lo", "hi"])
+            rows += [(int(a[i]), int(seg[i]), int(seg2[i]), lo, hi) for lo, hi in _runs(flags[edge[i] - n[i] : edge[i]])]
+        cols = list(zip(*rows, strict=True)) or [[]] * 5
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+        return pa.record_batch([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["a", "seg", "seg2", "lo", "hi"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -275,7 +298,7 @@ def _sorted_buckets(cuts: DataFrame, size: int) -> DataFrame:
                 if end <= begin:
                     end = int(np.searchsorted(a, a[begin], side="right"))
                 part = table.slice(begin, end - begin)
-                yield solve(a[begin:end], part.column("seg").to_numpy(), part.column("once").to_numpy(), part.column("bytes").to_pylist())
+                yield solve(a[begin:end], part.column("seg").to_numpy(), part.column("seg2").to_numpy(), part.column("once").to_numpy(), part.column("bytes").to_pylist())
                 begin = end
 
         for batch in batches:
@@ -291,11 +314,11 @@ def _sorted_buckets(cuts: DataFrame, size: int) -> DataFrame:
         if held:
             yield from flush(pa.Table.from_batches(held))
 
-    return cuts.select("a", "seg", "once", "bytes").repartition("a").sortWithinPartitions("a").mapInArrow(run, "a long, seg long, lo int, hi int")
+    return cuts.select("a", "seg", "seg2", "once", "bytes").repartition("a").sortWithinPartitions("a").mapInArrow(run, "a long, seg long, seg2 long, lo int, hi int")
 
 
 def _blocks(cuts: DataFrame, size: int) -> DataFrame:
-    """(a, seg, once, off, n, a2, c2, bytes): the blocks of segments, with their new anchor and the hash of their bytes."""
+    """(a, seg, seg2, once, off, n, a2, c2, d2, bytes): the blocks of segments, with their new anchor and the hashes of their bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -318,32 +341,33 @@ def _blocks(cuts: DataFrame, size: int) -> DataFrame:
                 end = start[head] + count - 1 + size
                 c2 = mix64((prefix[end] - prefix[start[head]]) * powers(len(prefix), _INVERSE)[start[head]] + count.astype(U) * U(MIX_B))
                 cut = [data[x:y].tobytes() for x, y in zip(start[head].tolist(), end.tolist(), strict=True)]
-                cols = [a, take("seg"), take("once"), index[head].astype(np.int32), count.astype(np.int32), a2.astype(np.int64), c2.astype(np.int64)]
-                yield pa.record_batch([*map(pa.array, cols), pa.array(cut, pa.binary())], ["a", "seg", "once", "off", "n", "a2", "c2", "bytes"])
+                d2 = _checks(data, start[head], end)
+                cols = [a, take("seg"), take("seg2"), take("once"), index[head].astype(np.int32), count.astype(np.int32), a2.astype(np.int64), c2.astype(np.int64), d2.astype(np.int64)]
+                yield pa.record_batch([*map(pa.array, cols), pa.array(cut, pa.binary())], ["a", "seg", "seg2", "once", "off", "n", "a2", "c2", "d2", "bytes"])
 
-    return cuts.select("a", "seg", "once", "bytes").mapInArrow(run, "a long, seg long, once boolean, off int, n int, a2 long, c2 long, bytes binary")
+    return cuts.select("a", "seg", "seg2", "once", "bytes").mapInArrow(run, "a long, seg long, seg2 long, once boolean, off int, n int, a2 long, c2 long, d2 long, bytes binary")
 
 
 def _large_buckets(cuts: DataFrame, work: Workspace, size: int) -> DataFrame:
-    """(a, seg, lo, hi) as from _sorted_buckets, of the segments of large buckets, by blocks."""
+    """(a, seg, seg2, lo, hi) as from _sorted_buckets, of the segments of large buckets, by blocks."""
     blocks = work.save(_blocks(cuts, size), "blocks")
-    one = blocks.groupBy("a2", "c2").agg(F.count(F.lit(1)).alias("c"), F.first("bytes").alias("bytes"), F.first("n").alias("n"))
+    one = blocks.groupBy("a2", "c2", "d2").agg(F.count(F.lit(1)).alias("c"), F.first("bytes").alias("bytes"), F.first("n").alias("n"))
     one = work.save(one, "distinct-blocks")
     mixed = work.save(one.groupBy("a2").agg(F.count(F.lit(1)).alias("n_segs")).filter("n_segs > 1"), "mixed-blocks")
-    rest = one.join(mixed, "a2").select(F.col("a2").alias("a"), F.col("c2").alias("seg"), (F.col("c") == 1).alias("once"), "n_segs", "bytes")
+    rest = _merged(one, mixed, "a2").select(F.col("a2").alias("a"), F.col("c2").alias("seg"), F.col("d2").alias("seg2"), (F.col("c") == 1).alias("once"), "n_segs", "bytes")
     rest = work.save(rest, "rest-blocks")
     windows = work.save(_windows(rest.filter(F.col("n_segs") > MOST), size), "windows")
     again = work.save(windows.groupBy("h1", "h2").count().filter("count > 1").select("h1", "h2"), "again")
-    edges = windows.join(again, ["h1", "h2"]).filter("once").select("a", "seg", F.col("i").alias("lo"), (F.col("i") + 1).alias("hi"))
+    edges = _merged(windows, again, ["h1", "h2"]).filter("once").select("a", "seg", "seg2", F.col("i").alias("lo"), (F.col("i") + 1).alias("hi"))
     found = _sorted_buckets(rest.filter(F.col("n_segs") <= MOST), size).union(edges)
-    found = found.union(one.filter("c > 1").select("a2", "c2", F.lit(0), "n"))
-    found = work.save(found.select(F.col("a").alias("a2"), F.col("seg").alias("c2"), "lo", "hi"), "found-blocks")
-    back = blocks.filter("once").join(found, ["a2", "c2"])
-    return back.select("a", "seg", (F.col("off") + F.col("lo")).alias("lo"), (F.col("off") + F.col("hi")).alias("hi"))
+    found = found.union(one.filter("c > 1").select("a2", "c2", "d2", F.lit(0), "n"))
+    found = work.save(found.select(F.col("a").alias("a2"), F.col("seg").alias("c2"), F.col("seg2").alias("d2"), "lo", "hi"), "found-blocks")
+    back = _merged(blocks.filter("once").drop("bytes"), found, ["a2", "c2", "d2"])
+    return back.select("a", "seg", "seg2", (F.col("off") + F.col("lo")).alias("lo"), (F.col("off") + F.col("hi")).alias("hi"))
 
 
 def _windows(cuts: DataFrame, size: int) -> DataFrame:
-    """(a, seg, once, i, h1, h2): every window of the segments of buckets that stay large, by its 128-bit hash."""
+    """(a, seg, seg2, once, i, h1, h2): every window of the segments of buckets that stay large, by its two hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -356,44 +380,46 @@ def _windows(cuts: DataFrame, size: int) -> DataFrame:
                 index = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
                 start = (np.cumsum(length) - length)[owner] + index
                 h1 = mix64(window_hash(prefix_hash(data), start, size))
-                h2 = mix64(window_hash(prefix_hash(data[::-1]), len(data) - start - size, size))
+                h2 = _checks(data, start, start + size)
                 take = lambda name: part.column(name).to_numpy(zero_copy_only=False)[owner]  # noqa: E731, B023
-                cols = [take("a"), take("seg"), take("once"), index.astype(np.int32), h1.astype(np.int64), h2.astype(np.int64)]
-                yield pa.record_batch([pa.array(c) for c in cols], ["a", "seg", "once", "i", "h1", "h2"])
+                cols = [take("a"), take("seg"), take("seg2"), take("once"), index.astype(np.int32), h1.astype(np.int64), h2.astype(np.int64)]
+                yield pa.record_batch([pa.array(c) for c in cols], ["a", "seg", "seg2", "once", "i", "h1", "h2"])
 
-    return cuts.select("a", "seg", "once", "bytes").mapInArrow(run, "a long, seg long, once boolean, i int, h1 long, h2 long")
+    return cuts.select("a", "seg", "seg2", "once", "bytes").mapInArrow(run, "a long, seg long, seg2 long, once boolean, i int, h1 long, h2 long")
 
 
 def repeated_spans(docs: DataFrame, size: int = 200) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, key, n_bytes, sha) of each document; and (key, text, spans) of those with repeated bytes,
+    """(doc_id, KEY, n_bytes, sha) of each document; and (KEY, text, spans) of those with repeated bytes,
     spans being sorted (start, end) in bytes that may overlap."""
     if size < 2 * K:
         raise ValueError(f"strings must have at least {2 * K} bytes")
-    spark = docs.sparkSession
+    spark, key = docs.sparkSession, list(KEY)
     work = Workspace(spark, "suffix")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("key", _key())
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    docs = docs.select("doc_id", "text", *_keys(F.col("doc_id"), F.col("text")))
     listed = work.save(_anchor_lists(docs, size), "anchors")
-    each = listed.select("key", F.explode("anchors").alias("a"))
+    each = listed.select("key", F.explode("anchors").alias("a"))  # one key will do: anchors of another document are passed over
     twice = work.save(each.groupBy("a").count().filter("count > 1").select("a"), "twice")
-    lists = each.join(twice, "a").groupBy("key").agg(F.collect_set("a").alias("anchors"))
+    lists = _merged(each, twice, "a").groupBy("key").agg(F.collect_set("a").alias("anchors"))
     lists = work.save(lists, "lists")
-    texts = work.save(docs.select("key", "text").join(lists, "key"), "texts")
+    texts = work.save(_merged(docs.select(*KEY, "text"), lists, "key"), "texts")
     segs = work.save(_segment_rows(texts, size), "segments")
-    distinct = segs.groupBy("a", "seg").agg(F.count(F.lit(1)).alias("c"), F.min("key").alias("key"), F.min_by("at", "key").alias("at"), F.first("n").alias("n"))
-    distinct = work.save(distinct, "distinct")
+    distinct = segs.groupBy("a", "seg", "seg2").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(*KEY, "at", "n")).alias("p"))
+    distinct = work.save(distinct.select("a", "seg", "seg2", "c", "p.*"), "distinct")
     mixed = work.save(distinct.groupBy("a").agg(F.count(F.lit(1)).alias("n_segs")).filter("n_segs > 1"), "mixed")
-    wanted = distinct.join(mixed, "a").select("key", "a", "seg", "at", "n", (F.col("c") == 1).alias("once"), "n_segs")
-    one_text = texts.dropDuplicates(["key"])
+    wanted = _merged(distinct, mixed, "a").select(*KEY, "a", "seg", "seg2", "at", "n", (F.col("c") == 1).alias("once"), "n_segs")
+    one_text = texts.dropDuplicates(key)
     cuts = work.save(_cut(one_text, wanted, size), "cuts")
     small = _sorted_buckets(cuts.filter(F.col("n_segs") <= MOST), size)
     many = cuts.filter(F.col("n_segs") > MOST)
     parts = small if many.isEmpty() else small.union(_large_buckets(many, work, size))
-    parts = parts.groupBy("a", "seg").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
-    whole = distinct.filter("c > 1").select("a", "seg", F.array(F.struct(F.lit(0).alias("lo"), F.col("n").alias("hi"))).alias("runs"))
+    parts = parts.groupBy("a", "seg", "seg2").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
+    whole = distinct.filter("c > 1").select("a", "seg", "seg2", F.array(F.struct(F.lit(0).alias("lo"), F.col("n").alias("hi"))).alias("runs"))
     repeats = work.save(parts.union(whole), "repeats")
-    spans = segs.join(repeats, ["a", "seg"]).select("key", F.explode(F.transform("runs", lambda r: F.struct((F.col("at") + r.lo).alias("start"), (F.col("at") + r.hi - 1 + size).alias("end")))).alias("span"))
-    spans = spans.groupBy("key").agg(F.array_sort(F.collect_set("span")).alias("spans"))
-    found = work.save(one_text.select("key", "text").join(spans, "key"), "spans")
+    place = F.transform("runs", lambda r: F.struct((F.col("at") + r.lo).alias("start"), (F.col("at") + r.hi - 1 + size).alias("end")))
+    spans = _merged(segs, repeats, ["a", "seg", "seg2"]).select(*KEY, F.explode(place).alias("span"))
+    spans = spans.groupBy(*KEY).agg(F.array_sort(F.collect_set("span")).alias("spans"))
+    found = work.save(_merged(one_text.select(*KEY, "text"), spans, key), "spans")
     return listed.drop("anchors"), found
 
 
@@ -409,23 +435,23 @@ def joined(spans: list[dict]) -> list[tuple[int, int]]:
 
 
 def _cleaned(found: DataFrame) -> DataFrame:
-    """(key, n_removed, n_spans, kept_sha256, kept_text, runs) of the documents with repeats."""
+    """(KEY, n_removed, n_spans, kept_sha256, kept_text) of the documents with repeats."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "n_removed", "n_spans", "kept_sha256", "kept_text"]
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+        names = [*KEY, "n_removed", "n_spans", "kept_sha256", "kept_text"]
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
         for batch in batches:
             rows = []
-            for key, text, spans in zip(*(batch.column(c).to_pylist() for c in ("key", "text", "spans")), strict=True):
+            for key, key2, text, spans in zip(*(batch.column(c).to_pylist() for c in (*KEY, "text", "spans")), strict=True):
                 raw, runs, at, kept = text.encode(), joined(spans), 0, []
                 for a, b in runs:
                     kept.append(raw[at:a])
                     at = b
                 rest = b"".join([*kept, raw[at:]])
-                rows.append((key, len(raw) - len(rest), len(runs), hashlib.sha256(rest).hexdigest(), b"".join([*(k.decode(errors="ignore").encode() for k in kept), raw[at:].decode(errors="ignore").encode()]).decode()))
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [[]] * 5, types, strict=True)], names)
+                rows.append((key, key2, len(raw) - len(rest), len(runs), hashlib.sha256(rest).hexdigest(), b"".join([*(k.decode(errors="ignore").encode() for k in kept), raw[at:].decode(errors="ignore").encode()]).decode()))
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [[]] * 6, types, strict=True)], names)
 
-    return found.mapInArrow(run, "key long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
+    return found.mapInArrow(run, "key long, key2 long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
 
 
 def digest(docs: DataFrame, size: int = 200) -> DataFrame:
@@ -433,15 +459,15 @@ def digest(docs: DataFrame, size: int = 200) -> DataFrame:
     listed, found = repeated_spans(docs, size)
     done = _cleaned(found).drop("kept_text")
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
-    return listed.join(done, "key", "left").select("doc_id", "n_bytes", zero("n_removed"), zero("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"))
+    return _merged(listed, done, list(KEY), "left").select("doc_id", "n_bytes", zero("n_removed"), zero("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"))
 
 
 def remove_repeats(docs: DataFrame, size: int = 200) -> DataFrame:
     """The documents without repeated bytes; of a character cut in two, the rest goes too."""
     _, found = repeated_spans(docs, size)
-    done = _cleaned(found).select(F.col("key").alias("_key"), F.col("kept_text").alias("_kept"))
-    key = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
-    out = docs.withColumn("_key", key).join(done, "_key", "left").withColumn("text", F.coalesce("_kept", "text"))
+    done = _cleaned(found).select(F.col("key").alias("_key"), F.col("key2").alias("_key2"), F.col("kept_text").alias("_kept"))
+    one, two = _keys(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
+    out = _merged(docs.withColumn("_key", one).withColumn("_key2", two), done, ["_key", "_key2"], "left").withColumn("text", F.coalesce("_kept", "text"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("_kept").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast("long"))
     return out.select(docs.columns)

@@ -5,9 +5,11 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from evidentia.llm import neardup, suffix
-from evidentia.llm.common import Workspace
+from evidentia.llm.common import Workspace, word_hash
 from evidentia.llm.components import components
 
 from .cases import SCHEMA, odd_rows
@@ -137,6 +139,43 @@ def test_repeats_equal_brute_force(spark, monkeypatch, most):
     assert [got[i] for i in range(len(texts))] == brute_repeats(texts)
 
 
+def test_colliding_hashes_change_nothing(spark, monkeypatch):
+    weak = lambda x: np.asarray(x, dtype=np.uint64) % np.uint64(5)
+    monkeypatch.setattr(suffix, "mix64", weak)
+    monkeypatch.setattr(suffix, "MOST", 8)
+    texts = repeat_texts() + [x * 3 for x in doubled(512)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.digest(rows).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_repeats(texts)
+
+
+def doubled(n):
+    """The two complementary strings of a and b that doubling makes, of n letters: polynomials modulo 2**64 give them one hash."""
+    a, b = "a", "b"
+    while len(a) < n:
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_words_of_doubling_strings_differ(spark):
+    texts = []
+    for n in (8, 1024, 4096, 65536):
+        texts += [" ".join(f"{w}{i}" for i in range(6)) + f" {w}" for w in doubled(n)]
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 1).collect()}
+    assert got == {i: i for i in range(len(texts))}
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.binary(min_size=1, max_size=70).filter(lambda b: not set(b) & set(b" \t\n\x0b\x0c\r")), max_size=20))
+def test_word_hash_is_one_of_its_bytes(words):
+    data = np.frombuffer(b" ".join(words), dtype=np.uint8)
+    size = np.array([len(w) for w in words], dtype=np.int64)
+    start = np.cumsum(size + 1) - size - 1
+    got = word_hash(data, start, start + size).tolist()
+    alone = [int(word_hash(np.frombuffer(w, dtype=np.uint8), np.array([0]), np.array([len(w)]))[0]) for w in words]
+    assert got == alone and len(set(got)) == len(set(words))
+
+
 def test_suffix_sort_is_the_order_of_the_bytes():
     rng = np.random.default_rng(2)
     data = rng.integers(97, 99, size=400, dtype=np.uint8)
