@@ -7,10 +7,12 @@ transition carries how many words sort before it, so a path adds up to the word'
 number leads to its ids. The automaton is a few flat arrays in one byte string, which every worker
 puts in an unlinked scratch file and maps into memory. Its size is that of the vocabulary.
 
-Words outside it are merged exactly: all unseen words of a slice at once, each round applying to
-every word its lowest-ranked pair. Texts with characters for which the libraries' Unicode tables
-might differ, special tokens, or words over 1,000 bytes are encoded by the tokenizer file's own
-library. A worker's memory is bounded by one slice of text and a cache of 400,000 words.
+Every slice's distinct words walk the automaton together; those that it lacks are merged exactly, all
+unseen words of a slice at once, each round applying to every word its lowest-ranked pair, and very
+long ones by a queue of pairs. A cache keeps merged words, never the automaton's. Special tokens are cut
+out first. Texts of Latin letters are normalised and cut into words here; for others, whose Unicode
+tables might differ, the file's own normaliser and word pattern say what the words are. No text is
+encoded by the library. A worker's memory is bounded by one slice of text and 400,000 merged words.
 
 Null text counts as empty and gives no ids. Repeated rows are encoded each; other columns are kept,
 except that results replace columns of their names.
@@ -20,6 +22,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import heapq
 import json
 import mmap
 import re
@@ -40,7 +43,9 @@ END = "</w>"
 WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 #: Characters on which Python's re and the file's patterns agree.
 USUAL = re.compile("[\x00-\x1b\x20-\x7f¡-±´-¸º»¿-ɏ]*")
-CHAR_OF = {b: c for c, b in _byte_of().items()}
+BYTE_OF = _byte_of()
+CHAR_OF = {b: c for c, b in BYTE_OF.items()}
+#: Bytes of a word from which it is merged by a queue.
 LONGEST = 1000
 CACHED = 400_000
 
@@ -53,6 +58,7 @@ class Merges:
             spec = json.load(f)
         vocab = spec["model"]["vocab"]
         self.special = [t["content"] for t in spec["added_tokens"]]
+        self.special_id = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.token = {i: t for t, i in vocab.items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
         self.first = np.array([vocab[CHAR_OF[b]] for b in range(256)], dtype=np.int64)
         self.last = np.array([vocab[CHAR_OF[b] + END] for b in range(256)], dtype=np.int64)
@@ -62,6 +68,7 @@ class Merges:
         self.key, self.rank = key[order], order.astype(np.int64)
         self.made = np.array([vocab[a + b] for a, b in pairs], dtype=np.int64)
         self.none = len(pairs)
+        self.pairs = {(vocab[a], vocab[b]): i for i, (a, b) in reversed(list(enumerate(pairs)))}
         self.vocab = vocab
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -108,6 +115,32 @@ class Merges:
         return ids[order], np.bincount(where, minlength=len(words))
 
 
+    def merge_long(self, word: bytes) -> np.ndarray:
+        """ids of one long word: its pairs wait in a queue by rank and place, so time is n log n."""
+        sym = self.first[np.frombuffer(word, dtype=np.uint8)]
+        sym[-1] = self.last[word[-1]]
+        rank = self.ranks(sym[:-1], sym[1:])
+        known = np.flatnonzero(rank < self.none)
+        queue = list(zip(rank[known].tolist(), known.tolist(), sym[known].tolist(), sym[known + 1].tolist(), strict=True))
+        heapq.heapify(queue)
+        sym = sym.tolist()
+        after, before = list(range(1, len(sym) + 1)), list(range(-1, len(sym) - 1))
+        pairs, made, end = self.pairs, self.made, len(sym)
+        while queue:
+            r, a, left, right = heapq.heappop(queue)
+            b = after[a]
+            if sym[a] != left or b >= end or sym[b] != right:
+                continue  # one of them has merged since
+            sym[a], sym[b] = int(made[r]), -1
+            c = after[a] = after[b]
+            if c < end:
+                before[c] = a
+            for x, y in ((before[a], a), (a, c)):
+                if x >= 0 and y < end and (rank_ := pairs.get((sym[x], sym[y]))) is not None:
+                    heapq.heappush(queue, (rank_, x, sym[x], sym[y]))
+        return np.array([x for x in sym if x >= 0], dtype=np.int64)
+
+
 class Lexicon:
     """A minimal acyclic automaton over byte strings with ids as outputs, in one byte string."""
 
@@ -221,67 +254,93 @@ def compile_lexicon(path: str, extra: tuple[str, ...] = ()) -> bytes:
 
 
 class Encoder:
-    """Encodes texts; keeps the ids of the words that it has met, up to a bound."""
+    """Encodes texts; keeps the ids of the words that it has merged, up to a bound."""
 
     def __init__(self, path: str, lexicon: bytes):
         self.path, self.model, self.lexicon = path, merges(path), Lexicon(lexicon)
+        self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.model.special, key=len, reverse=True))) + ")") if self.model.special else None
+        self.known_text: dict[int, str] = {}
         self.clear()
 
     @functools.cached_property
-    def exact(self):
-        """The file's own library; loaded by the first text that needs it."""
-        return library(self.path)
+    def rules(self):
+        """The file's normaliser and word pattern; loaded by the first text that needs them."""
+        whole = library(self.path)
+        return whole.normalizer, whole.pre_tokenizer
 
     def clear(self) -> None:
-        self.index: dict[str, int] = {}
+        self.index: dict[bytes, int] = {}
         self.decoded: list[str] = []
         self.flat = np.zeros(0, dtype=np.int64)
         self.size = np.zeros(0, dtype=np.int64)
 
-    def usual(self, text: str) -> bool:
-        return bool(USUAL.fullmatch(text)) and not any(s in text for s in self.model.special)
+    def words(self, text: str) -> list[bytes]:
+        """The words of a text without special tokens."""
+        if USUAL.fullmatch(text):
+            return [w.encode() for w in WORD.findall(text.lower())]
+        normaliser, pattern = self.rules
+        return [bytes(map(BYTE_OF.__getitem__, w)) for w, _ in pattern.pre_tokenize_str(normaliser.normalize_str(text))]
+
+    def units(self, text: str) -> list[bytes | int]:
+        """The words of a text, and the ids of its special tokens, in order."""
+        if self.specials is None or not self.specials.search(text):
+            return self.words(text)
+        out: list[bytes | int] = []
+        for i, part in enumerate(self.specials.split(text)):
+            out += [self.model.special_id[part]] if i % 2 else self.words(part)
+        return out
 
-    def learn(self, words: list[str]) -> None:
-        """Ids of new words: from the automaton, or else merged."""
+    def learn(self, words: list[bytes]) -> None:
+        """Merges words that are neither in the automaton nor in the cache."""
         if not words:
             return
-        raw = [w.encode() for w in words]
-        number = self.lexicon.numbers(raw)
-        known, unseen = np.flatnonzero(number >= 0), np.flatnonzero(number < 0)
-        size = np.zeros(len(words), dtype=np.int64)
-        a, b = self.lexicon.offset[number[known]], self.lexicon.offset[number[known] + 1]
-        size[known] = b - a
-        merged, counts = self.model.merge([raw[i] for i in unseen]) if len(unseen) else (np.zeros(0, np.int64),) * 2
-        size[unseen] = counts
+        short = [w for w in words if len(w) < LONGEST]
+        flat, size = self.model.merge(short)
+        for w in words:
+            if len(w) >= LONGEST:
+                one = self.model.merge_long(w)
+                flat, size, short = np.concatenate((flat, one)), np.append(size, len(one)), [*short, w]
         end = np.cumsum(size)
-        flat = np.zeros(int(end[-1]), dtype=np.int64)
-        flat[expand(end[known] - size[known], size[known])] = self.lexicon.ids[expand(a, size[known])]
-        flat[expand(end[unseen] - size[unseen], size[unseen])] = merged
-        token = self.model.token
-        names = [token[i] for i in flat.tolist()]
+        names = self.names(flat)
         self.decoded += [" ".join(names[e - n : e]) for e, n in zip(end.tolist(), size.tolist(), strict=True)]
-        self.index.update(zip(words, range(len(self.index), len(self.index) + len(words)), strict=True))
+        self.index.update(zip(short, range(len(self.index), len(self.index) + len(short)), strict=True))
         self.flat, self.size = np.concatenate((self.flat, flat)), np.concatenate((self.size, size))
 
+    def names(self, ids: np.ndarray) -> list[str]:
+        token = self.model.token
+        return [token[i] for i in ids.tolist()]
+
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, str]]:
         """ids and decoded text of each text."""
         if len(self.index) > CACHED:
             self.clear()
-        found = [WORD.findall(t.lower()) if self.usual(t) else None for t in texts]
-        new = [w for w in dict.fromkeys(chain.from_iterable(w for w in found if w)) if w not in self.index]
-        if long := {w for w in new if len(w) > LONGEST // 2}:
-            found = [None if words and not long.isdisjoint(words) else words for words in found]
-            new = [w for w in new if w not in long]
-        self.learn(new)
-        offset = np.cumsum(self.size) - self.size
+        found = [self.units(t) for t in texts]
+        place = {w: i for i, w in enumerate(dict.fromkeys(chain.from_iterable(found)))}
+        words = [w for w in place if not isinstance(w, int)]
+        number = self.lexicon.numbers(words)
+        unseen = [w for w, n in zip(words, number.tolist(), strict=True) if n < 0]
+        self.learn([w for w in unseen if w not in self.index])
+        ids, offset = self.lexicon.ids, self.lexicon.offset
+        begins = np.cumsum(self.size) - self.size + len(ids)  # merged words stand behind the lexicon's, special tokens last
+        special = list(self.model.special_id.values())
+        pool = np.concatenate((ids, self.flat, np.array(special, dtype=np.int64)))
+        start, size, decoded = np.zeros(len(place), np.int64), np.ones(len(place), np.int64), [""] * len(place)
+        for w, n in zip(words, number.tolist(), strict=True):
+            i = place[w]
+            if n >= 0:
+                start[i], size[i] = offset[n], offset[n + 1] - offset[n]
+                text = self.known_text.get(n)
+                decoded[i] = text if text is not None else self.known_text.setdefault(n, " ".join(self.names(ids[offset[n] : offset[n + 1]])))
+            else:
+                m = self.index[w]
+                start[i], size[i], decoded[i] = begins[m], self.size[m], self.decoded[m]
+        for w, i in place.items():
+            if isinstance(w, int):
+                start[i], decoded[i] = len(ids) + len(self.flat) + special.index(w), self.model.token[w]
         out = []
-        for text, words in zip(texts, found, strict=True):
-            if words is None:
-                ids = np.array(self.exact.encode(text, add_special_tokens=False).ids, dtype=np.int64)
-                out.append((ids, " ".join(self.model.token[i] for i in ids.tolist())))
-                continue
-            at = np.fromiter(map(self.index.__getitem__, words), dtype=np.int64, count=len(words))
-            out.append((self.flat[expand(offset[at], self.size[at])], " ".join(map(self.decoded.__getitem__, at.tolist()))))
+        for units in found:
+            at = np.fromiter(map(place.__getitem__, units), dtype=np.int64, count=len(units))
+            out.append((pool[expand(start[at], size[at])], " ".join(map(decoded.__getitem__, at.tolist()))))
         return out
 
 
