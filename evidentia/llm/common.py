@@ -8,8 +8,6 @@ instead of once per row.
 from __future__ import annotations
 
 import ctypes
-import gc
-import time
 import uuid
 
 import numpy as np
@@ -176,13 +174,6 @@ class Workspace:
         self._held.append(out)
         return out
 
-    def release(self) -> None:
-        """Lets Spark's cleaner remove the shuffle files of plans that nothing refers to any more."""
-        for _ in range(2):
-            gc.collect()
-            self.spark.sparkContext._jvm.System.gc()
-            time.sleep(0.3)
-
     def drop(self, *frames: DataFrame) -> None:
         jvm = self.spark.sparkContext._jvm
         for frame in frames:

@@ -1,32 +1,35 @@
 """Language-model scores from an Elias-Fano n-gram trie.
 
 Model: log10 P(text) = sum over tokens w after context v of
-    log10 c(v, w) - log10(c(v) + STRENGTH)                 if the pair was seen in training,
-    log10 STRENGTH - log10(c(v) + STRENGTH) + log10 P1(w)  if not,
+    log10 c(v, w) / (c(v) + STRENGTH)                      if the pair was seen in training,
+    log10 STRENGTH / (c(v) + STRENGTH) + log10 P1(w)       if not,
 with P1(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)): a bigram model that backs off to the smoothed unigram
-with the weight of STRENGTH pseudo-counts. Probabilities sum to one at most. The order is two, and the
-trie holds log counts of pairs, not smoothed probabilities; it is asked for pairs whose counts the shard
-has at hand, so the lookup changes only the quantisation, and it is dropped after that.
+with the weight of STRENGTH pseudo-counts. Probabilities sum to one at most. The order is two.
 
 The model grows with the corpus, so it is never in one place: a shard holds the part of the trie for
-its share of (context, word) hashes, and texts come to the shards as packed token lists.
-
-1. Pairs: a map task sorts its slice's tokens by shard, context and word, and sends one row for each
-   shard: contexts, words, and the documents that have them. A frequent context is dealt over 16
-   shards by its words. The shard builds its trie from the training tokens: level one has the contexts
-   (Elias-Fano), monotone pointers (Elias-Fano) lead to the successors, which are kept relative to
-   their context in one monotone sequence (Elias-Fano), and each has an 8-bit code for its quantised
-   log count. The levels are in an unlinked scratch file that is mapped into memory; distinct pairs
-   are looked up by successor search in the context's range. Seen pairs add to their document's sum,
-   unseen ones are sent on by word.
-2. Words: the same for single words, with exact 64-bit hashes and counts, which gives the base score,
-   c(v), and P1 of the unseen pairs' words.
-3. A shard answers with one row for each slice of documents, its sums packed; these are added up by
+its share of contexts, and texts come to the shards as packed token lists.
+
+1. Counts: every training word's, partial ones by slice first. They give N, V and the frequent words,
+   those with one of ``HOT`` tokens or more, which are ``HOT`` at most; these go to all tasks with their counts.
+2. Pairs: a map task sorts its slice's tokens by shard, context and word, and sends one row for each
+   shard: contexts, words, and the documents that have them. A frequent context is dealt over shards by
+   its words, over the more the more frequent it is; its count is known everywhere, a rarer one's is the
+   sum of its pairs. The shard builds its trie from the training tokens: level one has the contexts
+   (Elias-Fano) with their back-off weights, monotone pointers (Elias-Fano) lead to the successors, which
+   are kept relative to their context in one monotone sequence (Elias-Fano), and each has its smoothed
+   probability; both are logarithms, as 8-bit codes of a book of 256 values of equal frequency. The levels
+   are in an unlinked scratch file that is mapped into memory; distinct pairs are looked up by successor
+   search in the context's range. What a document gets for its seen pairs, for back-off weights, and for
+   frequent words after an unseen pair, is summed; rarer words of unseen pairs are sent on.
+3. Words: the same for rarer words, with exact 64-bit hashes and counts, which gives the base score and
+   P1 of the unseen pairs' words. Frequent words are scored where the texts are, so no word has a key of
+   its own that grows with the corpus.
+4. A shard answers with one row for each slice of documents, its sums packed; these are added up by
    slice and taken apart by document.
 
 A shard covers about ``SHARD`` characters and is worked on in parts of ``PART``, so memory is bounded at
 any size, and what is sent is in proportion to the text. Word identity is a 64-bit hash; pairs, and
-the unseen pairs' words, have its leading 40 bits.
+the unseen pairs' words, have its leading 40 bits. The trie isn't kept after its shard has answered.
 
 Training documents are those whose crc32(doc_id as text) mod 5 isn't 1; null ids train. Null text counts
 as empty: one token, the end. Rows that share a doc_id are averaged and each get the mean, which for
@@ -38,6 +41,7 @@ from __future__ import annotations
 import mmap
 import tempfile
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -49,7 +53,7 @@ from .common import MIX_A, MIX_B, TextBatch, Workspace, mix64, pieces, powers, t
 U = np.uint64
 START, END = U(0x5354415254000001), U(0x454E440000000001)
 STRENGTH = 4.0
-SHARD, PART = 40_000_000, 5_000_000
+SHARD, PART, HOT = 40_000_000, 5_000_000, 100_000
 WORD_BITS, SHORT = U(40), U(24)
 
 
@@ -140,23 +144,33 @@ class EliasFano:
         return out
 
 
-#: log10 of the counts that the 256 codes stand for: 1 to 128 exactly, then steps of 5 %.
-CODED = np.log10(np.concatenate((np.arange(1, 129), 128 * 1.05 ** np.arange(1, 129))))
+def quantised(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(codes, book): a book of up to 256 values, the means of ranges of equal frequency, and each value's nearest in it."""
+    distinct = np.unique(values)
+    if len(distinct) <= 256:
+        book = distinct
+    else:
+        ordered = np.sort(values)
+        edge = np.linspace(0, len(ordered), 257).astype(np.int64)
+        book = np.unique(np.add.reduceat(ordered, edge[:-1]) / np.diff(edge))
+    if not len(book):
+        book = np.zeros(1)
+    return np.searchsorted((book[1:] + book[:-1]) / 2, values).astype(np.uint8), np.append(book, np.full(256 - len(book), book[-1]))
 
 
 class Trie:
-    """Contexts, pointers, successors and codes in one mapped scratch file."""
+    """Contexts with back-off weights, pointers, and successors with probabilities, in one mapped scratch file."""
 
-    def __init__(self, context: np.ndarray, word: np.ndarray, count: np.ndarray):
-        """Distinct pairs by context and word, of 40 bits each."""
-        head = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1]))) if len(context) else np.zeros(0, np.int64)
+    def __init__(self, context: np.ndarray, word: np.ndarray, log_p: np.ndarray, log_backoff: np.ndarray):
+        """Distinct pairs by context and word, of 40 bits each, with the logarithms of their probabilities and of their contexts' back-off weights."""
+        head = _heads(context) if len(context) else np.zeros(0, np.int64)
         place = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(context))))
-        middle = (CODED[1:] + CODED[:-1]) / 2
-        code = np.searchsorted(middle, np.log10(np.maximum(count, 1))).astype(np.uint8)
+        code, book = quantised(log_p)
+        weight, weights = quantised(log_backoff[head])
         parts: list[np.ndarray] = []
         for values in (context[head], np.append(head, len(context)).astype(U), place.astype(U) << WORD_BITS | word):
             parts += EliasFano.encode(values)
-        parts.append(np.append(code, np.zeros(-len(code) % 8, np.uint8)).view(U))
+        parts += [np.append(c, np.zeros(-len(c) % 8, np.uint8)).view(U) for c in (code, weight)] + [book, weights]
         with tempfile.TemporaryFile() as scratch:  # unlinked: nothing stays
             for p in parts:
                 scratch.write(p.tobytes())
@@ -168,19 +182,68 @@ class Trie:
             read.append(np.frombuffer(self.map, dtype=p.dtype, count=len(p), offset=at))
             at += p.nbytes
         level = lambda i: EliasFano(int(read[i][0]), int(read[i][1]), *read[i + 1 : i + 4])
-        self.contexts, self.pointers, self.successors, self.code = level(0), level(4), level(8), read[12].view(np.uint8)
+        self.contexts, self.pointers, self.successors = level(0), level(4), level(8)
+        self.code, self.weight, self.book, self.weights = read[12].view(np.uint8), read[13].view(np.uint8), read[14], read[15]
 
-    def log_counts(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Quantised log10 count of each pair, or NaN if it wasn't seen."""
-        out = np.full(len(context), np.nan)
+    def find(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Logarithms of each pair's probability, NaN if it wasn't seen, and of its context's back-off weight, NaN if that wasn't."""
+        log_p, backoff = np.full(len(context), np.nan), np.full(len(context), np.nan)
         at = self.contexts.find(context)
         known = np.flatnonzero(at >= 0)
         if len(known):
             c = at[known]
+            backoff[known] = self.weights[self.weight[c]]
             found = self.successors.find(c.astype(U) << WORD_BITS | word[known], self.pointers.get(c).astype(np.int64), self.pointers.get(c + 1).astype(np.int64))
             hit = found >= 0
-            out[known[hit]] = CODED[self.code[found[hit]]]
-        return out
+            log_p[known[hit]] = self.book[self.code[found[hit]]]
+        return log_p, backoff
+
+
+@dataclass(frozen=True)
+class Frequent:
+    """Counts that all tasks know: of the frequent words (by the leading 40 bits of their hashes), the training tokens N, words V and documents."""
+
+    short: np.ndarray
+    count: np.ndarray
+    n: int
+    v: int
+    documents: int
+
+    def of(self, short: np.ndarray) -> np.ndarray:
+        """Each word's count, -1 if it isn't frequent."""
+        if not len(self.short):
+            return np.full(len(short), -1, dtype=np.int64)
+        at = np.minimum(np.searchsorted(self.short, short), len(self.short) - 1)
+        return np.where(self.short[at] == short, self.count[at], -1)
+
+    def log_p1(self, count: np.ndarray) -> np.ndarray:
+        return np.log10(count + 0.5) - np.log10(self.n + 0.5 * (self.v + 1))
+
+
+def _counts(docs: DataFrame) -> DataFrame:
+    """(h, c): how often the training texts of each slice have a word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch, 2 << 20):
+                words, _ = TextBatch(part.column("text"), lower=True).word_hashes()
+                distinct, count = np.unique(words, return_counts=True)
+                yield pa.record_batch([pa.array(distinct.view(np.int64)), pa.array(count)], ["h", "c"])
+
+    return docs.filter("train").select("text").mapInArrow(run, "h long, c long")
+
+
+def _frequent(docs: DataFrame, work: Workspace, documents: int) -> Frequent:
+    """START and END are frequent: they occur once for each document."""
+    counts = work.save(_counts(docs).groupBy("h").agg(F.sum("c").alias("c")), "counts")
+    total = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
+    n, v = (total["n"] or 0) + documents, total["v"] + (documents > 0)
+    rows = counts.filter(F.col("c") >= max(1, -(-n // HOT))).toArrow()  # HOT at most, since all add up to n
+    short = np.concatenate((rows.column("h").to_numpy().view(U) >> SHORT, np.array([START, END]) >> SHORT))
+    count = np.concatenate((rows.column("c").to_numpy(), np.full(2, documents)))
+    order = np.argsort(short, kind="stable")
+    work.drop(counts)
+    return Frequent(short[order], count[order], n, v, documents)
 
 
 def tokens(texts: TextBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -225,7 +288,7 @@ def _heads(*keys: np.ndarray) -> np.ndarray:
 
 _BLOBS = lambda *names: ", ".join(f"{n} array<binary>" for n in names)
 PAIR_ROWS = "shard int, piece long, keys array<long>, places binary, train binary, " + _BLOBS("contexts", "successors", "words", "uses", "docs")
-WORD_ROWS = "shard int, piece long, keys array<long>, places binary, train binary, unseen boolean, " + _BLOBS("words", "uses", "docs", "weights")
+WORD_ROWS = "shard int, piece long, keys array<long>, places binary, train binary, unseen boolean, sums binary, " + _BLOBS("words", "uses", "docs", "weights")
 
 
 def _index(data: bytes, n_docs: int) -> np.ndarray:
@@ -263,12 +326,19 @@ _HEAD = [pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
 _NAMES = ["shard", "piece", "keys", "places", "train"]
 
 
-def _pair_rows(docs: DataFrame, shards: int, parts: int) -> DataFrame:
+def _spread(frequent: Frequent, count: np.ndarray, slots: int) -> np.ndarray:
+    """Over how many slots a context of this count is dealt: a power of two, one if it would fill a quarter of a slot or less."""
+    share = 4.0 * slots * np.maximum(count, 0) / max(frequent.n, 1)
+    return (1 << np.ceil(np.log2(np.clip(share, 1, 1 << 20))).astype(np.int64)).astype(U)
+
+
+def _pair_rows(docs: DataFrame, shards: int, parts: int, frequent: Frequent) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, 2 << 20):
                 word, row, context = tokens(TextBatch(part.column("text"), lower=True))
-                fine = shard_of(mix64(context + (word & U(15)) * U(MIX_B)), shards * parts)
+                spread = _spread(frequent, frequent.of(context >> SHORT), shards * parts)
+                fine = shard_of(mix64(context + (word & (spread - U(1))) * U(MIX_B)), shards * parts)
                 order = np.argsort(fine.astype(U) << U(44) | (context >> U(42)) << U(22) | word >> U(42))
                 word, row, context, fine = word[order], row[order], context[order], fine[order]
 
@@ -317,8 +387,8 @@ def _part(rows: list[dict], begin: list[int], i: int, name: str) -> np.ndarray:
     return from_five(whole) if name in ("contexts", "short") else np.frombuffer(whole, dtype="<u8" if name == "long" else "<u4").astype(np.int64)
 
 
-def _score_pairs(rows: list[dict]) -> Iterator[pa.RecordBatch]:
-    """For each slice of documents: their sums over seen pairs, and the words of their unseen ones."""
+def _score_pairs(rows: list[dict], frequent: Frequent) -> Iterator[pa.RecordBatch]:
+    """For each slice of documents: their sums over pairs, and the rarer words of their unseen ones."""
     train, begin = _gathered(rows)
     sums, missing_docs, missing_words = np.zeros(len(train)), [], []
     for i in range(len(rows[0]["uses"])):
@@ -330,15 +400,27 @@ def _score_pairs(rows: list[dict]) -> Iterator[pa.RecordBatch]:
         _, first, group = np.unique(mix64(context * U(MIX_A) + word), return_index=True, return_inverse=True)
         trained = np.add.reduceat(train[doc].astype(np.int64), np.cumsum(use) - use)
         count = np.bincount(group, weights=trained, minlength=len(first)).astype(np.int64)
-        c, w = context[first], word[first]
+        order = np.lexsort((word[first], context[first]))
+        c, w, count = context[first][order], word[first][order], count[order]
+        place = np.empty(len(order), dtype=np.int64)
+        place[order] = np.arange(len(order))
+        head = _heads(c)
+        total = np.repeat(np.add.reduceat(count, head), np.diff(np.append(head, len(c))))
+        known = frequent.of(c)
+        total = np.where(known >= 0, known, total)  # a frequent context has pairs elsewhere
+        backoff = np.log10(STRENGTH) - np.log10(total + STRENGTH)
         own = np.flatnonzero(count > 0)
-        own = own[np.lexsort((w[own], c[own]))]
-        each = Trie(c[own], w[own], count[own]).log_counts(c, w)[group]
-        each = np.repeat(each, use)
-        seen = np.isfinite(each)
-        sums += np.bincount(doc[seen], weights=each[seen], minlength=len(sums))
-        missing_docs.append(doc[~seen])
-        missing_words.append(np.repeat(word, use)[~seen])
+        trie = Trie(c[own], w[own], np.log10(count[own]) - np.log10(total[own] + STRENGTH), backoff[own])
+        log_p, weight = trie.find(c, w)
+        seen = np.isfinite(log_p)
+        weight = np.where(np.isfinite(weight), weight, np.where(known >= 0, backoff, 0.0))  # of a frequent context without a seen pair here
+        frequent_word = frequent.of(w)
+        each = np.where(seen, log_p, weight + np.where(frequent_word >= 0, frequent.log_p1(np.maximum(frequent_word, 0)), 0.0))
+        at = np.repeat(place[group], use)
+        sums += np.bincount(doc, weights=each[at], minlength=len(sums))
+        sent = np.flatnonzero(~seen[at] & (frequent_word[at] < 0))
+        missing_docs.append(doc[sent])
+        missing_words.append(w[at[sent]])
     of = np.concatenate(missing_docs) if missing_docs else np.zeros(0, np.int64)
     word = np.concatenate(missing_words) if missing_words else np.zeros(0, U)
     order = np.argsort(of, kind="stable")
@@ -355,15 +437,22 @@ def _score_pairs(rows: list[dict]) -> Iterator[pa.RecordBatch]:
 PAIR_SUMS = "piece long, keys array<long>, places binary, seen binary, docs binary, words binary"
 
 
-def _word_rows(docs: DataFrame, shards: int, parts: int) -> DataFrame:
-    """The documents' words, by shard."""
+def _word_rows(docs: DataFrame, shards: int, parts: int, frequent: Frequent) -> DataFrame:
+    """The documents' rarer words, by shard; and what they get for the frequent ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, 2 << 20):
                 word, row, _ = tokens(TextBatch(part.column("text"), lower=True))
                 keys, train = (part.column(c).to_numpy(zero_copy_only=False) for c in ("key", "train"))
-                yield _words_sent(word, row, _piece(keys), keys, train, shards, parts, False)
+                piece, n = _piece(keys), len(keys)
+                count = frequent.of(word >> SHORT)
+                hot = count >= 0
+                add = lambda of, weights=None: np.bincount(row[of], weights=None if weights is None else weights[of], minlength=n).astype(np.float64)  # noqa: B023, E731
+                sums = np.stack((add(slice(None)), add(count > 0), add(hot, frequent.log_p1(np.maximum(count, 0))), np.zeros(n)))
+                yield _words_sent(word[~hot], row[~hot], piece, keys, train, shards, parts, False)
+                local = [(abs(piece) % shards, piece, None, np.arange(n, dtype="<u4").tobytes(), None, None, sums.tobytes(), [], [], [], [])]
+                yield _record(local, _WORD_TYPES, _WORD_NAMES)
 
     return docs.mapInArrow(run, WORD_ROWS)
 
@@ -395,64 +484,54 @@ def _words_sent(word: np.ndarray, row: np.ndarray, piece: int, keys: np.ndarray,
         return word[own][one].astype("<u8").tobytes(), uses.astype("<u4").tobytes(), index, weight[own].astype("<u4").tobytes()
 
     rows = _sent(shard_of(word, shards * parts), row, piece, keys, train, shards, parts, cut)
-    rows = [(*r[:2], None if unseen else r[2], *r[3:5], unseen, *r[5:]) for r in rows]
-    return _record(rows, [*_HEAD, pa.bool_(), *[pa.list_(pa.binary())] * 4], [*_NAMES, "unseen", "words", "uses", "docs", "weights"])
+    return _record([(*r[:2], None, *r[3:5], unseen, None, *r[5:]) for r in rows], _WORD_TYPES, _WORD_NAMES)
 
 
-WORD_SUMS = "piece long, places binary, sums binary, tokens long, words long"
+_WORD_TYPES = [*_HEAD, pa.bool_(), pa.binary(), *[pa.list_(pa.binary())] * 4]
+_WORD_NAMES = [*_NAMES, "unseen", "sums", "words", "uses", "docs", "weights"]
+WORD_SUMS = "piece long, places binary, sums binary"
 #: Columns of a document's sums, as doubles.
-SUMS = ("tokens", "known", "base", "model", "unseen")
-
+SUMS = ("tokens", "known", "base", "model")
 
-def _score_words(rows: list[dict]) -> Iterator[pa.RecordBatch]:
-    """For each slice: its documents' SUMS over the shard's words; and one row (piece null) with the shard's shares of N and V.
 
-    base: sum of log10(c + 0.5). model: minus the sum of log10(c(v) + STRENGTH) of the words as contexts;
-    in rows of unseen pairs, the sum of log10 STRENGTH + log10(c + 0.5), and their number in ``unseen``.
-    """
+def _score_words(rows: list[dict], frequent: Frequent) -> Iterator[pa.RecordBatch]:
+    """For each slice: its documents' SUMS over the shard's words, and over the frequent ones."""
+    done, rows = [r for r in rows if r["sums"] is not None], [r for r in rows if r["sums"] is None]
     texts, pairs = [r for r in rows if not r["unseen"]], [r for r in rows if r["unseen"]]
     train, begin = _gathered(texts) if texts else (np.zeros(0, np.uint8), [0])
     other, other_begin = _gathered(pairs) if pairs else (np.zeros(0, np.uint8), [0])
-    n_tokens, n_known, base, model, none = (np.zeros(len(train)) for _ in range(5))
-    backed, n_backed, zero, total, n_words = np.zeros(len(other)), np.zeros(len(other)), np.zeros(len(other)), 0, 0
+    n_known, base, backed = np.zeros(len(train)), np.zeros(len(train)), np.zeros(len(other))
 
     def read(part: list[dict], start: list[int], i: int) -> tuple[np.ndarray, ...]:
         words = np.frombuffer(b"".join(r["words"][i] for r in part), dtype="<u8").astype(U)
         return np.repeat(words, _part(part, start, i, "uses")), _part(part, start, i, "docs"), _part(part, start, i, "weights")
 
-    for i in range(len(rows[0]["uses"])):
+    for i in range(len(rows[0]["uses"]) if rows else 0):
         distinct, count = np.zeros(0, U), np.zeros(0, np.int64)
         if texts:
             word, doc, weight = read(texts, begin, i)
             distinct, group = np.unique(word, return_inverse=True)
             count = np.bincount(group, weights=weight * train[doc], minlength=len(distinct)).astype(np.int64)
             c = count[group]
-            add = lambda values: np.bincount(doc, weights=values, minlength=len(train))  # noqa: E731, B023
-            n_tokens += add(weight)
-            n_known += add(weight * (c > 0))
-            base += add(weight * np.log10(c + 0.5))
-            model += add(np.where(word == END, 0.0, -weight * np.log10(c + STRENGTH)))
-            total, n_words = total + int(count.sum()), n_words + int((count > 0).sum())
+            n_known += np.bincount(doc, weights=weight * (c > 0), minlength=len(train))
+            base += np.bincount(doc, weights=weight * frequent.log_p1(c), minlength=len(train))
         if pairs:
             word, doc, weight = read(pairs, other_begin, i)
             lead, want = distinct >> SHORT, word >> SHORT
             at = np.minimum(np.searchsorted(lead, want), max(len(lead) - 1, 0))
             c = np.where(lead[at] == want, count[at], 0) if len(lead) else np.zeros(len(word), np.int64)
-            backed += np.bincount(doc, weights=weight * (np.log10(c + 0.5) + np.log10(STRENGTH)), minlength=len(other))
-            n_backed += np.bincount(doc, weights=weight, minlength=len(other))
-    out = []
-    for part, start, sums in ((texts, begin, (n_tokens, n_known, base, model, none)), (pairs, other_begin, (zero, zero, zero, backed, n_backed))):
-        for j, r in enumerate(part):
-            out.append((r["piece"], r["places"], np.stack([x[start[j] : start[j + 1]] for x in sums]).tobytes(), 0, 0))
-    out.append((None, b"", b"", total, n_words))
-    yield _record(out, [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64()], ["piece", "places", "sums", "tokens", "words"])
+            backed += np.bincount(doc, weights=weight * frequent.log_p1(c), minlength=len(other))
+    out = [(r["piece"], r["places"], r["sums"]) for r in done]
+    for part, start, sums in ((texts, begin, (0 * base, n_known, base, 0 * base)), (pairs, other_begin, (0 * backed, 0 * backed, 0 * backed, backed))):
+        out += [(r["piece"], r["places"], np.stack([x[start[j] : start[j + 1]] for x in sums]).tobytes()) for j, r in enumerate(part)]
+    yield _record(out, [pa.int64(), pa.binary(), pa.binary()], ["piece", "places", "sums"])
 
 
 def _by_document(pairs: DataFrame, words: DataFrame) -> DataFrame:
     """(key, SUMS): the slices' sums over all shards, taken apart. A slice has one row for each shard, so a task is small."""
     none = F.lit(None)
     rows = pairs.select("piece", "keys", "places", F.col("seen").alias("sums"), F.lit(True).alias("pair"))
-    rows = rows.union(words.filter("piece is not null").select("piece", none.cast("array<bigint>"), "places", "sums", F.lit(False)))
+    rows = rows.union(words.select("piece", none.cast("array<bigint>"), "places", "sums", F.lit(False)))
 
     def add(table: pa.Table) -> pa.Table:
         keys, total = None, None
@@ -479,28 +558,21 @@ def score(docs: DataFrame) -> DataFrame:
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 1, F.lit(False))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), held.alias("held_out"))
     docs = docs.withColumn("key", F.coalesce("doc_id", F.xxhash64("text"))).withColumn("train", ~F.col("held_out"))
-    size = docs.agg(F.sum(F.length("text") + 1).alias("n")).first()["n"] or 0
-    shards = int(max(1, -(-size // SHARD)))
-    parts = int(max(1, -(-size // (shards * PART))))
+    size, trained = docs.agg(F.sum(F.length("text") + 1), F.count_if("train")).first()
+    shards = int(max(1, -(-(size or 0) // SHARD)))
+    parts = int(max(1, -(-(size or 0) // (shards * PART))))
     columns = docs.select("key", "train", "text")
-    pairs = work.save(_by_shard(_pair_rows(columns, shards, parts), shards, _score_pairs, PAIR_SUMS), "pairs")
-    work.release()
+    frequent = _frequent(columns, work, trained)
+    pairs = work.save(_by_shard(_pair_rows(columns, shards, parts, frequent), shards, lambda rows: _score_pairs(rows, frequent), PAIR_SUMS), "pairs")
     missing = pairs.filter(F.length("words") > 0).select("piece", "docs", "words")
-    rows = _word_rows(columns, shards, parts).union(_missing_rows(missing, shards, parts))
-    words = work.save(_by_shard(rows, shards, _score_words, WORD_SUMS), "words")
-    work.release()
-    corpus = words.filter("piece is null").agg(F.sum("tokens").alias("n"), F.sum("words").alias("v")).first()
-    n, v = int(corpus["n"] or 0), int(corpus["v"] or 0)
-    trained = docs.filter("train").agg(F.count(F.lit(1)).alias("n")).first()["n"]
+    rows = _word_rows(columns, shards, parts, frequent).union(_missing_rows(missing, shards, parts))
+    words = work.save(_by_shard(rows, shards, lambda rows: _score_words(rows, frequent), WORD_SUMS), "words")
     sums = _by_document(pairs, words).groupBy("key").agg(*(F.sum(c).alias(c) for c in SUMS))
     rows = docs.select("key", "doc_id", "held_out")
     same = rows.groupBy("key").agg(F.count(F.lit(1)).alias("rows"))
     out = rows.join(same, "key").join(sums, "key")
     per = lambda c: F.expr(f"{c} div rows")
-    scale = F.log10(F.lit(n + 0.5 * (v + 1)))
-    start = F.log10(F.lit(trained + STRENGTH))  # the start is a context once for each document
     return out.select(
-        "doc_id", "held_out", per("tokens").alias("n_tokens"), per("known").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        ((F.col("base") - F.col("tokens") * scale) / F.col("rows")).alias("base_score"),
-        ((F.col("model") - F.col("unseen") * scale) / F.col("rows") - start).alias("score"),
+        "doc_id", "held_out", per("tokens").alias("n_tokens"), per("known").alias("n_known"), F.lit(frequent.n).cast("long").alias("train_tokens"),
+        (F.col("base") / F.col("rows")).alias("base_score"), (F.col("model") / F.col("rows")).alias("score"),
     )

@@ -1,11 +1,15 @@
 """Line-first quality rules, with DataFrame functions alone.
 
 Each line is judged first: punctuation (a line of several words that is long enough to be a sentence
-has to end in a terminal mark or hold one), navigation (a short line of link-like parts, or one of
+has to end in a terminal mark or hold one, or be a wrapped line of prose), navigation (a short line of link-like parts, or one of
 the fixed menu words) and boilerplate (licence, cookie, login and copyright phrases). Failing lines
 are removed; a document is rejected when it has lost more than ``most_lost`` of its word characters,
 or by the base rules: under 10 words, or more than 20 % of its words in repeated 5-word windows.
 
+A line continues its neighbours where prose is wrapped: its paragraph, the lines up to the next blank
+one, has a sentence mark for every ``MARK_EVERY`` characters, and it is half as long as the paragraph's
+longest line or more. So text wrapped at any width loses nothing, and lists of words without marks go.
+
 Everything is a projection on the row: no shuffle, no Python. ``let`` binds an intermediate array
 once, so that a lambda doesn't evaluate it anew for each element. 5-word windows are compared by a
 64-bit hash of their words.
@@ -31,6 +35,8 @@ BOILERPLATE = (
     "|sign in|log in|sign up|subscribe to our|follow us on|share this|click here|read more|powered by"
 )
 MENU = "home|about|about us|contact|contact us|menu|search|login|log in|sign in|sign up|register|help|faq|sitemap|next|previous|prev|back|top|more|share|tweet|print|skip to content"
+#: Characters of a paragraph of prose that have a sentence mark among them, and the marks.
+MARK_EVERY, MARKS = 200, ".!?…:;。！？"
 TERMINAL = r"[.!?…:;。！？][\"'”’»)\]*_#$%&|<>]*$"
 
 
@@ -61,29 +67,48 @@ def repeated_words(words: Column, width: int = 5) -> Column:
     return F.coalesce(let(F.transform(words, lambda w: F.xxhash64(w)), windows), F.lit(0)).cast("long")
 
 
-def line_fails(line: Column) -> Column:
-    """Whether a line that has a word breaks a punctuation, navigation or boilerplate rule."""
+def line_fails(line: Column, wrapped: Column) -> Column:
+    """Whether a line that has a word breaks a punctuation, navigation or boilerplate rule; a wrapped one needs no mark."""
     low = F.lower(F.trim(line))
     n_words = F.size(F.filter(F.split(low, SPACE + "+"), lambda w: w != ""))
     n_parts = F.size(F.split(low, r"\s[|»›>·•/]\s"))
     boilerplate = (F.length(low) <= 200) & low.rlike(BOILERPLATE)
     menu = low.rlike(rf"^({MENU})$") | ((n_parts >= 3) & (n_words <= 2 * n_parts) & (n_words <= 12) & ~low.rlike(TERMINAL))
-    unpunctuated = (n_words >= 3) & ~low.rlike(r"[.!?…:;。！？]")
+    unpunctuated = (n_words >= 3) & ~low.rlike(f"[{MARKS}]") & ~wrapped
     return boilerplate | menu | unpunctuated
 
 
+def has_word(line: Column) -> Column:
+    return line.rlike(r"[^\x20\x09-\x0D]")
+
+
+def kept_lines(text: Column) -> Column:
+    """The lines that pass, in order, blank ones included. A paragraph is a blank line and the lines that follow it."""
+    length = lambda line: F.length(F.trim(line))
+
+    def of(paragraph: Column) -> Column:
+        prose = MARK_EVERY * (F.length(paragraph) - F.length(F.translate(paragraph, MARKS, ""))) >= F.length(paragraph)
+
+        def passed(lines: Column) -> Column:
+            known = F.struct(prose.alias("prose"), F.array_max(F.transform(lines, length)).alias("longest"))
+            return let(known, lambda p: F.filter(lines, lambda line: ~(has_word(line) & line_fails(line, p.prose & (2 * length(line) >= p.longest)))))
+
+        return let(F.split(paragraph, "\n"), passed)
+
+    return F.flatten(F.transform(F.split(text, r"\n(?=[\x20\x09\x0B-\x0D]*(?:\n|\z))"), of))
+
+
 def assess(docs: DataFrame, most_lost: float = 0.5, least_words: int = 10, most_repeated: int = 20) -> DataFrame:
     """Adds the measures, the cleaned text and the verdict of every document."""
     docs = docs.drop(*MEASURES)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     words = F.filter(F.split(text, SPACE + "+"), lambda w: w != "")
-    has_word = lambda line: line.rlike(r"[^\x20\x09-\x0D]")
     lines = F.filter(F.split(text, "\n"), has_word)
     chars = lambda t: F.length(F.regexp_replace(t, SPACE + "+", "")).cast("long")
     two = let(words, lambda w: F.struct(F.size(w).cast("long").alias("n"), repeated_words(w).alias("r")))
     out = (
         docs.withColumn("_w", two)
-        .withColumn("clean_text", F.array_join(F.filter(F.split(text, "\n"), lambda line: ~(has_word(line) & line_fails(line))), "\n"))
+        .withColumn("clean_text", F.array_join(kept_lines(text), "\n"))
         .withColumn("n_words", F.col("_w.n"))
         .withColumn("word_chars", chars(text))
         .withColumn("n_symbols", (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long"))

@@ -1,12 +1,15 @@
 """Secret scans: fixed patterns, and a token-efficiency test for random strings.
 
 Fixed patterns: assignments of eight or more characters to a password-like name, access key ids, and
-long lower-case hexadecimal runs. The test: a run of 20 or more key characters that isn't a known
-digest, UUID or identifier is encoded with a byte-level BPE vocabulary; ordinary language needs one
+long lower-case hexadecimal runs. The test: every run of 20 or more key characters is encoded with a
+byte-level BPE vocabulary, after known digests and identifiers are left out; ordinary language needs one
 token for some three characters and more, a random string one for about one and a half, so a ratio
-under the limit marks it (kind ``random``). Runs of letters of one case, or of parts that are, look like words:
-for them only the letters of parts of four or more count, 16 of them and eight different ones at least,
-under a stricter limit. Known are UUIDs, numbers, digests by their lengths, and camel-case words.
+under the limit marks it (kind ``random``). Known are UUIDs, numbers, digests by their lengths, camel-case
+words, and parts between separators that are all words or numbers. Runs of letters of one case, or of
+parts that are, look like words: for them only the letters of parts of four or more count, 16 of them and
+eight different ones at least, under a stricter limit. A run ends at an equals sign unless that pads its
+end, so a parameter's name isn't part of its value; a full stop joins parts that look random together.
+What follows a ``list=``, ``v=`` or ``id=`` in an address is an identifier.
 
 Only words of 16 or more bytes are looked at one by one; they are found by a numpy pass over the
 batch. Assignments are sought in documents that have one of the names. Nothing is shuffled.
@@ -19,6 +22,7 @@ from __future__ import annotations
 
 import base64
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +39,11 @@ ASSIGN = re.compile(rb"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][
 NAMES = (b"passw", b"secret", b"token", b"api")
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 HEX = re.compile(rb"[0-9a-f]+")
-RUN = re.compile(rb"[A-Za-z0-9+/_=-]{20,}")
+RUN = re.compile(rb"[A-Za-z0-9+/_-]{20,}+(?:={1,2}(?![A-Za-z0-9+/_=-]))?")
+DOTTED = re.compile(rb"(?<![A-Za-z0-9+/_.-])[A-Za-z0-9+/_-]{4,}+(?:\.[A-Za-z0-9+/_-]{4,}+)++(?![.])")
+#: What ends before the value of a parameter of an address, and names whose values aren't identifiers.
+PARAMETER = re.compile(rb"://\S*[?&;]([A-Za-z0-9_.-]{1,40})=\Z")
+TELLING = re.compile(rb"(?i)key|token|secret|sig|auth|pass|credential|session")
 UUID = re.compile(rb"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 DIGEST_LENGTHS = {32, 40, 48, 56, 64, 96, 128}
 #: By how much the limit is less for runs of one case: words of any language have more characters a token.
@@ -43,12 +51,13 @@ STRICTER = 0.05
 WORDLIKE = re.compile(rb"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 
-def is_known(run: bytes) -> bool:
-    """Known digests, UUIDs, numbers, and identifiers: parts between separators that are plain words or numbers."""
-    if UUID.fullmatch(run) or run.isdigit():
-        return True
-    if len(run) in DIGEST_LENGTHS and re.fullmatch(rb"[0-9a-f]+|[0-9A-F]+", run):
-        return True
+def is_digest(run: bytes) -> bool:
+    """Known digests, by their lengths, UUIDs and numbers."""
+    return bool(UUID.fullmatch(run)) or run.isdigit() or (len(run) in DIGEST_LENGTHS and re.fullmatch(rb"[0-9a-f]+|[0-9A-F]+", run) is not None)
+
+
+def is_identifier(run: bytes) -> bool:
+    """Parts between separators that are plain words or numbers, or camel-case words."""
     parts = [p for p in re.split(rb"[+/_=-]+", run) if p]
     if len(parts) > 1 and all(WORDLIKE.fullmatch(p) for p in parts):
         return True
@@ -63,14 +72,9 @@ def varied(run: bytes) -> bool:
     return (upper + lower > 0 and any(48 <= c <= 57 for c in run)) or (upper >= 3 and lower >= 3)
 
 
-def one_case(run: bytes) -> list[bytes]:
-    """The letter parts of four or more of a run without mixed-case parts, if they are enough to judge."""
-    if UUID.fullmatch(run) or (len(run) in DIGEST_LENGTHS and re.fullmatch(rb"[0-9a-f]+|[0-9A-F]+", run)):
-        return []
-    parts = re.findall(rb"[A-Za-z]+", run)
-    if not all(p.islower() or p.isupper() for p in parts):
-        return []
-    long = [p for p in parts if len(p) >= 4]
+def words_of(run: bytes) -> list[bytes]:
+    """The letter parts of four or more of a run that looks like words, if they are enough to judge."""
+    long = [p for p in re.findall(rb"[A-Za-z]+", run) if len(p) >= 4]
     letters = b"".join(long).lower()
     return long if len(letters) >= 16 and len(set(letters)) >= 8 else []
 
@@ -90,12 +94,20 @@ class TokenEfficiency:
 
 
     def is_random(self, run: bytes, most_ratio: float) -> bool:
-        if varied(run) and not is_known(run):
+        """Whether a run that is no digest has too few characters a token; as words, if it looks like them."""
+        if is_digest(run):
+            return False
+        if varied(run) and not is_identifier(run):
             return self.ratio(run) < most_ratio
-        parts = one_case(run)
+        parts = words_of(run)
         tokens = sum(len(self.encoding.encode_ordinary(p.decode())) for p in parts)
         return bool(parts) and sum(map(len, parts)) < (most_ratio - STRICTER) * tokens
 
+    def is_random_dotted(self, parts: list[bytes], most_ratio: float) -> bool:
+        """Whether parts that full stops join are random together: each of letters and digits, or of both cases."""
+        run = b"".join(parts)
+        return len(run) >= 20 and all(varied(p) for p in parts) and self.ratio(run) < most_ratio
+
 
 _tests: dict[str, TokenEfficiency] = {}
 
@@ -112,13 +124,35 @@ def spans_of(text: bytes, words: list[tuple[int, int]], test: TokenEfficiency, m
             found += [(a + m.start(), 1, a + m.end()) for m in ACCESS.finditer(word) if len(m[0]) >= 16]
         if b - a >= 32:
             found += [(a + m.start(), 2, a + m.end()) for m in HEX.finditer(word) if len(m[0]) >= 32]
+    base = sorted((a, b) for a, _, b in found)
+    begins, ends = [a for a, _ in base], np.maximum.accumulate(np.array([b for _, b in base], dtype=np.int64)).tolist()
+
+    def free(a: int, b: int) -> bool:
+        """Whether no span of a fixed pattern overlaps."""
+        i = bisect_left(begins, b)
+        return not (i and ends[i - 1] > a)
+
+    for a, b in words:
         if b - a >= 20:
-            for m in RUN.finditer(word):
-                run = m[0].strip(b"=-/+_")
-                if len(run) >= 20 and test.is_random(run, most_ratio):
-                    at = a + m.start() + m[0].index(run)
-                    if not any(s < at + len(run) and at < e for s, _, e in found):
-                        found.append((at, 3, at + len(run)))
+            found += [(a + x, 3, a + y) for x, y in random_spans(text[a:b], test, most_ratio) if free(a + x, a + y)]
+    return sorted(found)
+
+
+def random_spans(word: bytes, test: TokenEfficiency, most_ratio: float) -> list[tuple[int, int]]:
+    """(start, end) of the random strings of a word, in order."""
+    found = []
+    for m in RUN.finditer(word):
+        run = m[0].strip(b"-/+_")
+        at = m.start() + m[0].index(run)
+        if len(run) >= 20 and test.is_random(run, most_ratio):
+            name = PARAMETER.search(word[max(0, at - 300) : at]) if word[at - 1 : at] == b"=" else None
+            if name is None or TELLING.search(name[1]):
+                found.append((at, at + len(run)))
+    if b"." in word:
+        for m in DOTTED.finditer(word):
+            whole = m[0].strip(b"-/+_")
+            if not any(a < m.end() and m.start() < b for a, b in found) and test.is_random_dotted(whole.split(b"."), most_ratio):
+                found.append((m.start() + m[0].index(whole), m.start() + m[0].index(whole) + len(whole)))
     return sorted(found)
 
 
@@ -143,7 +177,10 @@ def scan(docs: DataFrame, ranks: str | None = None, most_ratio: float = 2.1) ->
                     at, own = texts.start[i], long[first[i] : first[i + 1]]
                     text = texts.text(i)
                     found = spans_of(text, [(int(a), int(b)) for a, b in zip(start[own] - at, end[own] - at, strict=True)], test, most_ratio)
-                    out.append([{"kind": KINDS[k], "start": len(text[:a].decode()), "end": len(text[:b].decode())} for a, k, b in found])
+                    points = None
+                    if found and not text.isascii():  # code points before each byte
+                        points = np.append(0, np.cumsum((np.frombuffer(text, dtype=np.uint8) & 0xC0) != 0x80)).tolist()
+                    out.append([{"kind": KINDS[k], "start": points[x] if points else x, "end": points[y] if points else y} for x, k, y in found])
                 yield pa.record_batch([*part.columns, pa.array(out, kind_type)], [*part.schema.names, "secret_spans"])
 
     return docs.mapInArrow(run, schema)

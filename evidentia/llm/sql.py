@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 # The line rules' phrases and menu words, as in quality.
-from .quality import BOILERPLATE, MENU
+from .quality import BOILERPLATE, MARK_EVERY, MARKS, MENU
 
 SPACE = r"[\x20\x09-\x0D]"
 WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
@@ -13,20 +13,23 @@ def q(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-def _fails(x: str) -> str:
+def _fails(x: str, wrapped: str) -> str:
     low = f"lower(trim({x}))"
     n_words = f"len({WORDS.format(low)})"
     n_parts = f"len(regexp_split_to_array({low}, '\\s[|»›>·•/]\\s'))"
     terminal = """'[.!?…:;。！？]["''”’»)\\]*_#$%&|<>]*$'"""
     boilerplate = f"(length({low}) <= 200 AND regexp_matches({low}, {q(BOILERPLATE)}))"
     menu = f"(regexp_matches({low}, {q(f'^({MENU})$')}) OR ({n_parts} >= 3 AND {n_words} <= 2 * {n_parts} AND {n_words} <= 12 AND NOT regexp_matches({low}, {terminal})))"
-    return f"({boilerplate} OR {menu} OR ({n_words} >= 3 AND NOT regexp_matches({low}, '[.!?…:;。！？]')))"
+    return f"({boilerplate} OR {menu} OR ({n_words} >= 3 AND NOT regexp_matches({low}, '[.!?…:;。！？]') AND NOT {wrapped}))"
 
 
 QUALITY = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {WORDS.format("coalesce(text, '')")} AS words FROM documents),
-    lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d),
+    split_ AS (SELECT doc_id, string_split(text, chr(10)) AS l, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM d),
+    ordered AS (SELECT doc_id, i, l[i] AS line, sum(CASE WHEN regexp_matches(l[i], '[^\\x20\\x09-\\x0D]') THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS p FROM split_),
+    paragraphs AS (SELECT doc_id, p, sum(length(line) + 1) - 1 AS n, sum(length(line) - length(regexp_replace(line, '[{MARKS}]', '', 'g'))) AS marks, max(length(trim(line))) AS longest FROM ordered GROUP BY ALL),
+    lines AS (SELECT doc_id, line, {MARK_EVERY} * marks >= n AND 2 * length(trim(line)) >= longest AS wrapped FROM ordered JOIN paragraphs USING (doc_id, p)),
     dups AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM lines WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY 1),
-    clean AS (SELECT doc_id, sum(length(regexp_replace(line, '{SPACE}+', '', 'g'))) AS kept_chars FROM lines WHERE NOT (regexp_matches(line, '[^\\x20\\x09-\\x0D]') AND {_fails('line')}) GROUP BY 1),
+    clean AS (SELECT doc_id, sum(length(regexp_replace(line, '{SPACE}+', '', 'g'))) AS kept_chars FROM lines WHERE NOT (regexp_matches(line, '[^\\x20\\x09-\\x0D]') AND {_fails('line', 'wrapped')}) GROUP BY 1),
     w AS (SELECT doc_id, i, words[i:i + 4] AS g FROM d, LATERAL (SELECT unnest(range(1, greatest(len(words) - 3, 1))) AS i)),
     twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM w) WHERE c > 1),
     cover AS (SELECT doc_id, count(DISTINCT i + j) AS n_repeat_words FROM twice, (SELECT unnest(range(0, 5)) AS j) GROUP BY 1),

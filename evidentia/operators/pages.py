@@ -14,11 +14,16 @@ from pyspark.sql import functions as F
 
 from ..config import LATIN, Lexicon
 from ..functions import text as X
+from ..sources.scratch import stored
 
 
 def numbered(rows: DataFrame, document: str, order: str) -> DataFrame:
-    """pdf_page = 1, 2, ... of each document in the order of a column."""
-    return rows.withColumn("pdf_page", F.row_number().over(Window.partitionBy(document).orderBy(order)))
+    """pdf_page = 1, 2, ... of each document in the order of a column, whose values differ within a document.
+
+    Only the two columns pass through the window; texts are joined to the numbers.
+    """
+    places = rows.select(document, order).withColumn("pdf_page", F.row_number().over(Window.partitionBy(document).orderBy(order)))
+    return rows.join(places.hint("merge"), [document, order]).select(*rows.columns, "pdf_page")
 
 
 def edges(lines: Column) -> Column:
@@ -83,7 +88,7 @@ def quality_flags(raw: Column, clean: Column, least: int = 50) -> Column:
 def parse(pages: DataFrame, lexicon: Lexicon = LATIN, least: int = 50) -> DataFrame:
     """Raw pages to page rows: printed_page, chapter, cleaned text, char_count, quality_flags."""
     raw = pages.withColumn("_raw", F.coalesce("text", F.lit(""))).withColumn("text", F.col("_raw"))
-    clean = without_margins(raw, margin_lines(raw))
+    clean = stored(without_margins(raw, margin_lines(raw)), "clean-pages")  # read for the chapters and for the texts
     clean = clean.join(chapters(clean, lexicon), ["document_id", "pdf_page"])
     clean = clean.withColumn("printed_page", printed_page(X.lines_of(F.col("_raw")), lexicon)).withColumn("text", X.join_lines(F.col("lines")))
     return clean.withColumn("char_count", X.compact_count(F.col("text"))).withColumn("quality_flags", quality_flags(F.col("_raw"), F.col("text"), least)).drop("lines", "_raw")

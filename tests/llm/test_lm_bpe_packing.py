@@ -1,3 +1,4 @@
+import functools
 import hashlib
 import math
 import random
@@ -7,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -18,6 +20,19 @@ from .cases import SCHEMA, odd_rows
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
 
+def test_rows_of_one_id_get_the_mean(spark):
+    rows = spark.createDataFrame([(1, "a b"), (1, "c c c d"), (2, "a b c"), (3, "b")], "doc_id long, text string")
+    got = lm.score(rows).collect()
+    assert len(got) == 4 and len({r.score for r in got if r.doc_id == 1}) == 1 and {r.n_tokens for r in got if r.doc_id == 1} == {4}
+
+
+def test_books_of_many_values():
+    rng = np.random.default_rng(3)
+    for values in (rng.normal(size=20_000), np.repeat([1.0, 2.0], 5), np.zeros(0)):
+        code, book = lm.quantised(values)
+        assert len(book) == 256 and (not len(values) or np.abs(book[code] - values).mean() < 0.01)
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(0, 2**63), max_size=300), st.lists(st.integers(0, 2**63), max_size=50))
 def test_elias_fano(values, others):
@@ -37,8 +52,12 @@ def corpus():
     return [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(1, 60)))) for i in range(120)] + [(500, None), (501, ""), (502, "W1 w1")]
 
 
-def test_scores_equal_brute_force(spark):
-    texts = corpus()
+@pytest.mark.parametrize("limits", [{}, {"SHARD": 3000, "PART": 1000, "HOT": 20}, {"SHARD": 2000, "PART": 2000, "HOT": 1}])
+def test_scores_equal_brute_force(spark, monkeypatch, limits):
+    """Also over many shards, with few words frequent, and with one word in every place; two texts have one id."""
+    for name, value in limits.items():
+        monkeypatch.setattr(lm, name, value)
+    texts = corpus() + [(600 + i, "the " * 200 + f"w{i}") for i in range(20)]
     got = {r.doc_id: r for r in lm.score(spark.createDataFrame(texts, "doc_id long, text string").repartition(3)).collect()}
     docs = {i: WORD.findall((t or "").lower()) + ["</s>"] for i, t in texts}
     held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i in docs}
@@ -65,16 +84,39 @@ def test_scores_equal_brute_force(spark):
     assert score_held > 1.2 * base_held  # of the order of the unigram's even where words are drawn at random
 
 
+@functools.cache
+def both():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return Tokenizer.from_file(path), bpe.Encoder(path, bpe.compile_lexicon(path))
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.text(alphabet="abcé'st-_ 12.A\n²日", max_size=30), min_size=1, max_size=5))
 def test_bpe_equals_the_library(texts):
-    path = public_tokenizers.path("word_bpe_49k.json")
-    exact = Tokenizer.from_file(path)
-    for text, (ids, decoded) in zip(texts, bpe.Encoder(path, bpe.compile_lexicon(path)).encode(texts), strict=True):
+    exact, encoder = both()
+    for text, (ids, decoded) in zip(texts, encoder.encode(texts), strict=True):
         want = exact.encode(text, add_special_tokens=False).ids
         assert ids.tolist() == want and decoded == exact.decode(want, skip_special_tokens=False)
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(max_size=40) | st.text(alphabet="’—“Ελ日本語Жя\u0301İẞﬁ①\x1c\u2028 <|endoftext|>", max_size=40), min_size=1, max_size=4))
+def test_bpe_of_all_scripts_equals_the_library(texts):
+    exact, encoder = both()
+    texts = [t.encode(errors="ignore").decode() for t in texts] + [f"{texts[0].encode(errors='ignore').decode()}<|endoftext|>x <|startoftext|>"]
+    for text, (ids, decoded) in zip(texts, encoder.encode(texts), strict=True):
+        want = exact.encode(text, add_special_tokens=False).ids
+        assert ids.tolist() == want and decoded == exact.decode(want, skip_special_tokens=False)
+
+
+def test_long_words_equal_the_library():
+    rng = random.Random(1)
+    exact, encoder = both()
+    texts = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n)) for n in (999, 1000, 5000, 60_000)] + ["x" * 50_000, "aab" * 5000, "日本" * 2000]
+    for text, (ids, _) in zip(texts, encoder.encode(texts), strict=True):
+        assert ids.tolist() == exact.encode(text, add_special_tokens=False).ids
+
+
 def test_lexicon_is_minimal_and_exact():
     words = {b"tap": [1], b"taps": [2, 3], b"top": [4], b"tops": [5], b"": [9]}
     words.pop(b"")

@@ -1,8 +1,10 @@
 import random
 import re
+import textwrap
 import time
 from collections import Counter
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -87,6 +89,53 @@ def test_random_strings_of_one_case(spark):
     assert [got[i] for i in range(len(texts))] == [1, 1, 0, 0, 0, 0, 0]
 
 
+def test_planted_random_strings_are_found_and_others_are_not(spark):
+    rng = random.Random(5)
+    draw = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    low, up, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    kinds = {
+        "both cases": lambda: draw(low + up + digits, rng.randrange(24, 44)), "url-safe": lambda: draw(low + up + digits + "-_", 32).strip("-_") + "Ab1", "padded": lambda: draw(low + up + digits, 30) + "==",
+        "lower": lambda: draw(low, 28), "upper": lambda: draw(up, 28), "one capital": lambda: draw(up, 1) + draw(low, 27), "dotted": lambda: ".".join("aB1" + draw(low + up + digits, 12) for _ in range(3)),
+    }
+    planted = [(kind, f"set {(value := make())} here", value) for kind, make in kinds.items() for _ in range(200)]
+    clean = [
+        "https://www.example.com/playlist?list=PLrAXtmErZgOeiKm4sgNOknGvNjby9efdf", "https://example.org/a-long-path/with-many-words/and-a-title-of-an-article.html", "getElementsByClassNameOrIdentifier",
+        "org.apache.spark.sql.execution.streaming", "internationalization-and-localization", "2024-01-15T10:22:33.123456789", "Rindfleischetikettierungsueberwachungsaufgabe", "configuration_directory_path_separator",
+        "anticonstitutionnellement", "electroencefalografista", "1234567890123456789012345", "da39a3ee5e6b4b0d3255bfef95601890afd80709", "9b0b3c6a-43eb-78aa-99cb-d7049c572391", "/usr/local/share/applications/defaults",
+    ]
+    rows = spark.createDataFrame([(i, t) for i, (_, t, _) in enumerate(planted)] + [(10_000 + i, t) for i, t in enumerate(clean)], "doc_id long, text string")
+    got = {r.doc_id: r.spans.split(",") if r.spans else [] for r in secrets.digest(secrets.scan(rows)).collect()}
+    for kind in kinds:
+        own = [i for i, (k, _, _) in enumerate(planted) if k == kind]
+        assert sum(got[i] == [f"random:4:{4 + len(planted[i][2])}"] for i in own) >= 0.95 * len(own), kind
+    assert {t: got[10_000 + i] for i, t in enumerate(clean) if any(s.startswith("random") for s in got[10_000 + i])} == {}
+
+
+def test_many_secrets_take_seconds():
+    import public_tokenizers
+
+    test = secrets.TokenEfficiency(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefghijkmnpqrstuvwxyzABCDEFGH23456789") for _ in range(24)) for _ in range(20_000)]
+    text = " ".join(words).encode()
+    at = np.cumsum([0] + [len(w) + 1 for w in words])
+    began = time.perf_counter()
+    assert len(secrets.spans_of(text, [(int(a), int(a) + len(w)) for a, w in zip(at, words)], test, 2.1)) > 18_000
+    assert time.perf_counter() - began < 20
+
+
+def test_wrapped_prose_stays(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghijklm") for _ in range(rng.randrange(2, 10)))
+    sentence = lambda: " ".join(word() for _ in range(rng.randrange(8, 28))).capitalize() + "."
+    texts = ["\n\n".join(textwrap.fill(" ".join(sentence() for _ in range(6)), width) for _ in range(8)) for width in (30, 60, 80, 100)]
+    junk = "\n".join(f"buy cheap shoes online now {word()}" for _ in range(9))
+    rows = spark.createDataFrame(list(enumerate([*texts, junk, f"{texts[1]}\n\n{junk}\n"])), "doc_id long, text string")
+    got = {r.doc_id: r for r in quality.assess(rows).collect()}
+    assert all(got[i].kept and got[i].lost_share < 0.05 and got[i].clean_text == t for i, t in enumerate(texts))
+    assert not got[4].kept and got[4].clean_text == "" and got[5].kept and got[5].clean_text == texts[1] + "\n\n"
+
+
 def brute_pii(text):
     digits = lambda s: re.sub("[^0-9]", "", s)
     found = [(0, *m.span()) for m in pii.EMAIL.finditer(text)]
