@@ -10,19 +10,24 @@ empty bin borrows from the first filled bin of a permutation of its own (optimal
 2. In each bucket, one hub is drawn and every other member is compared with it: star-shaped edges,
    as many as there are members. Pairs whose sizes rule the threshold out are left out.
 3. Edges are confirmed on the full sets of both texts, and joined to components.
-4. Buckets whose members are still of two or more components go on without the hubs that all others
-   have been compared with, and with sixteen times as many hubs a round, until none is left. So every
-   pair of a bucket is compared unless it is connected already or can't be similar: no link is lost
-   and nothing is capped, and a group of copies costs about one comparison for each member.
-5. What can't be similar is bounded by counting. A pair at the threshold shares at least
-   a = percent * (n + m) / (100 + percent) shingles. Of the documents in buckets that are large after
-   the first round, shingles that just one of them has are counted, u for each; one with
-   n - u < a shares too few with any partner of the sizes in its bucket, and leaves it. And each is
-   compared once with its bucket's reference R (the root of its most common component): a bit for each
-   shingle of R that it has, and the number b of its shingles outside R. Two documents share at most
-   popcount(bits & bits') + max(0, min(b - u, b' - u')), which the join tests before a pair is made (R
-   itself has all bits and no shingle outside, so its own ones count in bits: b - u is below 0, and the
-   popcount alone is exact). So copies with edits of their own aren't compared with all of a large group.
+4. Buckets whose members are still of two or more components go on, with sixteen times as many hubs a
+   round. Hubs are drawn from all but a bucket's most common component, and leave it when all others have
+   been compared with them, until one component is left. So every pair of a bucket is compared unless it
+   is connected already or can't be similar: no link is lost and nothing is capped, a group of copies
+   costs about one comparison for each member, and what meets a hub is nearly always of another component.
+5. Buckets that are large after the first round are replaced by a prefix filter, so that their unlinked
+   members aren't paired with each other. The shingles of all their documents are put in one order, those
+   that fewest of the documents have first. Of a linked pair of n <= m shingles, which shares at least
+   a = percent * (n + m) / (100 + percent), the first n - a + 1 of one and the first m - a + 1 of the other
+   have a shingle in common; so the smaller one has it among its first n - 2 * percent * n / (100 + percent)
+   + 1 (short), and the larger one among its first m - percent * m / 100 + 1. Each shingle that two
+   documents have among these is a new bucket, in which pairs with a short end are compared. Documents
+   that have many shingles of their own, or that share just frequent ones, so meet nobody there.
+6. Each document of large buckets is compared once with a reference R (the root of the most common
+   component of its largest bucket): a bit for each shingle of R that it has, and the number b of its
+   shingles outside R, u of which no other of the documents has. Two documents with one reference share
+   at most popcount(bits & bits') + max(0, min(b - u, b' - u')), which a pair has to pass before its
+   texts are read (R itself has all bits and no shingle outside, so the popcount alone is exact).
 
 Shuffles: bucket keys once, the texts of bucket members once, then only pairs. Keys are spread over
 bands, and joins read written tables, so that Spark can split a hot key (sort-merge skew join).
@@ -38,7 +43,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import MIX_A, MIX_B, TextBatch, Workspace, mix64, pieces
@@ -46,10 +51,10 @@ from .components import components
 
 BANDS, ROWS = 40, 5
 BINS = BANDS * ROWS
-#: Members from which a bucket counts as large: own shingles are counted then, which changes no result.
+#: Members from which a bucket counts as large: buckets of shingles take its place then, which changes no result.
 LARGE = 32
-#: Of a bucket's member: document, set size, own shingles, component, marks against the reference, shingles outside it.
-LIVE = ("key", "x", "n", "u", "c", "bits", "b")
+#: Of a bucket's member: document, set size, own shingles, component, whether the bucket's shingle is among its first ones.
+LIVE = ("key", "x", "n", "u", "c", "short")
 U = np.uint64
 
 
@@ -140,8 +145,8 @@ def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
     return both.select("u", "v", "text_u", "text_v").mapInArrow(run, "u long, v long")
 
 
-def _own_shingles(texts: DataFrame, k: int) -> DataFrame:
-    """(x, u): how many of its shingles each of these documents shares with no other of them."""
+def _shingles(texts: DataFrame, k: int) -> DataFrame:
+    """(x, h): every shingle of these documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,9 +155,7 @@ def _own_shingles(texts: DataFrame, k: int) -> DataFrame:
                 ids = np.repeat(part.column("doc_id").to_numpy(zero_copy_only=False), [len(s) for s in sets])
                 yield pa.record_batch([pa.array(ids), pa.array(np.concatenate(sets).astype(np.int64))], ["x", "h"])
 
-    each = texts.select("doc_id", "text").mapInArrow(run, "x long, h long")
-    single = each.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("x").alias("x")).filter("c = 1")
-    return single.groupBy("x").agg(F.count(F.lit(1)).alias("u"))
+    return texts.select("doc_id", "text").mapInArrow(run, "x long, h long")
 
 
 def _marks(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
@@ -176,32 +179,47 @@ def _marks(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     return both.select("x", "r", "text_x", "text_r").mapInArrow(run, "x long, r long, bits array<long>, b long")
 
 
-def _counted(rest: DataFrame, texts: DataFrame, work: Workspace, k: int, percent: int) -> DataFrame:
-    """Fills in u, bits and b for the members of large buckets, and leaves out those that can't match."""
+def _by_prefix(rest: DataFrame, texts: DataFrame, work: Workspace, k: int, percent: int) -> tuple[DataFrame, DataFrame | None]:
+    """The members of large buckets in buckets by their first shingles, others as they are; and (x, n, u, r, bits, b) of the former."""
     sizes = rest.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.sum("m").alias("size"), F.max_by("c", F.struct("m", "c")).alias("r"))
-    reference = work.save(sizes.filter(F.col("size") > LARGE).select("key", "r"), "reference")
-    if reference.isEmpty():
-        return rest
-    pairs = work.save(rest.join(reference, "key").select("x", "r").distinct(), "marked")
-    large = work.save(pairs.select(F.col("x").alias("doc_id")).union(pairs.select("r")).distinct(), "large")
-    texts = work.save(texts.join(large, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "large-texts")
-    own = work.save(_own_shingles(texts, k), "own")
-    marks = work.save(_marks(pairs, texts, k), "marks")
-    whole = rest.drop("u", "bits", "b").join(reference, "key", "left").join(own, "x", "left").join(marks, ["x", "r"], "left")
-    u = F.when(F.col("r").isNotNull(), F.coalesce("u", F.lit(0).cast("long"))).otherwise(F.lit(0).cast("long"))
-    whole = whole.select("key", "x", "n", u.alias("u"), "c", "bits", F.coalesce("b", F.lit(0).cast("long")).alias("b"))
-    return _mixed(work.save(whole, "counted"), work, "mixed-counted", percent)
-
-
-def _mixed(rest: DataFrame, work: Workspace, name: str, percent: int) -> DataFrame:
-    """What is left of buckets of two or more components, without members that no partner there can match."""
-    least = rest.groupBy("key").agg(F.min("n").alias("least"))
-    smallest = F.greatest(F.col("least"), percent * F.col("n") / 100)
-    able = rest.join(work.save(least, f"{name}-least"), "key")
-    able = able.filter((100 + percent) * (F.col("n") - F.col("u")) >= percent * (F.col("n") + smallest))
-    able = work.save(able.select(*LIVE), f"{name}-able")
-    keys = able.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("key")
-    return able.join(work.save(keys, name), "key").select(*LIVE)
+    large = work.save(sizes.filter(F.col("size") > LARGE), "large")
+    if large.isEmpty():
+        return rest, None
+    inside = rest.join(large, "key").groupBy("x").agg(F.max("n").alias("n"), F.max("c").alias("c"), F.max_by("r", F.struct("size", "r")).alias("r"))
+    inside = work.save(inside, "inside")
+    both = inside.select(F.col("x").alias("doc_id")).union(inside.select("r")).distinct()
+    texts = work.save(texts.join(both, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "large-texts")
+    each = work.save(_shingles(texts, k), "shingles")
+    held = each.groupBy("h").agg(F.count(F.lit(1)).alias("held")).filter("held > 1")
+    held = work.save(each.join(held, "h"), "held")
+    work.drop(each)
+    own = inside.join(held.groupBy("x").agg(F.count(F.lit(1)).alias("s")), "x", "left")
+    own = work.save(own.select("x", "n", "c", "r", (F.col("n") - F.coalesce("s", F.lit(0))).alias("u")), "own")
+    place = F.row_number().over(Window.partitionBy("x").orderBy("held", "h"))
+    first = held.withColumn("place", place).join(own, "x").withColumn("place", F.col("place") + F.col("u"))
+    first = first.filter(F.expr(f"place <= n - ({percent} * n + 99) div 100 + 1"))
+    short = F.expr(f"place <= n - ({2 * percent} * n + {99 + percent}) div {100 + percent} + 1")
+    first = first.select(F.col("h").alias("key"), "x", "n", "u", "c", short.alias("short"))
+    small = rest.join(large, "key", "left_anti").select(*LIVE)
+    marks = _marks(own.select("x", "r"), texts, k).join(own.select("x", "n", "u"), "x")
+    return work.save(small.union(first), "by-prefix"), work.save(marks, "marks")
+
+
+def _possible(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    """The pairs that their marks against one reference don't rule out."""
+    of = lambda end: marks.select(F.col("x").alias(end), *(F.col(a).alias(f"{end}_{a}") for a in ("n", "u", "r", "bits", "b")))
+    both = pairs.join(of("u"), "u", "left").join(of("v"), "v", "left")
+    common = F.aggregate(F.zip_with("u_bits", "v_bits", lambda a, b: F.bit_count(a.bitwiseAND(b))), F.lit(0), lambda s, v: s + v)
+    most = common + F.greatest(F.lit(0), F.least(F.col("u_b") - F.col("u_u"), F.col("v_b") - F.col("v_u")))
+    ruled_out = (F.col("u_r") == F.col("v_r")) & ((100 + percent) * most < percent * (F.col("u_n") + F.col("v_n")))
+    return both.filter(~F.coalesce(ruled_out, F.lit(False))).select("u", "v")
+
+
+def _mixed(rest: DataFrame, work: Workspace, name: str) -> DataFrame:
+    """What is left of buckets of two or more components with a short member; and d, the bucket's most common component."""
+    each = rest.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m"), F.max("short").alias("short"))
+    keys = each.groupBy("key").agg(F.max_by("c", F.struct("m", "c")).alias("d"), F.count(F.lit(1)).alias("many"), F.max("short").alias("short"))
+    return rest.join(work.save(keys.filter("many > 1 and short").select("key", "d"), name), "key").select(*LIVE, "d")
 
 
 def _merge(groups: DataFrame | None, links: DataFrame, work: Workspace, step: int) -> DataFrame | None:
@@ -232,34 +250,35 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     members = joined.select("doc_id", "n", "rep")
     buckets = joined.filter("bands is not null").select(F.col("rep").alias("x"), "n", F.explode("bands").alias("key"))
     shared = work.save(buckets.groupBy("key").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).filter("lo < hi").select("key"), "shared")
-    zero, none = F.lit(0).cast("long"), F.lit(None).cast("array<bigint>")
-    live = work.save(buckets.join(shared, "key").select("key", "x", "n", zero.alias("u"), F.col("x").alias("c"), none.alias("bits"), zero.alias("b")), "live0")
+    live = buckets.join(shared, "key").select("key", "x", "n", F.lit(0).cast("long").alias("u"), F.col("x").alias("c"), F.lit(True).alias("short"))
+    live = work.save(live, "live0")
     within = work.save(live.select(F.col("x").alias("doc_id")).distinct(), "within")
     texts = work.save(docs.join(within, "doc_id", "left_semi"), "texts")
 
-    groups, step, hubs_each = None, 0, 1
+    groups, marks, step, hubs_each = None, None, 0, 1
     while not live.isEmpty():
         slot = F.pmod(F.xxhash64("x", "key", F.lit(step)), F.lit(hubs_each))
         order = F.struct(F.col("u") / F.col("n"), F.xxhash64("x", "key"))  # those with least of their own first
-        hubs = live.groupBy("key", slot.alias("slot")).agg(F.min(F.struct(order.alias("o"), *LIVE[1:])).alias("h"))
+        able = live if step == 0 else live.filter("c <> d")
+        hubs = able.groupBy("key", slot.alias("slot")).agg(F.min(F.struct(order.alias("o"), *LIVE[1:])).alias("h"))
         hubs = work.save(hubs.select("key", *(F.col(f"h.{a}").alias(f"hub_{a}") for a in LIVE[1:])), f"hubs{step}")
         at_least = percent * (F.col("n") + F.col("hub_n"))
         fits = (100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")) & (F.col("c") != F.col("hub_c"))
         fits &= (100 + percent) * F.least(F.col("n") - F.col("u"), F.col("hub_n") - F.col("hub_u")) >= at_least
-        both = F.aggregate(F.zip_with("bits", "hub_bits", lambda a, b: F.bit_count(a.bitwiseAND(b))), F.lit(0), lambda s, v: s + v)
-        shared_at_most = both + F.greatest(F.lit(0), F.least(F.col("b") - F.col("u"), F.col("hub_b") - F.col("hub_u")))
-        fits &= F.coalesce((100 + percent) * shared_at_most >= at_least, F.lit(True))
+        fits &= F.col("short") | F.col("hub_short")
         star = live.join(hubs, "key").filter(fits)
         pairs = work.save(star.select(F.least("x", "hub_x").alias("u"), F.greatest("x", "hub_x").alias("v")).distinct(), f"pairs{step}")
+        if marks is not None:
+            pairs = work.save(_possible(pairs, marks, percent), f"possible{step}")
         links = work.save(confirm(pairs, texts, k, percent), f"links{step}")
         groups = _merge(groups, links, work, step)
         rest = live.join(hubs.select("key", F.col("hub_x").alias("x")), ["key", "x"], "left_anti")
         if groups is not None:
             rest = rest.join(groups.select("x", F.col("c").alias("g")), "x", "left").withColumn("c", F.coalesce("g", "c")).drop("g")
-        rest = _mixed(work.save(rest.select(*LIVE), f"rest{step}"), work, f"mixed{step}", percent)
+        live = work.save(_mixed(work.save(rest.select(*LIVE), f"rest{step}"), work, f"mixed{step}"), f"live{step + 1}")
         if step == 0:
-            rest = _counted(work.save(rest, "first"), texts, work, k, percent)
-        live = work.save(rest, f"live{step + 1}")
+            rest, marks = _by_prefix(live, texts, work, k, percent)
+            live = live if marks is None else work.save(_mixed(rest, work, "mixed-prefix"), "live-prefix")
         step, hubs_each = step + 1, hubs_each * 16
 
     if groups is None:
