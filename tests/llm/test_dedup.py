@@ -91,41 +91,6 @@ def test_large_bucket_links_its_reference(spark, monkeypatch):
         assert got == brute_components(texts, 1) and got[900] == (100, 500)
 
 
-def one_bucket(sketches):
-    return np.repeat((np.arange(neardup.BANDS, dtype=np.uint64) + np.uint64(7))[None], len(sketches), axis=0)
-
-
-def test_unlinked_members_of_a_large_bucket_are_not_paired(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "band_keys", one_bucket)
-    saved, save = {}, Workspace.save
-    monkeypatch.setattr(Workspace, "save", lambda self, df, name: saved.setdefault(name, save(self, df, name)))
-    texts = [(i, " ".join([f"menu{j}" for j in range(70)] + [f"own{i}x{j}" for j in range(30)])) for i in range(120)]
-    texts += [(200 + i, " ".join([f"menu{j}" for j in range(70)] + [f"pair{i // 2}x{j}" for j in range(20)] + [f"own{i}y{j}" for j in range(8)])) for i in range(20)]
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"), 1).collect()}
-    assert got == brute_components(texts, 1) and got[219] == (98, 218) and got[119] == (100, 119)
-    assert sum(df.count() for name, df in saved.items() if re.fullmatch(r"pairs[1-9]\d*", name)) <= 20
-
-
-@pytest.mark.parametrize("seed", range(3))
-def test_prefixes_lose_no_link(spark, monkeypatch, seed):
-    """Everything in one bucket; sizes apart, similarities around the threshold, shingles of all frequencies."""
-    monkeypatch.setattr(neardup, "band_keys", one_bucket)
-    monkeypatch.setattr(neardup, "LARGE", 4)
-    rng = random.Random(seed)
-    pool = [f"common{j}" for j in range(60)]
-    texts = []
-    for i in range(90):
-        words = rng.sample(pool, rng.randrange(20, 50)) if i % 3 == 0 or not texts else texts[rng.randrange(len(texts))][1].split()
-        for _ in range(rng.randrange(0, 6)):
-            if rng.random() < 0.5 and len(words) > 1:
-                words.pop(rng.randrange(len(words)))
-            else:
-                words.append(rng.choice([*pool, f"rare{rng.randrange(40)}", f"own{i}x{rng.randrange(10**6)}"]))
-        texts.append((i, " ".join(words)))
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"), 1).collect()}
-    assert got == brute_components(texts, 1)
-
-
 def test_sketch_has_a_value_in_every_bin():
     rng = np.random.default_rng(1)
     for n in (1, 2, 50, 5000):
