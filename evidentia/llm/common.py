@@ -174,6 +174,10 @@ class Workspace:
         self._held.append(out)
         return out
 
+    def again(self, frame: DataFrame) -> DataFrame:
+        """The same table read a second time, for a plan that meets it twice."""
+        return self.spark.read.schema(frame.schema).parquet(self.paths[id(frame)])
+
     def drop(self, *frames: DataFrame) -> None:
         jvm = self.spark.sparkContext._jvm
         for frame in frames:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, html, lm, neardup, packing, pii, quality, secrets, sql, suffix
+from . import ann, audit, bpe, html, lm, neardup, packing, pii, quality, secrets, sql, suffix, vecdup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,14 @@ def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.digest(table(spark, sf_dir, "documents"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
+def op12_embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vecdup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in sorted(globals().items()) if name.startswith("op") and name[2].isdigit()}
 

@@ -69,6 +69,29 @@ NEIGHBOURS = """WITH pairs AS (SELECT a.vec_id AS query_id, b.vec_id, sqrt(list_
     ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM pairs)
     SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10"""
 
+SHARE = "1 + (1000000000 * CAST({c} + 5 AS HUGEINT)) // ({n} + 5 * {v})"
+AUDIT = f"""WITH d AS (SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+    w AS (SELECT i, lang, source, unnest(regexp_extract_all(text, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d),
+    k AS (SELECT lang, term, count(*) AS c FROM w GROUP BY ALL HAVING count(DISTINCT i) >= 30),
+    g AS (SELECT DISTINCT lang, source FROM d),
+    l AS (SELECT lang, count(*) AS v, sum(c) AS n FROM k GROUP BY 1),
+    c AS (SELECT lang, source, term, count(*) AS c FROM w GROUP BY ALL),
+    x AS (SELECT g.lang, g.source, k.term, coalesce(c.c, 0) AS c, k.c AS lc FROM g JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)),
+    n AS (SELECT lang, source, sum(c) AS n FROM x GROUP BY ALL),
+    p AS (SELECT x.lang, x.source, term, c, {SHARE.format(c="c", n="n.n", v="l.v")} AS p, {SHARE.format(c="lc", n="l.n", v="l.v")} AS q FROM x JOIN n USING (lang, source) JOIN l USING (lang)),
+    s AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+    r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+        UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE c > 0 AND p > q)
+    SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM r) WHERE part = 'pair' OR rank <= 50"""
+
+VECTORS = """WITH RECURSIVE u AS MATERIALIZED (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+    links AS MATERIALIZED (SELECT a.vec_id AS u, b.vec_id AS v FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE CASE WHEN len(a.e) = len(b.e) THEN list_cosine_similarity(a.e, b.e) >= 0.93 END),
+    n AS (SELECT u, count(*) AS n FROM links GROUP BY 1),
+    reach AS (SELECT u AS node, v AS other FROM links UNION SELECT r.node, l.v FROM reach r JOIN links l ON r.other = l.u),
+    least AS (SELECT node, least(node, min(other)) AS c FROM reach GROUP BY node)
+    SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(c, vec_id) AS component_id, vec_id = coalesce(c, vec_id) AS kept FROM embeddings LEFT JOIN n ON n.u = vec_id LEFT JOIN least ON node = vec_id"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": QUALITY, "op3_near_duplicates": NEAR, "op5_nearest_neighbours": NEIGHBOURS, "op10_suffix_array": REPEATS}
+    return {"op11_source_divergence": AUDIT, "op12_embedding_near_duplicates": VECTORS, "op1_quality_rules": QUALITY, "op3_near_duplicates": NEAR, "op5_nearest_neighbours": NEIGHBOURS, "op10_suffix_array": REPEATS}
