@@ -58,8 +58,8 @@ def tokens_of(text: str, grams: int = 4) -> list[str]:
     return out
 
 
-def index(chunks: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """chunk_id, by, terms, counts, length and norm (of the counts) of every chunk, written once. Null text has no tokens and no length: it counts for N, not for the mean."""
+def tokenised(chunks: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """chunk_id, by, terms, counts, length and norm (of the counts) of every chunk. Null text has no tokens and no length: it counts for N, not for the mean."""
     kept = chunks.select("chunk_id", *(by or []), "text")
     schema = T.StructType([*kept.schema.fields[:-1]]).add("terms", T.ArrayType(T.StringType())).add("counts", T.ArrayType(T.IntegerType())).add("length", "long").add("norm", "double")
 
@@ -74,7 +74,12 @@ def index(chunks: DataFrame, by: list[str] | None = None) -> DataFrame:
                 new += [pa.array([None if t is None else int(c.sum()) for t, c in zip(texts, counts, strict=True)], pa.int64()), pa.array([float(np.sqrt((c * c).sum())) for c in counts], pa.float64())]
                 yield pa.record_batch([*part.columns[:-1], *new], [*part.schema.names[:-1], "terms", "counts", "length", "norm"])
 
-    return stored(kept.mapInArrow(run, schema), "tokens")
+    return kept.mapInArrow(run, schema)
+
+
+def index(chunks: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """What ``tokenised`` gives, written once."""
+    return stored(tokenised(chunks, by), "tokens")
 
 
 def token_stats(chunks: DataFrame, by: list[str] | None = None, table: DataFrame | None = None) -> DataFrame:
