@@ -2,8 +2,13 @@
 
 Fixed chunks don't build the corpus string: each page is cut by the windows that it touches, and the
 pieces are grouped by (document, window). So no task holds a document, and one shuffle is enough.
-Where it lies is known from the pages' lengths alone; texts are joined to that. Structured chunks are
-found likewise, from the lengths of units that stream by in order; a change of chapter begins anew.
+Where it lies is known from the pages' lengths alone, added up by a scan over ranges of pages; texts are joined to that.
+
+Structured chunks are found likewise, from the lengths of units; a change of chapter begins anew. A run of units of one chapter
+is cut into segments. What a chunk will hold depends only on where the one before it ended, so a segment finds, for every place
+where the segment before may leave it, where it will leave the next one and with how many chunks; those answers are chained
+along the run's segments, and then every segment finds its own chunks. So a document that is all one chapter is the work of
+many tasks, and only a few numbers of each segment come together.
 """
 
 from __future__ import annotations
@@ -13,15 +18,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import LATIN, ChunkConfig, Lexicon
 from ..functions import text as X
 from ..schemas import CHUNK
+from ..sources.scratch import stored
+from . import scan
 from .ingest import require_none
 
-UNITS = "document_id string, pdf_page int, unit int, chapter string, text string"
+UNITS = "document_id string, pdf_page int, unit int, chapter string, text string, n int"
 
 
 def fixed_chunks(pages: DataFrame, config: ChunkConfig | None = None, lexicon: Lexicon = LATIN) -> DataFrame:
@@ -32,11 +40,10 @@ def fixed_chunks(pages: DataFrame, config: ChunkConfig | None = None, lexicon: L
     """
     config = config or ChunkConfig()
     step = config.size - config.overlap
-    order = Window.partitionBy("document_id").orderBy("pdf_page")
     rows = pages.select("document_id", "pdf_page", "chapter", X.strip(F.coalesce("text", F.lit(""))).alias("text")).filter("text <> ''")
     lengths = rows.select("document_id", "pdf_page", F.length("text").cast("long").alias("n"))
     ends = lengths.groupBy("document_id").agg((F.sum(F.col("n") + 2) - 2).alias("total"))
-    places = lengths.withColumn("a", F.coalesce(F.sum(F.col("n") + 2).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    places = scan.running(lengths, ["document_id"], ["pdf_page"], sums={"a": F.col("n") + 2})
     rows = rows.join(places.join(ends, "document_id"), ["document_id", "pdf_page"])
     rows = rows.withColumn("piece", F.when(F.col("a") + F.col("n") < F.col("total"), F.concat("text", F.lit("\n\n"))).otherwise(F.col("text")))
     rows = rows.withColumn("b", F.col("a") + F.length("piece"))
@@ -55,7 +62,7 @@ def fixed_chunks(pages: DataFrame, config: ChunkConfig | None = None, lexicon: L
     inside = F.filter("c", lambda x: x["in"])
     named = F.array_distinct(F.filter(F.transform(inside, lambda x: x.chapter), lambda x: x != lexicon.unknown))
     out = out.select("document_id", "k", X.strip(F.array_join(F.transform("c", lambda x: x.part), "")).alias("text"), F.array_distinct(F.transform(inside, lambda x: x.pdf_page)).alias("pdf_pages"), named.alias("chapters"))
-    out = out.filter("text <> ''").withColumn("chunk_index", F.row_number().over(Window.partitionBy("document_id").orderBy("k")) - 1)
+    out = scan.numbered(out.filter("text <> ''"), ["document_id"], ["k"], "chunk_index").withColumn("chunk_index", F.col("chunk_index") - 1)
     return out.select(
         "document_id", "chunk_index", F.concat("document_id", F.lit("_baseline_"), F.lpad(F.col("chunk_index").cast("string"), 5, "0")).alias("chunk_id"),
         "text", X.compact_count(F.col("text")).alias("char_count"), "pdf_pages", F.coalesce(F.get("chapters", F.lit(0)), F.lit(lexicon.unknown)).alias("chapter"), "chapters",
@@ -158,61 +165,165 @@ def chunk_ranges(lengths: np.ndarray, config: ChunkConfig, overlap: int = 0) ->
     return out, begin, fresh
 
 
-UNIT_LENGTHS = "document_id string, pdf_page int, unit int, chapter string, n int"
-PLACES = "document_id string, run int, i int, pdf_page int, unit int"
+PLACES = "document_id string, run long, i long, pdf_page int, unit int"
+#: Units of a segment, and rows that a task works on, about.
+SEGMENT, ROWS = 4096, 50_000
+RUN = ["document_id", "run"]
 
 
-def _units(pages: DataFrame, config: ChunkConfig, lexicon: Lexicon, lengths_only: bool) -> DataFrame:
-    heading = re.compile(lexicon.heading)
+def units(pages: DataFrame, config: ChunkConfig | None = None, lexicon: Lexicon = LATIN) -> DataFrame:
+    """Units of every page with their lengths, page by page: no shuffle."""
+    config, heading = config or ChunkConfig(), re.compile(lexicon.heading)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for document, page, chapter, text in batch.itertuples(index=False):
                 found = page_units(text or "", config.unit, heading, lexicon.sentence_ends)
-                rows += [(document, page, i, chapter, len(u) if lengths_only else u) for i, u in enumerate(found)]
-            yield pd.DataFrame(rows, columns=["document_id", "pdf_page", "unit", "chapter", "n" if lengths_only else "text"])
+                rows += [(document, page, i, chapter, u, len(u)) for i, u in enumerate(found)]
+            yield pd.DataFrame(rows, columns=["document_id", "pdf_page", "unit", "chapter", "text", "n"])
 
-    return pages.select("document_id", "pdf_page", "chapter", "text").mapInPandas(run, UNIT_LENGTHS if lengths_only else UNITS)
+    return pages.select("document_id", "pdf_page", "chapter", "text").mapInPandas(run, UNITS)
 
 
-def units(pages: DataFrame, config: ChunkConfig | None = None, lexicon: Lexicon = LATIN) -> DataFrame:
-    """Units of every page, page by page: no shuffle."""
-    return _units(pages, config or ChunkConfig(), lexicon, False)
+def halo(config: ChunkConfig) -> tuple[int, int]:
+    """How many units a chunk may begin before, and end after, the end of the chunk before it."""
+    return config.structured_overlap + 1, (config.target + 2) // 3 + 2
 
 
-def _places(lengths: DataFrame, config: ChunkConfig) -> DataFrame:
-    """Which units each chunk has. A document's units stream by in order, lengths alone; an open chunk is all that is held."""
-    order = Window.partitionBy("document_id").orderBy("pdf_page", "unit")
-    turn = F.when(F.col("chapter") == F.lag("chapter").over(order), 0).otherwise(1)
-    runs = lengths.withColumn("turn", turn).withColumn("run", F.sum("turn").over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
+def segmented(config: ChunkConfig) -> bool:
+    """Whether every chunk holds more than the overlap, so that the end of a chunk alone decides what follows. Else a run is one segment."""
+    return 3 * config.structured_overlap <= config.target and 3 * config.structured_overlap + max(config.unit, 80) + 2 <= config.most
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        open_, held, known, count = None, None, 0, 0  # a run, units of its open chunk, how many of them the last chunk has, chunks so far
-        columns = ["document_id", "run", "i", "pdf_page", "unit"]
 
-        def placed(rows: pd.DataFrame, ranges: list[tuple[int, int]], first: int) -> pd.DataFrame:
-            at = np.concatenate([np.arange(a, b) for a, b in ranges]) if ranges else np.zeros(0, np.int64)
-            out = rows.iloc[at][["document_id", "run", "pdf_page", "unit"]].copy()
-            out["i"] = np.repeat(np.arange(first, first + len(ranges)), [b - a for a, b in ranges])
-            return out[columns]
+def next_ends(lengths: np.ndarray, config: ChunkConfig) -> tuple[np.ndarray, np.ndarray]:
+    """For each place where a chunk may have ended: where the next one begins, and where it ends (beyond the last unit if it is open)."""
+    n = len(lengths)
+    total = np.append(0, np.cumsum(lengths))
+    joined, ends = total + 2 * np.arange(n + 1), np.arange(n)
+    begin = np.minimum(np.searchsorted(total, total[:-1] - config.structured_overlap), np.maximum(ends - 1, 0)) if config.structured_overlap else ends
+    reached = np.searchsorted(joined, joined[begin] + config.target + 2)
+    over = np.searchsorted(joined, joined[begin] + config.most + 2, side="right") - 1
+    end = np.maximum(np.minimum(reached, over), ends + 1)
+    return begin, np.where((end > n) | ((end == n) & (reached > n)), n + 1, end)
 
-        for batch in batches:
-            for key, rows in batch.groupby(["document_id", "run"], sort=False):
-                if key == open_:
-                    rows = pd.concat([held, rows])
-                else:
-                    if open_ is not None and len(held) > known:
-                        yield placed(held, [(0, len(held))], count)
-                    open_, known, count = key, 0, 0
-                ranges, begin, fresh = chunk_ranges(rows["n"].to_numpy(), config, known)
-                yield placed(rows, ranges, count)
-                held, known, count = rows.iloc[begin:], fresh - begin, count + len(ranges)
-        if open_ is not None and len(held) > known:
-            yield placed(held, [(0, len(held))], count)
-
-    ordered = runs.select("document_id", "run", "pdf_page", "unit", "n").repartition("document_id", "run").sortWithinPartitions("document_id", "run", "pdf_page", "unit")
-    return ordered.mapInPandas(run, PLACES)
+
+def crossings(lengths: np.ndarray, first: int, own: int, config: ChunkConfig) -> list[tuple[int, int, int, int]]:
+    """(from, to, exit, chunks), by places from the segment's first unit: entries at from..to leave at ``exit`` after so many chunks.
+
+    lengths: of the segment's ``own`` units, from place ``first``, and of their neighbours. An exit of -1 is the end of the run.
+    """
+    _, end = next_ends(lengths, config)
+    n, beyond = len(lengths), first + own
+    leaves, chunks = np.empty(own, dtype=np.int64), np.ones(own, dtype=np.int64)
+    for p in range(own - 1, -1, -1):
+        e = int(end[first + p])
+        if e >= n:
+            leaves[p] = -1
+        elif e >= beyond:
+            leaves[p] = e - first
+        else:
+            leaves[p] = leaves[e - first]
+            chunks[p] += chunks[e - first]
+    upto = min(own, halo(config)[1] + 1)
+    edge = np.flatnonzero((np.diff(leaves[:upto]) != 0) | (np.diff(chunks[:upto]) != 0)) + 1
+    starts, stops = np.append(0, edge), np.append(edge, upto) - 1
+    return [(int(a), int(b), int(leaves[a]), int(chunks[a])) for a, b in zip(starts, stops, strict=True)]
+
+
+def segment_chunks(lengths: np.ndarray, first: int, own: int, entry: int, config: ChunkConfig) -> list[tuple[int, int]]:
+    """Chunks (begin, end), by places in ``lengths``, that follow an end inside the segment; entry: the first such end."""
+    begin = int(next_ends(lengths[: entry + 1], config)[0][entry]) if entry else 0
+    ranges, last, fresh = chunk_ranges(lengths[begin:], config, entry - begin)
+    out, known = [], entry
+    for a, b in ranges:
+        if known >= first + own:
+            return out
+        out.append((begin + a, begin + b))
+        known = begin + b
+    if known < first + own and known < len(lengths):
+        out.append((begin + last, len(lengths)))
+    return out
+
+
+def _segments(rows: pa.Table):
+    """(document_id, run, seg, rows in order) of a task's segments."""
+    document = rows.column("document_id").combine_chunks().dictionary_encode()
+    key = [document.indices.to_numpy(zero_copy_only=False), *(rows.column(c).to_numpy() for c in ("run", "seg", "j"))]
+    order = np.lexsort(key[::-1])
+    cut = np.flatnonzero(np.any([np.diff(k[order]) != 0 for k in key[:3]], axis=0)) + 1
+    for at in np.split(order, cut) if len(order) else []:
+        yield document.dictionary[int(key[0][at[0]])].as_py(), int(key[1][at[0]]), int(key[2][at[0]]), at
+
+
+def _crossed(rows: pa.Table, config: ChunkConfig, size: int) -> pa.Table:
+    out = []
+    n, j = rows.column("n").to_numpy(), rows.column("j").to_numpy()
+    for document, run, seg, at in _segments(rows):
+        inside = j[at] // size == seg
+        if j[at[-1]] // size > seg:  # the last segment leaves to none
+            out += [(document, run, seg, *c) for c in crossings(n[at], int(np.argmax(inside)), int(inside.sum()), config)]
+    names = ("document_id", "run", "seg", "lo", "hi", "leaves", "chunks")
+    return pa.table({c: pa.array([r[i] for r in out], pa.string() if i == 0 else pa.int64()) for i, c in enumerate(names)})
+
+
+def _chained(key: tuple, rows: pa.Table, size: int) -> pa.Table:
+    """document_id, run, seg, entry, first: where each segment after the first is entered, by its own places, and its first chunk's number."""
+    by_seg: dict[int, list[tuple[int, int, int, int]]] = {}
+    for seg, *what in zip(*(rows.column(c).to_pylist() for c in ("seg", "lo", "hi", "leaves", "chunks")), strict=True):
+        by_seg.setdefault(seg, []).append(tuple(what))
+    out, seg, entry, count = [], 0, 0, 0
+    while seg in by_seg:
+        leaves, chunks = next((x, c) for lo, hi, x, c in by_seg[seg] if lo <= entry <= hi)
+        count += chunks
+        if leaves < 0:
+            break
+        seg, entry = seg + 1, leaves - size
+        out.append((seg, entry, count))
+    ids = [key[0].as_py()] * len(out), [key[1].as_py()] * len(out)
+    return pa.table({"document_id": pa.array(ids[0], pa.string()), "run": pa.array(ids[1], pa.int64()), **{c: pa.array([r[i] for r in out], pa.int64()) for i, c in enumerate(("seg", "entry", "first"))}})
+
+
+def _placed(rows: pa.Table, config: ChunkConfig, size: int) -> pa.Table:
+    """The units of each chunk of a task's segments."""
+    n, j, entry, first = (rows.column(c).to_numpy() for c in ("n", "j", "entry", "first"))
+    at_all, number = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for document, run, seg, at in _segments(rows):
+        inside = j[at] // size == seg
+        skip, own = int(np.argmax(inside)), int(inside.sum())
+        for i, (a, b) in enumerate(segment_chunks(n[at], skip, own, skip + int(entry[at[0]]), config)):
+            at_all.append(at[a:b])
+            number.append(np.full(b - a, first[at[0]] + i, dtype=np.int64))
+    at = pa.array(np.concatenate(at_all))
+    return pa.table([rows.column("document_id").take(at), rows.column("run").take(at), pa.array(np.concatenate(number)), rows.column("pdf_page").take(at), rows.column("unit").take(at)], ["document_id", "run", "i", "pdf_page", "unit"])
+
+
+def _places(lengths: DataFrame, config: ChunkConfig) -> DataFrame:
+    """Which units each chunk has, from document_id, pdf_page, unit, chapter, n of every unit."""
+    pages = lengths.groupBy("document_id", "pdf_page").agg(F.count(F.lit(1)).alias("units"), F.first("chapter").alias("chapter"))
+    order = (["document_id"], ["pdf_page"])
+    turned = scan.running(pages, *order, before={"past": F.struct("chapter")})
+    turned = turned.withColumn("turn", F.when(F.col("past").isNotNull() & F.col("past.chapter").eqNullSafe(F.col("chapter")), 0).otherwise(1))
+    runs = scan.running(turned.select("document_id", "pdf_page", "units", "turn"), *order, sums={"run": F.col("turn"), "start": F.col("units")})
+    runs = runs.withColumn("run", F.col("run") + F.col("turn"))
+    base = runs.groupBy(*RUN).agg(F.min("start").alias("base"))
+    runs = runs.join(base, RUN).select("document_id", "pdf_page", "run", (F.col("start") - F.col("base")).alias("start"))
+    size = max(SEGMENT, *halo(config)) if segmented(config) else 1 << 62
+    rows = lengths.join(runs, ["document_id", "pdf_page"]).select(*RUN, (F.col("start") + F.col("unit")).alias("j"), "pdf_page", "unit", "n")
+    before, after = halo(config)
+    seg, at = F.floor(F.col("j") / size), F.col("j") % size
+    near = F.array_compact(F.array(seg, F.when((at < after) & (seg > 0), seg - 1), F.when(at >= size - before, seg + 1)))
+    rows = stored(rows.withColumn("seg", F.explode(near)), "segments")
+    # a segment is entered from the one before; units that only precede one are no segment
+    real = rows.filter(F.floor(F.col("j") / size) == F.col("seg")).select(*RUN, "seg").distinct() if segmented(config) else None
+    rows = rows.join(real, [*RUN, "seg"], "left_semi") if real is not None else rows
+    deal = F.pmod(F.xxhash64(*RUN, "seg"), F.lit(max(1, -(-rows.count() // ROWS))))
+    dealt = rows.withColumn("deal", deal)
+    crossed = dealt.groupBy("deal").applyInArrow(lambda t: _crossed(t, config, size), "document_id string, run long, seg long, lo long, hi long, leaves long, chunks long")
+    entries = crossed.groupBy(*RUN).applyInArrow(lambda key, t: _chained(key, t, size), "document_id string, run long, seg long, entry long, first long")
+    entered = dealt.filter("seg = 0").withColumns({"entry": F.lit(0).cast("long"), "first": F.lit(0).cast("long")})
+    entered = entered.unionByName(dealt.filter("seg > 0").join(stored(entries, "entries"), [*RUN, "seg"]).select(entered.columns))
+    return entered.groupBy("deal").applyInArrow(lambda t: _placed(t, config, size), PLACES)
 
 
 def structured_chunks(pages: DataFrame, config: ChunkConfig | None = None, lexicon: Lexicon = LATIN) -> DataFrame:
@@ -221,13 +332,15 @@ def structured_chunks(pages: DataFrame, config: ChunkConfig | None = None, lexic
     Chunks are found from the units' lengths; texts are joined to them last. Pages without a document have none.
     """
     config = config or ChunkConfig()
-    places = _places(_units(pages, config, lexicon, True), config)
-    held = places.join(units(pages, config, lexicon), ["document_id", "pdf_page", "unit"])
+    cut = stored(units(pages.filter("document_id is not null"), config, lexicon), "units")
+    places = stored(_places(cut.drop("text"), config), "places")
+    numbers = scan.running(places.groupBy(*RUN).agg((F.max("i") + 1).alias("n")), ["document_id"], ["run"], sums={"before": F.col("n")}).drop("n")
+    held = places.join(cut.drop("n"), ["document_id", "pdf_page", "unit"])
     own = held.groupBy("document_id", "run", "i").agg(F.array_sort(F.collect_list(F.struct("pdf_page", "unit", "text"))).alias("u"), F.first("chapter").alias("chapter"))
-    chunks = own.select(
-        "document_id", "run", "i", X.strip(F.array_join(F.transform("u", lambda u: u.text), "\n\n")).alias("text"), F.array_distinct(F.transform("u", lambda u: u.pdf_page)).alias("pdf_pages"), "chapter"
-    )
-    chunks = chunks.withColumn("chunk_index", F.row_number().over(Window.partitionBy("document_id").orderBy("run", "i")) - 1)
+    chunks = own.join(numbers, RUN).select(
+        "document_id", (F.col("before") + F.col("i")).cast("int").alias("chunk_index"), X.strip(F.array_join(F.transform("u", lambda u: u.text), "\n\n")).alias("text"),
+        F.array_distinct(F.transform("u", lambda u: u.pdf_page)).alias("pdf_pages"), "chapter",
+    )
     return chunks.select(
         "document_id", "chunk_index", F.concat("document_id", F.lit("_structured_"), F.lpad(F.col("chunk_index").cast("string"), 5, "0")).alias("chunk_id"),
         "text", X.compact_count(F.col("text")).alias("char_count"), "pdf_pages", "chapter", F.filter(F.array("chapter"), lambda c: c != lexicon.unknown).alias("chapters"),

@@ -1,29 +1,25 @@
 """From raw page text to clean, numbered, chaptered page rows; reports and audit samples.
 
-Pages are rows (document_id, pdf_page, text). Shuffles: one by (document, line) for margin lines, one
-by document for the chapter carried forward. A document's pages come to one task only in that window,
-whose rows are the short chapter headings, not the texts.
+Pages are rows (document_id, pdf_page, text). Shuffles: one by (document, line) for margin lines, one by ranges of
+(document, page) for numbers and one for what is carried forward (``scan``), so no task holds a document.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import LATIN, Lexicon
 from ..functions import text as X
 from ..sources.scratch import stored
+from . import scan
 
 
 def numbered(rows: DataFrame, document: str, order: str) -> DataFrame:
-    """pdf_page = 1, 2, ... of each document in the order of a column, whose values differ within a document.
-
-    Only the two columns pass through the window; texts are joined to the numbers.
-    """
-    places = rows.select(document, order).withColumn("pdf_page", F.row_number().over(Window.partitionBy(document).orderBy(order)))
-    return rows.join(places.hint("merge"), [document, order]).select(*rows.columns, "pdf_page")
+    """pdf_page = 1, 2, ... of each document in the order of a column, whose values differ within a document. Rows without a document go."""
+    return scan.numbered(rows, [document], [order], "pdf_page")
 
 
 def edges(lines: Column) -> Column:
@@ -64,16 +60,14 @@ def own_chapter(lines: Column, lexicon: Lexicon = LATIN) -> Column:
     return F.get(F.filter(F.slice(lines, 1, 12), heading), F.lit(0))
 
 
-def carried(value: str, document: str, order: str, default: Column) -> Column:
-    """The last value so far in the document, the row's own included."""
-    upto = Window.partitionBy(document).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return F.coalesce(F.last(value, ignorenulls=True).over(upto), default)
+def carried(rows: DataFrame, value: Column, name: str) -> DataFrame:
+    """document_id, pdf_page, name: the last value so far in the document, the page's own included."""
+    return scan.running(rows.select("document_id", "pdf_page", value.alias(name)), ["document_id"], ["pdf_page"], lasts={name: F.col(name)})
 
 
 def chapters(pages: DataFrame, lexicon: Lexicon = LATIN) -> DataFrame:
     """(document_id, pdf_page, chapter) from the pages' lines, carried forward."""
-    own = pages.select("document_id", "pdf_page", own_chapter(F.col("lines"), lexicon).alias("_own"))
-    return own.select("document_id", "pdf_page", carried("_own", "document_id", "pdf_page", F.lit(lexicon.unknown)).alias("chapter"))
+    return carried(pages, own_chapter(F.col("lines"), lexicon), "chapter").na.fill(lexicon.unknown, ["chapter"])
 
 
 def quality_flags(raw: Column, clean: Column, least: int = 50) -> Column:
@@ -145,8 +139,7 @@ def contiguity(pages: DataFrame) -> DataFrame:
 def unit_context(pages: DataFrame, lexicon: Lexicon = LATIN) -> DataFrame:
     """(document_id, pdf_page, unit_context): the latest unit declaration so far, null before the first."""
     unit = F.regexp_extract("text", lexicon.unit_pattern, 1)
-    own = pages.select("document_id", "pdf_page", F.when(unit != "", F.concat(F.lit(lexicon.unit_prefix), unit)).alias("_own"))
-    return own.select("document_id", "pdf_page", carried("_own", "document_id", "pdf_page", F.lit(None).cast("string")).alias("unit_context"))
+    return carried(pages, F.when(unit != "", F.concat(F.lit(lexicon.unit_prefix), unit)), "unit_context")
 
 
 #: What a document's audit pack can't do without.

@@ -153,6 +153,46 @@ def test_chunks_dont_depend_on_batches(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_segments_cross_as_one_walk_does():
+    """Chained segments give the ranges of one walk over the whole run, at every size of segment."""
+    rng = random.Random(8)
+    for trial in range(200):
+        config = ChunkConfig(target=rng.randrange(60, 90), most=rng.randrange(120, 150), structured_overlap=rng.choice((0, 5, 12)), unit=40)
+        assert chunking.segmented(config)
+        lengths = np.array([rng.choice((1, 2, rng.randrange(1, 41))) for _ in range(rng.randrange(1, 400))])
+        ranges, begin, fresh = chunking.chunk_ranges(lengths, config)
+        want = ranges + ([(begin, len(lengths))] if fresh < len(lengths) else [])
+        before, after = chunking.halo(config)
+        size, got, entry, count = max(before, after, 50 + trial), [], 0, 0
+        for lo in range(0, len(lengths), size):
+            hi = min(lo + size, len(lengths))
+            a, b = max(0, lo - before), min(len(lengths), hi + after)
+            if entry is None:
+                break
+            found = chunking.segment_chunks(lengths[a:b], lo - a, hi - lo, lo - a + entry, config)
+            got += [(a + x, a + y) for x, y in found]
+            if hi < len(lengths):
+                leaves, chunks = next((x, c) for p, q, x, c in chunking.crossings(lengths[a:b], lo - a, hi - lo, config) if p <= entry <= q)
+                assert chunks == len(found)
+                count, entry = count + chunks, None if leaves < 0 else leaves - size
+        assert got == want
+
+
+@pytest.mark.parametrize("overlap", [0, 12])
+def test_one_chapter_is_cut_by_many_tasks(spark, monkeypatch, overlap):
+    monkeypatch.setattr(chunking, "ROWS", 500)
+    rng = random.Random(overlap)
+    rows = [("d", i, "\n\n".join("".join(rng.choice("abc") for _ in range(rng.randrange(1, 30))) for _ in range(9)), "x") for i in range(1, 400)]
+    rows += [("e", i, "kurz.", ("x", None, None, "y")[i % 4]) for i in range(12)] + [("f", 1, " ", "x"), ("f", 2, None, "x"), (None, 1, "no document", "x")]
+    frame = spark.createDataFrame(rows, "document_id string, pdf_page int, text string, chapter string")
+    config = ChunkConfig(target=80, most=130, structured_overlap=overlap, unit=40)
+    shown = lambda: [tuple(r) for r in chunking.structured_chunks(frame, config).orderBy("document_id", "chunk_index").collect()]
+    monkeypatch.setattr(chunking, "SEGMENT", 1 << 40)
+    whole = shown()
+    monkeypatch.setattr(chunking, "SEGMENT", 1)  # as small as the halo lets it
+    assert shown() == whole and sum(r[0] == "d" for r in whole) > 300
+
+
 def test_parameters():
     for bad in ({"overlap": 800}, {"target": 1200}, {"structured_overlap": 700}, {"unit": 2000}):
         with pytest.raises(ValueError):
