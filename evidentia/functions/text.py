@@ -12,6 +12,8 @@ CJK = "[\\u3400-\\u4DBF\\u4E00-\\u9FFF]+"
 WORDS = "[a-z]+|[0-9]+(?:\\.[0-9]+)?%?"
 #: What Python's str.isspace() holds for, as a Java character class.
 BLANK = "[\\s\\x1c-\\x1f\\x85\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
+#: The same characters, for trim and translate, which take a half and an eighth of a pattern's time.
+BLANKS = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -29,17 +31,22 @@ def nfkc():
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{BLANK}+|{BLANK}+$", "")
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def normalize_line(line: Column) -> Column:
     """Runs of spaces, tabs and ideographic spaces become one space; ends are stripped."""
-    return strip(F.regexp_replace(line, "[ \\t\\u3000]+", " "))
+    return strip(one_space(line))
+
+
+def one_space(text: Column) -> Column:
+    """Runs of spaces, tabs and ideographic spaces as one space; single spaces, which are most, aren't touched."""
+    return F.regexp_replace(text, "[\\t\\u3000][ \\t\\u3000]*| [ \\t\\u3000]+", " ")
 
 
 def lines_of(text: Column) -> Column:
     """Normalised lines that aren't empty."""
-    return F.filter(F.transform(F.split(text, "\\r\\n|[\\n\\r\\x0b\\x0c\\x85\\u2028\\u2029]"), normalize_line), lambda x: x != "")
+    return F.filter(F.transform(F.split(one_space(text), "\\r\\n|[\\n\\r\\x0b\\x0c\\x85\\u2028\\u2029]"), strip), lambda x: x != "")
 
 
 def join_lines(lines: Column) -> Column:
@@ -48,7 +55,7 @@ def join_lines(lines: Column) -> Column:
 
 def compact_count(text: Column) -> Column:
     """Characters that aren't white space."""
-    return F.length(F.regexp_replace(text, f"{BLANK}+", ""))
+    return F.length(F.translate(text, BLANKS, ""))
 
 
 def tokens(text: Column, grams: int = 4) -> Column:
@@ -108,7 +115,7 @@ def salient(question: Column, ignored: tuple[str, ...]) -> Column:
 
 def quote(text: Column, terms: Column, most: int) -> Column:
     """A window of the text around its longest matching term (of equals, the earliest), with ellipses where it is cut."""
-    compact = strip(F.regexp_replace(text, f"{BLANK}+", " "))
+    compact = strip(F.regexp_replace(F.translate(text, BLANKS, " " * len(BLANKS)), "  +", " "))
 
     def cut(whole: Column) -> Column:
         places = F.array_sort(F.filter(F.transform(terms, lambda t: F.struct((-F.length(t)).alias("n"), (F.instr(whole, t) - 1).alias("at"))), lambda p: p.at >= 0))

@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import LATIN, ChunkConfig, Lexicon
@@ -31,6 +31,9 @@ from .ingest import require_none
 
 UNITS = "document_id string, pdf_page int, unit int, chapter string, text string, n int"
 
+#: Fixed windows of a range.
+WINDOWS = 256
+
 
 def fixed_chunks(pages: DataFrame, config: ChunkConfig | None = None, lexicon: Lexicon = LATIN) -> DataFrame:
     """document_id, chunk_index, chunk_id, text, char_count, pdf_pages, chapter, chapters of every window that isn't blank.
@@ -40,10 +43,10 @@ def fixed_chunks(pages: DataFrame, config: ChunkConfig | None = None, lexicon: L
     """
     config = config or ChunkConfig()
     step = config.size - config.overlap
-    rows = pages.select("document_id", "pdf_page", "chapter", X.strip(F.coalesce("text", F.lit(""))).alias("text")).filter("text <> ''")
+    rows = stored(pages.select("document_id", "pdf_page", "chapter", X.strip(F.coalesce("text", F.lit(""))).alias("text")).filter("text <> ''"), "stripped")
     lengths = rows.select("document_id", "pdf_page", F.length("text").cast("long").alias("n"))
     ends = lengths.groupBy("document_id").agg((F.sum(F.col("n") + 2) - 2).alias("total"))
-    places = scan.running(lengths, ["document_id"], ["pdf_page"], sums={"a": F.col("n") + 2})
+    places = lengths.join(scan.running(lengths, ["document_id"], "pdf_page", sums={"a": F.col("n") + 2}), ["document_id", "pdf_page"])
     rows = rows.join(places.join(ends, "document_id"), ["document_id", "pdf_page"])
     rows = rows.withColumn("piece", F.when(F.col("a") + F.col("n") < F.col("total"), F.concat("text", F.lit("\n\n"))).otherwise(F.col("text")))
     rows = rows.withColumn("b", F.col("a") + F.length("piece"))
@@ -58,14 +61,19 @@ def fixed_chunks(pages: DataFrame, config: ChunkConfig | None = None, lexicon: L
         "document_id", "k", "pdf_page", "chapter", touches.alias("in"), F.expr("piece").substr((low - F.col("a") + 1).cast("int"), (high - low).cast("int")).alias("part")
     )
     cuts = F.array_sort(F.collect_list(F.struct("pdf_page", "part", "in", "chapter")))
-    out = cut.groupBy("document_id", "k").agg(cuts.alias("c"))
+    # windows of a range come to one task, which numbers those that aren't blank; the ranges' counts are added up
+    dealt = cut.withColumn("r", F.floor(F.col("k") / WINDOWS)).repartition("document_id", "r")
+    out = dealt.groupBy("document_id", "r", "k").agg(cuts.alias("c"))
     inside = F.filter("c", lambda x: x["in"])
     named = F.array_distinct(F.filter(F.transform(inside, lambda x: x.chapter), lambda x: x != lexicon.unknown))
-    out = out.select("document_id", "k", X.strip(F.array_join(F.transform("c", lambda x: x.part), "")).alias("text"), F.array_distinct(F.transform(inside, lambda x: x.pdf_page)).alias("pdf_pages"), named.alias("chapters"))
-    out = scan.numbered(out.filter("text <> ''"), ["document_id"], ["k"], "chunk_index").withColumn("chunk_index", F.col("chunk_index") - 1)
+    out = out.select("document_id", "r", "k", X.strip(F.array_join(F.transform("c", lambda x: x.part), "")).alias("text"), F.array_distinct(F.transform(inside, lambda x: x.pdf_page)).alias("pdf_pages"), named.alias("chapters"))
+    out = out.filter("text <> ''").withColumn("i", F.row_number().over(Window.partitionBy("document_id", "r").orderBy("k")))
+    out = stored(out.withColumn("char_count", X.compact_count(F.col("text"))), "fixed-chunks")
+    ranges = scan.running(out.groupBy("document_id", "r").agg(F.count(F.lit(1)).alias("n")), ["document_id"], "r", sums={"before": F.col("n")})
+    out = out.join(ranges, ["document_id", "r"]).withColumn("chunk_index", (F.col("before") + F.col("i") - 1).cast("int"))
     return out.select(
         "document_id", "chunk_index", F.concat("document_id", F.lit("_baseline_"), F.lpad(F.col("chunk_index").cast("string"), 5, "0")).alias("chunk_id"),
-        "text", X.compact_count(F.col("text")).alias("char_count"), "pdf_pages", F.coalesce(F.get("chapters", F.lit(0)), F.lit(lexicon.unknown)).alias("chapter"), "chapters",
+        "text", "char_count", "pdf_pages", F.coalesce(F.get("chapters", F.lit(0)), F.lit(lexicon.unknown)).alias("chapter"), "chapters",
     )
 
 
@@ -301,10 +309,10 @@ def _placed(rows: pa.Table, config: ChunkConfig, size: int) -> pa.Table:
 def _places(lengths: DataFrame, config: ChunkConfig) -> DataFrame:
     """Which units each chunk has, from document_id, pdf_page, unit, chapter, n of every unit."""
     pages = lengths.groupBy("document_id", "pdf_page").agg(F.count(F.lit(1)).alias("units"), F.first("chapter").alias("chapter"))
-    order = (["document_id"], ["pdf_page"])
-    turned = scan.running(pages, *order, before={"past": F.struct("chapter")})
-    turned = turned.withColumn("turn", F.when(F.col("past").isNotNull() & F.col("past.chapter").eqNullSafe(F.col("chapter")), 0).otherwise(1))
-    runs = scan.running(turned.select("document_id", "pdf_page", "units", "turn"), *order, sums={"run": F.col("turn"), "start": F.col("units")})
+    order = (["document_id"], "pdf_page")
+    pages = pages.join(scan.running(pages, *order, before={"past": F.struct("chapter")}), ["document_id", "pdf_page"])
+    turned = pages.withColumn("turn", F.when(F.col("past").isNotNull() & F.col("past.chapter").eqNullSafe(F.col("chapter")), 0).otherwise(1))
+    runs = scan.running(turned, *order, sums={"run": F.col("turn"), "start": F.col("units")}, lasts={"turn": F.col("turn")})
     runs = runs.withColumn("run", F.col("run") + F.col("turn"))
     base = runs.groupBy(*RUN).agg(F.min("start").alias("base"))
     runs = runs.join(base, RUN).select("document_id", "pdf_page", "run", (F.col("start") - F.col("base")).alias("start"))
@@ -334,7 +342,7 @@ def structured_chunks(pages: DataFrame, config: ChunkConfig | None = None, lexic
     config = config or ChunkConfig()
     cut = stored(units(pages.filter("document_id is not null"), config, lexicon), "units")
     places = stored(_places(cut.drop("text"), config), "places")
-    numbers = scan.running(places.groupBy(*RUN).agg((F.max("i") + 1).alias("n")), ["document_id"], ["run"], sums={"before": F.col("n")}).drop("n")
+    numbers = scan.running(places.groupBy(*RUN).agg((F.max("i") + 1).alias("n")), ["document_id"], "run", sums={"before": F.col("n")})
     held = places.join(cut.drop("n"), ["document_id", "pdf_page", "unit"])
     own = held.groupBy("document_id", "run", "i").agg(F.array_sort(F.collect_list(F.struct("pdf_page", "unit", "text"))).alias("u"), F.first("chapter").alias("chapter"))
     chunks = own.join(numbers, RUN).select(

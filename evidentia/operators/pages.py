@@ -62,7 +62,7 @@ def own_chapter(lines: Column, lexicon: Lexicon = LATIN) -> Column:
 
 def carried(rows: DataFrame, value: Column, name: str) -> DataFrame:
     """document_id, pdf_page, name: the last value so far in the document, the page's own included."""
-    return scan.running(rows.select("document_id", "pdf_page", value.alias(name)), ["document_id"], ["pdf_page"], lasts={name: F.col(name)})
+    return scan.running(rows, ["document_id"], "pdf_page", lasts={name: value})
 
 
 def chapters(pages: DataFrame, lexicon: Lexicon = LATIN) -> DataFrame:

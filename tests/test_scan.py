@@ -26,7 +26,7 @@ def test_scans_equal_a_loop(spark, parts):
     rows = [("hot" if rng.random() < 0.9 else rng.choice("abcd"), p, rng.choice([None, 1, 5, 10**12]), rng.choice([None, None, None, "x", "y", ""])) for p in places] + [(None, 1, 1, "z")]
     frame = spark.createDataFrame(rows, ROWS)
     number = scan.numbered(frame, ["document"], ["place"], "i", parts).select("document", "place", "i")
-    values = scan.running(frame, ["document"], ["place"], {"total": F.col("n")}, {"last": F.col("word")}, {"past": F.col("word")}, parts)
+    values = scan.running(frame, ["document"], "place", {"total": F.col("n")}, {"last": F.col("word")}, {"past": F.col("word")}, span=100_000 // (parts or 99))
     got = values.join(number, ["document", "place"]).select("document", "place", "i", "total", "last", "past").collect()
     assert sorted((tuple(r) for r in got), key=repr) == sorted(plain(rows), key=repr)
 
@@ -42,4 +42,4 @@ def test_a_document_of_all_rows_lies_in_many_ranges(spark):
 def test_no_rows(spark):
     frame = spark.createDataFrame([], ROWS)
     assert scan.numbered(frame, ["document"], ["place"], "i").collect() == []
-    assert scan.running(frame, ["document"], ["place"], {"s": F.col("n")}, {"l": F.col("word")}).columns == ["document", "place", "n", "word", "s", "l"]
+    assert scan.running(frame, ["document"], "place", {"s": F.col("n")}, {"l": F.col("word")}).columns == ["document", "place", "s", "l"]
