@@ -324,9 +324,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, depth: int | No
     labels = components(work.save(edges, "edges"), work, "units")
 
     own = single.groupBy("rid").agg(F.sum("n").alias("m"))
-    placed = members.select("rid", "vec_id", "unit").join(labels.withColumnRenamed("node", "unit"), "unit", "left").withColumn("root", F.coalesce("root", "unit"))
-    least = placed.groupBy("root").agg(F.min("vec_id").alias("component_id"))
-    placed = placed.join(least, "root").join(counts, "unit").join(own, "rid", "left")
+    of_unit = members.groupBy("unit").agg(F.min("vec_id").alias("low")).join(labels.withColumnRenamed("node", "unit"), "unit", "left").withColumn("root", F.coalesce("root", "unit"))
+    least = of_unit.groupBy("root").agg(F.min("low").alias("component_id"))
+    of_unit = of_unit.join(least, "root").join(counts, "unit").select("unit", "component_id", "n")  # roots meet units, not rows
+    placed = members.select("rid", "unit").join(of_unit, "unit").join(own, "rid", "left")
     placed = placed.select("rid", (F.col("n") + F.coalesce("m", F.lit(0))).alias("n_links"), "component_id")
     out = rows.select("rid", "vec_id").join(placed, "rid", "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
