@@ -6,9 +6,10 @@ k-means with a penalty on large clusters, in two levels where there are many; th
 neighbour graph fit in memory everywhere. Distances to centroids are judged by a scale: a vector's
 distance to its closest one, or the sample's mean of that if it is more, so a vector that is a centroid
 itself has a scale too. Every vector is posted to its closest centroid and, at a boundary, to others
-within ``1 + CLOSURE`` times its scale, ``REPLICAS`` in all. A query reads its ``NEAREST`` lists, all
-further ones within ``1 + PRUNE`` times its scale, and on while those hold fewer than ``ENOUGH``
-vectors. Centroids are found by best-first search on the graph, all vectors of a batch at once; a query
+within ``1 + CLOSURE`` times its scale, ``REPLICAS`` in all. A query reads its ``NEAREST`` lists, and all
+further ones within a reach: the ratio to its scale that holds ``WANTED`` of the true neighbours of
+``PROBES`` sample rows, found among the sample by brute force. It follows the spread of distances, so
+recall doesn't fall where distances are alike, and the sample is sparser than the table, so it isn't too small. Centroids are found by best-first search on the graph, all vectors of a batch at once; a query
 whose beam ends before its scale does is searched anew with a wider one, so nothing is cut off.
 
 Neighbouring lists make a group of about ``GROUP`` vectors, where they meet the queries that ask for
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 from .common import Workspace
 
 SAMPLE, LIST, CENTROIDS, PART, GROUP, ASKED, LEVEL = 262_144, 24, 65_536, 4096, 16_384, 4096, 512
-CLOSURE, REPLICAS, PRUNE, NEAREST, ENOUGH, DEGREE, BEAM = 0.1, 4, 0.2, 8, 2000, 24, 64
+CLOSURE, REPLICAS, WANTED, PROBES, NEAREST, DEGREE, BEAM = 0.1, 4, 0.97, 256, 32, 24, 64
 
 
 def squared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -101,6 +102,7 @@ class Graph:
         if sample is not None and len(sample):
             some = sample[: 1 << 12]
             self.spread = float(np.sqrt(squared(some, centres).min(axis=1)).mean())
+        self.prune = fit_reach(self, sample) if sample is not None and len(sample) > 1 else 0.0
 
     def nearest(self, x: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """(centroids, distances) of each row of x, closest first, ``beam`` at most; -1 and infinity where there are fewer."""
@@ -162,17 +164,32 @@ def postings(graph: Graph, x: np.ndarray) -> list[list[int]]:
     return [own[k].tolist() for own, k in zip(ids, keep, strict=True)]
 
 
+def fit_reach(graph: Graph, sample: np.ndarray, k: int = 10) -> float:
+    """The share of its scale beyond which a query need not look, by the lists of its true neighbours in the sample."""
+    rows = np.random.default_rng(17).permutation(len(sample))[:PROBES]
+    ratio = []
+    for i in range(0, len(rows), 16):
+        own = rows[i : i + 16]
+        far = squared(sample[own], sample)
+        far[np.arange(len(own)), own] = np.inf
+        near = np.argpartition(far, min(k, len(sample) - 1) - 1, axis=1)[:, : min(k, len(sample) - 1)]
+        to_centre = np.sqrt(squared(sample[own], graph.centres))
+        scale = np.maximum(np.maximum(to_centre.min(axis=1), graph.spread), 1e-30)
+        held = postings(graph, sample[near.ravel()])
+        first = [to_centre[j // near.shape[1]][lists].min() for j, lists in enumerate(held)]
+        ratio.append(np.array(first).reshape(near.shape) / scale[:, None] - 1)
+    return max(0.0, float(np.quantile(np.concatenate(ratio), WANTED)))
+
+
 def lists_of_query(graph: Graph, x: np.ndarray, length: np.ndarray, beam: int = BEAM) -> list[list[int]]:
-    """The lists that each query reads: its closest ones, all within its reach, and on until they hold enough vectors."""
+    """The lists that each query reads: its closest ones, and all within its reach."""
     if not len(x):
         return []
     ids, dist = graph.nearest(x, beam)
-    inside = (ids >= 0) & (dist <= graph.reach(dist[:, :1], PRUNE))
+    inside = (ids >= 0) & (dist <= graph.reach(dist[:, :1], graph.prune))
     inside[:, :NEAREST] = ids[:, :NEAREST] >= 0
-    held = np.cumsum(np.where(ids >= 0, length[ids], 0), axis=1)
-    inside[:, 1:] |= (held[:, :-1] < ENOUGH) & (ids[:, 1:] >= 0)
     out = [own[k].tolist() for own, k in zip(ids, inside, strict=True)]
-    short = np.flatnonzero(inside[:, -1] | (held[:, -1] < ENOUGH)) if beam < len(length) else []
+    short = np.flatnonzero(inside[:, -1]) if beam < len(length) else []
     if len(short):  # the beam ended first
         for i, more in zip(short, lists_of_query(graph, x[short], length, 4 * beam), strict=True):
             out[i] = more

@@ -62,7 +62,7 @@ REPEATS = """WITH d AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS
     SELECT doc_id, length(h) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(rest)) AS kept_sha256 FROM kept"""
 
 
-#: The exact neighbours. The search is exact where its lists hold fewer than ENOUGH vectors together, as at sf0.01.
+#: The exact neighbours. A query reads ann.NEAREST lists at least, which at sf0.01 are more than there are.
 NEIGHBOURS = """WITH pairs AS (SELECT a.vec_id AS query_id, b.vec_id, sqrt(list_sum(list_transform(range(1, len(a.embedding) + 1),
         lambda i: (CAST(a.embedding[i] AS DOUBLE) - CAST(b.embedding[i] AS DOUBLE)) * (CAST(a.embedding[i] AS DOUBLE) - CAST(b.embedding[i] AS DOUBLE))))) AS score
     FROM embeddings a JOIN embeddings b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
