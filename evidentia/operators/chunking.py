@@ -86,6 +86,7 @@ def fixed_quality(chunks: DataFrame) -> DataFrame:
         F.min("char_count").alias("min_chars"),
         F.max("char_count").alias("max_chars"),
         F.sum("char_count").alias("sum_chars"),
+        F.bround(F.avg("char_count"), 2).alias("mean_chars"),
         F.min_by("chunk_id", "chunk_index").alias("first_chunk"),
         F.max_by("chunk_id", "chunk_index").alias("last_chunk"),
     )

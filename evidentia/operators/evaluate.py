@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .median import exact_median
 
 
 def first_ranks(hits: DataFrame, gold: DataFrame, top: int = 5, methods: tuple[str, ...] | None = None) -> DataFrame:
@@ -61,13 +62,30 @@ def answer_cases(rows: DataFrame) -> DataFrame:
 
 
 def answer_summary(cases: DataFrame) -> DataFrame:
-    """One row: counts by status, rates, and latency over the cases without an error."""
-    fine = F.col("status") != "error"
-    return cases.agg(
-        F.count(F.lit(1)).alias("cases"), F.count_if(F.col("status") == "answered").alias("answered"), F.count_if(F.col("status") == "refused").alias("refused"), F.count_if(~fine).alias("errors"),
-        F.avg(F.when(F.col("page_hit"), 1.0).otherwise(0.0)).alias("page_hit_rate"), F.avg("number_recall").alias("mean_number_recall"), F.avg(F.when(F.col("proxy"), 1.0).otherwise(0.0)).alias("proxy_rate"),
-        F.avg(F.when(fine, F.col("seconds"))).alias("mean_seconds"), F.median(F.when(fine, F.col("seconds"))).alias("median_seconds"), F.max(F.when(fine, F.col("seconds"))).alias("max_seconds"),
-    )
+    """One row: counts by status; rates and latencies over completed cases, those without an error.
+
+    full_recall_rate is over the completed cases with reference numbers. Rates without a case are 0, latencies null.
+    """
+    done = F.col("status") != "error"
+    share = lambda what, of: F.count_if(of & what) / F.greatest(F.count_if(of), F.lit(1))
+    counts = cases.agg(
+        F.count(F.lit(1)).alias("cases"), F.count_if(done).alias("completed"), F.count_if(F.col("status") == "answered").alias("answered"), F.count_if(F.col("status") == "refused").alias("refused"),
+        F.count_if(~done).alias("errors"), share(F.col("page_hit"), done).alias("page_hit_rate"), share(F.col("number_recall") == 1.0, done & F.col("number_recall").isNotNull()).alias("full_recall_rate"),
+        F.avg(F.when(done, F.col("number_recall"))).alias("mean_number_recall"), share(F.col("proxy"), done).alias("proxy_rate"),
+        F.count_if(~done | ~F.coalesce("proxy", F.lit(False))).alias("failures"), F.avg(F.when(done, F.col("seconds"))).alias("mean_seconds"), F.max(F.when(done, F.col("seconds"))).alias("max_seconds"),
+    )
+    middle = exact_median(cases, F.when(done, F.col("seconds"))).select(F.col("median").alias("median_seconds"))
+    return counts.crossJoin(F.broadcast(middle))  # one row
+
+
+def failures(cases: DataFrame) -> DataFrame:
+    """query_id, status of the cases that failed: with an error, or without a right answer. One row each, as they may be many."""
+    return cases.filter((F.col("status") == "error") | ~F.coalesce("proxy", F.lit(False))).select("query_id", "status")
+
+
+def missed(ranks: DataFrame, top: int = 5) -> DataFrame:
+    """method, query_id of the questions whose pages aren't among a method's first hits."""
+    return ranks.filter(F.coalesce("first_rank", F.lit(top + 1)) > top).select("method", "query_id")
 
 
 def pending(questions: DataFrame, done: DataFrame, retry: list[str] | None = None) -> DataFrame:

@@ -93,7 +93,8 @@ def rrf(vector: DataFrame, lexical: DataFrame, rrf_k: int = 10, vector_weight: f
     part = lambda weight, rank: F.coalesce(F.lit(weight) / (F.lit(rrf_k) + F.col(rank)), F.lit(0.0))
     both = both.withColumn("rrf_score", part(vector_weight, "vector_rank") + part(bm25_weight, "bm25_rank"))
     order = Window.partitionBy("query_id").orderBy(F.desc(rounded(F.col("rrf_score"), 12)), "chunk_id")
-    return both.withColumn("rank", F.row_number().over(order)).withColumn("score", F.col("rrf_score"))
+    fused = both.withColumn("rank", F.row_number().over(order)).withColumn("rrf_score", rounded(F.col("rrf_score"), 8))  # ranked before it is rounded
+    return fused.withColumn("score", F.col("rrf_score"))
 
 
 def features(questions: DataFrame, lexicon: Lexicon = LATIN) -> DataFrame:

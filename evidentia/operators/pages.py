@@ -15,6 +15,7 @@ from ..config import LATIN, Lexicon
 from ..functions import text as X
 from ..sources.scratch import stored
 from . import scan
+from .ingest import require_none
 
 
 def numbered(rows: DataFrame, document: str, order: str) -> DataFrame:
@@ -93,6 +94,7 @@ def parse_report(parsed: DataFrame, lexicon: Lexicon = LATIN) -> DataFrame:
     return parsed.groupBy("document_id").agg(
         F.count(F.lit(1)).alias("page_count"),
         F.sum("char_count").alias("total_chars"),
+        F.bround(F.avg("char_count"), 2).alias("mean_chars"),
         F.count_if(F.col("printed_page").isNotNull()).alias("pages_with_printed_page"),
         F.count_if(F.col("chapter") != lexicon.unknown).alias("pages_with_chapter"),
         F.count_if(F.size("quality_flags") > 0).alias("flagged_pages"),
@@ -100,6 +102,11 @@ def parse_report(parsed: DataFrame, lexicon: Lexicon = LATIN) -> DataFrame:
     )
 
 
+def flagged_pages(parsed: DataFrame) -> DataFrame:
+    """document_id, pdf_page, quality_flags, char_count of every flagged page: the report's list, a row each."""
+    return parsed.filter(F.size("quality_flags") > 0).select("document_id", "pdf_page", "quality_flags", "char_count")
+
+
 def flag_histogram(parsed: DataFrame) -> DataFrame:
     return parsed.select(F.explode("quality_flags").alias("flag")).groupBy("flag").agg(F.count(F.lit(1)).alias("pages"))
 
@@ -158,3 +165,16 @@ def audit_pack(samples: DataFrame, parsed: DataFrame) -> DataFrame:
     part = F.concat(F.lit("## Page "), F.col("pdf_page").cast("string"), F.lit(" ("), "category", F.lit(")\n\nChapter: "), "chapter", F.lit("\n\n"), "text", F.lit("\n"))
     parts = rows.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("pdf_page", part.alias("part")))).alias("p"))
     return parts.select("document_id", F.concat(F.lit("# "), "document_id", F.lit("\n\n"), F.array_join(F.transform("p", lambda x: x.part), "\n")).alias("markdown"))
+
+
+def audit_pack_json(samples: DataFrame, parsed: DataFrame) -> DataFrame:
+    """(document_id, pack): the sampled pages of each document as one JSON object. A document without a base category is an error."""
+    require_none(audit_gaps(samples), "samples lack a base category")
+    rows = samples.join(parsed.select("document_id", "pdf_page", "printed_page", "chapter", "char_count", "quality_flags", "text"), ["document_id", "pdf_page"])
+    page = F.struct("pdf_page", "category", "printed_page", "chapter", "char_count", "quality_flags", "text")
+    packs = rows.groupBy("document_id").agg(F.array_sort(F.collect_list(page)).alias("samples"))
+    return packs.select("document_id", F.to_json(F.struct("document_id", "samples"), {"ignoreNullFields": "false"}).alias("pack"))
+
+
+#: What ``audit_pack_json`` writes.
+PACK = "document_id string, samples array<struct<pdf_page int, category string, printed_page int, chapter string, char_count int, quality_flags array<string>, text string>>"

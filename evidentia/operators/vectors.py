@@ -121,3 +121,8 @@ def metadata(chunks: DataFrame) -> DataFrame:
 def embedded(chunks: DataFrame, embedder: Embedder) -> DataFrame:
     """The rows of the vector table for these chunks."""
     return embedder.embed(metadata(chunks))
+
+
+def with_pages(hits: DataFrame) -> DataFrame:
+    """Hits of the vector table with ``pdf_pages`` read back from the list that it keeps as JSON; no list, or a broken one, is an empty one."""
+    return hits.withColumn("pdf_pages", F.coalesce(F.from_json("pdf_pages_json", "array<int>"), F.array().cast("array<int>"))).drop("pdf_pages_json")

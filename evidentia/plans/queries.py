@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from ..config import LATIN, AnswerConfig
 from ..functions import text as X
-from ..operators import answer, chunking, drivers, evaluate, fusion, ingest, lexical, pages, vectors
+from ..operators import answer, chunking, drivers, evaluate, fusion, ingest, lexical, pages, postings, vectors
+from ..operators.median import exact_median
 from ..sources import tables
 from ..sources.scratch import shared_folder, stored
 from . import sql
@@ -108,6 +109,10 @@ def parse_quality(spark, sf_dir):
     return pages.parse_report(parsed(spark, sf_dir))
 
 
+def flagged_pages(spark, sf_dir):
+    return pages.flagged_pages(parsed(spark, sf_dir)).select("document_id", "pdf_page", csv("quality_flags").alias("flags"), "char_count")
+
+
 def audit_samples(spark, sf_dir):
     return pages.audit_samples(parsed(spark, sf_dir))
 
@@ -251,6 +256,20 @@ def bm25_top5_filtered(spark, sf_dir):
     return _hits(lexical.bm25(chunk_rows(spark, sf_dir), question_rows(spark, sf_dir), by=["lang"]))
 
 
+def _index_hits(spark, sf_dir, by=()):
+    where = f"{shared_folder(spark)}/evidentia-postings-{uuid.uuid4().hex[:12]}"
+    return _hits(postings.search(spark, postings.build(chunk_rows(spark, sf_dir), where, by), question_rows(spark, sf_dir))[0])
+
+
+def bm25_index_top5(spark, sf_dir):
+    """As bm25_top5, from a stored index of which only the blocks that matter are read."""
+    return _index_hits(spark, sf_dir)
+
+
+def bm25_index_top5_filtered(spark, sf_dir):
+    return _index_hits(spark, sf_dir, ("lang",))
+
+
 def token_cosine_top5(spark, sf_dir):
     return _hits(lexical.token_cosine(chunk_rows(spark, sf_dir), question_rows(spark, sf_dir)))
 
@@ -430,6 +449,10 @@ def first_rank(spark, sf_dir):
     return _methods(spark, sf_dir)
 
 
+def retrieval_misses(spark, sf_dir):
+    return evaluate.missed(_methods(spark, sf_dir))
+
+
 def method_compare(spark, sf_dir):
     out = evaluate.lift(evaluate.metrics(_methods(spark, sf_dir)), "vector")
     return out.select("method", "questions", *(six(c, c) for c in ("recall_at_3", "recall_at_5", "mrr", "lift")))
@@ -471,15 +494,18 @@ def answer_case(spark, sf_dir):
 
 def answer_summary(spark, sf_dir):
     out = evaluate.answer_summary(_cases(spark, sf_dir))
-    return out.select("cases", "answered", "refused", "errors", *(six(c, c) for c in ("page_hit_rate", "mean_number_recall", "proxy_rate", "mean_seconds", "median_seconds", "max_seconds")))
+    rates = ("page_hit_rate", "full_recall_rate", "mean_number_recall", "proxy_rate", "mean_seconds", "median_seconds", "max_seconds")
+    return out.select("cases", "completed", "answered", "refused", "errors", "failures", *(six(c, c) for c in rates))
 
 
-def _asked_documents(spark, sf_dir):
-    """doc_id, text, reference: every document, and the whole text of the question that it is dealt by its number."""
-    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("_item"), F.col("text").alias("reference"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text").crossJoin(F.broadcast(asked.agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("_of"))))  # one row
-    dealt = docs.withColumn("_item", F.pmod("doc_id", "_of")).join(asked, "_item", "left")
-    return dealt.select("doc_id", "text", F.coalesce("reference", F.lit("")).alias("reference"))
+def answer_failures(spark, sf_dir):
+    return evaluate.failures(_cases(spark, sf_dir))
+
+
+def event_medians(spark, sf_dir):
+    """The exact median of a measure, for each kind of event."""
+    out = exact_median(table(spark, sf_dir, "events"), F.col("value"), ["event_type"])
+    return out.select("event_type", "n", six("median", "median"))
 
 
 def single_method(spark, sf_dir):
@@ -516,7 +542,7 @@ NAMES = (
     "structured_chunks structured_quality strategy_delta chunk_driver chunk_metadata printed_pages token_stats bm25_top5 bm25_top5_filtered token_cosine_top5 vector_top5 "
     "vector_top5_filtered hashed_embedding index_upsert index_build rrf expand_query rerank_features hybrid_top5 hybrid_top5_filtered hit_projection scope_gate evidence_gate "
     "citations quote_window evidence_answer prompt citation_validate answers evidence_pages first_rank method_compare single_method acceptance number_norm answer_case "
-    "answer_summary evaluation_round resume_pending"
+    "answer_summary answer_failures evaluation_round resume_pending retrieval_misses flagged_pages event_medians bm25_index_top5 bm25_index_top5_filtered"
 ).split()
 
 

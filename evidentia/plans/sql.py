@@ -138,7 +138,7 @@ STRUCTURED = f"""{UNITS}, pw AS (
     structured AS MATERIALIZED (SELECT *, i AS chunk_index, document_id || '_structured_' || lpad(CAST(i AS VARCHAR), 5, '0') AS chunk_id, {compact('text')} AS char_count
         FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY run, e) - 1 AS i FROM sc)),
     natural_ AS (SELECT document_id, count(*) AS chunk_count, count(*) FILTER (len(pages) > 1) AS cross_page, CAST(0 AS BIGINT) AS cross_chapter, min(char_count) AS min_chars, max(char_count) AS max_chars,
-        CAST(sum(char_count) AS BIGINT) AS sum_chars, arg_min(chunk_id, i) AS first_chunk, arg_max(chunk_id, i) AS last_chunk, count(*) FILTER (regexp_matches(text, {q(LATIN.natural_end)})) AS natural_endings FROM structured GROUP BY 1)"""
+        CAST(sum(char_count) AS BIGINT) AS sum_chars, round_even(avg(char_count), 2) AS mean_chars, arg_min(chunk_id, i) AS first_chunk, arg_max(chunk_id, i) AS last_chunk, count(*) FILTER (regexp_matches(text, {q(LATIN.natural_end)})) AS natural_endings FROM structured GROUP BY 1)"""
 CHANGE = "CASE WHEN f.{0} <> 0 THEN round_even((s.{0} - f.{0}) / CAST(f.{0} AS DOUBLE), 4) ELSE CAST(0 AS DOUBLE) END AS {1}"
 REPORTED = "upper(document_id) AS company, lpad(CAST(length(document_id) AS VARCHAR), 6, '0') AS stock_code, CAST(length(document_id) + 2000 AS INT) AS report_year"
 LANG = "['en', 'de', 'fr', 'es'][CAST(item_id % 4 + 1 AS BIGINT)]"
@@ -184,7 +184,7 @@ def pool(by: bool = False) -> str:
     return f"""questions AS (SELECT item_id, text, {expanded('text')} AS expanded FROM benchmark), {cosine(120, by=by)}, {bm25(120, 'bm', 'expanded', by=by, source='questions')},
     merged AS (SELECT coalesce(c.query_id, b.query_id) AS query_id, coalesce(c.chunk_id, b.chunk_id) AS chunk_id, c.rank AS vector_rank, b.rank AS bm25_rank,
         coalesce(CAST(0.25 AS DOUBLE) / (10 + c.rank), 0) + coalesce(CAST(1.0 AS DOUBLE) / (10 + b.rank), 0) AS rrf_score FROM cos c FULL JOIN bm b ON c.query_id = b.query_id AND c.chunk_id = b.chunk_id),
-    fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY floor(rrf_score * 1e12 + 0.5) / 1e12 DESC, chunk_id) AS rank FROM merged)"""
+    fused AS (SELECT * REPLACE (floor(rrf_score * 1e8 + 0.5) / 1e8 AS rrf_score), row_number() OVER (PARTITION BY query_id ORDER BY floor(merged.rrf_score * 1e12 + 0.5) / 1e12 DESC, chunk_id) AS rank FROM merged)"""
 
 
 POOL = pool()
@@ -275,7 +275,7 @@ def oracle_sql() -> dict[str, str]:
             OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS unit_context FROM conversations""",
         "page_quality_flags": f"WITH {PARSED} SELECT doc_id, char_count, array_to_string(flags, ',') AS flags FROM parsed",
         "flag_histogram": f"WITH {PARSED} SELECT flag, count(*) AS pages FROM (SELECT unnest(flags) AS flag FROM parsed) GROUP BY 1",
-        "parse_quality": f"""WITH {PARSED} SELECT document_id, count(*) AS page_count, CAST(sum(char_count) AS BIGINT) AS total_chars, count(printed_page) AS pages_with_printed_page,
+        "parse_quality": f"""WITH {PARSED} SELECT document_id, count(*) AS page_count, CAST(sum(char_count) AS BIGINT) AS total_chars, round_even(avg(char_count), 2) AS mean_chars, count(printed_page) AS pages_with_printed_page,
             count(*) FILTER (chapter <> 'unknown') AS pages_with_chapter, count(*) FILTER (len(flags) > 0) AS flagged_pages, min(pdf_page) FILTER (len(flags) > 0) AS first_flagged_page FROM parsed GROUP BY 1""",
         "audit_samples": f"""WITH {PARSED}, a AS (SELECT document_id, 0 AS p, 'cover' AS category, 1 AS pdf_page FROM parsed GROUP BY 1
             UNION ALL SELECT document_id, 1, 'table_of_contents', min(pdf_page) FROM parsed WHERE starts_with(ltrim(text), 'The') AND (length(text) - length(replace(text, 'th', ''))) / 2 >= 4 GROUP BY 1
@@ -301,7 +301,7 @@ def oracle_sql() -> dict[str, str]:
             WHEN 'baseline_chunked' THEN 'structured_chunked' ELSE 'retrieval_quality_accepted' END AS next_status FROM s""",
         "fixed_chunks": f"WITH {FIXED} SELECT chunk_id, char_count, md5(text) AS text_md5, array_to_string(pages, ',') AS pages, chapter, n_chapters FROM fixed",
         "fixed_chunk_quality": f"""WITH {FIXED} SELECT document_id, count(*) AS chunk_count, count(*) FILTER (len(pages) > 1) AS cross_page, count(*) FILTER (n_chapters > 1) AS cross_chapter, min(char_count) AS min_chars,
-            max(char_count) AS max_chars, CAST(sum(char_count) AS BIGINT) AS sum_chars, arg_min(chunk_id, i) AS first_chunk, arg_max(chunk_id, i) AS last_chunk FROM fixed GROUP BY 1""",
+            max(char_count) AS max_chars, CAST(sum(char_count) AS BIGINT) AS sum_chars, round_even(avg(char_count), 2) AS mean_chars, arg_min(chunk_id, i) AS first_chunk, arg_max(chunk_id, i) AS last_chunk FROM fixed GROUP BY 1""",
         "structured_chunks": f"WITH RECURSIVE {STRUCTURED} SELECT chunk_id, char_count, md5(text) AS text_md5, array_to_string(pages, ',') AS pages, chapter FROM structured",
         "structured_quality": f"WITH RECURSIVE {STRUCTURED} SELECT *, round_even(natural_endings / CAST(chunk_count AS DOUBLE), 4) AS natural_rate FROM natural_",
         "strategy_delta": f"""WITH RECURSIVE {STRUCTURED}, {FIXED.split("AS chapter FROM pages), ", 1)[1]},
@@ -354,9 +354,18 @@ def oracle_sql() -> dict[str, str]:
         "acceptance": f"WITH {METHODS} SELECT coalesce(bool_or(recall_at_5 >= 0.8), false) AS accepted, {six('max(recall_at_5)', 'best_recall')} FROM table_",
         "number_norm": f"SELECT doc_id, array_to_string({numbers('text')}, '|') AS numbers FROM documents",
         "answer_case": f"WITH {CASES} SELECT query_id, status, page_hit, {six('number_recall', 'number_recall')}, proxy FROM cases",
-        "answer_summary": f"""WITH {CASES} SELECT count(*) AS cases, count(*) FILTER (status = 'answered') AS answered, count(*) FILTER (status = 'refused') AS refused, count(*) FILTER (status = 'error') AS errors,
-            {six('avg(CASE WHEN page_hit THEN 1.0 ELSE 0.0 END)', 'page_hit_rate')}, {six('avg(number_recall)', 'mean_number_recall')}, {six('avg(CASE WHEN proxy THEN 1.0 ELSE 0.0 END)', 'proxy_rate')},
-            {six("avg(seconds) FILTER (status <> 'error')", 'mean_seconds')}, {six("median(seconds) FILTER (status <> 'error')", 'median_seconds')}, {six("max(seconds) FILTER (status <> 'error')", 'max_seconds')} FROM cases""",
+        "answer_summary": f"""WITH {CASES}, done AS (SELECT * FROM cases WHERE status <> 'error'), numeric_ AS (SELECT * FROM done WHERE number_recall IS NOT NULL)
+            SELECT (SELECT count(*) FROM cases) AS cases, count(*) AS completed, count(*) FILTER (status = 'answered') AS answered, count(*) FILTER (status = 'refused') AS refused,
+            (SELECT count(*) FROM cases WHERE status = 'error') AS errors, (SELECT count(*) FROM cases WHERE status = 'error' OR NOT proxy) AS failures,
+            {six('count(*) FILTER (page_hit) / greatest(count(*), 1)', 'page_hit_rate')}, (SELECT {six('count(*) FILTER (number_recall = 1) / greatest(count(*), 1)', 'r')} FROM numeric_) AS full_recall_rate,
+            {six('avg(number_recall)', 'mean_number_recall')}, {six('count(*) FILTER (proxy) / greatest(count(*), 1)', 'proxy_rate')},
+            {six('avg(seconds)', 'mean_seconds')}, {six('median(seconds)', 'median_seconds')}, {six('max(seconds)', 'max_seconds')} FROM done""",
+        "answer_failures": f"WITH {CASES} SELECT query_id, status FROM cases WHERE status = 'error' OR NOT proxy",
+        "event_medians": f"SELECT event_type, count(value) AS n, {six('median(value)', 'median')} FROM events GROUP BY 1",
+        "retrieval_misses": f"WITH {METHODS} SELECT method, query_id FROM firsts WHERE coalesce(first_rank, 6) > 5",
+        "flagged_pages": f"WITH {PARSED} SELECT document_id, pdf_page, array_to_string(flags, ',') AS flags, char_count FROM parsed WHERE len(flags) > 0",
+        "bm25_index_top5": f"WITH {bm25(5, 'top')} {hits} FROM top",
+        "bm25_index_top5_filtered": f"WITH {bm25(5, 'top', by=True)} {hits} FROM top",
         "evaluation_round": f"""WITH {CASES}, kept AS (SELECT doc_id FROM labels WHERE quality <> 0), made AS (SELECT c.*, query_id % 11 = 0 AS none, query_id % 6 = 0 AS broken FROM cases c WHERE query_id NOT IN (SELECT doc_id FROM kept))
             SELECT doc_id AS query_id, 'answered' AS status, true AS page_hit, CAST(1 AS DOUBLE) AS number_recall, true AS proxy, CAST(0.5 AS DOUBLE) AS seconds, CAST(NULL AS VARCHAR) AS error FROM kept JOIN documents USING (doc_id)
             UNION ALL SELECT query_id, CASE WHEN none OR broken THEN 'error' ELSE 'answered' END, NOT (none OR broken) AND page_hit, CASE WHEN NOT (none OR broken) THEN floor(number_recall * 1e6 + 0.5) / 1e6 END,

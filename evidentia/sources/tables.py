@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -49,9 +50,23 @@ def read_questions(spark: SparkSession, path: str) -> DataFrame:
     return rows
 
 
+def json_lines(spark: SparkSession, schema: str, *paths: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, rejects): the objects of line-wise JSON, and the lines that are none of this schema, as file, at (the byte that the line's block begins at) and line.
+
+    A line that isn't an object, has a value of another type, or lacks all columns is a reject; blank lines are nothing.
+    """
+    read = spark.read.schema(f"{schema}, _line string").option("columnNameOfCorruptRecord", "_line").json(list(paths))
+    names = read.columns[:-1]
+    whole = read.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_at"))
+    broken = F.col("_line").isNotNull() | reduce(lambda a, b: a & b, (F.col(c).isNull() for c in names))
+    rejects = whole.filter(broken).select(F.col("_file").alias("file"), F.col("_at").alias("at"), F.coalesce("_line", F.lit("{}")).alias("line"))
+    return whole.filter(~broken).select(*names), rejects
+
+
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Page rows; every document's pages must be 1..n."""
-    rows = spark.read.schema(PAGE).json(path)
+    """Page rows; every line must be a page, and every document's pages must be 1..n."""
+    rows, rejects = json_lines(spark, PAGE, path)
+    require_none(rejects, "lines aren't pages")
     if rows.isEmpty():
         raise ValueError(f"{path} has no page")
     require_none(contiguity(rows).filter("not contiguous").select("document_id"), "pages aren't contiguous")
@@ -59,8 +74,10 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_chunks(spark: SparkSession, *paths: str) -> DataFrame:
-    """Chunk rows of one file, or of all that a pattern matches; ids must be unique across them."""
-    rows = spark.read.schema(CHUNK).json(list(paths))
+    """Chunk rows of one file, or of all that a pattern matches; every line must be a chunk with an id, and ids must be unique across them."""
+    rows, rejects = json_lines(spark, CHUNK, *paths)
+    require_none(rejects, "lines aren't chunks")
+    require_none(rows.filter("chunk_id IS NULL OR trim(chunk_id) = ''").select("document_id", "text"), "chunks without an id")
     if rows.isEmpty():
         raise ValueError("no chunk")
     require_none(repeated_ids(rows, "chunk_id"), "chunk ids repeat")
