@@ -1,13 +1,19 @@
 """Query expansion, reciprocal rank fusion, and reranking by lexical rules.
 
 What depends on the question alone is computed once for each question, then joined to its hits; the
-dictionaries become literals of the expressions.
+dictionaries become literals of the expressions. Where a question's terms stand in a text, and which
+of those places have a number near, is found in one pass over each candidate (``placed``): terms are
+rows' values, so as expressions they would be patterns compiled for every row and term.
 """
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,10 +37,45 @@ def expand(query: Column, lexicon: Lexicon = LATIN) -> Column:
     return F.concat_ws(" ", query, *more)
 
 
-def coverage(terms: Column, text: Column) -> Column:
-    """Share of the terms in the text, weighted by the square of their length."""
-    weight = lambda ts: F.aggregate(ts, F.lit(0), lambda s, t: s + F.length(t) * F.length(t))
-    return F.when(F.size(terms) > 0, weight(F.filter(terms, lambda t: text.contains(t))) / weight(terms)).otherwise(F.lit(0.0))
+#: How far from a term a number may begin before it, and end after it.
+BEFORE, AFTER = 20, 50
+
+
+def near_number(text: str, terms: list[str]) -> bool:
+    """Whether a term of three or more characters has a digit from BEFORE in front of to AFTER behind one of its places, or in itself."""
+    digits = [m.start() for m in re.finditer("[0-9]", text)]
+    for term in terms:
+        if len(term) < 3:
+            continue
+        at = text.find(term)
+        if at >= 0 and re.search("[0-9]", term):
+            return True
+        while at >= 0:
+            i = bisect_left(digits, at - BEFORE)
+            if i < len(digits) and digits[i] < at + len(term) + AFTER:
+                return True
+            at = text.find(term, at + 1)
+    return False
+
+
+def placed(rows: DataFrame) -> DataFrame:
+    """Adds term_coverage, the share of the terms in the text weighted by the square of their length, and numeric_score, 1 where
+    ``_numeric`` holds and a term in the text has a number near. Null text has no term; without terms both are 0."""
+    schema = ", ".join(f"{name} {kind}" for name, kind in rows.drop("_numeric").dtypes) + ", term_coverage double, numeric_score double"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            covered, numeric = [], []
+            for text, terms, wanted in zip(*(batch.column(c).to_pylist() for c in ("text", "terms", "_numeric")), strict=True):
+                text, terms = text or "", terms or []
+                found = [t for t in terms if t in text]
+                whole = sum(len(t) ** 2 for t in terms)
+                covered.append(sum(len(t) ** 2 for t in found) / whole if whole else 0.0)
+                numeric.append(1.0 if wanted and near_number(text, found) else 0.0)
+            kept = [c for c in batch.schema.names if c != "_numeric"]
+            yield pa.record_batch([*(batch.column(c) for c in kept), pa.array(covered, pa.float64()), pa.array(numeric, pa.float64())], [*kept, "term_coverage", "numeric_score"])
+
+    return rows.mapInArrow(run, schema)
 
 
 def share(present: list[Column]) -> Column:
@@ -48,16 +89,9 @@ def phrase_score(query: Column, expanded: Column, text: Column, lexicon: Lexicon
     return F.size(F.filter(phrases, lambda p: text.contains(p))) / F.greatest(F.size(phrases), F.lit(1))
 
 
-def numeric_score(query: Column, terms: Column, text: Column, lexicon: Lexicon = LATIN) -> Column:
-    """1 if a term of three or more characters has a number from 20 before to 50 after one of its occurrences."""
-    def near(term: Column) -> Column:
-        literal = F.concat(F.lit("\\Q"), term, F.lit("\\E"))
-        before = F.concat(F.lit("(?s)[0-9].{0,19}"), literal)
-        after = F.concat(F.lit("(?s)"), literal, F.lit(".{0,49}[0-9]"))
-        return text.contains(term) & (F.regexp_like(text, after) | F.regexp_like(text, before) | term.rlike("[0-9]"))
-
-    wanted = query.rlike(lexicon.numeric_outer) & query.rlike(lexicon.numeric_inner) & text.rlike("[0-9]")
-    return F.when(wanted & F.exists(F.filter(terms, lambda t: F.length(t) >= 3), near), F.lit(1.0)).otherwise(F.lit(0.0))
+def numeric_question(query: Column, text: Column, lexicon: Lexicon = LATIN) -> Column:
+    """Whether a question asks for a number and the text has any."""
+    return query.rlike(lexicon.numeric_outer) & query.rlike(lexicon.numeric_inner) & text.rlike("[0-9]")
 
 
 def multi_metric_score(query: Column, expanded: Column, text: Column, lexicon: Lexicon = LATIN) -> Column:
@@ -106,10 +140,10 @@ def features(questions: DataFrame, lexicon: Lexicon = LATIN) -> DataFrame:
 def rerank(hits: DataFrame, questions: DataFrame, chunks: DataFrame, config: RetrievalConfig | None = None, lexicon: Lexicon = LATIN) -> DataFrame:
     """The hits in a new order, with the features that made it. Text is joined to the candidates alone."""
     config = config or RetrievalConfig()
-    q, e, terms, text = (F.col(c) for c in ("query", "expanded", "terms", "text"))
+    q, e, text = (F.col(c) for c in ("query", "expanded", "text"))
     rows = hits.join(features(questions, lexicon), "query_id").join(chunks.select("chunk_id", "text"), "chunk_id")
-    rows = rows.withColumns({
-        "term_coverage": coverage(terms, text), "phrase_score": phrase_score(q, e, text, lexicon), "numeric_score": numeric_score(q, terms, text, lexicon),
+    rows = placed(rows.withColumn("_numeric", numeric_question(q, text, lexicon))).withColumns({
+        "phrase_score": phrase_score(q, e, text, lexicon),
         "multi_metric_score": multi_metric_score(q, e, text, lexicon), "intent_alignment_score": intent_score(q, text, lexicon),
     })
     total = (

@@ -351,3 +351,23 @@ def test_registered_citations_of_the_configured_size(spark):
 
     rows = queries.queries()["citations"](spark, "/root/testdata/sf0.001").collect()
     assert max(len(r.quote) for r in rows) > 200 and max(r.citation_id for r in rows) > 3
+
+
+def test_numbers_near_terms_equal_patterns():
+    import random
+    import re
+
+    rng = random.Random(9)
+    for _ in range(400):
+        text = "".join(rng.choice("abc. \n") if rng.random() < 0.97 else rng.choice("0189") for _ in range(rng.randrange(0, 160)))
+        terms = ["".join(rng.choice("abc") for _ in range(rng.randrange(1, 6))) for _ in range(4)] + ["a8b"]
+        near = lambda t: re.search(f"(?s)[0-9].{{0,19}}{re.escape(t)}", text) or re.search(f"(?s){re.escape(t)}.{{0,49}}[0-9]", text) or re.search("[0-9]", t)  # noqa: E731, B023
+        want = any(len(t) >= 3 and t in text and near(t) for t in terms)
+        assert fusion.near_number(text, [t for t in terms if t in text]) == bool(want)
+
+
+def test_places_of_odd_candidates(spark):
+    rows = [(None, ["abc"], True), ("abc 7", None, True), ("abc 7", [], True), ("abc 7", ["abc", "zz"], True), ("abc 7", ["abc"], None), ("abc" + "-" * 60 + "7", ["abc"], True)]
+    frame = spark.createDataFrame(rows, "text string, terms array<string>, _numeric boolean")
+    got = [(round(r.term_coverage, 3), r.numeric_score) for r in fusion.placed(frame).collect()]
+    assert got == [(0.0, 0.0), (0.0, 0.0), (0.0, 0.0), (0.692, 1.0), (1.0, 0.0), (1.0, 0.0)]
