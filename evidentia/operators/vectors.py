@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -109,6 +110,60 @@ def hashed_embedder(dimensions: int = 768) -> Embedder:
     return Embedder(f"hashed_ngrams_{dimensions}", dimensions, lambda rows: hashed_embedding(rows, dimensions))
 
 
+#: Models of this process by embedder: a worker loads one once, whatever tasks it runs.
+_MODELS: dict[str, Callable[[list[str]], np.ndarray]] = {}
+
+
+def loaded(name: str, load: Callable[[], Callable[[list[str]], np.ndarray]]) -> Callable[[list[str]], np.ndarray]:
+    """The worker's model of this name. A function of the module, so that tasks share the module's models and not a copy of them."""
+    if name not in _MODELS:
+        _MODELS[name] = load()
+    return _MODELS[name]
+
+
+def runs_of(sizes: np.ndarray, budget: int) -> list[np.ndarray]:
+    """Places of texts of like size, in groups whose padded size (the largest times their number) fits a budget; one text at least."""
+    order, out, begin = np.argsort(sizes, kind="stable"), [], 0
+    for i in range(1, len(order) + 1):
+        if i == len(order) or sizes[order[i]] * (i - begin + 1) > budget:
+            out.append(order[begin:i])
+            begin = i
+    return out if len(order) else []
+
+
+def model_embedder(name: str, dimensions: int, load: Callable[[], Callable[[list[str]], np.ndarray]], budget: int = 16_384, slack: float = 1e-3) -> Embedder:
+    """An embedder by a model that ``load`` returns, called once in each Python worker: a function from texts to a matrix.
+
+    Texts go to the model in groups of like length of at most ``budget`` words with padding, and whole. A matrix of another
+    shape, a component that isn't finite, or a vector whose length is off 1 by more than ``slack`` stops the job with the
+    embedder's name. Null text has a null embedding.
+    """
+
+    def embed(rows: DataFrame) -> DataFrame:
+        schema = ", ".join(f"`{n}` {kind}" for n, kind in rows.dtypes) + ", embedding array<double>"
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                model = loaded(name, load)
+                texts = batch.column("text").to_pylist()
+                known = np.array([i for i, t in enumerate(texts) if t is not None], dtype=np.int64)
+                found: list = [None] * len(texts)
+                for group in runs_of(np.array([max(1, len(texts[i].split())) for i in known], dtype=np.int64), budget):
+                    at = known[group]
+                    made = np.asarray(model([texts[i] for i in at]), dtype=np.float64)
+                    if made.shape != (len(at), dimensions):
+                        raise ValueError(f"{name} gave {made.shape} for {len(at)} texts of {dimensions} dimensions")
+                    if not np.isfinite(made).all() or (np.abs(np.sqrt((made * made).sum(axis=1)) - 1) > slack).any():
+                        raise ValueError(f"{name} gave vectors that aren't of unit length")
+                    for i, v in zip(at, made, strict=True):
+                        found[i] = v
+                yield pa.record_batch([*batch.columns, pa.array(found, pa.list_(pa.float64()))], [*batch.schema.names, "embedding"])
+
+        return rows.mapInArrow(run, schema)
+
+    return Embedder(name, dimensions, embed)
+
+
 def metadata(chunks: DataFrame) -> DataFrame:
     """chunk_id, the twelve scalars that the vector table keeps of a chunk, and its text."""
     pages = F.concat(F.lit("["), F.array_join(F.col("pdf_pages").cast("array<string>"), ", "), F.lit("]")).alias("pdf_pages_json")
