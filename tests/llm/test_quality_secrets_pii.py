@@ -102,6 +102,7 @@ def test_planted_random_strings_are_found_and_others_are_not(spark):
         "https://www.example.com/playlist?list=PLrAXtmErZgOeiKm4sgNOknGvNjby9efdf", "https://example.org/a-long-path/with-many-words/and-a-title-of-an-article.html", "getElementsByClassNameOrIdentifier",
         "org.apache.spark.sql.execution.streaming", "internationalization-and-localization", "2024-01-15T10:22:33.123456789", "Rindfleischetikettierungsueberwachungsaufgabe", "configuration_directory_path_separator",
         "anticonstitutionnellement", "electroencefalografista", "1234567890123456789012345", "da39a3ee5e6b4b0d3255bfef95601890afd80709", "9b0b3c6a-43eb-78aa-99cb-d7049c572391", "/usr/local/share/applications/defaults",
+        "sha256-47DEQpj8HBSa+/TImW+5JCeuQeRkm5NMpJWZG3hSuFU=", "https://open.spotify.com/playlist/37i9dQZF1DXcBWIGoYBM5M", "https://docs.example.com/document/d/1BxiMVs0XRA5nFMdKvBdBZjgmUUqptlbs74OgvE2upms/edit",
     ]
     rows = spark.createDataFrame([(i, t) for i, (_, t, _) in enumerate(planted)] + [(10_000 + i, t) for i, t in enumerate(clean)], "doc_id long, text string")
     got = {r.doc_id: r.spans.split(",") if r.spans else [] for r in secrets.digest(secrets.scan(rows)).collect()}
@@ -111,6 +112,31 @@ def test_planted_random_strings_are_found_and_others_are_not(spark):
     assert {t: got[10_000 + i] for i, t in enumerate(clean) if any(s.startswith("random") for s in got[10_000 + i])} == {}
 
 
+def test_keys_in_a_path_are_found(spark):
+    key = "q7ZxT2mLw9KdR4vB8nYc3HpF"
+    texts = [f"https://hooks.example.com/services/T0A1B2C3D/B9Z8Y7X6W/{key}", f"https://example.com/webhook/{key}", f"https://example.com/x?token={key}"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [s for s in r.spans.split(",") if s.startswith("random") or s.startswith("assign")] for r in secrets.digest(secrets.scan(rows)).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] and all(int(s.split(":")[1]) <= t.index(key) and int(s.split(":")[2]) == len(t) for s in got[i]), (t, got[i])
+
+
+def test_shorter_runs_by_parameter(spark):
+    rows = spark.createDataFrame([(1, "set q7ZxT2mLw9KdR4 here")], "doc_id long, text string")
+    assert [r.n_random for least in (20, 14) for r in secrets.digest(secrets.scan(rows, least=least)).collect()] == [0, 1]
+
+
+@pytest.mark.parametrize("part", [b"aB1x9Qz7.Kq3Zp8Lm.", b"https://a.b/c/", b"x=1&", b"wordy.words.", b"://?=/aB1x9Qz7Kq3Zp8LmW2e4"])
+def test_one_word_of_megabytes_takes_seconds(part):
+    import public_tokenizers
+
+    test = secrets.TokenEfficiency(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    text = part * (4_000_000 // len(part))
+    began = time.perf_counter()
+    secrets.spans_of(text, [(0, len(text))], test, 2.1)
+    assert time.perf_counter() - began < 20
+
+
 def test_many_secrets_take_seconds():
     import public_tokenizers
 
