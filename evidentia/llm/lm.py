@@ -32,8 +32,8 @@ any size, and what is sent is in proportion to the text. Word identity is a 64-b
 the unseen pairs' words, have its leading 40 bits. The trie isn't kept after its shard has answered.
 
 Training documents are those whose crc32(doc_id as text) mod 5 isn't 1; null ids train. Null text counts
-as empty: one token, the end. Rows that share a doc_id are averaged and each get the mean, which for
-equal rows is their own score. Other columns are ignored.
+as empty: one token, the end. Each row has its own text's score, also where rows share a doc_id: a document is
+named by a 64-bit hash of id and text, so equal rows are one. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -201,8 +201,9 @@ class Trie:
 
 @dataclass(frozen=True)
 class Frequent:
-    """Counts that all tasks know: of the frequent words (by the leading 40 bits of their hashes), the training tokens N, words V and documents."""
+    """Counts that all tasks know: of the frequent words (by their hashes, in order, and the leading 40 bits of these), the training tokens N, words V and documents."""
 
+    word: np.ndarray
     short: np.ndarray
     count: np.ndarray
     n: int
@@ -210,11 +211,18 @@ class Frequent:
     documents: int
 
     def of(self, short: np.ndarray) -> np.ndarray:
-        """Each word's count, -1 if it isn't frequent."""
-        if not len(self.short):
-            return np.full(len(short), -1, dtype=np.int64)
-        at = np.minimum(np.searchsorted(self.short, short), len(self.short) - 1)
-        return np.where(self.short[at] == short, self.count[at], -1)
+        """The count of each word, named by its leading bits, -1 if it isn't frequent."""
+        return self._counts(self.short, short)
+
+    def of_word(self, word: np.ndarray) -> np.ndarray:
+        """The count of each word, named by its whole hash, -1 if it isn't frequent."""
+        return self._counts(self.word, word)
+
+    def _counts(self, known: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        if not len(known):
+            return np.full(len(wanted), -1, dtype=np.int64)
+        at = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
+        return np.where(known[at] == wanted, self.count[at], -1)
 
     def log_p1(self, count: np.ndarray) -> np.ndarray:
         return np.log10(count + 0.5) - np.log10(self.n + 0.5 * (self.v + 1))
@@ -239,11 +247,11 @@ def _frequent(docs: DataFrame, work: Workspace, documents: int) -> Frequent:
     total = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
     n, v = (total["n"] or 0) + documents, total["v"] + (documents > 0)
     rows = counts.filter(F.col("c") >= max(1, -(-n // HOT))).toArrow()  # HOT at most, since all add up to n
-    short = np.concatenate((rows.column("h").to_numpy().view(U) >> SHORT, np.array([START, END]) >> SHORT))
+    word = np.concatenate((rows.column("h").to_numpy().view(U), np.array([START, END])))
     count = np.concatenate((rows.column("c").to_numpy(), np.full(2, documents)))
-    order = np.argsort(short, kind="stable")
+    order = np.argsort(word, kind="stable")
     work.drop(counts)
-    return Frequent(short[order], count[order], n, v, documents)
+    return Frequent(word[order], word[order] >> SHORT, count[order], n, v, documents)
 
 
 def tokens(texts: TextBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -446,7 +454,7 @@ def _word_rows(docs: DataFrame, shards: int, parts: int, frequent: Frequent) ->
                 word, row, _ = tokens(TextBatch(part.column("text"), lower=True))
                 keys, train = (part.column(c).to_numpy(zero_copy_only=False) for c in ("key", "train"))
                 piece, n = _piece(keys), len(keys)
-                count = frequent.of(word >> SHORT)
+                count = frequent.of_word(word)
                 hot = count >= 0
                 add = lambda of, weights=None: np.bincount(row[of], weights=None if weights is None else weights[of], minlength=n).astype(np.float64)  # noqa: B023, E731
                 sums = np.stack((add(slice(None)), add(count > 0), add(hot, frequent.log_p1(np.maximum(count, 0))), np.zeros(n)))
@@ -557,7 +565,7 @@ def score(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 1, F.lit(False))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), held.alias("held_out"))
-    docs = docs.withColumn("key", F.coalesce("doc_id", F.xxhash64("text"))).withColumn("train", ~F.col("held_out"))
+    docs = docs.withColumn("key", F.xxhash64("doc_id", "text")).withColumn("train", ~F.col("held_out"))
     size, trained = docs.agg(F.sum(F.length("text") + 1), F.count_if("train")).first()
     shards = int(max(1, -(-(size or 0) // SHARD)))
     parts = int(max(1, -(-(size or 0) // (shards * PART))))

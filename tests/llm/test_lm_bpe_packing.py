@@ -20,10 +20,18 @@ from .cases import SCHEMA, odd_rows
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
 
-def test_rows_of_one_id_get_the_mean(spark):
-    rows = spark.createDataFrame([(1, "a b"), (1, "c c c d"), (2, "a b c"), (3, "b")], "doc_id long, text string")
-    got = lm.score(rows).collect()
-    assert len(got) == 4 and len({r.score for r in got if r.doc_id == 1}) == 1 and {r.n_tokens for r in got if r.doc_id == 1} == {4}
+def test_rows_of_one_id_have_their_own_scores(spark):
+    texts = [(1, "a b"), (1, "c c c d"), (1, "a b"), (2, "a b c"), (3, "b"), (None, "a b"), (None, "")]
+    got = lm.score(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.n_tokens) for r in got) == sorted((i or 0, len(t.split()) + 1) for i, t in texts)
+    assert len({(r.n_tokens, r.score, r.base_score) for r in got if r.doc_id == 1}) == 2
+
+
+def test_words_that_share_leading_bits_are_told_apart():
+    word = np.array([7 << 24 | 1, 9 << 24], dtype=np.uint64)
+    frequent = lm.Frequent(word, word >> lm.SHORT, np.array([50, 60]), 110, 2, 1)
+    asked = np.array([7 << 24 | 1, 7 << 24 | 2, 9 << 24, 8 << 24], dtype=np.uint64)
+    assert frequent.of_word(asked).tolist() == [50, -1, 60, -1] and frequent.of(asked >> lm.SHORT).tolist() == [50, 50, 60, -1]
 
 
 def test_books_of_many_values():
@@ -54,7 +62,7 @@ def corpus():
 
 @pytest.mark.parametrize("limits", [{}, {"SHARD": 3000, "PART": 1000, "HOT": 20}, {"SHARD": 2000, "PART": 2000, "HOT": 1}])
 def test_scores_equal_brute_force(spark, monkeypatch, limits):
-    """Also over many shards, with few words frequent, and with one word in every place; two texts have one id."""
+    """Also over many shards, with few words frequent, and with one word in every place."""
     for name, value in limits.items():
         monkeypatch.setattr(lm, name, value)
     texts = corpus() + [(600 + i, "the " * 200 + f"w{i}") for i in range(20)]
