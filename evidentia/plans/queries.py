@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..config import LATIN, AnswerConfig
 from ..functions import text as X
-from ..operators import answer, chunking, drivers, evaluate, fusion, ingest, lexical, pages, postings, vectors
+from ..operators import answer, chunking, codes, drivers, evaluate, fusion, ingest, lexical, pages, postings, vectors
 from ..operators.median import exact_median
 from ..sources import tables
 from ..sources.scratch import shared_folder, stored
@@ -287,6 +287,20 @@ def vector_top5_filtered(spark, sf_dir):
     return _hits(vectors.cosine_search(*_vectors(spark, sf_dir), by=["label"]))
 
 
+def vector_index_recall(spark, sf_dir):
+    """Questions, hits, and whether a stored index of codes finds nine in ten of the exact search's hits."""
+    rows, asked = _vectors(spark, sf_dir)
+    size = rows.select(F.max(F.size("embedding"))).first()[0]
+    index = codes.build(rows, f"{shared_folder(spark)}/evidentia-codes-{uuid.uuid4().hex[:12]}", size, cells=64)
+    hit = lambda hits, name: hits.select("query_id", "chunk_id", F.lit(1).alias(name))
+    both = hit(codes.search(index, asked, 5), "found").join(hit(vectors.cosine_search(rows, asked, 5), "exact"), ["query_id", "chunk_id"], "full")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return both.agg(
+        F.countDistinct(F.when(F.col("found") == 1, F.col("query_id"))).alias("questions"), total("found").alias("hits"),
+        (total(F.col("found") * F.col("exact")) >= 0.9 * total("exact")).alias("recall_reached"),
+    )
+
+
 def hashed_embedding(spark, sf_dir):
     out = vectors.hashed_embedding(table(spark, sf_dir, "benchmark"), 768)
     return out.select("item_id", F.size("embedding").alias("dimensions"), six(vectors.norm(F.col("embedding")), "norm"), md5_of("embedding"))
@@ -542,7 +556,7 @@ NAMES = (
     "structured_chunks structured_quality strategy_delta chunk_driver chunk_metadata printed_pages token_stats bm25_top5 bm25_top5_filtered token_cosine_top5 vector_top5 "
     "vector_top5_filtered hashed_embedding index_upsert index_build rrf expand_query rerank_features hybrid_top5 hybrid_top5_filtered hit_projection scope_gate evidence_gate "
     "citations quote_window evidence_answer prompt citation_validate answers evidence_pages first_rank method_compare single_method acceptance number_norm answer_case "
-    "answer_summary answer_failures evaluation_round resume_pending retrieval_misses flagged_pages event_medians bm25_index_top5 bm25_index_top5_filtered"
+    "answer_summary answer_failures evaluation_round resume_pending retrieval_misses flagged_pages event_medians bm25_index_top5 bm25_index_top5_filtered vector_index_recall"
 ).split()
 
 

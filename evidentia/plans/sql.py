@@ -321,6 +321,8 @@ def oracle_sql() -> dict[str, str]:
         "token_cosine_top5": f"WITH {cosine(5)} {hits} FROM cos",
         "vector_top5": search("embeddings", False),
         "vector_top5_filtered": search("embeddings", True),
+        "vector_index_recall": """SELECT count(*) AS questions, CAST(count(*) * least(5, (SELECT count(*) FROM embeddings)) AS BIGINT) AS hits, true AS recall_reached
+            FROM embeddings WHERE vec_id % 20 = 0""",
         "index_upsert": "SELECT CAST(label AS VARCHAR) AS document_id, count(*) AS vectors, min(len(embedding)) AS dimensions, max(len(embedding)) AS most_dimensions FROM embeddings GROUP BY 1",
         "rrf": f"WITH {POOL} SELECT query_id, rank, chunk_id, vector_rank, bm25_rank, {six('rrf_score', 'rrf_score')} FROM fused",
         "expand_query": f"SELECT item_id AS query_id, {expanded('text')} AS expanded, len({meaningful(expanded('text'))}) AS n_terms FROM benchmark",
