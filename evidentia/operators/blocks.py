@@ -60,9 +60,13 @@ def _scan(chunks: DataFrame, questions: pd.DataFrame, by: list[str], k: int, sch
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         floors = {key: np.full(len(ids), -np.inf) for key, (ids, _) in groups.items()}
         for batch in batches:
-            values = list(zip(*(batch.column(c).to_pylist() for c in by), strict=True)) if by else []
-            for key, (query_ids, state) in groups.items():
-                own = batch.filter(pa.array([v == key for v in values], pa.bool_())) if by else batch
+            rows: dict[tuple, list[int]] = {}  # one pass over the rows, however many values there are
+            for at, key in enumerate(zip(*(batch.column(c).to_pylist() for c in by), strict=True) if by else ()):
+                if key in groups:
+                    rows.setdefault(key, []).append(at)
+            for key in rows if by else groups:
+                query_ids, state = groups[key]
+                own = batch.take(pa.array(rows[key])) if by else batch
                 size = max(16, SLICE // max(1, len(query_ids)))
                 for at in range(0, own.num_rows, size):
                     part = own.slice(at, size)

@@ -17,6 +17,9 @@ from ..sources.scratch import stored
 from . import scan
 from .ingest import require_none
 
+#: Places that a document's list of margin lines is sent to.
+SALT = 16
+
 
 def numbered(rows: DataFrame, document: str, order: str) -> DataFrame:
     """pdf_page = 1, 2, ... of each document in the order of a column, whose values differ within a document. Rows without a document go."""
@@ -42,11 +45,17 @@ def margin_lines(pages: DataFrame, ratio: float = 0.30) -> DataFrame:
 
 
 def without_margins(pages: DataFrame, margins: DataFrame) -> DataFrame:
-    """Adds ``lines``: each page's lines without the document's margin lines, wherever they stand."""
+    """Adds ``lines``: each page's lines without the document's margin lines, wherever they stand.
+
+    A document's list is short (six lines a page, each on a share of the pages), so it is sent to ``SALT`` places and
+    the pages are dealt over these: a document of most pages is the work of many tasks.
+    """
     lists = margins.groupBy("document_id").agg(F.collect_set("line").alias("_margins"))
-    out = pages.withColumn("_lines", X.lines_of(F.col("text"))).join(lists, "document_id", "left")
+    lists = lists.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    salt = F.pmod(F.coalesce("pdf_page", F.lit(0)), F.lit(SALT)).cast("int")
+    out = pages.withColumns({"_lines": X.lines_of(F.col("text")), "_salt": salt}).join(lists, ["document_id", "_salt"], "left")
     kept = F.filter("_lines", lambda x: ~F.array_contains(F.coalesce("_margins", F.array().cast("array<string>")), x))
-    return out.withColumn("lines", kept).drop("_margins", "_lines")
+    return out.withColumn("lines", kept).drop("_margins", "_lines", "_salt")
 
 
 def printed_page(lines: Column, lexicon: Lexicon = LATIN) -> Column:
