@@ -16,11 +16,17 @@ by page against the host's classes; verdicts are combined by partial aggregates
 
 Slots of navigation, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
 comments are told by element, role and class names of their enclosing tags and left out, at whatever
-depth they stand, unless a main element begins within. If the page has an article or main element, the slots inside it are the main text;
+depth they stand, unless a main element begins within. Around articles, one word of a name is enough.
+Of an article or main element, and within it, what the whole name calls the element must be one of those things ("post-comments",
+"ad-300x250", "related-posts"); a name that only has such a word ("related-work", "ad-free") makes its blocks
+doubtful, and these go if the template fixes them. If the page has an article or main element, the slots inside it are the main text;
 otherwise all remaining slots are. Text that the template fixes is left out of both. Copies of one
-article may fill a host, so a page keeps the blocks in its article or main element whole if the
+article may fill a host, so a page keeps the blocks in its article or main element, doubtful ones aside, whole if the
 template fixes half of their characters or more.
 
+Pages meet their host's classes and template at a place of the host: one place, or for a host of more than a
+thousandth of all pages (so for a thousand hosts at most) one of ``PLACES``.
+
 Null html counts as empty: empty text. A null url is a host of its own name "". Repeated rows give
 equal results; other columns are kept.
 """
@@ -50,11 +56,19 @@ LEFT_OUT = set("aside button dialog footer form head input label menu nav object
 ENDS_P = BLOCK - {"br"}
 # Words of class, id and role names that mark what isn't the article.
 UNWANTED = set(
-    "ad ads adv advert adverts advertisement advertising adsense adslot banner sponsor sponsored promo promoted menu nav navbar navigation "
+    "ad ads adv advert adverts advertisement advertising adsense adslot banner sponsor sponsored promo menu nav navbar navigation "
     "breadcrumb breadcrumbs sidebar aside widget widgets related recommended cookie cookies consent gdpr notice notices alert alerts popup "
     "modal newsletter subscribe subscription signup login search comment comments commentlist disqus respond replies reply footer masthead "
     "toolbar pagination pager share sharing social hidden skip contentinfo complementary form topbar".split()
 )
+# Such a word, but not as an element's whole name.
+NOT_ALONE = set("promoted".split())
+# Words after the one that names an element, for its form, place, size or parts.
+TRAILING = set(
+    "wrapper wrap container box area section region zone holder module block inner outer group list row column col panel pane card unit slot item items "
+    "form bar link links button buttons icon icons content body text title heading header label meta author post posts article articles story stories "
+    "topics news videos products reading left right top bottom center middle main primary secondary large medium small inline mobile desktop x".split()
+)
 # With these beside it, such a word tells of a page's layout ("has-sidebar").
 LAYOUT = set("with has no without layout".split())
 NAME = re.compile(r"(/?)([A-Za-z][^\s/>]*+)")
@@ -67,21 +81,37 @@ ZEROS = re.compile(r"(&#[xX]?)0++(?=[0-9a-fA-F])")
 TOO_LARGE = re.compile(r"&#(?:[0-9]{8,}+|[xX][0-9a-fA-F]{7,}+);?")
 
 
-def unwanted(tag: str, attributes: str, in_main: bool) -> bool:
-    """Whether an element with these attributes holds something other than the article."""
+KEPT, DOUBTFUL, OUT = range(3)
+
+
+def named(parts: list[str]) -> bool:
+    """Whether the words of a name call the element something unwanted: the last that isn't of its form, place, size or parts."""
+    last = len(parts)
+    while last > 1 and (parts[last - 1] in TRAILING or parts[last - 1].isdigit()):
+        last -= 1
+    return parts[last - 1] in UNWANTED or (parts[last - 1] in NOT_ALONE and len(parts) > 1)
+
+
+def standing(tag: str, attributes: str, in_main: bool) -> int:
+    """Whether an element with these attributes holds something other than the article, surely (OUT) or perhaps (DOUBTFUL)."""
     if tag in LEFT_OUT or (tag == "header" and not in_main):
-        return True
+        return OUT
     if not attributes or tag in ("html", "body", "main"):
-        return False
+        return KEPT
     if tag != "article" and HIDDEN.search(attributes):
-        return True
+        return OUT
+    found = KEPT
     for name, a, b, c in ATTRIBUTE.findall(attributes):
         if name.lower() in ("class", "id", "role"):
             for one in (a or b or c).split():
-                parts = {p.lower() for p in NAME_PART.findall(one)}
-                if (parts & UNWANTED and not parts & LAYOUT) or (parts == {"header"} and not in_main):
-                    return True
-    return False
+                parts = [p.lower() for p in NAME_PART.findall(one)]
+                if parts == ["header"] and not in_main:
+                    return OUT
+                if LAYOUT.isdisjoint(parts) and not (UNWANTED.isdisjoint(parts) and NOT_ALONE.isdisjoint(parts)):
+                    if named(parts) or not (in_main or tag == "article"):
+                        return OUT
+                    found = DOUBTFUL
+    return found
 
 
 def unescaped(text: str) -> str:
@@ -126,15 +156,15 @@ def number(text: str, seed: int) -> int:
     return xxhash.xxh64_intdigest(text, seed & 0xFFFFFFFFFFFFFFFF) - (1 << 63)
 
 
-def parse(source: str) -> tuple[list[int], list[tuple[int, str, bool, bool]]]:
-    """The page's tokens in order, and its blocks: token, text, whether left out, whether in an article or main element.
+def parse(source: str) -> tuple[list[int], list[tuple[int, str, int, bool]]]:
+    """The page's tokens in order, and its blocks: token, text, KEPT, DOUBTFUL or OUT, whether in an article or main element.
 
     A tag's token is its path, a running hash of element names, so that depth costs nothing; a block's
     is a hash of its path and text.
     """
     order: list[int] = []
-    blocks: list[tuple[int, str, bool, bool]] = []
-    stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]  # name, path, left out, in main
+    blocks: list[tuple[int, str, int, bool]] = []
+    stack: list[tuple[str, int, int, bool]] = [("", 0, KEPT, False)]  # name, path, standing, in main
     opened: dict[str, list[int]] = {}  # depths of the open elements of a name
     block_depths: list[int] = [0]
     held: list[str] = []
@@ -179,7 +209,7 @@ def parse(source: str) -> tuple[list[int], list[tuple[int, str, bool, bool]]]:
         if name in VOID or attributes.endswith("/") and name not in BLOCK:
             continue
         is_main = name == "main" or 'role="main"' in attributes
-        out = (out and not is_main) or unwanted(name, attributes, main)
+        out = max(KEPT if is_main else out, standing(name, attributes, main))
         opened.setdefault(name, []).append(len(stack))
         if name in BLOCK:
             block_depths.append(len(stack))
@@ -194,16 +224,13 @@ def host_of(url):
     return F.lower(F.coalesce(F.regexp_extract(url.cast("string"), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-BLOCKS = "array<struct<text:string,token:long,out:boolean,main:boolean>>"
-
-
 def parsed(pages: DataFrame) -> DataFrame:
     """Adds blocks; tokens: (token, count) of the page's distinct tokens; and order: all its tokens."""
     names = ["_blocks", "_tokens", "_order"]
-    block = T.StructType().add("text", "string").add("token", "long").add("out", "boolean").add("main", "boolean")
+    block = T.StructType().add("text", "string").add("token", "long").add("out", "integer").add("main", "boolean")
     token = T.StructType().add("token", "long").add("n", "integer")
     schema = T.StructType([*pages.schema.fields, *(T.StructField(n, T.ArrayType(t)) for n, t in zip(names, (block, token, T.LongType()), strict=True))])
-    block_type = pa.list_(pa.struct([("text", pa.string()), ("token", pa.int64()), ("out", pa.bool_()), ("main", pa.bool_())]))
+    block_type = pa.list_(pa.struct([("text", pa.string()), ("token", pa.int64()), ("out", pa.int32()), ("main", pa.bool_())]))
     token_type = pa.list_(pa.struct([("token", pa.int64()), ("n", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,6 +250,26 @@ def parsed(pages: DataFrame) -> DataFrame:
     return pages.mapInArrow(run, schema)
 
 
+#: A host of more than this share of all pages has so many places where its pages meet what is known of it.
+HOT, PLACES = 1 / 1000, 64
+
+
+def hot_hosts(seen: DataFrame, work: Workspace) -> DataFrame:
+    """(host) of the hosts with more than a thousandth of all pages, and with 256 or more: under a thousand rows."""
+    least = max(256.0, HOT * seen.count())
+    return work.save(seen.groupBy("host").count().filter(F.col("count") > least).select("host"), "hot")
+
+
+def met(pages: DataFrame, known: DataFrame, hot: DataFrame, how: str = "inner") -> DataFrame:
+    """pages (host, page, ...) joined with known (host, ...) on the host; the pages of a hot host are dealt over its places."""
+    hot = F.broadcast(hot.withColumn("_hot", F.lit(True)))
+    place = F.when(F.col("_hot"), F.pmod("page", F.lit(PLACES)).cast("int")).otherwise(0)
+    places = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(PLACES - 1))).otherwise(F.array(F.lit(0)))
+    dealt = pages.join(hot, "host", "left").withColumn("_place", place).drop("_hot")
+    copied = known.join(hot, "host", "left").withColumn("_place", F.explode(places)).drop("_hot")
+    return dealt.join(copied, ["host", "_place"], how).drop("_place")
+
+
 def orders(tokens: list[int], classes: list[list[int]]) -> list[tuple[int, list[int]]]:
     """(class, its tokens in the page's order) of the classes on a page; none if their order changes within the page."""
     at = {t: c for c, own in enumerate(classes) for t in own}
@@ -271,7 +318,7 @@ def nesting(tokens: list[int], classes: list[list[int]]) -> list[tuple[int, list
     return [(c, list(gaps) if len(gaps) == 1 else []) for c, gaps in _gaps(tokens, classes)[0].items()]
 
 
-def _agreed(seen: DataFrame, classes: DataFrame, judge, work: Workspace, name: str) -> DataFrame:
+def _agreed(seen: DataFrame, classes: DataFrame, hot: DataFrame, judge, work: Workspace, name: str) -> DataFrame:
     """(host, class, verdict): the classes on which all pages give one verdict, which isn't empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,8 +335,8 @@ def _agreed(seen: DataFrame, classes: DataFrame, judge, work: Workspace, name: s
             longs = pa.list_(pa.int64())
             yield pa.record_batch([pa.array([h for h, _ in verdicts], pa.string()), pa.array([c for _, c in verdicts], pa.int64()), pa.array(list(verdicts.values()), longs)], ["host", "class", "verdict"])
 
-    pages = seen.select("host", "_order").join(classes, "host")
-    judged = pages.mapInArrow(run, "host string, class long, verdict array<long>").groupBy("host", "class").agg(F.min("verdict").alias("verdict"), F.max("verdict").alias("other"))
+    pages = met(seen.select("host", "page", "_order"), classes, hot)
+    judged = pages.select("host", "_order", "classes").mapInArrow(run, "host string, class long, verdict array<long>").groupBy("host", "class").agg(F.min("verdict").alias("verdict"), F.max("verdict").alias("other"))
     return work.save(judged.filter("verdict = other and size(verdict) > 0").select("host", "class", "verdict"), name)
 
 
@@ -298,7 +345,7 @@ def _by_host(ordered: DataFrame, work: Workspace, name: str) -> DataFrame:
     return work.save(ordered.groupBy("host").agg(F.array_sort(F.collect_list("tokens")).alias("classes")), name)
 
 
-def templates(seen: DataFrame, work: Workspace, least_share: float = 0.5, least_pages: int = 3) -> DataFrame:
+def templates(seen: DataFrame, hot: DataFrame, work: Workspace, least_share: float = 0.5, least_pages: int = 3) -> DataFrame:
     """(host, template): the tokens of the valid equivalence classes of every host.
 
     seen: host, page (a hash of the row), tokens, order. Two tokens are of one class if their signatures
@@ -313,10 +360,10 @@ def templates(seen: DataFrame, work: Workspace, least_share: float = 0.5, least_
     frequent = vectors.join(size, "host").filter((F.col("pages") >= least_pages) & (F.col("pages") >= least_share * F.col("of")))
     classes = frequent.groupBy("host", "pages", "s1", "s2").agg(F.array_sort(F.collect_list("token")).alias("tokens"))
     large = _by_host(classes.filter(F.size("tokens") >= 2), work, "large")
-    ordered = _agreed(seen, large, orders, work, "ordered").select("host", "class", F.col("verdict").alias("tokens"))
-    apart = _agreed(seen, _by_host(ordered, work, "by-order"), uncrossed, work, "uncrossed").select("host", "class")
+    ordered = _agreed(seen, large, hot, orders, work, "ordered").select("host", "class", F.col("verdict").alias("tokens"))
+    apart = _agreed(seen, _by_host(ordered, work, "by-order"), hot, uncrossed, work, "uncrossed").select("host", "class")
     apart = work.save(ordered.join(apart, ["host", "class"]), "apart")
-    nested = _agreed(seen, _by_host(apart, work, "by-nesting"), nesting, work, "nested").select("host", "class")
+    nested = _agreed(seen, _by_host(apart, work, "by-nesting"), hot, nesting, work, "nested").select("host", "class")
     return apart.join(nested, ["host", "class"]).groupBy("host").agg(F.flatten(F.array_sort(F.collect_list("tokens"))).alias("template"))
 
 
@@ -333,16 +380,18 @@ def extract(pages: DataFrame, keep_html: bool = True) -> DataFrame:
     page = F.xxhash64(*(c for c in ("page_id", "url", "html") if c in pages.columns)).alias("page")
     host = host_of(F.col("url"))
     seen = work.save(read.select(host.alias("host"), page, "_tokens", "_order"), "seen")
-    found = work.save(templates(seen, work), "templates").select(F.col("host").alias("_host"), F.col("template").alias("_template"))
-    known = read.withColumn("_host", host).join(found, "_host", "left").withColumn("_template", F.coalesce("_template", F.array().cast("array<bigint>")))
+    hot = hot_hosts(seen, work)
+    found = work.save(templates(seen, hot, work), "templates").withColumnRenamed("template", "_template")
+    own = F.struct(*kept).alias("_row")
+    known = met(read.select(host.alias("host"), page, own, "_blocks"), found, hot, "left").withColumn("_template", F.coalesce("_template", F.array().cast("array<bigint>")))
     fixed = lambda b: F.array_contains(F.col("_template"), b.token)
-    in_main = known.withColumn("_main", F.filter("_blocks", lambda b: b.main & ~b.out))
+    in_main = known.withColumn("_main", F.filter("_blocks", lambda b: b.main & ((b.out == KEPT) | ((b.out == DOUBTFUL) & ~fixed(b)))))
     in_main = in_main.withColumn("_slots", F.filter("_main", lambda b: ~fixed(b)))
     chars = lambda c: F.aggregate(c, F.lit(0), lambda n, b: n + F.length(b.text))
     main = F.when(2 * chars("_slots") > chars("_main"), F.col("_slots")).otherwise(F.col("_main"))
-    others = F.filter("_blocks", lambda b: ~b.out & ~fixed(b))
+    others = F.filter("_blocks", lambda b: (b.out != OUT) & ~fixed(b))
     slots = F.when(F.size("_main") > 0, main).otherwise(others)
-    out = in_main.select(*kept, F.array_join(F.transform(slots, lambda b: b.text), "\n").alias("text"))
+    out = in_main.select("_row.*", F.array_join(F.transform(slots, lambda b: b.text), "\n").alias("text"))
     return out.withColumn("n_chars", F.length("text").cast("long"))
 
 

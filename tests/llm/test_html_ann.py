@@ -118,7 +118,7 @@ def test_templates_equal_the_definitions(spark, tmp_path):
         hosts[f"h{h}"] = pages
         rows += [(f"h{h}", i, [(t, page.count(t)) for t in sorted(set(page))], page) for i, page in enumerate(pages)]
     seen = spark.createDataFrame(rows, "host string, page long, _tokens array<struct<token:long,n:int>>, _order array<long>")
-    got = {r.host: set(r.template) for r in html.templates(seen, Workspace(spark, "test")).collect()}
+    got = {r.host: set(r.template) for r in html.templates(seen, seen.select("host").filter("host < 'h5'").distinct(), Workspace(spark, "test")).collect()}
     want = {h: deduced(pages) for h, pages in hosts.items()}
     judged = [h for h in want if want[h] is not None]
     assert len(judged) > 100 and sum(bool(want[h]) for h in judged) > 50 and len({len(want[h]) for h in judged}) > 3
@@ -137,6 +137,31 @@ def test_classes_of_comments_footers_and_adverts_go(spark):
     assert html.digest(rows).first().text == "T\nthis\nand this"
 
 
+def test_names_that_only_have_an_unwanted_word_stay(spark):
+    names = ("related-work", "ad-free", "promoted", "hidden-gems", "social-history", "alert-fatigue")
+    gone = ("related-posts", "ad-300x250", "share-buttons", "promoted-links", "newsletter-signup", "comment-17", "article-share", "cookie_notice")
+    inner = "".join(f"<section class='{n}'><p>about {n}</p></section>" for n in names) + "".join(f"<div class='{n}'><p>not this</p></div>" for n in gone)
+    page = f"<body><div class='ad-free'>around</div><article class='ad-free-post'><h1>T</h1>{inner}</article></body>"
+    doubtful = "<body><article><p>Short {}</p><div class='ad-free'><p>A notice that is longer than the short article above it</p></div></article></body>"
+    copies = "<body><article><p>An article of a host that is full of its copies, longer than the note</p><div class='x'><p>note</p></div></article></body>"
+    rows = [(0, "http://x.example/", page), *((1 + i, "http://y.example/", doubtful.format(i)) for i in range(5)), *((10 + i, "http://z.example/", copies) for i in range(5))]
+    got = {r.page_id: r.text for r in html.digest(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[0].split("\n") == ["T", *(f"about {n}" for n in names)]
+    assert [got[1 + i] for i in range(5)] == [f"Short {i}" for i in range(5)]  # what recurs under a doubtful name goes
+    assert all(got[10 + i].endswith("note") for i in range(5))
+
+
+def test_a_host_of_most_pages(spark):
+    page = "<body><h1>Frame</h1><h2>Of all</h2><p>Text {}</p></body>"
+    rows = [(i, "http://hot.example/", page.format(i)) for i in range(700)] + [(1000 + i, f"http://{i // 5}.example/", page.format(i)) for i in range(50)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(8)
+    work = Workspace(spark, "test")
+    seen = html.parsed(table).selectExpr("'hot.example' AS host").filter("page_id < 1000")
+    assert [r.host for r in html.hot_hosts(seen, work).collect()] == ["hot.example"]
+    got = {r.page_id: r.text for r in html.digest(table).collect()}
+    assert got == {i: f"Text {i % 1000}" for i, _, _ in rows}
+
+
 def test_markup_of_a_megabyte_takes_seconds():
     long = ("<div>" * 200_000, "<a b='" * 170_000, "<a b='" * 170_000 + ">", '<a ">" ' * 140_000 + "'>", "<p " + "a" * 10**6 + ">", "<div>" * 10**5 + "</span>" * 10**5, "<script" * 150_000, "<" * 10**6 + ">", "<p a" + " " * 10**6 + ">", "<p><div></p>" * 80_000)
     began = time.perf_counter()
