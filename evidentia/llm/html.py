@@ -24,8 +24,9 @@ otherwise all remaining slots are. Text that the template fixes is left out of b
 article may fill a host, so a page keeps the blocks in its article or main element, doubtful ones aside, whole if the
 template fixes half of their characters or more.
 
-Pages meet their host's classes and template at a place of the host: one place, or for a host of more than a
-thousandth of all pages (so for a thousand hosts at most) one of ``PLACES``.
+Pages meet their host's classes and template in a join on the host. Those of the hosts with more than a thousandth
+of all pages each, so of a thousand hosts at most, are sent to every task if they take ``SENT`` bytes or less; the pages
+of these hosts then stay where they are, and every other host is a small part of its join.
 
 Null html counts as empty: empty text. A null url is a host of its own name "". Repeated rows give
 equal results; other columns are kept.
@@ -250,24 +251,25 @@ def parsed(pages: DataFrame) -> DataFrame:
     return pages.mapInArrow(run, schema)
 
 
-#: A host of more than this share of all pages has so many places where its pages meet what is known of it.
-HOT, PLACES = 1 / 1000, 64
+#: A host with more than this share of all pages, and FEW, is hot; most bytes, as JSON, of hot hosts' lists that are sent to every task.
+HOT, FEW, SENT = 1 / 1000, 255, 64 << 20
 
 
 def hot_hosts(seen: DataFrame, work: Workspace) -> DataFrame:
-    """(host) of the hosts with more than a thousandth of all pages, and with 256 or more: under a thousand rows."""
-    least = max(256.0, HOT * seen.count())
-    return work.save(seen.groupBy("host").count().filter(F.col("count") > least).select("host"), "hot")
+    """(_host) of the hot hosts: under a thousand rows."""
+    least = max(FEW, HOT * seen.count())
+    return work.save(seen.groupBy(F.col("host").alias("_host")).count().filter(F.col("count") > least).select("_host"), "hot")
 
 
-def met(pages: DataFrame, known: DataFrame, hot: DataFrame, how: str = "inner") -> DataFrame:
-    """pages (host, page, ...) joined with known (host, ...) on the host; the pages of a hot host are dealt over its places."""
-    hot = F.broadcast(hot.withColumn("_hot", F.lit(True)))
-    place = F.when(F.col("_hot"), F.pmod("page", F.lit(PLACES)).cast("int")).otherwise(0)
-    places = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(PLACES - 1))).otherwise(F.array(F.lit(0)))
-    dealt = pages.join(hot, "host", "left").withColumn("_place", place).drop("_hot")
-    copied = known.join(hot, "host", "left").withColumn("_place", F.explode(places)).drop("_hot")
-    return dealt.join(copied, ["host", "_place"], how).drop("_place")
+def met(pages: DataFrame, known: DataFrame, hot: DataFrame, how: str = "inner", prepare=lambda pages: pages) -> DataFrame:
+    """pages (_host, ...), prepared, joined with known (host, value) on the host: those of hot hosts without a shuffle."""
+    known, hot = known.withColumnRenamed("host", "_host"), F.broadcast(hot)
+    own, rest = (known.join(hot, "_host", kind) for kind in ("left_semi", "left_anti"))
+    value = next(c for c in known.columns if c != "_host")
+    if own.agg(F.coalesce(F.sum(F.length(F.to_json(value))), F.lit(0))).first()[0] <= SENT:
+        own = F.broadcast(own)
+    of_hot, others = (prepare(pages.join(hot, "_host", kind)) for kind in ("left_semi", "left_anti"))
+    return of_hot.join(own, "_host", how).unionByName(others.join(rest, "_host", how))
 
 
 def orders(tokens: list[int], classes: list[list[int]]) -> list[tuple[int, list[int]]]:
@@ -325,7 +327,7 @@ def _agreed(seen: DataFrame, classes: DataFrame, hot: DataFrame, judge, work: Wo
         for batch in batches:
             verdicts: dict[tuple[str, int], list[int]] = {}
             known: dict[str, list[list[int]]] = {}
-            for host, tokens, own in zip(batch.column("host").to_pylist(), batch.column("_order").to_pylist(), batch.column("classes"), strict=True):
+            for host, tokens, own in zip(batch.column("_host").to_pylist(), batch.column("_order").to_pylist(), batch.column("classes"), strict=True):
                 if host not in known:
                     known[host] = own.as_py()
                 for c, verdict in judge(tokens, known[host]):
@@ -335,8 +337,8 @@ def _agreed(seen: DataFrame, classes: DataFrame, hot: DataFrame, judge, work: Wo
             longs = pa.list_(pa.int64())
             yield pa.record_batch([pa.array([h for h, _ in verdicts], pa.string()), pa.array([c for _, c in verdicts], pa.int64()), pa.array(list(verdicts.values()), longs)], ["host", "class", "verdict"])
 
-    pages = met(seen.select("host", "page", "_order"), classes, hot)
-    judged = pages.select("host", "_order", "classes").mapInArrow(run, "host string, class long, verdict array<long>").groupBy("host", "class").agg(F.min("verdict").alias("verdict"), F.max("verdict").alias("other"))
+    pages = met(seen.select(F.col("host").alias("_host"), "_order"), classes, hot)
+    judged = pages.mapInArrow(run, "host string, class long, verdict array<long>").groupBy("host", "class").agg(F.min("verdict").alias("verdict"), F.max("verdict").alias("other"))
     return work.save(judged.filter("verdict = other and size(verdict) > 0").select("host", "class", "verdict"), name)
 
 
@@ -376,14 +378,13 @@ def extract(pages: DataFrame, keep_html: bool = True) -> DataFrame:
     work = Workspace(pages.sparkSession, "html")
     pages = pages.drop("text", "n_chars")
     kept = [c for c in pages.columns if keep_html or c != "html"]
-    read = parsed(pages.withColumn("html", F.coalesce(F.col("html").cast("string"), F.lit(""))))
+    read = pages.withColumn("html", F.coalesce(F.col("html").cast("string"), F.lit(""))).withColumn("_host", host_of(F.col("url")))
     page = F.xxhash64(*(c for c in ("page_id", "url", "html") if c in pages.columns)).alias("page")
-    host = host_of(F.col("url"))
-    seen = work.save(read.select(host.alias("host"), page, "_tokens", "_order"), "seen")
+    seen = work.save(parsed(read).select(F.col("_host").alias("host"), page, "_tokens", "_order"), "seen")
     hot = hot_hosts(seen, work)
     found = work.save(templates(seen, hot, work), "templates").withColumnRenamed("template", "_template")
-    own = F.struct(*kept).alias("_row")
-    known = met(read.select(host.alias("host"), page, own, "_blocks"), found, hot, "left").withColumn("_template", F.coalesce("_template", F.array().cast("array<bigint>")))
+    blocks = lambda pages: parsed(pages).select("_host", *kept, "_blocks")
+    known = met(read, found, hot, "left", blocks).withColumn("_template", F.coalesce("_template", F.array().cast("array<bigint>")))
     fixed = lambda b: F.array_contains(F.col("_template"), b.token)
     in_main = known.withColumn("_main", F.filter("_blocks", lambda b: b.main & ((b.out == KEPT) | ((b.out == DOUBTFUL) & ~fixed(b)))))
     in_main = in_main.withColumn("_slots", F.filter("_main", lambda b: ~fixed(b)))
@@ -391,7 +392,7 @@ def extract(pages: DataFrame, keep_html: bool = True) -> DataFrame:
     main = F.when(2 * chars("_slots") > chars("_main"), F.col("_slots")).otherwise(F.col("_main"))
     others = F.filter("_blocks", lambda b: (b.out != OUT) & ~fixed(b))
     slots = F.when(F.size("_main") > 0, main).otherwise(others)
-    out = in_main.select("_row.*", F.array_join(F.transform(slots, lambda b: b.text), "\n").alias("text"))
+    out = in_main.select(*kept, F.array_join(F.transform(slots, lambda b: b.text), "\n").alias("text"))
     return out.withColumn("n_chars", F.length("text").cast("long"))
 
 

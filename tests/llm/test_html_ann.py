@@ -118,7 +118,7 @@ def test_templates_equal_the_definitions(spark, tmp_path):
         hosts[f"h{h}"] = pages
         rows += [(f"h{h}", i, [(t, page.count(t)) for t in sorted(set(page))], page) for i, page in enumerate(pages)]
     seen = spark.createDataFrame(rows, "host string, page long, _tokens array<struct<token:long,n:int>>, _order array<long>")
-    got = {r.host: set(r.template) for r in html.templates(seen, seen.select("host").filter("host < 'h5'").distinct(), Workspace(spark, "test")).collect()}
+    got = {r.host: set(r.template) for r in html.templates(seen, seen.selectExpr("host AS _host").filter("host < 'h5'").distinct(), Workspace(spark, "test")).collect()}
     want = {h: deduced(pages) for h, pages in hosts.items()}
     judged = [h for h in want if want[h] is not None]
     assert len(judged) > 100 and sum(bool(want[h]) for h in judged) > 50 and len({len(want[h]) for h in judged}) > 3
@@ -151,13 +151,15 @@ def test_names_that_only_have_an_unwanted_word_stay(spark):
     assert all(got[10 + i].endswith("note") for i in range(5))
 
 
-def test_a_host_of_most_pages(spark):
+@pytest.mark.parametrize("sent", [html.SENT, 0])
+def test_a_host_of_most_pages(spark, monkeypatch, sent):
+    monkeypatch.setattr(html, "SENT", sent)
     page = "<body><h1>Frame</h1><h2>Of all</h2><p>Text {}</p></body>"
     rows = [(i, "http://hot.example/", page.format(i)) for i in range(700)] + [(1000 + i, f"http://{i // 5}.example/", page.format(i)) for i in range(50)]
     table = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(8)
     work = Workspace(spark, "test")
     seen = html.parsed(table).selectExpr("'hot.example' AS host").filter("page_id < 1000")
-    assert [r.host for r in html.hot_hosts(seen, work).collect()] == ["hot.example"]
+    assert [r._host for r in html.hot_hosts(seen, work).collect()] == ["hot.example"]
     got = {r.page_id: r.text for r in html.digest(table).collect()}
     assert got == {i: f"Text {i % 1000}" for i, _, _ in rows}
 
