@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import EVIDENCE_ONLY, LATIN, RULES, AnswerConfig, Lexicon
 from ..functions import text as X
 from ..sources.scratch import stored
+from .vectors import loaded
 
 
 #: What a citation says of its chunk, besides the quote.
@@ -72,6 +77,44 @@ def prompts(cited: DataFrame, questions: DataFrame, lexicon: Lexicon = LATIN) ->
     return rows.select("query_id", F.concat(F.lit("\n".join(RULES) + "\n\n问题："), "query", F.lit("\n\n"), F.array_join(F.transform("c", lambda x: x.block), "\n\n"), F.lit("\n")).alias("prompt"))
 
 
+def model_generator(name: str, load: Callable[[], Callable[[str], str]], partitions: int | None = None) -> Callable[[DataFrame], DataFrame]:
+    """A generator by a language model that ``load`` returns, called once in each Python worker: a function from a prompt to an answer.
+
+    It takes query_id, prompt and returns query_id, answer, seconds, error. What the model raises, and an answer that
+    isn't text, is the error of its own question, with a null answer; it stops no other question. A null prompt is an
+    error without a call. What ``load`` raises stops the job, as no question could be answered. partitions: over how many
+    tasks questions are dealt; by default as they come.
+    """
+
+    def generate(prompts: DataFrame) -> DataFrame:
+        rows = prompts.select("query_id", "prompt")
+        rows = rows if partitions is None else rows.repartition(partitions, "query_id")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                model = loaded(f"generator {name}", load)
+                answers, seconds, errors = [], [], []
+                for prompt in batch.column("prompt").to_pylist():
+                    made, error, began = None, None, time.perf_counter()
+                    try:
+                        if prompt is None:
+                            raise ValueError("no prompt")
+                        made = model(prompt)
+                        if not isinstance(made, str):
+                            raise TypeError(f"the answer is {type(made).__name__}, not text")
+                    except Exception as problem:  # the question's own, whatever it is
+                        made, error = None, f"{type(problem).__name__}: {problem}"
+                    answers.append(made)
+                    seconds.append(time.perf_counter() - began)
+                    errors.append(error)
+                columns = [batch.column("query_id"), pa.array(answers, pa.string()), pa.array(seconds, pa.float64()), pa.array(errors, pa.string())]
+                yield pa.record_batch(columns, ["query_id", "answer", "seconds", "error"])
+
+        return rows.mapInArrow(run, f"query_id {rows.schema['query_id'].dataType.simpleString()}, answer string, seconds double, error string")
+
+    return generate
+
+
 def checked(answers: DataFrame, lexicon: Lexicon = LATIN) -> DataFrame:
     """query_id, status, problem of generated answers. answers: query_id, answer, valid_ids.
 
@@ -90,8 +133,9 @@ def checked(answers: DataFrame, lexicon: Lexicon = LATIN) -> DataFrame:
 def answer(questions: DataFrame, search, chunks: DataFrame, config: AnswerConfig | None = None, lexicon: Lexicon = LATIN, generate=None) -> DataFrame:
     """query_id, status, answer, refusal_reason: gates, search, citations, prompt, generator, checks.
 
-    search(questions) -> reranked hits with text; generate(prompts) -> (query_id, answer) is the plug-in
-    for a language model. Without it, answers are evidence alone. Refused questions aren't searched.
+    search(questions) -> reranked hits with text; generate(prompts) -> (query_id, answer, and error if it has one)
+    is the plug-in for a language model, asked once for each question. Without it, answers are evidence alone. A
+    question with an error, or without an answer, has the status ``error`` and stops no other. Refused questions aren't searched.
     """
     config = config or AnswerConfig()
     scoped = questions.withColumn("_advice", asks_advice(F.col("query"), lexicon))
@@ -105,9 +149,15 @@ def answer(questions: DataFrame, search, chunks: DataFrame, config: AnswerConfig
         done = evidence_answers(cited, lexicon).select("query_id", F.lit("evidence_only").alias("status"), "answer", text(None).alias("refusal_reason"))
     else:
         made = generate(prompts(cited, open_, lexicon))
+        made = made.select("query_id", "answer", F.col("error") if "error" in made.columns else text(None).alias("error"))
+        made = stored(made, "generated")  # read by the checks, and a model may answer otherwise when asked again
+        made = passed.join(made, "query_id", "left").withColumn("error", F.when(F.col("answer").isNull(), F.coalesce("error", F.lit("no answer"))).otherwise(F.col("error")))
+        failed = made.filter("error is not null")
+        made = made.filter("error is null").drop("error")
         valid = cited.groupBy("query_id").agg(F.collect_set("citation_id").alias("valid_ids"))
         verdict = checked(made.join(valid, "query_id"), lexicon)
         done = made.join(verdict, "query_id").select("query_id", "status", "answer", F.col("problem").alias("refusal_reason"))
+        done = done.union(failed.select("query_id", F.lit("error"), text(None), F.concat(F.lit("generator: "), "error")))
     low = gate.filter("refusal_reason is not null").select("query_id", F.lit("refused").alias("status"), text(None).alias("answer"), "refusal_reason")
     out = scoped.filter("_advice").select("query_id", F.lit("refused").alias("status"), text(None).alias("answer"), F.lit("out_of_scope").alias("refusal_reason"))
     return done.union(low).union(out)

@@ -413,6 +413,23 @@ def prompt(spark, sf_dir):
     return _prompt(*_cited(spark, sf_dir))
 
 
+def _stand_in():
+    """In the place of a language model: tells the prompt's length, and raises for a fifth of the lengths."""
+
+    def model(prompt: str) -> str:
+        if len(prompt) % 5 == 0:
+            raise TimeoutError("no reply")
+        return f"{len(prompt)} characters [E1]"
+
+    return model
+
+
+def generated_answers(spark, sf_dir):
+    """Answers of a generator that fails for some questions: their errors are rows."""
+    questions, cited = _cited(spark, sf_dir)
+    return answer.model_generator("stand-in", _stand_in)(answer.prompts(cited, questions)).select("query_id", "answer", "error")
+
+
 def citation_validate(spark, sf_dir):
     _, cited = _cited(spark, sf_dir)
     valid = cited.groupBy("query_id").agg(F.collect_set("citation_id").alias("valid_ids"))
@@ -555,7 +572,7 @@ NAMES = (
     "audit_samples page_contiguity turn_contiguity duplicate_ids fingerprint registration_check registered_manifest lifecycle_gate fixed_chunks fixed_chunk_quality "
     "structured_chunks structured_quality strategy_delta chunk_driver chunk_metadata printed_pages token_stats bm25_top5 bm25_top5_filtered token_cosine_top5 vector_top5 "
     "vector_top5_filtered hashed_embedding index_upsert index_build rrf expand_query rerank_features hybrid_top5 hybrid_top5_filtered hit_projection scope_gate evidence_gate "
-    "citations quote_window evidence_answer prompt citation_validate answers evidence_pages first_rank method_compare single_method acceptance number_norm answer_case "
+    "citations quote_window evidence_answer prompt citation_validate answers generated_answers evidence_pages first_rank method_compare single_method acceptance number_norm answer_case "
     "answer_summary answer_failures evaluation_round resume_pending retrieval_misses flagged_pages event_medians bm25_index_top5 bm25_index_top5_filtered vector_index_recall"
 ).split()
 

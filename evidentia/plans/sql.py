@@ -264,6 +264,8 @@ def oracle_sql() -> dict[str, str]:
     contiguous = """SELECT document_id, min(pdf_page) AS first_page, max(pdf_page) AS last_page, count(*) AS page_rows, count(DISTINCT pdf_page) AS distinct_pages,
         min(pdf_page) = 1 AND max(pdf_page) = count(*) AND count(DISTINCT pdf_page) = count(*) AS contiguous"""
     rules = q("\n".join(RULES) + "\n\n问题：")
+    prompts = f"""WITH {cited()}, p AS (SELECT query_id, {rules} || any_value(b.text) || chr(10) || chr(10) || string_agg('[E' || citation_id || '] ' || chr(10) || chr(10) || quote, chr(10) || chr(10) ORDER BY citation_id) || chr(10) AS prompt
+            FROM cited JOIN benchmark b ON item_id = query_id GROUP BY 1)"""
     return {
         "compact_chars": f"SELECT doc_id, {compact('text')} AS compact_chars FROM documents",
         "normalized_text": f"SELECT doc_id, len({lines('text')}) AS n_lines, md5(array_to_string({lines('text')}, chr(10))) AS text_md5 FROM documents",
@@ -338,8 +340,9 @@ def oracle_sql() -> dict[str, str]:
         "citations": f"WITH {cited()} SELECT query_id, citation_id, chunk_id, quote, {six('rerank_score', 'retrieval_score')} FROM cited",
         "quote_window": f"WITH {ASKED} SELECT doc_id, {quote('text', salient('reference'), 800)} AS quote FROM asked_documents",
         "evidence_answer": f"WITH {cited()} SELECT query_id, {ANSWER} AS answer FROM cited GROUP BY 1",
-        "prompt": f"""WITH {cited()}, p AS (SELECT query_id, {rules} || any_value(b.text) || chr(10) || chr(10) || string_agg('[E' || citation_id || '] ' || chr(10) || chr(10) || quote, chr(10) || chr(10) ORDER BY citation_id) || chr(10) AS prompt
-            FROM cited JOIN benchmark b ON item_id = query_id GROUP BY 1) SELECT query_id, md5(prompt) AS prompt_md5, length(prompt) AS length FROM p""",
+        "prompt": f"""{prompts} SELECT query_id, md5(prompt) AS prompt_md5, length(prompt) AS length FROM p""",
+        "generated_answers": f"""{prompts} SELECT query_id,
+            CASE WHEN length(prompt) % 5 <> 0 THEN length(prompt) || ' characters [E1]' END AS answer, CASE WHEN length(prompt) % 5 = 0 THEN 'TimeoutError: no reply' END AS error FROM p""",
         "citation_validate": f"""WITH {cited()}, v AS (SELECT DISTINCT query_id FROM cited) SELECT query_id, ['answered', 'error', 'error', 'refused'][CAST(query_id % 4 + 1 AS BIGINT)] AS status,
             [NULL, 'unknown_citation', 'no_citation', 'generator_evidence_insufficient'][CAST(query_id % 4 + 1 AS BIGINT)] AS problem, ['1', '1,9', '', ''][CAST(query_id % 4 + 1 AS BIGINT)] AS cited FROM v""",
         "answers": f"""WITH {cited()}, m AS (SELECT query_id, max(term_coverage) AS c FROM reranked WHERE rank <= 5 GROUP BY 1), t AS (SELECT query_id, {ANSWER} AS answer FROM cited GROUP BY 1),

@@ -168,5 +168,19 @@ def write_manifest(manifest: DataFrame, path: str) -> None:
 
 
 def append_results(rows: DataFrame, path: str) -> None:
-    """Finished questions, added to the results so far; ``evaluate.pending`` reads them to resume."""
+    """Finished questions, added to the results so far; ``evaluate.pending`` reads them to resume. A write that is repeated adds them again."""
     rows.write.mode("append").parquet(path)
+
+
+def write_results(rows: DataFrame, path: str, batch: int) -> None:
+    """Finished questions of a numbered batch. A batch that is written again replaces itself alone, so a run cut short is mended by its repetition."""
+    if "batch" in rows.columns:
+        raise ValueError("results have no column batch of their own")
+    rows.withColumn("batch", F.lit(batch).cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+
+
+def read_results(spark: SparkSession, path: str) -> DataFrame:
+    """The last result of every question: that of its highest batch."""
+    rows = spark.read.parquet(path)
+    own = [c for c in rows.columns if c not in ("query_id", "batch")]
+    return rows.groupBy("query_id").agg(F.max_by(F.struct(*own), "batch").alias("r")).select("query_id", "r.*")

@@ -171,6 +171,58 @@ def test_manifest_and_results_are_rewritten(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "results")).count() == 2
 
 
+def test_results_of_a_repeated_batch(spark, tmp_path):
+    path = str(tmp_path / "results")
+    write = lambda batch, *rows: tables.write_results(spark.createDataFrame(rows, "query_id string, status string, error string"), path, batch)
+    read = lambda: {r.query_id: r.status for r in tables.read_results(spark, path).collect()}
+    write(1, ("a", "answered", None), ("b", "error", "timeout"))
+    write(1, ("a", "answered", None), ("b", "error", "timeout"))
+    assert spark.read.parquet(path).count() == 2
+    questions = spark.createDataFrame([("a",), ("b",), ("c",)], "query_id string")
+    assert {r.query_id for r in evaluate.pending(questions, tables.read_results(spark, path)).collect()} == {"b", "c"}
+    write(2, ("b", "answered", None), ("c", "refused", None))
+    write(1, ("a", "answered", None))  # a run cut short left a part of its batch; the rest stands
+    assert read() == {"a": "answered", "b": "answered", "c": "refused"}
+    with pytest.raises(ValueError):
+        tables.write_results(questions.withColumn("batch", F.lit(1)), path, 3)
+
+
+def test_errors_of_a_generator_are_its_questions(spark, tmp_path):
+    def load():
+        with open(tmp_path / "loads", "a") as f:
+            f.write("x")
+
+        def model(prompt):
+            with open(tmp_path / "calls", "a") as f:
+                f.write("x")
+            if "raise" in prompt:
+                raise TimeoutError("no reply")
+            return None if "nothing" in prompt else "收入[证据1]"
+
+        return model
+
+    generate = answer.model_generator(f"stub-{tmp_path}", load, partitions=3)
+    rows = spark.createDataFrame([(1, "fine"), (2, "raise"), (3, "nothing"), (4, None)], "query_id long, prompt string")
+    got = {r.query_id: (r.answer, r.error) for r in generate(rows).collect()}
+    assert got == {1: ("收入[证据1]", None), 2: (None, "TimeoutError: no reply"), 3: (None, "TypeError: the answer is NoneType, not text"), 4: (None, "ValueError: no prompt")}
+    assert generate(rows.limit(0)).count() == 0
+    (tmp_path / "calls").unlink()
+    questions = spark.createDataFrame([(1, "fine"), (2, "raise 营业收入"), (3, "nothing"), (5, "lost")], "query_id long, query string")
+    hits = spark.createDataFrame([(i, 1, "B", 0.5, "营业收入为1元", 0.9) for i in (1, 2, 3, 5)], "query_id long, rank int, chunk_id string, score double, text string, term_coverage double")
+    some = lambda prompts: generate(prompts.filter("query_id < 5"))
+    out = answer.answer(questions, lambda q: hits, None, lexicon=CHINESE, generate=some)
+    assert {r.query_id: (r.status, r.refusal_reason) for r in out.collect()} == {
+        1: ("answered", None), 2: ("error", "generator: TimeoutError: no reply"), 3: ("error", "generator: TypeError: the answer is NoneType, not text"), 5: ("error", "generator: no answer"),
+    }
+    assert out.count() == 4 and (tmp_path / "calls").read_text() == "xxx"  # each question is asked once
+
+    def broken():
+        raise OSError("no model")
+
+    with pytest.raises(Exception, match="no model"):
+        answer.model_generator(f"broken-{tmp_path}", broken)(rows).collect()
+
+
 def test_hybrid(spark, chunks):
     questions = ask(spark, "营业收入是多少？")
     got = fusion.hybrid(chunks, questions, lambda q, k, by: lexical.token_cosine(chunks, q, k), RetrievalConfig(top_k=1), CHINESE).collect()
