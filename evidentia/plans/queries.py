@@ -211,6 +211,16 @@ def index_build(spark, sf_dir):
     return tables.build_index(chunks, vectors.hashed_embedder(64), folder, "baseline")
 
 
+def index_search_top5(spark, sf_dir):
+    """The five nearest chunks of a stored table for every benchmark item, by hashed n-grams (which SQL can't express)."""
+    rows = _reported(spark, sf_dir)
+    chunks = stored(chunking.described(chunking.fixed_chunks(rows), rows, "baseline"), "chunks")
+    folder = f"{shared_folder(spark)}/evidentia-index-{uuid.uuid4().hex[:12]}"
+    tables.build_index(chunks, vectors.hashed_embedder(64), folder, "baseline")
+    hits = tables.search_index(question_rows(spark, sf_dir), vectors.hashed_embedder(64), folder, "baseline")
+    return hits.select("query_id", "rank", "chunk_id", "document_id", six("score", "score"), csv("pdf_pages").alias("pages"))
+
+
 def fixed_chunks(spark, sf_dir):
     out = chunking.fixed_chunks(_chaptered(spark, sf_dir))
     return out.select("chunk_id", "char_count", md5("text").alias("text_md5"), csv("pdf_pages").alias("pages"), "chapter", F.size("chapters").alias("n_chapters"))
@@ -571,7 +581,7 @@ NAMES = (
     "compact_chars normalized_text margin_lines margin_removed_pages printed_page chapter_fill unit_context_fill page_quality_flags flag_histogram parse_quality parse_driver "
     "audit_samples page_contiguity turn_contiguity duplicate_ids fingerprint registration_check registered_manifest lifecycle_gate fixed_chunks fixed_chunk_quality "
     "structured_chunks structured_quality strategy_delta chunk_driver chunk_metadata printed_pages token_stats bm25_top5 bm25_top5_filtered token_cosine_top5 vector_top5 "
-    "vector_top5_filtered hashed_embedding index_upsert index_build rrf expand_query rerank_features hybrid_top5 hybrid_top5_filtered hit_projection scope_gate evidence_gate "
+    "vector_top5_filtered hashed_embedding index_upsert index_build index_search_top5 rrf expand_query rerank_features hybrid_top5 hybrid_top5_filtered hit_projection scope_gate evidence_gate "
     "citations quote_window evidence_answer prompt citation_validate answers generated_answers evidence_pages first_rank method_compare single_method acceptance number_norm answer_case "
     "answer_summary answer_failures evaluation_round resume_pending retrieval_misses flagged_pages event_medians bm25_index_top5 bm25_index_top5_filtered vector_index_recall"
 ).split()

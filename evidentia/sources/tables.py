@@ -7,14 +7,16 @@ from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as X
 from ..operators.chunking import STRATEGIES
 from ..operators.ingest import repeated_ids, require_none
 from ..operators.pages import contiguity
-from ..operators.vectors import Embedder, collection_name, embedded, index_report
+from ..operators.lexical import matching
+from ..operators.vectors import Embedder, collection_name, cosine_search, embedded, index_report, with_pages
 from ..schemas import CHUNK, MANIFEST_COLUMNS, PAGE, QUESTION_COLUMNS
 
 
@@ -115,6 +117,43 @@ def write_index(index: DataFrame, path: str) -> None:
     index.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("document_id").parquet(path)
 
 
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    """The vector table. Ids of documents are strings, also where they look like numbers."""
+    found = spark.read.parquet(path).schema
+    schema = T.StructType([T.StructField(f.name, T.StringType() if f.name == "document_id" else f.dataType) for f in found])
+    return spark.read.schema(schema).parquet(path)
+
+
+def made_with(spark: SparkSession, path: str) -> Row | None:
+    """embedder, dimensions of a vector table, or None if there is no such table."""
+    note = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}.metadata")
+    if not note.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(note):
+        return None
+    return spark.read.schema("embedder string, dimensions int").json(f"{path}.metadata").first()
+
+
+def search_index(questions: DataFrame, embedder: Embedder, folder: str, strategy: str, k: int = 5, document_id: str | None = None, **filters) -> DataFrame:
+    """query_id, rank, score, and the chunk: its metadata, pages and text. The k most similar chunks of a stored table, as ``build_index`` writes it.
+
+    questions: query_id, query. filters: as for ``matching``, where an empty code doesn't filter; document_id: reads that
+    document's files alone. Only ids and vectors are scanned for the search; the rest is read for the hits. A blank query, a
+    table that isn't there, or one of another embedder is an error. No question, or no chunk that agrees: no rows.
+    """
+    spark, path = questions.sparkSession, f"{folder}/{collection_name(strategy, embedder.name)}"
+    known = made_with(spark, path)
+    if known is None:
+        raise ValueError(f"no vector table at {path}")
+    if (known.embedder, known.dimensions) != (embedder.name, embedder.dimensions):
+        raise ValueError(f"{path} was made with {known.embedder}, {known.dimensions}")
+    require_none(questions.filter("query IS NULL OR trim(query) = ''").select("query_id"), "blank queries")
+    table = matching(read_index(spark, path), **filters, blank_is_none=True)
+    if document_id is not None:
+        table = table.filter(F.col("document_id") == document_id)
+    asked = embedder.embed(questions.select("query_id", F.col("query").alias("text"))).select("query_id", "embedding")
+    hits = cosine_search(table.select("chunk_id", "embedding"), asked, k)
+    return with_pages(hits.join(table.drop("embedding"), "chunk_id"))
+
+
 def build_index(chunks: DataFrame, embedder: Embedder, folder: str, strategy: str) -> DataFrame:
     """Embeds chunks, replaces their documents in the table of this strategy and embedder, and reports on each document.
 
@@ -126,16 +165,14 @@ def build_index(chunks: DataFrame, embedder: Embedder, folder: str, strategy: st
         raise ValueError(f"unknown strategy {strategy!r}")
     require_none(chunks.filter(~F.col("strategy").eqNullSafe(STRATEGIES[strategy])).select("chunk_id", "strategy"), "chunks of another strategy")
     require_none(repeated_ids(chunks, "chunk_id"), "chunk ids repeat")
-    note = f"{path}.metadata"
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(note)
-    if place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
-        known = spark.read.schema("embedder string, dimensions int").json(note).first()
+    known = made_with(spark, path)
+    if known is not None:
         if (known.embedder, known.dimensions) != (embedder.name, embedder.dimensions):
             raise ValueError(f"{path} was made with {known.embedder}, {known.dimensions}")
     else:
-        spark.createDataFrame([(embedder.name, embedder.dimensions)], "embedder string, dimensions int").coalesce(1).write.json(note)
+        spark.createDataFrame([(embedder.name, embedder.dimensions)], "embedder string, dimensions int").coalesce(1).write.json(f"{path}.metadata")
     write_index(embedded(chunks, embedder), path)
-    table = spark.read.parquet(path)
+    table = read_index(spark, path)
     report = index_report(table.join(chunks.select("document_id").distinct(), "document_id", "left_semi"))
     require_none(report.filter((F.col("dimensions") != embedder.dimensions) | (F.col("most_dimensions") != embedder.dimensions)).select("document_id"), "vectors of other lengths")
     wanted = chunks.groupBy("document_id").agg(F.count(F.lit(1)).alias("n"))

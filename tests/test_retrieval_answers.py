@@ -312,6 +312,31 @@ def test_index_is_built_and_checked(spark, tmp_path):
     assert tables.read_report(spark, f"{folder}/report").first().asDict() == report_rows.first().asDict()
 
 
+def test_search_of_a_stored_table(spark, tmp_path):
+    texts = ["营业收入为100亿元", "公司治理与内部控制", "营业收入构成", "net revenue of the year", "cash flow", "audit committee and governance"]
+    fields = "chunk_id string, document_id string, company string, stock_code string, report_year int, report_type string, strategy string, chapter string, pdf_page_start int, pdf_page_end int, pdf_pages array<int>, source_file string, source_url string, text string"
+    chunks = spark.createDataFrame([(f"c{i}", ("000333", "000651")[i % 2], "co", "1", 2024, "annual", "fixed_char", None, i, i + 1, [i, i + 1], "f", "u", t) for i, t in enumerate(texts)], fields)
+    embedder, folder = vectors.hashed_embedder(32), str(tmp_path)
+    questions = spark.createDataFrame([("q", "营业收入"), ("r", "governance of the audit")], "query_id string, query string")
+    with pytest.raises(ValueError):
+        tables.search_index(questions, embedder, folder, "baseline")
+    assert {r.document_id for r in tables.build_index(chunks, embedder, folder, "baseline").collect()} == {"000333", "000651"}
+    vector = lambda rows: {r[0]: np.array(r.embedding) for r in vectors.hashed_embedding(rows, 32).collect()}
+    have, want = vector(chunks.select("chunk_id", "text")), vector(questions.select("query_id", F.col("query").alias("text")))
+    for filters in ({}, {"document_id": "000333"}, {"document_id": "333"}):
+        got = tables.search_index(questions, embedder, folder, "baseline", 2, **filters).orderBy("query_id", "rank").collect()
+        own = [i for i in range(6) if not filters or ("000333", "000651")[i % 2] == filters["document_id"]]
+        for q, v in want.items():
+            best = sorted(own, key=lambda i: (-round(float(have[f"c{i}"] @ v), 8), i))[:2]
+            assert [(r.chunk_id, r.pdf_pages, r.text) for r in got if r.query_id == q] == [(f"c{i}", [i, i + 1], texts[i]) for i in best]
+    plan = tables.search_index(questions, embedder, folder, "baseline", 2, document_id="000333")._jdf.queryExecution().toString()
+    assert "document_id" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert tables.search_index(questions.limit(0), embedder, folder, "baseline").count() == 0
+    for asked, other in ((spark.createDataFrame([("q", " ")], "query_id string, query string"), embedder), (questions, vectors.Embedder("hashed_ngrams_32", 8, embedder.embed))):
+        with pytest.raises(ValueError):
+            tables.search_index(asked, other, folder, "baseline")
+
+
 def test_drivers_gate_and_check(spark):
     rows = report_pages(spark)
     manifest = lambda status, count="3": spark.createDataFrame([("d", count, status, ""), ("e", "1", "pending", "")], "document_id string, page_count string, parse_status string, notes string")
