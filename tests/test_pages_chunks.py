@@ -100,6 +100,12 @@ def test_fixed_chunks_equal_brute_force(spark):
         assert got == brute_chunks(texts, config.size, config.overlap)
 
 
+def test_more_chunks_than_five_digits_name(spark):
+    """Ids stay unique, and those of five digits stay as they were."""
+    rows = spark.createDataFrame([("d", i) for i in (7, 99_999, 100_004, 100_005)], "document_id string, chunk_index int")
+    assert [r[0] for r in rows.select(chunking.chunk_name("baseline")).collect()] == ["d_baseline_00007", "d_baseline_99999", "d_baseline_100004", "d_baseline_100005"]
+
+
 def test_fixed_chunks_fixture(spark):
     rows = spark.createDataFrame([("d", i, c * 90, ch) for i, c, ch in ((1, "a", "x"), (2, "b", "x"), (3, "c", "y"))], "document_id string, pdf_page int, text string, chapter string")
     got = chunking.fixed_chunks(rows, ChunkConfig(size=120, overlap=20)).orderBy("chunk_index").collect()
