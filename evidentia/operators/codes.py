@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..sources.scratch import stored
 from .blocks import SLICE, _in_blocks, best_by_cosine, ranked
 
 #: Candidates of a question for each neighbour that it asks for, at least.
@@ -254,8 +255,9 @@ def search(index: Index, questions: DataFrame, k: int = 5) -> DataFrame:
     spark, found = questions.sparkSession, candidates(index, questions, k)
     cells = [r.cell for r in found.select("cell").distinct().collect()]  # as many as there are pivots, at most
     vectors = index.vectors(spark).filter(F.col("cell").isin(cells)).select("chunk_id", "cell", F.col("embedding").alias("other"))
-    own = usable(questions, "query_id", index.by, index.dimensions).select("query_id", "embedding")
-    pairs = found.join(vectors, ["cell", "chunk_id"]).join(own, "query_id")
+    own = stored(usable(questions, "query_id", index.by, index.dimensions).select("query_id", "embedding"), "asked-vectors")
+    # candidates are many more than the codes that they come from, by whose size Spark would take them to fit a broadcast
+    pairs = found.hint("merge").join(vectors, ["cell", "chunk_id"]).join(own, "query_id")
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
     score = dot("embedding", "other") / (F.sqrt(dot("embedding", "embedding")) * F.sqrt(dot("other", "other")))
     return ranked(pairs.select("query_id", "chunk_id", score.alias("score")), "query_id", k).select("query_id", "rank", "chunk_id", "score")

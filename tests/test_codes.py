@@ -76,3 +76,11 @@ def test_distance_in_spark_equals_that_of_numpy(spark):
     rows = spark.createDataFrame([(i, x.tobytes(), y.tobytes()) for i, (x, y) in enumerate(zip(a, b, strict=True))], "id long, code binary, own binary")
     got = {r.id: r.distance for r in codes._distance(rows, 256).collect()}
     assert got == {i: int(np.bitwise_count(a[i] ^ b[i]).sum()) for i in range(50)}
+
+
+def test_candidates_arent_broadcast(spark, tmp_path):
+    """They are many times the codes by whose size Spark judges them."""
+    rows = table(spark, drawn("even", 500, 16))
+    index = codes.build(rows, f"{tmp_path}/index", 16, cells=4)
+    plan = codes.search(index, asked(rows, 20))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [cell" in plan and "BroadcastHashJoin [cell" not in plan
