@@ -102,7 +102,7 @@ def build(chunks: DataFrame, path: str, by: tuple[str, ...] = (), k1: float = 1.
     schema = ", ".join([*(f"{c} {kinds[c]}" for c in by), "token string, block long", f"ids array<{kinds['chunk_id']}>", "adds array<double>, most double"])
     posted = stored(dealt.mapInArrow(invert, schema), "inverted").withColumn("shard", F.pmod(F.xxhash64("token"), F.lit(SHARDS)).cast("int"))
     for name, rows in (("postings", posted), ("blocks", posted.drop("ids", "adds"))):
-        rows.repartitionByRange("shard", "token", "block").sortWithinPartitions("shard", "token", "block").write.mode("overwrite").partitionBy("shard").parquet(f"{path}/{name}")
+        rows.repartitionByRange("shard", "token", "block").sortWithinPartitions("shard", "token", "block").write.mode("overwrite").option("compression", "zstd").partitionBy("shard").parquet(f"{path}/{name}")
     terms = posted.groupBy(*by, "token").agg(F.sum(F.size("ids")).alias("df"), F.count(F.lit(1)).alias("n_blocks"), F.max("most").alias("most"))
     terms.write.mode("overwrite").parquet(f"{path}/terms")
     return index

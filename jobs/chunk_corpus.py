@@ -55,7 +55,7 @@ def replace(rows: DataFrame, path: str, schema: str, by: str | None = None) -> D
     """The rows as a table of this schema in place of what was there, and that table read back."""
     names = [c.split()[0] for c in schema.split(", ")]
     typed = rows.select(*(F.col(c.split()[0]).cast(c.split()[1]) for c in schema.split(", ")))
-    writer = typed.select(*names).write.mode("overwrite").option("partitionOverwriteMode", "static")
+    writer = typed.select(*names).write.mode("overwrite").option("partitionOverwriteMode", "static").option("compression", "zstd")
     (writer.partitionBy(by) if by else writer).parquet(path)
     return rows.sparkSession.read.schema(schema).parquet(path)
 

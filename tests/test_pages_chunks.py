@@ -217,3 +217,22 @@ def test_registration(spark):
     assert found.accepted and found.page_count == 3 and found.missing == ""
     out = {r.document_id: (r.page_count, r.parse_status) for r in ingest.registered(manifest, ingest.inspect(rows, keywords).select("document_id", "page_count")).collect()}
     assert out == {"a": ("3", "pending"), "b": ("", "audited")}
+
+
+def test_slices_hold_a_bounded_size_of_text():
+    import pyarrow as pa
+
+    from evidentia.operators.blocks import slices
+
+    texts = ["a" * 40, None, "é" * 30, "b" * 500, "", "c" * 99, "d"]
+    parts = [p.column("text").to_pylist() for p in slices(pa.record_batch({"text": pa.array(texts, pa.string())}), size=100)]
+    assert [t for p in parts for t in p] == texts
+    assert all(len(p) == 1 or sum(len((t or "").encode()) for t in p) <= 100 for p in parts) and len(parts) == 3
+
+
+def test_a_report_reads_no_text_of_clean_pages(spark):
+    rows = page_frame(spark, [f"Chapter {i}\nline {i} of the page" for i in range(1, 5)]).drop("chapter")
+    report = pages.parse_report(pages.parse(rows))
+    assert [(r.page_count, r.first_flagged_page) for r in report.collect()] == [(4, 1)]
+    read = re.findall(r"ReadSchema: (\S+)", report._jdf.queryExecution().executedPlan().toString())
+    assert read and not any("lines" in r or "_raw" in r or "text:" in r for r in read), read
