@@ -164,10 +164,14 @@ def search(spark: SparkSession, index: Index, questions: DataFrame, k: int = 5)
     weights = found.select("query_id", *by, "token", "n_blocks", (F.col("qf") * idf).alias("w"), (F.col("qf") * idf * F.col("most")).alias("bound"))
     weights = stored(weights.withColumn("shard", F.pmod(F.xxhash64("token"), F.lit(SHARDS)).cast("int")), "asked-terms")
 
+    # blocks and postings of tokens that nobody asks for don't move; the list's real size is known, and it is that of the questions
+    on = [*by, "shard", "token"]
+    tokens = stored(weights.select(*on).distinct(), "asked-tokens")
+    every, postings, blocks = blocks, postings.join(tokens, on, "left_semi"), blocks.join(tokens, on, "left_semi")
+
     # 1. seeds: a question's rarest token, and the next ones while their blocks are few
     rare = Window.partitionBy("query_id").orderBy("n_blocks", "token")
     seeding = weights.withColumn("upto", F.sum("n_blocks").over(rare.rowsBetween(Window.unboundedPreceding, 0))).withColumn("i", F.row_number().over(rare))
-    on = [*by, "shard", "token"]
     near = seeding.filter((F.col("i") == 1) | (F.col("upto") <= READ_FIRST)).join(blocks.withColumnRenamed("most", "own"), on).groupBy("query_id", "block").agg(F.sum(F.col("w") * F.col("own")).alias("b"))
     first = Window.partitionBy("query_id").orderBy(F.desc("b"), "block")
     seeds = near.withColumn("i", F.row_number().over(first)).filter(F.col("i") <= SEEDS).select("query_id", "block")
@@ -185,7 +189,7 @@ def search(spark: SparkSession, index: Index, questions: DataFrame, k: int = 5)
 
     # 3. the answer
     hits = ranked(_scored(kept, weights, postings, by, k), "query_id", k).select("query_id", "rank", "chunk_id", "score")
-    whole = blocks.groupBy(*by).agg(F.countDistinct("block").alias("blocks"))
+    whole = every.groupBy(*by).agg(F.countDistinct("block").alias("blocks"))
     of = weights.select("query_id", *by).distinct()
     of = of.join(whole, by) if by else of.crossJoin(F.broadcast(whole))  # one row
     held = weights.join(blocks.drop("most"), on).groupBy("query_id").agg(F.countDistinct("block").alias("held"))
