@@ -13,7 +13,9 @@ empty bin borrows from the first filled bin of a permutation of its own (optimal
 4. Buckets whose members are still of two or more components go on without the hubs that all others
    have been compared with, and with sixteen times as many hubs a round, until none is left. So every
    pair of a bucket is compared unless it is connected already or can't be similar: no link is lost
-   and nothing is capped, and a group of copies costs about one comparison for each member.
+   and nothing is capped, and a group of copies costs about one comparison for each member. As soon as
+   the pairs left are few (AT_ONCE), one join finds all of them that can be similar, and if these are no
+   more than the next round may compare, they are confirmed at once and no round is left.
 5. What can't be similar is bounded by counting. A pair at the threshold shares at least
    a = percent * (n + m) / (100 + percent) shingles. Of the documents in buckets that are large after
    the first round, shingles that just one of them has are counted, u for each; one with
@@ -38,7 +40,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import MIX_A, MIX_B, TextBatch, Workspace, mix64, pieces
@@ -48,6 +50,8 @@ BANDS, ROWS = 40, 5
 BINS = BANDS * ROWS
 #: Members from which a bucket counts as large: own shingles are counted then, which changes no result.
 LARGE = 32
+#: Pairs of members, of all buckets left, up to which one join tests them all; from then on hubs go on. Changes no result.
+AT_ONCE = 1 << 25
 #: Of a bucket's member: document, set size, own shingles, component, marks against the reference, shingles outside it.
 LIVE = ("key", "x", "n", "u", "c", "bits", "b")
 U = np.uint64
@@ -176,32 +180,43 @@ def _marks(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     return both.select("x", "r", "text_x", "text_r").mapInArrow(run, "x long, r long, bits array<long>, b long")
 
 
-def _counted(rest: DataFrame, texts: DataFrame, work: Workspace, k: int, percent: int) -> DataFrame:
-    """Fills in u, bits and b for the members of large buckets, and leaves out those that can't match."""
-    sizes = rest.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.sum("m").alias("size"), F.max_by("c", F.struct("m", "c")).alias("r"))
-    reference = work.save(sizes.filter(F.col("size") > LARGE).select("key", "r"), "reference")
-    if reference.isEmpty():
+def _mixed(rest: DataFrame) -> DataFrame:
+    """(key, size, least, r): members, least set size and most common component of each bucket of two or more components."""
+    parts = rest.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("least"))
+    keys = parts.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.sum("m").alias("size"), F.min("least").alias("least"), F.max_by("c", F.struct("m", "c")).alias("r"))
+    return keys.filter("parts > 1").drop("parts")
+
+
+def _counted(rest: DataFrame, texts: DataFrame, work: Workspace, k: int) -> DataFrame:
+    """Fills in u, bits and b for the members of large buckets; r is their bucket's reference."""
+    rest = rest.withColumn("r", F.when(F.col("size") > LARGE, F.col("r")))
+    pairs = work.save(rest.filter("r is not null").select("x", "r").distinct(), "marked")
+    if pairs.isEmpty():
         return rest
-    pairs = work.save(rest.join(reference, "key").select("x", "r").distinct(), "marked")
-    large = work.save(pairs.select(F.col("x").alias("doc_id")).union(pairs.select("r")).distinct(), "large")
+    large = pairs.select(F.explode(F.array("x", "r")).alias("doc_id"))
     texts = work.save(texts.join(large, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "large-texts")
-    own = work.save(_own_shingles(texts, k), "own")
-    marks = work.save(_marks(pairs, texts, k), "marks")
-    whole = rest.drop("u", "bits", "b").join(reference, "key", "left").join(own, "x", "left").join(marks, ["x", "r"], "left")
-    u = F.when(F.col("r").isNotNull(), F.coalesce("u", F.lit(0).cast("long"))).otherwise(F.lit(0).cast("long"))
-    whole = whole.select("key", "x", "n", u.alias("u"), "c", "bits", F.coalesce("b", F.lit(0).cast("long")).alias("b"))
-    return _mixed(work.save(whole, "counted"), work, "mixed-counted", percent)
+    whole = rest.drop("u", "bits", "b").join(_own_shingles(texts, k), "x", "left").join(_marks(pairs, texts, k), ["x", "r"], "left")
+    zero = F.lit(0).cast("long")
+    return whole.withColumns({"u": F.when(F.col("r").isNotNull(), F.coalesce("u", zero)).otherwise(zero), "b": F.coalesce("b", zero)})
 
 
-def _mixed(rest: DataFrame, work: Workspace, name: str, percent: int) -> DataFrame:
-    """What is left of buckets of two or more components, without members that no partner there can match."""
-    least = rest.groupBy("key").agg(F.min("n").alias("least"))
+def _able(rest: DataFrame, percent: int) -> DataFrame:
+    """Without the members that no partner in their bucket can match."""
     smallest = F.greatest(F.col("least"), percent * F.col("n") / 100)
-    able = rest.join(work.save(least, f"{name}-least"), "key")
-    able = able.filter((100 + percent) * (F.col("n") - F.col("u")) >= percent * (F.col("n") + smallest))
-    able = work.save(able.select(*LIVE), f"{name}-able")
-    keys = able.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("key")
-    return able.join(work.save(keys, name), "key").select(*LIVE)
+    return rest.filter((100 + percent) * (F.col("n") - F.col("u")) >= percent * (F.col("n") + smallest)).select(*LIVE)
+
+
+def _pairs(live: DataFrame, hubs: DataFrame, percent: int, fits: Column | None = None) -> DataFrame:
+    """(u, v): members and hubs (columns hub_*) of a bucket that are of two components and may be similar."""
+    at_least = percent * (F.col("n") + F.col("hub_n"))
+    fits = F.lit(True) if fits is None else fits
+    fits &= (F.col("c") != F.col("hub_c")) & (100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n"))
+    fits &= (100 + percent) * F.least(F.col("n") - F.col("u"), F.col("hub_n") - F.col("hub_u")) >= at_least
+    both = F.aggregate(F.zip_with("bits", "hub_bits", lambda a, b: F.bit_count(a.bitwiseAND(b))), F.lit(0), lambda s, v: s + v)
+    shared_at_most = both + F.greatest(F.lit(0), F.least(F.col("b") - F.col("u"), F.col("hub_b") - F.col("hub_u")))
+    fits &= F.coalesce((100 + percent) * shared_at_most >= at_least, F.lit(True))
+    star = live.join(hubs, "key").filter(fits)
+    return star.select(F.least("x", "hub_x").alias("u"), F.greatest("x", "hub_x").alias("v")).distinct()
 
 
 def _merge(groups: DataFrame | None, links: DataFrame, work: Workspace, step: int) -> DataFrame | None:
@@ -209,7 +224,7 @@ def _merge(groups: DataFrame | None, links: DataFrame, work: Workspace, step: in
     if links.isEmpty():
         return groups
     if groups is None:
-        return work.save(components(links, work, f"cc{step}").select(F.col("node").alias("x"), F.col("root").alias("c")), f"groups{step}")
+        return components(links, work, f"cc{step}").select(F.col("node").alias("x"), F.col("root").alias("c"))
     of = lambda end: groups.select(F.col("x").alias(end), F.col("c").alias(f"c{end}"))
     between = links.join(of("u"), "u", "left").join(of("v"), "v", "left")
     between = work.save(between.select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v")), f"between{step}")
@@ -243,24 +258,25 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         order = F.struct(F.col("u") / F.col("n"), F.xxhash64("x", "key"))  # those with least of their own first
         hubs = live.groupBy("key", slot.alias("slot")).agg(F.min(F.struct(order.alias("o"), *LIVE[1:])).alias("h"))
         hubs = work.save(hubs.select("key", *(F.col(f"h.{a}").alias(f"hub_{a}") for a in LIVE[1:])), f"hubs{step}")
-        at_least = percent * (F.col("n") + F.col("hub_n"))
-        fits = (100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")) & (F.col("c") != F.col("hub_c"))
-        fits &= (100 + percent) * F.least(F.col("n") - F.col("u"), F.col("hub_n") - F.col("hub_u")) >= at_least
-        both = F.aggregate(F.zip_with("bits", "hub_bits", lambda a, b: F.bit_count(a.bitwiseAND(b))), F.lit(0), lambda s, v: s + v)
-        shared_at_most = both + F.greatest(F.lit(0), F.least(F.col("b") - F.col("u"), F.col("hub_b") - F.col("hub_u")))
-        fits &= F.coalesce((100 + percent) * shared_at_most >= at_least, F.lit(True))
-        star = live.join(hubs, "key").filter(fits)
-        pairs = work.save(star.select(F.least("x", "hub_x").alias("u"), F.greatest("x", "hub_x").alias("v")).distinct(), f"pairs{step}")
-        links = work.save(confirm(pairs, texts, k, percent), f"links{step}")
-        groups = _merge(groups, links, work, step)
+        pairs = work.save(_pairs(live, hubs, percent), f"pairs{step}")
+        groups = _merge(groups, work.save(confirm(pairs, texts, k, percent), f"links{step}"), work, step)
         rest = live.join(hubs.select("key", F.col("hub_x").alias("x")), ["key", "x"], "left_anti")
         if groups is not None:
             rest = rest.join(groups.select("x", F.col("c").alias("g")), "x", "left").withColumn("c", F.coalesce("g", "c")).drop("g")
-        rest = _mixed(work.save(rest.select(*LIVE), f"rest{step}"), work, f"mixed{step}", percent)
-        if step == 0:
-            rest = _counted(work.save(rest, "first"), texts, work, k, percent)
-        live = work.save(rest, f"live{step + 1}")
+        rest = work.save(rest.select(*LIVE), f"rest{step}")
+        keys = work.save(_mixed(rest), f"mixed{step}")
+        rows, most = keys.agg(F.sum("size"), F.sum(F.col("size") * (F.col("size") - 1) / 2)).first()
+        if not rows:
+            break
+        rest = rest.join(keys, "key")
         step, hubs_each = step + 1, hubs_each * 16
+        live = work.save(_able(_counted(rest, texts, work, k) if step == 1 else rest, percent), f"live{step}")
+        if most <= AT_ONCE:
+            others = live.select("key", *(F.col(a).alias(f"hub_{a}") for a in LIVE[1:]))
+            pairs = work.save(_pairs(live, others, percent, F.col("x") < F.col("hub_x")), f"all{step}")
+            if pairs.count() <= hubs_each * rows:  # no more than the next round may compare
+                groups = _merge(groups, work.save(confirm(pairs, texts, k, percent), f"links{step}"), work, step)
+                break
 
     if groups is None:
         found = members.select("doc_id", "n", F.col("rep").alias("component_id"))

@@ -73,6 +73,29 @@ def test_large_buckets_equal_brute_force(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(rows, 4).collect()} == brute_components(texts, 4)
 
 
+def saved_tables(monkeypatch):
+    names, save = [], Workspace.save
+    monkeypatch.setattr(Workspace, "save", lambda self, df, name: names.append(name) or save(self, df, name))
+    return names
+
+
+def test_few_pairs_left_are_tested_at_once(spark, monkeypatch):
+    names, texts = saved_tables(monkeypatch), near_texts()
+    rows = spark.createDataFrame(texts, "doc_id long, text string")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(rows, 4).collect()} == brute_components(texts, 4)
+    assert [x for x in names if x.startswith("hubs")] == ["hubs0"] and "all1" in names
+
+
+@pytest.mark.parametrize("large", [2, 32])
+def test_rounds_of_hubs_equal_brute_force(spark, monkeypatch, large):
+    monkeypatch.setattr(neardup, "LARGE", large)
+    monkeypatch.setattr(neardup, "AT_ONCE", -1)
+    names, texts = saved_tables(monkeypatch), near_texts()
+    rows = spark.createDataFrame(texts, "doc_id long, text string")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(rows, 4).collect()} == brute_components(texts, 4)
+    assert "hubs1" in names and not [x for x in names if x.startswith("all")]
+
+
 def test_large_bucket_links_its_reference(spark, monkeypatch):
     mix, bands = np.uint64(0x9E3779B97F4A7C15), neardup.BANDS
 
