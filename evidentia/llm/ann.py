@@ -11,6 +11,8 @@ further ones within a reach: the ratio to its scale that holds ``WANTED`` of the
 ``PROBES`` sample rows, found among the sample by brute force. It follows the spread of distances, so
 recall doesn't fall where distances are alike, and the sample is sparser than the table, so it isn't too small. Centroids are found by best-first search on the graph, all vectors of a batch at once; a query
 whose beam ends before its scale does is searched anew with a wider one, so nothing is cut off.
+Tables of rows against centroids are made for ``CELLS`` cells at a time, and nothing that is kept refers to them, so memory
+doesn't grow with the square of the centroids.
 
 Neighbouring lists make a group of about ``GROUP`` vectors, where they meet the queries that ask for
 one of them. A list over ``PART`` vectors is a group of its own, split into parts by a hash of the id,
@@ -34,10 +36,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace
+from .common import Workspace, tidy
 
 SAMPLE, LIST, CENTROIDS, PART, GROUP, ASKED, LEVEL = 262_144, 24, 65_536, 4096, 16_384, 4096, 512
 CLOSURE, REPLICAS, WANTED, PROBES, NEAREST, DEGREE, BEAM = 0.1, 4, 0.97, 256, 32, 24, 64
+#: Cells of a table of rows against centroids, or of a beam, at most (or one row's).
+CELLS = 1 << 22
+
+
+def blocks(rows: int, width: int, most: int = 4096) -> Iterator[slice]:
+    """Ranges of rows whose tables of this width have ``CELLS`` cells together, ``most`` rows at most."""
+    step = max(1, min(most, CELLS // max(1, width)))
+    return (slice(i, min(i + step, rows)) for i in range(0, rows, step))
 
 
 def squared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -48,8 +58,10 @@ def squared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def fit(sample: np.ndarray, n: int, rounds: int = 8) -> np.ndarray:
     """Centroids by k-means whose assignment adds a penalty for clusters that are large already."""
     rng = np.random.default_rng(7)
-    n = min(n, len(np.unique(sample, axis=0)))
-    centres = np.unique(sample, axis=0)[rng.permutation(len(np.unique(sample, axis=0)))[:n]].astype(np.float32)
+    different = np.unique(sample, axis=0)
+    n = min(n, len(different))
+    centres = different[rng.permutation(len(different))[:n]].astype(np.float32)
+    del different
     size = np.full(n, len(sample) / n)
     for _ in range(rounds):
         total, count, spread = np.zeros_like(centres, dtype=np.float64), np.zeros(n), 0.0
@@ -78,7 +90,7 @@ def fit_levels(sample: np.ndarray, n: int) -> np.ndarray:
         return fit(sample, n)
     first = fit(sample, int(n**0.5))
     own = np.concatenate([squared(sample[i : i + 4096], first).argmin(axis=1) for i in range(0, len(sample), 4096)])
-    parts = [sample[own == c] for c in range(len(first))]
+    parts = (sample[own == c] for c in range(len(first)))
     return np.concatenate([fit(part, max(1, round(n * len(part) / len(sample)))) for part in parts if len(part)])
 
 
@@ -89,10 +101,10 @@ class Graph:
         self.centres = centres
         n, degree = len(centres), min(DEGREE, len(centres) - 1)
         links = []
-        for i in range(0, n, 256):
-            near = squared(centres[i : i + 256], centres)
-            near[np.arange(len(near)), np.arange(i, i + len(near))] = np.inf
-            links.append(np.argpartition(near, max(degree - 1, 0), axis=1)[:, :degree])
+        for part in blocks(n, n, 256):
+            near = squared(centres[part], centres)
+            near[np.arange(len(near)), np.arange(part.start, part.stop)] = np.inf
+            links.append(np.argpartition(near, max(degree - 1, 0), axis=1)[:, :degree].astype(np.int32))  # no view, which would keep the whole order
         rng = np.random.default_rng(11)
         far = rng.integers(n, size=(n, 4))  # long links keep it connected
         ring = np.stack([(np.arange(n) + 1) % n, (np.arange(n) - 1) % n], axis=1)
@@ -101,19 +113,20 @@ class Graph:
         self.spread = 0.0
         if sample is not None and len(sample):
             some = sample[: 1 << 12]
-            self.spread = float(np.sqrt(squared(some, centres).min(axis=1)).mean())
+            self.spread = float(np.sqrt(np.concatenate([squared(some[part], centres).min(axis=1) for part in blocks(len(some), n)])).mean())
         self.prune = fit_reach(self, sample) if sample is not None and len(sample) > 1 else 0.0
 
     def nearest(self, x: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """(centroids, distances) of each row of x, closest first, ``beam`` at most; -1 and infinity where there are fewer."""
         n = len(self.centres)
-        if n <= beam:
-            d = np.sqrt(squared(x, self.centres))
-            order = np.argsort(d, axis=1, kind="stable")
-            return order, np.take_along_axis(d, order, axis=1)
-        at_once = max(1, (1 << 26) // n)  # bounds the table of what was seen
-        found = [self._search(x[i : i + at_once], beam) for i in range(0, len(x), at_once)]
-        return tuple(np.concatenate(part) for part in zip(*found, strict=True)) if found else (np.zeros((0, beam), np.int64), np.zeros((0, beam)))
+        width = n if n <= beam else beam + max(4, beam // 16) * self.links.shape[1]  # of what a step of the search holds
+        found = [self._search(x[part], beam) if n > beam else self._all(x[part]) for part in blocks(len(x), width, max(1, (1 << 26) // n))]  # the last bounds the table of what was seen
+        return tuple(np.concatenate(part) for part in zip(*found, strict=True)) if found else (np.zeros((0, beam), np.int32), np.zeros((0, beam)))
+
+    def _all(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        d = np.sqrt(squared(x, self.centres))
+        order = np.argsort(d, axis=1, kind="stable")
+        return order.astype(np.int32), np.take_along_axis(d, order, axis=1)
 
     def _search(self, x: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         n, step = len(self.centres), max(4, beam // 16)
@@ -149,7 +162,7 @@ class Graph:
             ids, dist, done = (np.take_along_axis(v, order, axis=1) for v in (ids, dist, done))
         order = np.argsort(dist, axis=1, kind="stable")
         ids, dist = (np.take_along_axis(v, order, axis=1) for v in (ids, dist))
-        return np.where(np.isfinite(dist), ids, -1), np.sqrt(dist)
+        return np.where(np.isfinite(dist), ids, -1).astype(np.int32), np.sqrt(dist)
 
     def reach(self, closest: np.ndarray, share: float) -> np.ndarray:
         """How far from each vector its lists may be, by the distance of its closest one."""
@@ -168,8 +181,8 @@ def fit_reach(graph: Graph, sample: np.ndarray, k: int = 10) -> float:
     """The share of its scale beyond which a query need not look, by the lists of its true neighbours in the sample."""
     rows = np.random.default_rng(17).permutation(len(sample))[:PROBES]
     ratio = []
-    for i in range(0, len(rows), 16):
-        own = rows[i : i + 16]
+    for part in blocks(len(rows), len(sample), 16):
+        own = rows[part]
         far = squared(sample[own], sample)
         far[np.arange(len(own)), own] = np.inf
         near = np.argpartition(far, min(k, len(sample) - 1) - 1, axis=1)[:, : min(k, len(sample) - 1)]
@@ -181,21 +194,36 @@ def fit_reach(graph: Graph, sample: np.ndarray, k: int = 10) -> float:
     return max(0.0, float(np.quantile(np.concatenate(ratio), WANTED)))
 
 
-def lists_of_query(graph: Graph, x: np.ndarray, length: np.ndarray, beam: int = BEAM) -> list[list[int]]:
+def lists_of_query(graph: Graph, x: np.ndarray, length: np.ndarray, beam: int = BEAM) -> list[np.ndarray]:
     """The lists that each query reads: its closest ones, and all within its reach."""
-    if not len(x):
-        return []
-    ids, dist = graph.nearest(x, beam)
-    inside = (ids >= 0) & (dist <= graph.reach(dist[:, :1], graph.prune))
-    inside[:, :NEAREST] = ids[:, :NEAREST] >= 0
-    out = [own[k].tolist() for own, k in zip(ids, inside, strict=True)]
-    short = np.flatnonzero(inside[:, -1]) if beam < len(length) else []
-    if len(short):  # the beam ended first
-        for i, more in zip(short, lists_of_query(graph, x[short], length, 4 * beam), strict=True):
-            out[i] = more
+    out: list[np.ndarray] = []
+    for part in blocks(len(x), min(beam, len(length))):
+        ids, dist = graph.nearest(x[part], beam)
+        inside = (ids >= 0) & (dist <= graph.reach(dist[:, :1], graph.prune))
+        inside[:, :NEAREST] = ids[:, :NEAREST] >= 0
+        short = np.flatnonzero(inside[:, -1]) if beam < len(length) else np.zeros(0, np.int64)
+        inside[short] = False
+        out += [own[k] for own, k in zip(ids, inside, strict=True)]
+        if len(short):  # the beam ended first
+            for i, more in zip((part.start + short).tolist(), lists_of_query(graph, x[part][short], length, 4 * beam), strict=True):
+                out[i] = more
     return out
 
 
+def by_group(lists: list[np.ndarray], group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, pa.ListArray]]:
+    """(query, group, lists) by the queries' places, in parts of ``CELLS`` lists (one query at least): a query's lists of each group that it asks."""
+    ends, at = np.cumsum([len(own) for own in lists]), 0
+    while at < len(lists):
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CELLS, side="right")))
+        query, c = np.repeat(np.arange(at, end), [len(own) for own in lists[at:end]]), np.concatenate(lists[at:end])
+        of = group[c]
+        order = np.lexsort((of, query))
+        query, of, c = query[order], of[order], c[order]
+        first = np.flatnonzero(np.concatenate(([True], (query[1:] != query[:-1]) | (of[1:] != of[:-1])))) if len(c) else np.zeros(0, np.int64)
+        yield query[first], of[first], pa.ListArray.from_arrays(pa.array(np.append(first, len(c)), pa.int32()), pa.array(c, pa.int32()))
+        at = end
+
+
 def nearest_of_list(v: np.ndarray, vec_id: np.ndarray, q: np.ndarray, query_id: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, vector, score) by their places: the k nearest vectors of each query but itself, ties to the lesser id."""
     near = squared(q, v)
@@ -252,7 +280,7 @@ def nearest_of_group(vectors: pa.Table, queries: pa.Table, k: int) -> pa.Table:
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(len(column), width)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float32, copy=False).reshape(len(column), width)
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -279,8 +307,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     n_lists = max(1, min(CENTROIDS, total // LIST))
     rows = base.select("vec_id", F.col("embedding").cast("array<float>").alias("e")).orderBy(F.xxhash64("vec_id"), "vec_id").limit(min(SAMPLE, 32 * n_lists)).select("e").toArrow()
     sample = _matrix(rows.column("e").combine_chunks(), width)
+    del rows
     graph = Graph(fit_levels(sample, n_lists), sample)
     del sample
+    tidy()
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -301,15 +331,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         for batch in batches:
             for i in range(0, batch.num_rows, 1000):
                 part = batch.slice(i, 1000)
-                lists = lists_of_query(graph, _matrix(part.column("q"), width), length)
-                asks: list[dict[int, list[int]]] = []
-                for own in lists:
-                    asks.append({})
-                    for c in own:
-                        asks[-1].setdefault(int(group[c]), []).append(c)
-                row = [j for j, own in enumerate(asks) for _ in own]
-                cols = [pa.array([g for own in asks for g in own], pa.int64()), pa.array([cs for own in asks for cs in own.values()], pa.list_(pa.int32()))]
-                yield pa.record_batch([part.column("query_id").take(pa.array(row, pa.int64())), part.column("q").take(pa.array(row, pa.int64())), *cols], ["query_id", "q", "group", "lists"])
+                for row, of, asks in by_group(lists_of_query(graph, _matrix(part.column("q"), width), length), group):
+                    yield pa.record_batch([part.column("query_id").take(pa.array(row)), part.column("q").take(pa.array(row)), pa.array(of, pa.int64()), asks], ["query_id", "q", "group", "lists"])
 
     asked = usable(queries.select("vec_id", "embedding")).filter(F.size("embedding") == width)
     asked = asked.groupBy(F.col("vec_id").cast("long").alias("query_id")).agg(F.min("embedding").alias("q")).mapInArrow(route, "query_id long, q array<double>, group long, lists array<int>")

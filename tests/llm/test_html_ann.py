@@ -1,4 +1,5 @@
 import time
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -287,3 +288,27 @@ def test_recall_where_lists_are_pruned(spark, dim, kind):
     graph = ann.Graph(ann.fit_levels(x, len(x) // ann.LIST), x)
     length = np.bincount([c for own in ann.postings(graph, x) for c in own], minlength=len(graph.centres))
     assert np.mean([length[own].sum() for own in ann.lists_of_query(graph, x[queries], length)]) < 0.2 * length.sum()
+
+
+def test_memory_of_the_graph_is_not_the_square_of_its_centroids():
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(8_000, 4)).astype(np.float32)
+    tracemalloc.start()
+    graph = ann.Graph(x, x)
+    x.setflags(write=False)
+    read = ann.lists_of_query(graph, x[:1000], np.ones(len(x)), 4096)  # a wide beam, as it grows to where reaches are long
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 300e6  # of one order of all centroids for each of them: 512e6
+    assert len(read) == 1000 and all(own[0] == i for i, own in enumerate(read))
+
+
+def test_queries_ask_groups_for_their_lists(monkeypatch):
+    group = np.array([5, 5, -3, 7, -3])
+    lists = [np.array(own, dtype=np.int32) for own in ([4, 0, 1], [], [2], [3, 2, 4, 0])]
+    want = [(0, -3, [4]), (0, 5, [0, 1]), (2, -3, [2]), (3, -3, [2, 4]), (3, 5, [0]), (3, 7, [3])]
+    for cells in (1, 4, 100):
+        monkeypatch.setattr(ann, "CELLS", cells)
+        parts = list(ann.by_group(lists, group))
+        assert [(q, g, own) for row, of, asks in parts for q, g, own in zip(row.tolist(), of.tolist(), asks.to_pylist(), strict=True)] == want
+    assert list(ann.by_group([], group)) == []
