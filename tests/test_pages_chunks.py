@@ -1,3 +1,4 @@
+import dataclasses
 import random
 import re
 
@@ -236,3 +237,40 @@ def test_a_report_reads_no_text_of_clean_pages(spark):
     assert [(r.page_count, r.first_flagged_page) for r in report.collect()] == [(4, 1)]
     read = re.findall(r"ReadSchema: (\S+)", report._jdf.queryExecution().executedPlan().toString())
     assert read and not any("lines" in r or "_raw" in r or "text:" in r for r in read), read
+
+
+def test_lines_of_odd_texts(spark):
+    """Texts with every kind of white space and line end, against Python; plain ones take the path without patterns."""
+    rng = random.Random(6)
+    marks = [*X.BLANKS, "\r\n", "\n\n", "  ", "\n", " ", "a", "字", "7", "b c"]
+    texts = ["", " ", "\n", "a", "plain text\nof two lines", "\r\n", "a\rb\x0bc\x0cd\x85e\u2028f\u2029g", *("".join(rng.choices(marks, k=rng.randint(1, 12))) for _ in range(400))]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None])], "i int, t string")
+    got = {r.i: r for r in rows.select("i", X.lines_of(F.col("t")).alias("l"), X.lines_of(F.concat("t", F.lit("\n x"))).alias("m"), X.normalize_line(F.col("t")).alias("one")).collect()}
+    one = lambda t: re.sub("[ \t\u3000]+", " ", t)
+    lines = lambda t: [x for x in (p.strip(X.BLANKS) for p in re.split("\r\n|[\n\r\x0b\x0c\x85\u2028\u2029]", one(t))) if x]
+    for i, t in enumerate(texts):
+        assert got[i].l == lines(t) and got[i].m == [*lines(t), "x"] and got[i].one == one(t).strip(X.BLANKS), repr(t)
+    assert got[len(texts)].l is None and got[len(texts)].m is None
+
+
+def test_a_page_is_cut_into_lines_once(spark):
+    """What a page says of itself is found inside lambdas, where Spark computes an expression again for each place that it stands in."""
+    rows = page_frame(spark, ["Head\none text\n- 7 -\nfoot", "Head\nanother text\n8\nfoot", "Head\nlast\nx 9\nfoot", " \xa0\n"]).drop("chapter")
+    seen = []
+    true = X.lines_of
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(X, "lines_of", lambda text: seen.append(text) or true(text))
+        got = pages.parse(rows).orderBy("pdf_page").collect()
+    assert len(seen) == 2  # for margin lines, which are known only after all pages were read, and for all else
+    assert [r.text for r in got] == ["one text\n- 7 -", "another text\n8", "last\nx 9", ""]
+    assert [r.printed_page for r in got] == [7, 8, None, None] and got[3].quality_flags == ["empty_page"]
+    assert [r.char_count for r in got] == [10, 12, 6, 0]
+
+
+def test_printed_numbers_are_cast_where_a_pattern_matched(spark):
+    rows = spark.createDataFrame([(0, ["no number", "- 0 -", "12345", "12"]), (1, ["a", "b"]), (2, []), (3, ["99999999999"]), (4, ["x", "003"])], "i int, l array<string>")
+    wide = dataclasses.replace(LATIN, printed=("^(\\d+)$", "^- (.+) -$"))
+    got = {r.i: (r.a, r.b) for r in rows.select("i", pages.printed_page(F.col("l")).alias("a"), pages.printed_page(F.col("l"), wide).alias("b")).collect()}
+    assert got == {0: (12, 12345), 1: (None, None), 2: (None, None), 3: (None, None), 4: (3, 3)}
+    plan = rows.select(pages.printed_page(F.col("l")))._jdf.queryExecution().analyzed().toString()
+    assert "CASE WHEN (NOT" in plan  # a cast that fails, as of every line without a number, took most of a page's time
